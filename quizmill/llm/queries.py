@@ -1,10 +1,14 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quizmill.llm import decontaminate
+from quizmill.llm import bpecodec, decontaminate, tokencount
 
 
 def queries() -> dict:
-    return {"op10_decontaminate": decontaminate.op10_decontaminate}
+    return {
+        "op7_token_counts": tokencount.op7_token_counts,
+        "op8_bpe": bpecodec.op8_bpe,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
