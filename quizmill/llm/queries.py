@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quizmill.llm import bpecodec, decontaminate, tokencount
+from quizmill.llm import bpecodec, decontaminate, jaccard, tokencount
 
 
 def queries() -> dict:
     return {
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op7_token_counts": tokencount.op7_token_counts,
         "op8_bpe": bpecodec.op8_bpe,
         "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -12,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.SQL}
+    return {"op3_jaccard_join": jaccard.SQL, "op10_decontaminate": decontaminate.SQL}
