@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quizmill.llm import bpecodec, decontaminate, jaccard, tokencount
+from quizmill.llm import bpecodec, decontaminate, jaccard, substrings, tokencount
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": substrings.op1_suffix_dedup,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op7_token_counts": tokencount.op7_token_counts,
         "op8_bpe": bpecodec.op8_bpe,
