@@ -19,7 +19,7 @@ from quizmill.llm.merges import Merges, load, spelled
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile(r"\s+")
-KEPT = 200_000  # words and pieces remembered by a worker; beyond, it starts afresh
+KEPT_WORDS, KEPT_PIECES = 700_000, 300_000  # remembered by a worker, about 300 bytes each; what comes later is worked out each time
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -38,8 +38,9 @@ class Codec:
 
     def __init__(self, path: str):
         self.m: Merges = load(path)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.pack = {t: t.to_bytes(4, "little") for t in self.m.names}
         self.proposed = self.failed = 0
 
     def propose(self, word: str) -> list[int]:
@@ -57,10 +58,8 @@ class Codec:
             i = j
         return out
 
-    def encode_words(self, words: list[str]) -> None:
-        """Encodes words that are not known yet, all together."""
-        if len(self.words) > KEPT:
-            self.words.clear()
+    def encode_words(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids (little-endian, 32 bits) and decoded tokens, a space after each, of distinct words, all together."""
         made = [self.propose(w) for w in words]
         size = np.array([len(x) for x in made], np.int64)
         flat = np.array([t for x in made for t in x], np.int64)
@@ -69,10 +68,11 @@ class Codec:
         bad = np.unique(owner[inner[~self.m.fits_all(flat[inner], flat[inner + 1])]]) if len(inner) else []
         self.proposed += len(words)
         self.failed += len(bad)
+        vocab, end, pack, names = self.m.vocab, self.m.suffix, self.pack, self.m.names
         for k in bad:
             s = spelled(words[k])
-            made[k] = self.m.merge([self.m.vocab[c] for c in s[:-1]] + [self.m.vocab[s[-1] + self.m.suffix]])
-        self.words.update(zip(words, made, strict=True))
+            made[k] = self.m.merge([*map(vocab.__getitem__, s[:-1]), vocab[s[-1] + end]])
+        return {w: (b"".join([pack[t] for t in x]), "".join([names[t] + " " for t in x])) for w, x in zip(words, made, strict=True)}
 
     def parts(self, piece: str) -> list[tuple[bool, str]]:
         """(special, string) in order: special strings as they stand, else lower-cased words."""
@@ -81,39 +81,40 @@ class Codec:
             out += [(True, x)] if k % 2 else [(False, w) for w in WORDS.findall(SPACE.sub(" ", lowered(x)))]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces are what stands between spaces; no word and no special string holds a space."""
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
-        for todo in (list(pieces)[i : i + 50_000] for i in range(0, len(pieces), 50_000)):
-            cut = [self.parts(p) for p in todo]
-            self.encode_words(list({w for x in cut for special, w in x if not special and w not in self.words}))
-            for p, x in zip(todo, cut, strict=True):
-                ids = [t for special, w in x for t in ([self.m.special[w]] if special else self._known(w))]
-                self.pieces[p] = np.array(ids, "<u4").tobytes(), self.decode(ids) + " " * bool(ids)
-
-    def _known(self, word: str) -> list[int]:
-        if word not in self.words:  # dropped when the memory was emptied meanwhile
-            self.encode_words([word])
-        return self.words[word]
+    def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[bytes, str]]:
+        """The same for pieces, what stands between two spaces; no word and no special string holds a space."""
+        cut = [self.parts(p) for p in pieces]
+        words = self.words
+        new = self.encode_words(list({w for x in cut for special, w in x if not special and w not in words}))
+        if len(words) < KEPT_WORDS:
+            words.update(new)
+        special = {w: (self.pack[t], w + " ") for w, t in self.m.special.items()}
+        out = {}
+        for p, x in zip(pieces, cut, strict=True):
+            got = [special[w] if is_special else new.get(w) or words[w] for is_special, w in x]
+            out[p] = got[0] if len(got) == 1 else (b"".join([a for a, _ in got]), "".join([b for _, b in got]))
+        if len(self.pieces) < KEPT_PIECES:
+            self.pieces.update(out)
+        return out
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and decoded string of each text; new pieces of all of them are worked out together."""
+        split = [t.split(" ") for t in texts]
+        pieces = self.pieces
+        new = self.encode_pieces(list({p for x in split for p in x if p not in pieces}))
+        out = []
+        for x in split:
+            got = [pieces.get(p) or new[p] for p in x]
+            out.append((b"".join([a for a, _ in got]), "".join([b for _, b in got])[:-1]))
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_and_decode(text)[0], "<u4")
+        return np.frombuffer(self.encode_texts([text])[0][0], "<u4")
 
     def decode(self, ids) -> str:
         """The strings of the tokens with a space between; this kind of file has no decoder that would drop word ends."""
         names = self.m.names
-        return " ".join([names[t] for t in ids])
-
-    def encode_and_decode(self, text: str) -> tuple[bytes, str]:
-        pieces = text.split(" ")
-        new = {p for p in pieces if p not in self.pieces}
-        if new:
-            self.learn(new)
-            if any(p not in self.pieces for p in pieces):  # the memory was emptied
-                self.learn({p for p in pieces if p not in self.pieces})
-        got = list(map(self.pieces.__getitem__, pieces))
-        return b"".join([a for a, _ in got]), "".join([b for _, b in got])[:-1]
+        return " ".join([names[int(t)] for t in ids])
 
 
 _codecs: dict[str, Codec] = {}
@@ -134,8 +135,7 @@ def encode(docs: DataFrame, with_ids: bool = False) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 500):
                 part = [t or "" for t in texts[k : k + 500]]
-                c.learn({p for t in part for p in t.split(" ")} - c.pieces.keys())
-                both = [c.encode_and_decode(t) for t in part]
+                both = c.encode_texts(part)
                 cols = [batch.column(0).slice(k, len(part)), pa.array([len(a) // 4 for a, _ in both], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in both]), pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in both])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

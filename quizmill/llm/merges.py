@@ -57,7 +57,7 @@ class Merges:
             self.parts[made] = left, right, rank
         self.longest = max(map(len, self.vocab))
         self._edges: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        self._fits: dict[int, bool] = {}
+        self.known_fits: dict[int, bool] = {}
         self._tables = None
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
@@ -81,7 +81,7 @@ class Merges:
         something larger) and so is its right part; of equal ranks the leftmost goes first.
         """
         key = a << 20 | b
-        known = self._fits.get(key)
+        known = self.known_fits.get(key)
         if known is None:
             known, pair = True, self.pair
             for x, made_x, gone_x in self.edge(a, 1):
@@ -92,9 +92,8 @@ class Merges:
                         break
                 if not known:
                     break
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
-            self._fits[key] = known
+            if len(self.known_fits) < 1_000_000:
+                self.known_fits[key] = known
         return known
 
     def fits_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

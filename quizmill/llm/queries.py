@@ -1,17 +1,20 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quizmill.llm import bpecodec, decontaminate, jaccard, substrings, tokencount
+from quizmill.llm import bpecodec, decontaminate, jaccard, langid, substrings, tokencount, urlfilter, warc
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": substrings.op1_suffix_dedup,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op4_warc": warc.op4_warc,
+        "op6_language_id": langid.op6_language_id,
         "op7_token_counts": tokencount.op7_token_counts,
         "op8_bpe": bpecodec.op8_bpe,
+        "op9_url_filter": urlfilter.op9_url_filter,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op3_jaccard_join": jaccard.SQL, "op4_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL}

@@ -19,7 +19,7 @@ from quizmill.llm.merges import WORDS, Merges, load, spelled
 from quizmill.llm.textkit import text_array
 
 LIMIT = 1024
-KEPT = 300_000  # words and pieces remembered by a worker; beyond, it starts afresh
+KEPT_WORDS, KEPT_PIECES = 1_000_000, 400_000  # remembered by a worker, about 200 bytes each; what comes later is worked out each time
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -38,12 +38,19 @@ class PrefixCounts:
 
     def word(self, word: str) -> list[int]:
         """counts[i]: tokens of the first i bytes of a word, on their own."""
-        s, vocab, fits, longest = spelled(word), self.m.vocab, self.m.fits, self.m.longest
+        s, vocab, fits, known, longest = spelled(word), self.m.vocab, self.m.fits, self.m.known_fits, self.m.longest
         counts, last = [0], [-1]
         for i in range(1, len(s) + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
                 t = vocab.get(s[j:i])
-                if t is not None and (last[j] < 0 or fits(last[j], t)) and counts[j] >= 0:
+                if t is not None:
+                    a = last[j]
+                    if a >= 0:
+                        ok = known.get(a << 20 | t)
+                        if ok is None:
+                            ok = fits(a, t)
+                        if not ok:
+                            continue
                     counts.append(counts[j] + 1)
                     last.append(t)
                     break
@@ -54,9 +61,9 @@ class PrefixCounts:
     def _word_total(self, word: str) -> int:
         n = self.words.get(word)
         if n is None:
-            if len(self.words) > KEPT:
-                self.words.clear()
-            n = self.words[word] = self.word(word)[-1]
+            n = self.word(word)[-1]
+            if len(self.words) < KEPT_WORDS:
+                self.words[word] = n
         return n
 
     def _plain(self, text: str) -> int:
@@ -83,12 +90,14 @@ class PrefixCounts:
             return n + sum(map(pieces.__getitem__, rest))
         except KeyError:
             pass
-        if len(pieces) > KEPT:
-            pieces.clear()
-        for p in set(rest):
-            if p not in pieces:
-                pieces[p] = self._run(" " + p)
-        return n + sum(map(pieces.__getitem__, rest))
+        for p in rest:
+            k = pieces.get(p)
+            if k is None:
+                k = self._run(" " + p)
+                if len(pieces) < KEPT_PIECES:
+                    pieces[p] = k
+            n += k
+        return n
 
     def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ends, counts): after each word of the text, the bytes and tokens so far."""
