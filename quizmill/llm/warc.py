@@ -81,7 +81,7 @@ def _write(folder: str):
                 raw = pack.compress(record(p, url, (html or "").encode(), dg, ref, again)) + pack.flush()
                 if out is None:
                     path, rows, at = f"{root}/{uuid.uuid4().hex}.warc.gz", [], 0
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)
                 out.write(raw)
                 rows.append((path, at, len(raw), url, dg, p))
                 at += len(raw)
