@@ -283,7 +283,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays, once."""
     g = similar_groups(docs)
     stay = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")), "left_semi")
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stay_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
 
 

@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quizmill.llm import bpecodec, decontaminate, jaccard, langid, substrings, tokencount, urlfilter, warc
+from quizmill.llm import bpecodec, decontaminate, jaccard, langid, secrets, substrings, tokencount, urlfilter, warc
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": substrings.op1_suffix_dedup,
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_warc": warc.op4_warc,
         "op6_language_id": langid.op6_language_id,
