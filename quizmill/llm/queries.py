@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quizmill.llm import bpecodec, decontaminate, jaccard, langid, secrets, substrings, tokencount, urlfilter, warc
+from quizmill.llm import bpecodec, decontaminate, imatch, jaccard, langid, secrets, substrings, tokencount, urlfilter, warc
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_warc": warc.op4_warc,
+        "op5_imatch": imatch.op5_imatch,
         "op6_language_id": langid.op6_language_id,
         "op7_token_counts": tokencount.op7_token_counts,
         "op8_bpe": bpecodec.op8_bpe,
