@@ -8,22 +8,32 @@ import numpy as np
 def _place(ch: np.ndarray, ptr: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where elements go that are put one by one at the pointers of their buckets; also the buckets and how far each pointer moves."""
     order = np.argsort(ch, kind="stable")
-    c = ch[order]
-    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    size = np.diff(np.concatenate([start, [len(c)]]))
-    dest = np.empty(len(ch), np.int64)
-    dest[order] = ptr[c] + step * (np.arange(len(c)) - np.repeat(start, size))
-    return dest, c[start], step * size
+    c, n = ch[order], len(ch)
+    first = np.empty(n, bool)
+    first[0] = True
+    np.not_equal(c[1:], c[:-1], out=first[1:])
+    start = first.nonzero()[0]
+    size = np.empty(len(start), np.int64)
+    size[:-1] = start[1:]
+    size[-1] = n
+    size -= start
+    buckets = c[start]
+    at = np.arange(n)
+    at -= start.repeat(size)
+    dest = np.empty(n, np.int64)
+    dest[order] = ptr[c] + (at if step == 1 else -at)
+    return dest, buckets, step * size
 
 
 def _sweep(text: np.ndarray, sa: np.ndarray, ptr: np.ndarray, wanted: np.ndarray, step: int) -> None:
     """One pass of induction over sa, upwards (step 1) or downwards (-1): the predecessor of each suffix met, if of the wanted type, goes to its bucket's pointer.
 
     Stretches are handled at once: what a stretch puts lies behind it in the direction of the pass, and if some of it
-    lies within the stretch, the stretch is cut there.
+    lies within the stretch, the stretch is cut there. Where cuts come after a few places (periodic texts), the next
+    places are taken one by one, more of them each time.
     """
     n = len(sa)
-    p, m = (0, 64) if step == 1 else (n - 1, 64)
+    p, m, slow = (0 if step == 1 else n - 1), 64, 0
     while 0 <= p < n:
         end = min(n, p + m) if step == 1 else max(-1, p - m)
         span = sa[p:end] if step == 1 else sa[p : end if end >= 0 else None : -1]
@@ -38,12 +48,26 @@ def _sweep(text: np.ndarray, sa: np.ndarray, ptr: np.ndarray, wanted: np.ndarray
         inside = (dest < end) if step == 1 else (dest > end)
         if inside.any():
             cut = int(dest[inside].min() if step == 1 else dest[inside].max())
+            if abs(cut - p) < 48:
+                slow = min(slow + 1, 10)
+                for _ in range(64 << slow):
+                    if not 0 <= p < n:
+                        break
+                    e = sa.item(p)
+                    p += step
+                    if e > 0 and wanted.item(e - 1):
+                        c = text.item(e - 1)
+                        to = ptr.item(c)
+                        sa[to] = e - 1
+                        ptr[c] = to + step
+                m = 64
+                continue
             k = int(np.searchsorted(at, abs(cut - p)))  # elements before the cut
             at, j = at[:k], j[:k]
             dest, buckets, moves = _place(text[j], ptr, step)
             m, end = max(64, 2 * abs(cut - p)), cut
         else:
-            m = min(2 * m, 1 << 18)
+            m, slow = min(2 * m, 1 << 18), max(0, slow - 1)
         sa[dest] = j
         ptr[buckets] += moves
         p = end
