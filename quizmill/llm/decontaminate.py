@@ -191,6 +191,37 @@ def match(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int =
     return both.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("i", "times")
 
 
+def postings(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The index as a table that can be stored: term (64-bit hash), doc_id, text_key, positions in order, for the terms of the benchmark."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+    def build(items):
+        def run(batches):
+            win = Windows(items, width)
+            for batch in batches:
+                for i, j, data, offs in text_chunks(batch):
+                    low = LOWER[data]
+                    s, e, row = find_words(low, offs, WORD)
+                    term = win.number(span_hash(prefix_hash(low), s, e))
+                    at = np.flatnonzero(term >= 0)
+                    order = at[np.lexsort((term[at], row[at]))]
+                    if not len(order):
+                        continue
+                    first = np.flatnonzero(np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (term[order][1:] != term[order][:-1])]))
+                    place = order - np.searchsorted(row, row[order])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(order)]]), pa.int32()), pa.array(place, pa.int64()))
+                    rows = pa.array(row[order][first] + i)
+                    yield pa.RecordBatch.from_arrays([pa.array(win.vocab[term[order][first]].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), lists], names=["term", "doc_id", "text_key", "positions"])
+
+        return run
+
+    parts = [keyed.mapInArrow(build(b), "term long, doc_id long, text_key long, positions array<long>") for b in _limited(benchmark_blocks(benchmark, block_words))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if len(parts) == 1 else out.dropDuplicates(["term", "doc_id", "text_key"])
+
+
 def _limited(blocks, most: int = 1000):
     for k, b in enumerate(blocks):
         if k >= most:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,7 +172,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language can be told (not `und`), with the prediction as their lang."""
+    """Pipeline stage: documents whose language can be told (not `und`); a missing lang becomes the prediction."""
     model = fit(docs)
     shared = spark.sparkContext.broadcast(model)
     schema = docs.schema
@@ -186,7 +187,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 letters = np.array([bool(t) and LETTER.search(t) is not None for t in texts[i:j]], bool)
                 lang += judge(code_lengths(m, data, offs), m.langs, letters, np.diff(offs))[0]
             at = batch.schema.get_field_index("lang")
-            cols = [pa.array(lang, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns)]
+            cols = [pc.coalesce(batch.column(k), pa.array(lang, pa.string())) if k == at else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
