@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.textkit import LOWER, U, find_words, mix, prefix_hash, span_hash, text_chunks
+from quizmill.llm.textkit import LOWER, U, distinct_in_rows, find_words, mix, prefix_hash, span_hash, text_chunks
 
 LOW, HIGH = 0.001, 0.2  # band of document frequency, as shares of all documents
 SUBSETS = 24
@@ -33,11 +33,7 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     s, e, row = find_words(low, offs, TERM)
     h = span_hash(prefix_hash(low), s, e)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return row[new], h[new]
+    return distinct_in_rows(row, h)
 
 
 def _frequencies(share: float, only: np.ndarray | None):

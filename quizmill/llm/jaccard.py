@@ -7,9 +7,12 @@
    their hash. Two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each.
 3. Those prefixes travel as packed arrays, cut by shingle into buckets. Shingles with several classes give candidates:
    first stars (each class with one centre of the list), later, once components are known, the pairs of a list that
-   lie in different components. Pairs within a component need no test, so a group of copies is never expanded.
+   lie in different components. Pairs within a component need no test, so a group of copies is never expanded; and a
+   shared shingle counts only where its ranks in both sets leave room for the overlap needed, so sets with many
+   shingles of their own (which come first) meet no frequent ones.
 4. The order is cut into FRAGMENTS. For each candidate pair the overlap is counted in each fragment by itself, from the
-   two sets' parts in it, and the partial counts are summed per pair and held against the threshold.
+   two sets' parts in it, and the partial counts are summed per pair and held against the threshold. Pairs that cannot
+   reach it any more after the FIRST fragments, whatever the others hold, go no further.
 5. Components of the links, then the smallest doc_id of each.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.graph import components
-from quizmill.llm.textkit import LOWER, U, find_words, mix, prefix_hash, span_hash, stage, text_chunks
+from quizmill.llm.textkit import LOWER, U, distinct_in_rows, find_words, mix, prefix_hash, release, span_hash, stage, text_chunks
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -32,10 +35,10 @@ HOT = 200_000  # frequent shingles that the order knows; 16 bytes each go to eve
 LOCAL = 3  # a shingle is reported when a stretch of rows has it this often
 STRETCH = 2_000_000  # shingles that a task holds at once
 PER_BUCKET = 1_000_000
-FRAGMENTS = 8
+FRAGMENTS, FIRST = 8, 2  # the first fragments are counted for all candidates, the others for those that can still reach the threshold
 BITS = 26  # the filter on classes that have a candidate has 2**BITS bits, whatever the input
-ROW = np.dtype([("t", "<u8"), ("c", "<u8"), ("n", "<u4")])
-STARS = 2  # rounds of stars before all remaining pairs between components
+ROW = np.dtype([("c", "<u8"), ("t", "u1", (5,)), ("r", "<u2")])  # a class, 40 bits of a shingle beyond those of its bucket (alike ones give a candidate too many at most), its rank in the set
+STARS = 1  # rounds of stars before all remaining pairs between components
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -59,11 +62,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tupl
             ok = count[few] > j
             part[ok] += w[first[ok] + j] * factor[j]
         full, at = np.concatenate([full, mix(part)]), np.concatenate([at, few])
-    order = np.lexsort((full, at))
-    at, full = at[order], full[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (full[1:] != full[:-1])
-    return at[new], full[new]
+    return distinct_in_rows(at, full)
 
 
 def classes(row: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +83,15 @@ def _sizes(words: int):
             v, c = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             v, c = v[c >= LOCAL], c[c >= LOCAL]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), bool)), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(v), pa.int64())], names=["hot", "id", "n", "cls"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), bool)), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(v), pa.int64()), pa.nulls(len(v), pa.int64())], names=["hot", "id", "n", "cls", "text_key"])
 
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, keys = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key"))
             for i, j, data, offs in text_chunks(batch):
                 row, h = shingle_sets(data, offs, words)
                 n, name = classes(row, h, j - i)
                 held.append(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, bool)), ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(name)], names=["hot", "id", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, bool)), ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(name), keys.slice(i, j - i)], names=["hot", "id", "n", "cls", "text_key"])
                 if sum(map(len, held)) > STRETCH:
                     yield hot()
         if held:
@@ -120,10 +119,17 @@ def _prefixes(order: Order, words: int, percent: int, bits: int):
         held: list[np.ndarray] = []
 
         def flush():
-            x = np.concatenate(held)
+            t, c, r = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            x = np.unique(x)  # by shingle, class, size: copies within the stretch fall together
-            bucket = (x["t"] >> U(64 - bits)).astype(np.int64)
+            order = np.lexsort((c, t))
+            t, c, r = t[order], c[order], r[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])  # copies within the stretch fall together
+            t, c, r = t[new], c[new], r[new]
+            bucket = (t >> U(64 - bits)).astype(np.int64)
+            x = np.empty(len(t), ROW)
+            x["c"], x["r"] = c, r
+            x["t"] = (t << U(bits) >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(x)]])
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["bucket", "rows"])
 
@@ -139,10 +145,8 @@ def _prefixes(order: Order, words: int, percent: int, bits: int):
                     row, h = row[k], h[k]
                 rank = np.arange(len(h)) - (np.cumsum(n) - n)[row]
                 keep = rank < (n - (percent * n + 99) // 100 + 1)[row]
-                x = np.empty(int(keep.sum()), ROW)
-                x["t"], x["c"], x["n"] = h[keep], name.view(U)[row[keep]], n[row[keep]]
-                held.append(x)
-                if sum(map(len, held)) > STRETCH:
+                held.append((h[keep], name.view(U)[row[keep]], np.minimum(rank[keep], 65535).astype(np.uint16)))
+                if sum(len(x[0]) for x in held) > STRETCH:
                     yield flush()
         if held:
             yield flush()
@@ -151,15 +155,23 @@ def _prefixes(order: Order, words: int, percent: int, bits: int):
 
 
 def _lists(batches):
-    """Of each bucket, the shingles that several classes have: (token, cls, n)."""
+    """Of each bucket, the shingles that several classes have: (token, cls, rank)."""
     now, held = None, []
 
     def done():
-        x = np.unique(np.concatenate(held))
-        first = np.concatenate([[True], x["t"][1:] != x["t"][:-1]])
-        run = np.cumsum(first) - 1
-        x = x[np.bincount(run)[run] > 1]
-        return pa.RecordBatch.from_arrays([pa.array(x["t"].view(np.int64) if x["t"].flags.c_contiguous else x["t"].copy().view(np.int64)), pa.array(x["c"].copy().view(np.int64)), pa.array(x["n"].astype(np.int64))], names=["token", "cls", "n"])
+        x = np.concatenate(held)
+        wide = np.zeros((len(x), 8), np.uint8)
+        wide[:, :5] = x["t"]
+        t = wide.view("<u8").ravel()
+        order = np.lexsort((x["r"], x["c"], t))
+        t, c, r = t[order], x["c"][order], x["r"][order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        t, c, r = t[new], c[new], r[new]
+        run = np.cumsum(np.concatenate([[True], t[1:] != t[:-1]])) - 1
+        many = np.bincount(run)[run] > 1
+        token = (t[many] | U(now % (1 << 23)) << U(40)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(c[many].view(np.int64)), pa.array(r[many].astype(np.int32))], names=["token", "cls", "rank"])
 
     for batch in batches:
         for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -172,8 +184,8 @@ def _lists(batches):
         yield done()
 
 
-def _segments(order: Order, words: int, bitmap: np.ndarray):
-    """(cls, part, tokens) for classes that the filter lets through; a stretch of rows gives each class once."""
+def _segments(order: Order, words: int, bitmap: np.ndarray, first: int, last: int):
+    """(cls, part, tokens) of the fragments first..last, empty ones too, for classes that the filter lets through; a stretch of rows gives each class once."""
 
     def run(batches):
         seen: set[int] = set()
@@ -192,7 +204,7 @@ def _segments(order: Order, words: int, bitmap: np.ndarray):
                         continue
                     seen.add(c)
                     a, b = ends[d] - n[d], ends[d]
-                    for p in np.unique(part[a:b]).tolist():
+                    for p in range(first, last + 1):
                         cls.append(c)
                         parts.append(p)
                         tokens.append(h[a:b][part[a:b] == p].view(np.int64))
@@ -204,13 +216,21 @@ def _segments(order: Order, words: int, bitmap: np.ndarray):
     return run
 
 
-def _sum_links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b, na, nb), the pairs with 100 * overlap >= percent * union; the overlap is summed over the fragments."""
-    parts = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+def _filter(classes_: DataFrame) -> np.ndarray:
+    """A bitmap of 2**BITS bits with those of the classes (column cls) set: what goes to the tasks never grows."""
+    words = classes_.select(F.expr(f"shiftright(cls & {(1 << BITS) - 1}, 5)").alias("w"), F.expr("shiftleft(1L, cast(cls & 31 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    bitmap = np.zeros(1 << BITS - 5, "<u4")
+    bitmap[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return bitmap.view(np.uint8)
+
+
+def _overlaps(pairs: DataFrame, segments: DataFrame, first: int, last: int) -> DataFrame:
+    """pairs with shared, seen_a, seen_b: overlap and sizes summed over the fragments first..last, each counted by itself."""
+    parts = pairs.withColumn("part", F.explode(F.sequence(F.lit(first), F.lit(last))))
     left = segments.select(F.col("cls").alias("a"), "part", F.col("tokens").alias("ta"))
     right = segments.select(F.col("cls").alias("b"), "part", F.col("tokens").alias("tb"))
-    counted = parts.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
-    return counted.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    one = parts.join(left, ["a", "part"]).join(right, ["b", "part"]).withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    return one.groupBy(*pairs.columns).agg(F.sum("shared").alias("shared"), F.sum(F.size("ta")).alias("seen_a"), F.sum(F.size("tb")).alias("seen_b"))
 
 
 def _candidates(lists: DataFrame, percent: int, salt: int | None) -> DataFrame:
@@ -218,14 +238,19 @@ def _candidates(lists: DataFrame, percent: int, salt: int | None) -> DataFrame:
 
     salt: only pairs with one centre of each list, another for each salt and class of shingles. None: all of them.
     """
-    x = lists.select("token", "cls", "n", "comp")
+    x = lists.select("token", "cls", "n", "rank", "comp", "share")
     if salt is None:
-        y = x.select(F.col("token"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+        y = x.select(F.col("token"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"), F.col("comp").alias("comp2"))
         p = x.join(y, "token").where("cls < cls2")
     else:
-        centre = x.groupBy("token").agg(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.pmod("token", F.lit(4)), F.lit(salt))).alias("m"))
-        p = x.join(centre, "token").select("token", "cls", "n", "comp", F.col("m.cls").alias("cls2"), F.col("m.n").alias("n2"), F.col("m.comp").alias("comp2")).where("cls <> cls2")
-    p = p.where((F.col("comp") != F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+        # what is central has few shingles of its own: a large part of its prefix is in lists; later rounds take more of those alike
+        weight = F.floor(F.col("share") * (64 >> 2 * salt))
+        centre = x.groupBy("token").agg(F.max_by(F.struct("cls", "n", "rank", "comp"), F.struct(weight, F.xxhash64("cls", F.pmod("token", F.lit(4)), F.lit(salt)))).alias("m"))
+        p = x.join(centre, "token").select("token", "cls", "n", "rank", "comp", F.col("m.cls").alias("cls2"), F.col("m.n").alias("n2"), F.col("m.rank").alias("rank2"), F.col("m.comp").alias("comp2")).where("cls <> cls2")
+    # the first shingle that linked sets share leaves room for the overlap they need after it, in both of them
+    need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent) - 1e-9)
+    room = (F.col("rank") + need <= F.col("n")) & (F.col("rank2") + need <= F.col("n2"))
+    p = p.where(room & (F.col("comp") != F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
     less = F.col("cls") < F.col("cls2")
     return p.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), F.when(less, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(less, F.col("n2")).otherwise(F.col("n")).alias("nb")).distinct()
 
@@ -234,13 +259,13 @@ def _with_components(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Lists with a component for each class, without the lists that lie in one component."""
     if labels is None:
         return lists.withColumn("comp", F.col("cls"))
-    x = lists.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    x = lists.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("token", "cls", "n", "rank", "share", F.coalesce("component", "cls").alias("comp"))
     many = x.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("many")).where("many").select("token")
     return x.join(many, "token", "left_semi")
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, class_id.
+    """One row per document row: doc_id, n_shingles, component_id, class_id, group_id (of the component, whatever ids repeat), text_key.
 
     Null, empty and wordless texts have no shingles and form a component of their own (their doc_id). Rows that repeat a
     doc_id are rows of their own; they share whatever components their texts are in. A null doc_id stays null and never
@@ -248,43 +273,60 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = stage(text.mapInArrow(_sizes(words), "hot boolean, id long, n long, cls long"), "sizes")
+    sizes = stage(text.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sizes(words), "hot boolean, id long, n long, cls long, text_key long"), "sizes")
     hot = sizes.where("hot").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(HOT).toPandas()
     token = hot["id"].to_numpy(np.int64).view(U)
     k = np.argsort(token)
     order = Order(token[k], hot["n"].to_numpy(np.int64)[k])
-    docs_ = sizes.where("not hot").select(F.col("id").alias("doc_id"), "n", "cls")
+    docs_ = sizes.where("not hot").select(F.col("id").alias("doc_id"), "n", "cls", "text_key")
     total = docs_.agg(F.sum("n")).first()[0] or 0
     bits = max(6, int(total * (100 - percent) / 100 / PER_BUCKET).bit_length() + 1)
     packed = text.mapInArrow(_prefixes(order, words, percent, bits), "bucket long, rows binary")
-    lists = stage(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lists, "token long, cls long, n long"), "lists")
-    words_ = lists.select(F.expr(f"shiftright(cls & {(1 << BITS) - 1}, 5)").alias("w"), F.expr("shiftleft(1L, cast(cls & 31 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    bitmap = np.zeros(1 << BITS - 5, "<u4")
-    bitmap[words_["w"].to_numpy(np.int64)] = words_["v"].to_numpy(np.int64)
-    segments = stage(text.mapInArrow(_segments(order, words, bitmap.view(np.uint8)), "cls long, part int, tokens array<long>").dropDuplicates(["cls", "part"]), "segments")
+    shared = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lists, "token long, cls long, rank int")
+    shared = stage(shared, "shared")
+    one = docs_.where("n > 0").groupBy("cls").agg(F.min("n").alias("n")).join(shared.groupBy("cls").agg(F.count("*").alias("m")), "cls")
+    # share: of the shingles in a class's prefix, those that other classes have too
+    one = one.select("cls", "n", (F.col("m") / (F.floor(F.col("n") * (100 - percent) / 100) + 1)).alias("share"))
+    lists = stage(shared.join(one, "cls"), "lists")
+    del packed, shared
+    release(spark)
+
+    def parts(classes_: DataFrame, first: int, last: int) -> DataFrame:
+        # a class can come from several tasks; copies count once
+        return text.mapInArrow(_segments(order, words, _filter(classes_), first, last), "cls long, part int, tokens array<long>").dropDuplicates(["cls", "part"])
+
+    firsts = stage(parts(lists, 0, FIRST - 1), "firsts")
     links, labels = None, None
     for salt in [*range(STARS), None]:
-        open_ = _with_components(lists, labels)
-        found = stage(_sum_links(_candidates(open_, percent, salt), segments, percent), "links")
-        if links is None or found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+        pairs = _overlaps(_candidates(_with_components(lists, labels), percent, salt), firsts, 0, FIRST - 1)
+        # shared >= percent * union is (100 + percent) * shared >= percent * (na + nb)
+        reach = F.col("shared") + F.least(F.col("na") - F.col("seen_a"), F.col("nb") - F.col("seen_b"))
+        pairs = stage(pairs.where((100 + percent) * reach >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", F.col("shared").alias("before")), "pairs")
+        release(spark)
+        rest = parts(pairs.select(F.explode(F.array("a", "b")).alias("cls")), FIRST, FRAGMENTS - 1)
+        total = F.col("shared") + F.col("before")
+        found = stage(_overlaps(pairs, stage(rest, "rest"), FIRST, FRAGMENTS - 1).where((100 + percent) * total >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        release(spark)
     named = docs_.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "group", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"), F.col("group").alias("group_id"), "text_key")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_id")
+    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays, once."""
-    g = similar_groups(docs)
-    stay = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stay_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays, once (of alike ids one text). Texts without words are in no group and all stay."""
+    g = similar_groups(docs).where("n_shingles > 0")
+    stay = g.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select(F.col("one.doc_id").alias("stay_id"), F.col("one.text_key").alias("stay_key"))
+    worded = F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    some = docs.where(worded)
+    kept = some.join(stay, some["doc_id"].cast("long").eqNullSafe(stay["stay_id"]) & (F.xxhash64(some["text"]) == stay["stay_key"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(~worded))
 
 
 SQL = r"""

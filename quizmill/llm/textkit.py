@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -95,6 +96,26 @@ def find_words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+def distinct_in_rows(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, h) sorted and distinct, for rows below 2**20."""
+    key = (row.astype(U) << U(44)) | (h >> U(20))
+    order = np.argsort(key)
+    key, r, x = key[order], row[order], h[order]
+    same = key[1:] == key[:-1]
+    if (same & (x[1:] != x[:-1])).any():  # two hashes alike in 44 bits in one row: sort by all bits
+        order = np.lexsort((h, row))
+        r, x = row[order], h[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
+    return r[new], x[new]
+
+
+def release(spark) -> None:
+    """Lets the driver's JVM collect its garbage, and with it the shuffle files of steps whose results are staged."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
