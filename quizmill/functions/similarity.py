@@ -18,6 +18,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def may_reach(a: str, b: str, ratio: float) -> Column:
+    """Whether two strings can have this sequence ratio at all: matching blocks are a common subsequence, so the edit distance is at most (1 - ratio) times both lengths. A built-in test before the UDF."""
+    return F.levenshtein(a, b) <= F.floor((1 - ratio) * (F.length(a) + F.length(b)) + 1e-9)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

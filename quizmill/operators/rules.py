@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
-from quizmill.functions.similarity import sequence_ratio
+from quizmill.functions.similarity import may_reach, sequence_ratio
 
 C = F.col
 
@@ -329,19 +329,19 @@ def lexical_flags(items: DataFrame, key: str = "item_id") -> DataFrame:
     d = items.select(key, F.coalesce("enunciado", F.lit("")).alias("stem"), F.coalesce("resposta_correta", F.lit("")).alias("answer"), F.posexplode("distratores").alias("i", "x")).withColumn("x", F.trim("x"))
     norm = d.withColumn("nx", T.words_folded(C("x"))).withColumn("na", T.words_folded(C("answer")))
     closed = family(C("answer"), C("stem")).isin("combinacao_itens", "assercoes") | formulaic(C("answer")) | valid_opposites(C("x"), C("answer"))
-    para = norm.where((C("nx") != C("na")) & ~closed).withColumn("r", sequence_ratio("nx", "na")).where("r >= 0.82").select(key, F.lit("distrator_parafraseia_gabarito").alias("code"), F.concat("i", F.lit(":"), "x").alias("evidence"))
+    para = norm.where((C("nx") != C("na")) & ~closed & may_reach("nx", "na", 0.82)).withColumn("r", sequence_ratio("nx", "na")).where("r >= 0.82").select(key, F.lit("distrator_parafraseia_gabarito").alias("code"), F.concat("i", F.lit(":"), "x").alias("evidence"))
     has_copy = norm.where("nx = na").select(key).distinct()
     tokens = lambda df, c: df.withColumn("t", F.explode(T.letter_tokens(C(c)))).withColumn("b", T.token_base(C("t")))
     mine = tokens(d, "x").select(key, "i", "x", "t", "b").where(F.length("b") >= 5).distinct()
     answer = tokens(items.withColumn("a", F.coalesce("resposta_correta", F.lit(""))), "a").select(C(key), C("b").alias("o")).where(F.length("o") >= 6).distinct()
-    near = mine.where(F.length("b") >= 6).join(answer, [key]).where((F.left("b", F.lit(4)) == F.left("o", F.lit(4))) & (F.abs(F.length("b") - F.length("o")) <= 4) & (C("b") != C("o")) & (T.plural_base(C("b")) != T.plural_base(C("o"))))
+    near = mine.where(F.length("b") >= 6).join(answer, [key]).where((F.left("b", F.lit(4)) == F.left("o", F.lit(4))) & (F.abs(F.length("b") - F.length("o")) <= 4) & (C("b") != C("o")) & (T.plural_base(C("b")) != T.plural_base(C("o"))) & may_reach("b", "o", 0.80))
     deformed = near.withColumn("r", sequence_ratio("b", "o")).where("r >= 0.80").select(key, F.lit("distrator_lexicalmente_corrompido").alias("code"), F.concat("i", F.lit(":"), "b", F.lit("~"), "o").alias("evidence"))
     source = tokens(items.withColumn("q", F.concat_ws(" ", "enunciado", "resposta_correta")), "q").select(C(key), C("b").alias("o"), F.lower("t").alias("form")).where(F.length("o") >= 4).distinct()
     forms = source.groupBy(key, "o").agg(F.collect_set("form").alias("forms"))
     known = mine.join(forms.withColumnRenamed("o", "b"), [key, "b"], "left")
     odd = known.where(C("forms").isNotNull() & ~F.array_contains("forms", F.lower("t"))).select(key, "i", "b", F.col("b").alias("o"))
     pairs = known.where("forms is null").withColumn("p", F.left("b", F.lit(3))).join(forms.where(F.length("o") >= 5).select(key, "o", F.left("o", F.lit(3)).alias("p")), [key, "p"])
-    close = pairs.where((F.abs(F.length("b") - F.length("o")) <= 3) & ~T.same_inflection(C("b"), C("o"))).withColumn("r", sequence_ratio("b", "o")).where("r >= 0.86").select(key, "i", "b", "o")
+    close = pairs.where((F.abs(F.length("b") - F.length("o")) <= 3) & ~T.same_inflection(C("b"), C("o")) & may_reach("b", "o", 0.86)).withColumn("r", sequence_ratio("b", "o")).where("r >= 0.86").select(key, "i", "b", "o")
     corrupted = odd.unionByName(close).select(key, F.lit("distrator_lexicalmente_corrompido").alias("code"), F.concat("i", F.lit(":"), "b", F.lit("~"), "o").alias("evidence"))
     return para.join(has_copy, key, "left_anti").unionByName(deformed).unionByName(corrupted).distinct()
 
