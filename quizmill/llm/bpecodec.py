@@ -19,7 +19,7 @@ from quizmill.llm.merges import Merges, load, spelled
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile(r"\s+")
-KEPT_WORDS, KEPT_PIECES = 700_000, 300_000  # remembered by a worker, about 300 bytes each; what comes later is worked out each time
+KEPT_WORDS, KEPT_PIECES = 250_000, 120_000  # remembered by a worker, about 300 bytes each; what comes later is worked out each time
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
