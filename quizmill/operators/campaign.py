@@ -76,8 +76,9 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
-    """repetition: running number in its group; case_id: group and number."""
-    return df.withColumn("repetition", F.row_number().over(Window.partitionBy(group).orderBy(order))).withColumn("case_id", F.concat_ws("-", group, F.lpad(F.col("repetition").cast("string"), 3, "0")))
+    """repetition: running number in its group; case_id: group and number, of three digits at least (lpad alone would cut longer ones)."""
+    n = F.col("repetition").cast("string")
+    return df.withColumn("repetition", F.row_number().over(Window.partitionBy(group).orderBy(order))).withColumn("case_id", F.concat_ws("-", group, F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0"))))
 
 
 def audit_sample(df: DataFrame, group: str, order: str, share: int) -> DataFrame:

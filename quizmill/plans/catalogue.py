@@ -342,7 +342,7 @@ def descriptive_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS repetition, event_type || '-' || lpad(CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS VARCHAR), greatest(3, 3), '0') AS case_id FROM events WHERE event_id < 900")
 def numbered_cases(spark: SparkSession, d: str) -> DataFrame:
-    x = campaign.numbered(table(spark, d, "events").where("event_id < 900"), "event_type", "event_id")
+    x = campaign.numbered(table(spark, d, "events"), "event_type", "event_id")
     return x.select("event_id", "event_type", long("repetition").alias("repetition"), "case_id")
 
 
