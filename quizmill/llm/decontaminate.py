@@ -4,10 +4,12 @@ Words are the runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window.
 
 The index is split by document: each task turns its documents into postings (term -> positions in the order of the
-text), for terms of the benchmark alone. Each window takes its terms from the rarest to the most frequent by the
-length of their posting lists; the list of the rarest, less the term's offset, gives the possible starts, and each
-further list is intersected with them. What is left are the exact phrase matches. With a slop, the few rarest terms
-of a window are held against offset-adjusted lists with a tolerance: the proximity matches.
+text), for terms of the benchmark alone, and writes them to the shared folder. The lengths of the posting lists are
+summed over all documents. Both kinds of question read the stored postings: each window takes its terms from the
+rarest to the most frequent of all documents; the list of the rarest, less the term's offset, gives the possible
+starts, and each further list is intersected with them. What is left are the exact phrase matches. With a slop, the
+few rarest terms of a window that stand anywhere in the documents are held against offset-adjusted lists with a
+tolerance: the proximity matches.
 
 No text is shuffled. The windows of the benchmark go to the executors in blocks of at most `block_words` words, so
 that what is broadcast has a fixed bound whatever the size of the benchmark; a larger one is searched block by block
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.textkit import LOWER, find_words, mix, prefix_hash, span_hash, text_chunks
+from quizmill.llm.textkit import LOWER, find_words, prefix_hash, span_hash, stage, text_chunks
 
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 WIDTH, SLOP, NEAR_TERMS = 13, 3, 4
+CHUNK_WORDS = 200_000  # words of documents searched at once, and the rest of the last one
 BLOCK_WORDS = 2_000_000  # words of benchmark text broadcast at once: 24 bytes a word at most
 
 
@@ -65,14 +68,14 @@ class Windows:
         out[at] = np.where(self.vocab[k] == h[at], k, -1) if len(self.vocab) else -1
         return out
 
-    def search(self, term: np.ndarray, doc: np.ndarray, slop: int = 0, near_terms: int = NEAR_TERMS) -> tuple[np.ndarray, np.ndarray]:
-        """Window numbers and starts of the matches among the words `term` of the documents `doc`.
+    def search(self, term: np.ndarray, doc: np.ndarray, total: np.ndarray, slop: int = 0, near_terms: int = NEAR_TERMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window numbers, starts and documents of the matches among the words `term` of the documents `doc`; total: how often each term stands in all documents.
 
-        slop 0: exact phrases. Above: windows whose `near_terms` rarest terms each stand at most `slop` words from
-        where the phrase would have them.
+        slop 0: exact phrases. Above: windows whose `near_terms` rarest terms (of those that stand anywhere) each stand
+        at most `slop` words from where the phrase would have them; such a start may lie before the document.
         """
         n = len(term)
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not n or not len(self.terms):
             return none
         # postings: positions by term, in order
@@ -80,11 +83,15 @@ class Windows:
         order = at[np.argsort(term[at], kind="stable")]
         count = np.bincount(term[at], minlength=len(self.vocab))
         begin = np.concatenate([[0], np.cumsum(count)])
-        need = np.where(self.terms >= 0, count[np.maximum(self.terms, 0)], np.iinfo(np.int64).max)
-        live = np.flatnonzero((need > 0).all(1))
+        most = np.iinfo(np.int64).max
+        often = np.where(total > 0, total, most - 1)
+        rank = np.argsort(np.where(self.terms >= 0, often[np.maximum(self.terms, 0)], most), axis=1, kind="stable")
+        used = np.take_along_axis(self.terms, rank[:, : self.width if slop == 0 else near_terms], 1)
+        # a window that asks for a term that is not here has no match here
+        live = np.flatnonzero(((used < 0) | (count[np.maximum(used, 0)] > 0)).all(1))
         if not len(live):
             return none
-        rank = np.argsort(need[live], axis=1, kind="stable")
+        rank = rank[live]
         # the rarest term's list, less its offset, gives the starts
         col = rank[:, 0]
         t = self.terms[live, col]
@@ -112,7 +119,7 @@ class Windows:
                 x = np.where(good, x, 0)
                 ok |= good & (term[x] == want) & (doc[x] == home)
             win, start, which, home = win[ok], start[ok], which[ok], home[ok]
-        return win, start
+        return win, start, home
 
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, bytes]]]:
@@ -129,10 +136,13 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
     yield block
 
 
+INDEX = "doc_id long, text_key long, n_words long, terms array<long>, counts array<int>, positions array<int>"
 OUT = "doc_id long, text_key long, n_words long, hits binary, n_hit long, items array<string>, near array<string>"
 
 
-def _scan(items: list[tuple[int, bytes]], width: int, slop: int, keep_hits: bool):
+def _index(items: list[tuple[int, bytes]], width: int):
+    """One row per document row: its terms (64-bit hashes), how often each stands there, and the positions, term by term."""
+
     def run(batches):
         win = Windows(items, width)
         for batch in batches:
@@ -141,30 +151,86 @@ def _scan(items: list[tuple[int, bytes]], width: int, slop: int, keep_hits: bool
             for i, j, data, offs in text_chunks(batch):
                 low = LOWER[data]
                 s, e, row = find_words(low, offs, WORD)
-                n = np.bincount(row, minlength=j - i)
                 term = win.number(span_hash(prefix_hash(low), s, e))
-                w, start = win.search(term, row)
-                cover = np.zeros(len(s) + 1, np.int64)
+                at = np.flatnonzero(term >= 0)
+                order = at[np.lexsort((term[at], row[at]))]
+                home, t = row[order], term[order]
+                first = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (t[1:] != t[:-1])])) if len(order) else order
+                place = order - np.searchsorted(row, home)
+                rows = np.arange(j - i + 1)
+                by_term, by_place = pa.array(np.searchsorted(home[first], rows), pa.int32()), pa.array(np.searchsorted(home, rows), pa.int32())
+                lists = [(by_term, pa.array(win.vocab[t[first]].view(np.int64))), (by_term, pa.array(np.diff(np.append(first, len(order))), pa.int32())), (by_place, pa.array(place, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(i, j - i), keys.slice(i, j - i), pa.array(np.bincount(row, minlength=j - i), pa.int64()), *(pa.ListArray.from_arrays(o, v) for o, v in lists)],
+                    names=["doc_id", "text_key", "n_words", "terms", "counts", "positions"],
+                )
+
+    return run
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of a column of lists."""
+    c = batch.column(batch.schema.get_field_index(name))
+    return c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), c.flatten().to_numpy(zero_copy_only=False)
+
+
+def _totals(items: list[tuple[int, bytes]], width: int):
+    """(term number, n): how often the terms stand in a task's documents."""
+
+    def run(batches):
+        win = Windows(items, width)
+        total = np.zeros(len(win.vocab), np.int64)
+        for batch in batches:
+            np.add.at(total, np.searchsorted(win.vocab, _flat(batch, "terms")[1].view(np.uint64)), _flat(batch, "counts")[1])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "n"])
+
+    return run
+
+
+def _scan(items: list[tuple[int, bytes]], width: int, slop: int, keep_hits: bool, often: list[tuple[int, int]]):
+    """Answers from stored postings, a slice of about CHUNK_WORDS words at a time."""
+
+    def run(batches):
+        win = Windows(items, width)
+        total = np.zeros(len(win.vocab), np.int64)
+        if often:
+            k, c = np.array(often, np.int64).T
+            total[k] = c
+        for whole in batches:
+            ends = np.cumsum(whole.column(whole.schema.get_field_index("n_words")).to_numpy(zero_copy_only=False))
+            cuts = np.append(np.flatnonzero(np.diff(ends // CHUNK_WORDS, prepend=0)), len(ends))
+            for i, j in zip([0, *cuts[:-1]], cuts, strict=True):
+                if i == j:
+                    continue
+                batch = whole.slice(i, j - i)
+                n = batch.column(batch.schema.get_field_index("n_words")).to_numpy(zero_copy_only=False)
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                row = np.repeat(np.arange(j - i), n)
+                n_places, place = _flat(batch, "positions")
+                term = np.full(len(row), -1, np.int32)
+                term[np.repeat(bounds[:-1], n_places) + place] = np.repeat(np.searchsorted(win.vocab, _flat(batch, "terms")[1].view(np.uint64)), _flat(batch, "counts")[1])
+                w, start, home = win.search(term, row, total)
+                cover = np.zeros(len(row) + 1, np.int64)
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + win.length[w], -1)
                 hit = np.cumsum(cover[:-1]) > 0
-                found = _items(row, start, win.owner[w], j - i)
-                nw, ns = win.search(term, row, slop) if slop else (w, start)
-                near = _items(row, np.clip(ns, 0, max(0, len(row) - 1)), win.owner[nw], j - i)
-                bounds = np.concatenate([[0], np.cumsum(n)])
+                found = _items(home, win.owner[w], j - i)
+                nw, _, nh = win.search(term, row, total, slop) if slop else (w, start, home)
+                near = _items(nh, win.owner[nw], j - i)
                 bits = [np.packbits(hit[bounds[k] : bounds[k + 1]]).tobytes() if keep_hits and found[k] else None for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), keys.slice(i, j - i), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.bincount(row, weights=hit, minlength=j - i).astype(np.int64)), pa.array(found, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))],
+                    [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key", "n_words")), pa.array(bits, pa.binary()), pa.array(np.bincount(row, weights=hit, minlength=j - i).astype(np.int64)), pa.array(found, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))],
                     names=["doc_id", "text_key", "n_words", "hits", "n_hit", "items", "near"],
                 )
 
     return run
 
 
-def _items(row: np.ndarray, start: np.ndarray, owner: np.ndarray, n: int) -> list[list[str]]:
+def _items(home: np.ndarray, owner: np.ndarray, n: int) -> list[list[str]]:
     out: list[list[str]] = [[] for _ in range(n)]
-    if len(start):
-        for d, item in np.unique(np.stack([row[start], owner], 1), axis=0).tolist():
+    if len(home):
+        for d, item in np.unique(np.stack([home, owner], 1), axis=0).tolist():
             out[d].append(str(item))
     return [sorted(x) for x in out]
 
@@ -175,47 +241,36 @@ def match(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int =
     Null and empty texts have no words and no items. Items without words match nothing; repeated items count once by
     item_id, rows with a null item_id take part under the name "null" through hits alone.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    blocks = list(_limited(benchmark_blocks(benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text"), block_words)))
-    parts = [keyed.mapInArrow(_scan(b, width, slop, len(blocks) > 1), OUT) for b in blocks]
+    parts, stored = [], []
+    for b, index in (found := list(_stored(docs, benchmark, width, block_words))):
+        often = [tuple(r) for r in index.select("terms", "counts").mapInArrow(_totals(b, width), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()]  # at most a block's terms
+        parts.append(index.mapInArrow(_scan(b, width, slop, len(found) > 1, often), OUT))
+        stored.append(index)
     if len(parts) == 1:
         return parts[0].drop("hits")
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     # the bits of a document's hits in several blocks are joined by OR; rows that repeat a document are alike, so one is kept and then multiplied
-    times = keyed.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    times = stored[0].groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
     one = whole.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("hits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     count = F.udf(lambda bits: int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits])).sum()) if bits else 0, "long")
     both = one.join(times, one["doc_id"].eqNullSafe(times["doc_id"]) & (one["text_key"] == times["text_key"])).select(one["doc_id"], one["text_key"], "n_words", count("bits").alias("n_hit"), "items", "near", "times")
     return both.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("i", "times")
 
 
-def postings(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The index as a table that can be stored: term (64-bit hash), doc_id, text_key, positions in order, for the terms of the benchmark."""
+def _stored(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int) -> Iterator[tuple[list[tuple[int, bytes]], DataFrame]]:
+    """Each block of the benchmark and the postings of its terms, written to the shared folder and read back."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")
+    for b in _limited(benchmark_blocks(named, block_words)):
+        yield b, stage(keyed.mapInArrow(_index(b, width), INDEX), "postings")
+
 
-    def build(items):
-        def run(batches):
-            win = Windows(items, width)
-            for batch in batches:
-                for i, j, data, offs in text_chunks(batch):
-                    low = LOWER[data]
-                    s, e, row = find_words(low, offs, WORD)
-                    term = win.number(span_hash(prefix_hash(low), s, e))
-                    at = np.flatnonzero(term >= 0)
-                    order = at[np.lexsort((term[at], row[at]))]
-                    if not len(order):
-                        continue
-                    first = np.flatnonzero(np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (term[order][1:] != term[order][:-1])]))
-                    place = order - np.searchsorted(row, row[order])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(order)]]), pa.int32()), pa.array(place, pa.int64()))
-                    rows = pa.array(row[order][first] + i)
-                    yield pa.RecordBatch.from_arrays([pa.array(win.vocab[term[order][first]].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), lists], names=["term", "doc_id", "text_key", "positions"])
-
-        return run
-
-    parts = [keyed.mapInArrow(build(b), "term long, doc_id long, text_key long, positions array<long>") for b in _limited(benchmark_blocks(benchmark, block_words))]
+def postings(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The stored index, a row for each term and document: term (64-bit hash), doc_id, text_key, positions in order, for the terms of the benchmark."""
+    before = "aggregate(slice(counts, 1, i), 0, (a, x) -> a + x)"
+    parts = [x.selectExpr("*", "posexplode(terms) AS (i, term)").selectExpr("term", "doc_id", "text_key", f"transform(slice(positions, {before} + 1, counts[i]), x -> CAST(x AS BIGINT)) AS positions") for _, x in _stored(docs, benchmark, width, block_words)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -234,10 +289,16 @@ def contaminated(n_hit, n_words):
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = match(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    m = match(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0)
     return m.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of each document: items that stand in it exactly or with words put in, left out or replaced, within SLOP."""
+    m = match(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return m.select("doc_id", F.size("items").cast("long").alias("n_items"), F.size("near").cast("long").alias("n_near"), "near")
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are not contaminated, with the columns they came with."""
     m = match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0)

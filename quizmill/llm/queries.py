@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_bpe": bpecodec.op8_bpe,
         "op9_url_filter": urlfilter.op9_url_filter,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op10_near": decontaminate.op10_near,
     }
 
 

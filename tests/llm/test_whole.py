@@ -1,0 +1,45 @@
+"""The text operators do the whole job, whatever else stands in a batch."""
+
+import os
+
+import pytest
+from quizmill.llm import decontaminate
+
+PHRASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+
+
+def test_op10_near_does_not_depend_on_the_batch(spark):
+    rows = [(1, PHRASE.replace("kappa", "other")), (2, "x y z"), (3, PHRASE.split(" ", 1)[1]), (4, "kappa lambda nu " * 50), (5, None), (6, PHRASE.replace("lambda", "one two"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, PHRASE)], "item_id long, text string")
+    near = lambda n: {r["doc_id"]: r["near"] for r in decontaminate.match(docs.repartition(n), bench).collect()}
+    # the rarest of all documents are alpha, beta, gamma, delta
+    assert near(1) == near(6) == {1: ["5"], 2: [], 3: [], 4: [], 5: [], 6: ["5"]}
+    alone = spark.createDataFrame(rows[:1], "doc_id long, text string")
+    assert [r["near"] for r in decontaminate.match(alone, bench).collect()] == [["5"]]
+
+
+def test_op10_near_item_goes_to_its_own_document(spark):
+    rows = [(1, "x y z"), (2, PHRASE.split(" ", 1)[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(5, PHRASE)], "item_id long, text string")
+    assert {r["doc_id"]: r["near"] for r in decontaminate.match(docs, bench).collect()} == {1: [], 2: ["5"]}
+
+
+def test_op10_answers_from_stored_postings(spark, monkeypatch):
+    stored, keep = [], decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    docs = spark.createDataFrame([(1, PHRASE + " nu"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, PHRASE)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.match(docs, bench).collect()} == {1: 13, 2: 0}
+    assert {r["doc_id"]: (r["n_words"], sum(r["counts"]), sorted(r["positions"])) for r in stored[0].collect()} == {1: (14, 14, [*range(14)]), 2: (0, 0, [])}
+
+
+def test_op10_near_is_a_query(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    got = entry.queries()["op10_near"](spark, d).collect()
+    assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count() and all(r["n_near"] >= r["n_items"] for r in got)
