@@ -143,14 +143,13 @@ _FLAGS = [
     ("dependencia_visual_ausente", "NUCLEO", "recurso_visual", "NUCLEO", "tem_imagem AND coalesce(recurso_visual, '') = ''"),
     ("gabarito_ipv4_inconsistente", "NUCLEO", "resposta_correta", "NUCLEO", "item_id % 12 = 0 AND resposta_correta = '/27'"),
 ]
-_CODES = {c for c, *_ in _FLAGS}
 _FLAG_SQL = f"WITH {ITEMS}, {_PRE}, flags AS ({' UNION ALL '.join(f'''SELECT item_id, '{c}' AS code, '{st}' AS stage, '{fi}' AS field, '{re_}' AS repair FROM cue WHERE {cond}''' for c, st, fi, re_, cond in _FLAGS)})"
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    x = rules.with_reference_ratio(items(spark, d), None)
+    x = rules.with_reference_ratio(items(spark, d), "referencia")
     f = rules.flags(x, [*rules.stem_rules(), *rules.item_rules(), *rules.analyzer_rules()])
-    return f.where(F.col("code").isin(*_CODES)).drop("evidence")
+    return f.drop("evidence")
 
 
 @query(f"{_FLAG_SQL} SELECT * FROM flags")

@@ -31,7 +31,10 @@ def sql_spaces_folded(x: str) -> str:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiple-choice items cut from documents of 40 words and more; markers put in by doc_id so that each rule has hits and misses."""
+    """Multiple-choice items cut from documents of 40 words and more; markers put in by doc_id so that each rule has hits and misses.
+
+    referencia is the whole text that an item was cut from. The SQL view has no such column.
+    """
     d = table(spark, sf_dir, "documents").withColumn("tok", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).where(F.size("tok") >= 40)
     k = F.col("doc_id")
     sizes = [1 + k % 4, *(2 + (k + i) % 3 for i in range(1, 5))]
@@ -57,6 +60,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.slice("tok", 5, 12), " ").alias("explicacao"), F.col("lang").alias("competencia"), F.when(k % 14 == 0, "").otherwise(F.col("source")).alias("habilidade"),
         F.array_join(F.slice("tok", 1, 3), " ").alias("objeto_conhecimento"), (k % 15 == 0).alias("tem_imagem"), F.when(k % 30 == 0, F.lit("x")).alias("recurso_visual"),
         F.filter("alternativas", lambda v, i: i != F.col("correta")).alias("distratores"), F.array_join(F.slice("tok", 30, 4), " ").alias("spec_objetivo"), F.array_join(F.slice("tok", 2, 3), " ").alias("spec_objeto"),
+        F.col("text").alias("referencia"),
     )
 
 

@@ -35,3 +35,38 @@ def test_numbered_cases_has_every_event(spark, run):
         seen[kind] += 1
         want.append((i, kind, seen[kind], f"{kind}-{seen[kind]:03}"))
     assert len(want) > 900 and sorted(tuple(r) for r in run("numbered_cases").collect()) == want
+
+
+STEMS = {
+    "alternativas_embutidas_no_nucleo": ("Escolha entre A) esta primeira opção e B) esta segunda opção do item", "x"),
+    "implementacao_nao_delimitada": ("Considere os campos xmin e xmax de uma linha e diga qual vale aqui", "x"),
+    "enunciado_ambiguo": ("Quais são os mecanismos que o sistema usa para entregar cada mensagem?", "um"),
+    "espaco_de_respostas_binario": ("Este requisito é funcional ou não funcional no sistema descrito acima?", "x"),
+    "selecao_de_protocolo_potencialmente_ambigua": ("Qual protocolo entrega os segmentos em ordem na camada de transporte?", "TCP"),
+    "possivel_copia_da_referencia": ("Um texto de referência que volta quase palavra por palavra no enunciado", "x"),
+}
+
+
+def test_flags_of_every_rule_are_returned(spark, monkeypatch):
+    from quizmill.plans import catalogue
+
+    given = [(i, stem, a, stem if "copia" in code else "outro") for i, (code, (stem, a)) in enumerate(STEMS.items())]
+    made = spark.createDataFrame(given, "item_id long, enunciado string, resposta_correta string, referencia string").selectExpr(
+        "*", "array(resposta_correta, 'b', 'c', 'd', 'e') AS alternativas", "0 AS correta", "array('b', 'c', 'd', 'e') AS distratores", "'x' AS explicacao", "'x' AS competencia", "'x' AS habilidade", "'x' AS objeto_conhecimento", "false AS tem_imagem", "'' AS recurso_visual"
+    )
+    monkeypatch.setattr(catalogue, "items", lambda spark, d: made)
+    got = {(r["item_id"], r["code"]) for r in catalogue.item_rule_flags(spark, "").collect()}
+    assert {(i, code) for i, code in enumerate(STEMS)} <= got
+    assert {r["code"] for r in catalogue.flag_distribution(spark, "").collect()} == {code for _, code in got}
+
+
+def test_copies_of_the_reference_against_difflib(spark, run):
+    from difflib import SequenceMatcher
+
+    from quizmill.functions import text as T
+    from quizmill.plans.views import items
+    from pyspark.sql import functions as F
+
+    x = items(spark, SF).select("item_id", T.words_folded(F.col("enunciado")), T.words_folded(F.col("referencia"))).collect()
+    want = {k for k, a, b in x if SequenceMatcher(None, a, b).ratio() >= 0.82}
+    assert want and {r["item_id"] for r in run("item_rule_flags").where("code = 'possivel_copia_da_referencia'").collect()} == want
