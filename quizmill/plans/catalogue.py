@@ -63,7 +63,7 @@ def retrieval_full(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_POSTINGS} SELECT term, df FROM dfs WHERE df >= 5")
 def term_df_stats(spark: SparkSession, d: str) -> DataFrame:
     df, _ = retrieval.statistics(retrieval.postings(table(spark, d, "documents"), "doc_id", F.col("text"), {}, STOP), "doc_id")
-    return df.where("df >= 5")
+    return df
 
 
 @query(r"SELECT doc_id, lang FROM documents WHERE length(trim(text)) >= 40 AND NOT regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]')")

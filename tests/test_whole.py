@@ -70,3 +70,13 @@ def test_copies_of_the_reference_against_difflib(spark, run):
     x = items(spark, SF).select("item_id", T.words_folded(F.col("enunciado")), T.words_folded(F.col("referencia"))).collect()
     want = {k for k, a, b in x if SequenceMatcher(None, a, b).ratio() >= 0.82}
     assert want and {r["item_id"] for r in run("item_rule_flags").where("code = 'possivel_copia_da_referencia'").collect()} == want
+
+
+def test_document_frequency_of_every_term(spark, run):
+    import duckdb
+    from quizmill.plans.catalogue import SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = dict(con.execute(SQL["term_df_stats"].replace(" WHERE df >= 5", "")).fetchall())
+    assert min(want.values()) == 1 and {r["term"]: r["df"] for r in run("term_df_stats").collect()} == want
