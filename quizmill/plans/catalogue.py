@@ -452,7 +452,7 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 3 <> 0")
 def corpus_merge(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     return retrieval.new_records(docs, table(spark, d, "labels").select(F.col("doc_id").alias("id")))
 
 

@@ -80,3 +80,8 @@ def test_document_frequency_of_every_term(spark, run):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     want = dict(con.execute(SQL["term_df_stats"].replace(" WHERE df >= 5", "")).fetchall())
     assert min(want.values()) == 1 and {r["term"]: r["df"] for r in run("term_df_stats").collect()} == want
+
+
+def test_merged_corpus_has_every_document(spark, run):
+    docs, labels = ([r[0] for r in rows(spark, t, "doc_id")] for t in ("documents", "labels"))
+    assert sorted(r["id"] for r in run("corpus_merge").collect()) == sorted([*docs, *(set(labels) - set(docs))])
