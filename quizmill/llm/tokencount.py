@@ -3,11 +3,13 @@
 The encoding of a prefix is the encoding of a shorter prefix and one more token: of the vocabulary's tokens that end
 at a place, exactly one can stand after the last token of the prefix before it (`Merges.fits`). So one pass over a
 word gives the exact token count at every one of its prefixes, and the count of a text at every prefix is the sum of
-the words before and the count within the word at the cut. Questions about truncation and budgets are look-ups.
+the words before and the count within the word at the cut. The counts at all prefixes of a word are kept, and questions
+about truncation and budgets are look-ups: a cut only splits the words next to it anew.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -19,7 +21,9 @@ from quizmill.llm.merges import WORDS, Merges, load, spelled
 from quizmill.llm.textkit import text_array
 
 LIMIT = 1024
-KEPT_WORDS, KEPT_PIECES = 1_000_000, 400_000  # remembered by a worker, about 200 bytes each; what comes later is worked out each time
+KEPT_BYTES = 256  # longer words are worked out each time
+NEAR = 16  # characters after a word's start where a cut can split the text with fewer tokens than the word's own prefix has
+KEPT_WORDS, KEPT_PIECES = 1_000_000, 400_000  # remembered by a worker, about 250 bytes each; what comes later is worked out each time
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -33,7 +37,7 @@ class PrefixCounts:
 
     def __init__(self, path: str):
         self.m: Merges = load(path)
-        self.words: dict[str, int] = {}
+        self.words: dict[str, bytes | array] = {}
         self.pieces: dict[str, int] = {"": 1}
 
     def word(self, word: str) -> list[int]:
@@ -58,13 +62,18 @@ class PrefixCounts:
                 raise ValueError("no token ends here; the vocabulary lacks a byte")
         return counts
 
+    def _counts(self, word: str) -> bytes | array:
+        """`word`, remembered for short words: a byte a count if that is enough."""
+        c = self.words.get(word)
+        if c is None:
+            c = self.word(word)
+            c = bytes(c) if max(c) < 256 else array("I", c)
+            if len(self.words) < KEPT_WORDS and len(c) <= KEPT_BYTES:
+                self.words[word] = c
+        return c
+
     def _word_total(self, word: str) -> int:
-        n = self.words.get(word)
-        if n is None:
-            n = self.word(word)[-1]
-            if len(self.words) < KEPT_WORDS:
-                self.words[word] = n
-        return n
+        return self._counts(word)[-1]
 
     def _plain(self, text: str) -> int:
         return sum(map(self._word_total, WORDS.findall(text)))
@@ -99,33 +108,72 @@ class PrefixCounts:
             n += k
         return n
 
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ends, counts): after each word of the text, the bytes and tokens so far."""
-        ends, counts = [0], [0]
+    def table(self, text: str, budget: int | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes | array | None]]:
+        """(ends, counts, within): after each word the bytes and tokens so far, and the counts at the prefixes of each word (None: a special string).
+
+        With a budget the table ends three words after the one that exceeds it.
+        """
+        ends, counts, within, more = [0], [0], [], 3
         for k, x in enumerate(self.m.split_special.split(text) if self.m.split_special else [text]):
-            for w in [x] if k % 2 else WORDS.findall(x):
+            for w in (x,) if k % 2 else (m[0] for m in WORDS.finditer(x)):
+                c = None if k % 2 else self._counts(w)
                 ends.append(ends[-1] + len(w.encode()))
-                counts.append(counts[-1] + (1 if k % 2 else self._word_total(w)))
-        return np.array(ends), np.array(counts)
+                counts.append(counts[-1] + (1 if c is None else c[-1]))
+                within.append(c)
+                if budget is not None and counts[-1] > budget:
+                    more -= 1
+                    if more < 0:
+                        return np.array(ends), np.array(counts), within
+        return np.array(ends), np.array(counts), within
+
+    def _at(self, raw: bytes, n_bytes: int, table: tuple[np.ndarray, np.ndarray, list[bytes | array | None]]) -> int:
+        ends, counts, within = table
+        k = int(np.searchsorted(ends, n_bytes, "right")) - 1
+        k = max(0, k - 2)
+        while k and raw[ends[k] - 1 : ends[k]].isspace():
+            k -= 1
+        n, at, text = int(counts[k]), int(ends[k]), raw[ends[k] : n_bytes].decode()
+        for i, x in enumerate(self.m.split_special.split(text) if self.m.split_special else [text]):
+            for w in (x,) if i % 2 else (m[0] for m in WORDS.finditer(x)):
+                size = len(w.encode())
+                while k < len(within) and ends[k] < at:
+                    k += 1
+                c = within[k] if k < len(within) and ends[k] == at else None
+                n += 1 if i % 2 else c[size] if c is not None and size < len(c) else self._word_total(w)
+                at += size
+        return n
 
-    def at(self, text: str, n_bytes: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    def at(self, text: str, n_bytes: int, table: tuple[np.ndarray, np.ndarray, list[bytes | array | None]] | None = None) -> int:
         """Tokens of the first n_bytes bytes of a text (cut between characters).
 
         What the cut can change is only the word that it goes through and a run of white space or a special string
-        before it; that stretch is split anew, everything before is looked up.
+        before it; that stretch is split anew and its words are looked up as prefixes of the text's words.
         """
-        ends, counts = table or self.table(text)
-        raw = text.encode()
-        k = int(np.searchsorted(ends, n_bytes, "right")) - 1
-        k = max(0, k - 2)
-        while k and raw[ends[k] - 1 : ends[k]].isspace():
-            k -= 1
-        return int(counts[k]) + self._run(raw[ends[k] : n_bytes].decode())
+        return self._at(text.encode(), n_bytes, table or self.table(text))
 
     def fit(self, text: str, budget: int) -> int:
-        """Bytes of the longest run of whole words from the start whose tokens do not exceed the budget."""
-        ends, counts = self.table(text)
-        return int(ends[np.searchsorted(counts, budget, "right") - 1])
+        """Bytes of the longest start of a text, cut between characters, whose tokens do not exceed the budget."""
+        t = ends, counts, within = self.table(text, budget)
+        if counts[-1] <= budget:
+            return int(ends[-1])
+        raw = text.encode()
+        whole = lambda p: p == len(raw) or raw[p] & 0xC0 != 0x80
+        k = int(np.searchsorted(counts, budget, "right")) - 1  # the word that exceeds the budget
+        # a cut that splits anew can have fewer tokens than the look-up says: just after the start of this word or the next ones
+        for p in sorted({p for e in ends[k : k + 3] for p in range(e, min(int(ends[-1]), e + 4 * NEAR) + 1)}, reverse=True):
+            if whole(p) and self._at(raw, p, t) <= budget:
+                near = p
+                break
+        else:
+            near = 0
+        c, left = within[k], budget - int(counts[k])
+        for i in range(len(c) - 1 if c is not None else 0, max(0, near - int(ends[k])), -1):
+            if c[i] <= left and whole(int(ends[k]) + i) and self._at(raw, int(ends[k]) + i, t) <= budget:
+                return int(ends[k]) + i
+        for p in range(int(ends[k]), near, -1):
+            if whole(p) and self._at(raw, p, t) <= budget:
+                return p
+        return near
 
 
 _counters: dict[str, PrefixCounts] = {}
@@ -138,7 +186,7 @@ def counter(path: str) -> PrefixCounts:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, find: Callable[[], str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and fit_bytes (the longest run of whole words from the start within the limit).
+    """doc_id, n_bytes, n_tokens, over_limit and fit_bytes (the longest start within the limit, cut between characters).
 
     Null and empty texts have 0 bytes and 0 tokens. Each row is counted for itself: repeated rows give repeated rows.
     """

@@ -1,9 +1,10 @@
 """The text operators do the whole job, whatever else stands in a batch."""
 
 import os
+import random
 
 import pytest
-from quizmill.llm import decontaminate
+from quizmill.llm import decontaminate, tokencount
 
 PHRASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
 
@@ -43,3 +44,33 @@ def test_op10_near_is_a_query(spark):
         pytest.skip("no tables")
     got = entry.queries()["op10_near"](spark, d).collect()
     assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count() and all(r["n_near"] >= r["n_items"] for r in got)
+
+
+def test_op7_fit_stops_inside_words():
+    from tokenizers import Tokenizer
+
+    lib, c, rnd = Tokenizer.from_file(tokencount.vocabulary()), tokencount.counter(tokencount.vocabulary()), random.Random(6)
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    parts = [*"aabcdeimnorst  \n\t'.,!?éß中文字0123ABC", "<|endoftext|>", "'re", "   ", "====", "identifier", "中文"]
+    for t in ["".join(rnd.choices(parts, k=rnd.randint(1, 30))) for _ in range(300)] + ["文字" * 30, "abcdefghij" * 12]:
+        for budget in (1, 5):
+            best = max(i for i in range(len(t) + 1) if n(t[:i]) <= budget)
+            assert c.fit(t, budget) == len(t[:best].encode()), (t, budget)
+
+
+def test_op7_a_long_text_without_spaces_fits_in_part(spark):
+    df = spark.createDataFrame([(1, "中文字" * 3000)], "doc_id long, text string")
+    r = tokencount.count_tokens(df, tokencount.vocabulary()).first()
+    assert r["over_limit"] and r["fit_bytes"] > 0
+    c = tokencount.counter(tokencount.vocabulary())
+    assert c.at("中文字" * 3000, r["fit_bytes"]) <= 1024 < c.at("中文字" * 3000, r["fit_bytes"] + 3)
+
+
+def test_op7_cuts_are_looked_up(monkeypatch):
+    c = tokencount.PrefixCounts(tokencount.vocabulary())
+    t = "some identifier_" + "x" * 700 + " and words"
+    table = c.table(t)
+    want = [c.at(t, i) for i in range(len(t) + 1)]
+    monkeypatch.setattr(c, "word", None)
+    c.words.clear()
+    assert [c.at(t, i, table) for i in range(17, 700)] == want[17:700]
