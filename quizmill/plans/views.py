@@ -31,11 +31,13 @@ def sql_spaces_folded(x: str) -> str:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiple-choice items cut from documents of 40 words and more; markers put in by doc_id so that each rule has hits and misses.
+    """Multiple-choice items cut from documents with words; markers put in by doc_id so that each rule has hits and misses.
 
-    referencia is the whole text that an item was cut from. The SQL view has no such column.
+    The first words of a text are the options, the text after them as it stands is the stem. referencia is the whole text
+    that an item was cut from. The SQL view has no such column, ends the stem with word 80, leaves punctuation out of it and
+    has only documents of 40 words and more.
     """
-    d = table(spark, sf_dir, "documents").withColumn("tok", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).where(F.size("tok") >= 40)
+    d = table(spark, sf_dir, "documents").withColumn("tok", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).where(F.size("tok") > 0)
     k = F.col("doc_id")
     sizes = [1 + k % 4, *(2 + (k + i) % 3 for i in range(1, 5))]
     starts = [F.lit(1)]
@@ -48,6 +50,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     correct = (k % 5).cast("int")
     right = F.when(k % 24 == 0, F.lit("/26")).otherwise(F.lit("/27"))
     o = [F.when((k % 12 == 0) & (correct == i), right).otherwise(x) for i, x in enumerate(o)]
+    used = (starts[-1] + sizes[-1] - 1).cast("string")
+    # possessive: the words of the options, or all there are
+    rest = F.trim(F.regexp_replace(F.col("text"), F.concat(F.lit(r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,"), used, F.lit("}+")), F.lit("")))
     x = d.withColumn("alternativas", F.array(*o)).withColumn("correta", correct).withColumn("resposta_correta", F.try_element_at("alternativas", F.col("correta") + 1))
     tail = F.concat(
         F.when(k % 7 == 0, " Qual alternativa sempre vale?").otherwise(""), F.when(k % 8 == 0, " geralmente ____ ocorre").otherwise(""),
@@ -56,7 +61,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 12 == 0, " A rede 10.0.0.0/24 deve subdividir em quatro sub-redes iguais").otherwise(""),
     )
     return x.select(
-        k.alias("item_id"), F.concat(F.array_join(F.slice("tok", 21, 60), " "), tail).alias("enunciado"), "alternativas", "correta", "resposta_correta",
+        k.alias("item_id"), F.concat(rest, tail).alias("enunciado"), "alternativas", "correta", "resposta_correta",
         F.array_join(F.slice("tok", 5, 12), " ").alias("explicacao"), F.col("lang").alias("competencia"), F.when(k % 14 == 0, "").otherwise(F.col("source")).alias("habilidade"),
         F.array_join(F.slice("tok", 1, 3), " ").alias("objeto_conhecimento"), (k % 15 == 0).alias("tem_imagem"), F.when(k % 30 == 0, F.lit("x")).alias("recurso_visual"),
         F.filter("alternativas", lambda v, i: i != F.col("correta")).alias("distratores"), F.array_join(F.slice("tok", 30, 4), " ").alias("spec_objetivo"), F.array_join(F.slice("tok", 2, 3), " ").alias("spec_objeto"),

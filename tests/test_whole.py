@@ -85,3 +85,32 @@ def test_document_frequency_of_every_term(spark, run):
 def test_merged_corpus_has_every_document(spark, run):
     docs, labels = ([r[0] for r in rows(spark, t, "doc_id")] for t in ("documents", "labels"))
     assert sorted(r["id"] for r in run("corpus_merge").collect()) == sorted([*docs, *(set(labels) - set(docs))])
+
+
+def test_items_hold_every_word_of_every_document(spark):
+    import re
+
+    from pyspark.sql import functions as F
+    from quizmill.plans.views import items, table
+
+    d = table(spark, SF, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), "text")
+    want = {k: (w, t) for k, w, t in d.collect() if w}
+    got = {r["item_id"]: r["enunciado"] for r in items(spark, SF).collect()}
+    assert got.keys() == want.keys() and max(len(w) for w, _ in want.values()) > 80 and min(len(w) for w, _ in want.values()) < 40
+    words = {r["item_id"]: r["w"] for r in items(spark, SF).select("item_id", F.regexp_extract_all("enunciado", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).collect()}
+    for k, (w, text) in want.items():
+        n = 1 + k % 4 + sum(2 + (k + i) % 3 for i in range(1, 5))
+        assert words[k][: max(0, len(w) - n)] == w[n:]
+        assert len(w) <= n or re.sub(r"\s+", "", text)[-5:] in re.sub(r"\s+", "", got[k])
+
+
+def test_leaks_after_word_80_are_flagged(spark, tmp_path):
+    from quizmill.plans import catalogue
+
+    word = " ".join(f"w{i}" for i in range(2000))
+    rows = [(1, f"{word} \x01 fim", "pt", "s", 1), (2, word, "pt", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["item_id"], r["field"]) for r in catalogue.item_rule_flags(spark, str(tmp_path)).where("code = 'formatacao_quebrada'").collect()}
+    assert got == {(1, "questao"), (2, "questao")}
+    n = catalogue.item_rule_flags(spark, str(tmp_path)).where("code = 'formatacao_quebrada' AND item_id = 1").count()
+    assert n == 2  # the control character and the length
