@@ -3,9 +3,10 @@
 For each language a context tree of variable order (up to ORDER bytes) is counted on a bounded sample of labelled texts.
 A context gives a byte it has seen c times out of n, with d different bytes, the probability c / (n + d), and leaves
 d / (n + d) to the escape into the next shorter context; below all contexts each byte has 1/256. The statistics are
-frozen, so the code length of a byte depends on the ORDER bytes before it alone: it is worked out once for every
-context of the tree, and a text costs two look-ups a byte and language. The whole text is scored; the language with the
-shortest code wins.
+frozen, so the code length of a byte depends on the ORDER bytes before it alone: it is kept in sorted tables of the
+runs and contexts that were seen, over all 256 byte values, and looked up once for every different run of ORDER + 1
+bytes of a chunk. The whole text is scored; the language with the shortest code wins. Every label is learned: the model
+grows with the number of languages.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ from quizmill.llm.textkit import LOWER, text_array, text_chunks
 
 ORDER = 3
 SAMPLE = 400  # texts a language that the model is fitted on, about: those with the smallest hashes of doc_id
-LANGUAGES = 200  # the most that a model holds
-SYMBOLS = 64  # the most frequent bytes have symbols of their own; all others share the last one
+SYMBOLS = 256  # byte values, each a symbol
 LEAST = 2  # times that a context must have been seen to be in the tree
 LETTER = regex.compile(r"\p{L}")
 
@@ -49,71 +49,81 @@ def _grams(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(v), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
 
 
+@dataclass
+class Tables:
+    """Of one language, for each order: the runs of order + 1 bytes seen and their bits, the contexts and the bits of their escape."""
+
+    runs: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escape: list[np.ndarray]
+
+    def look_up(self, g: np.ndarray, order: int) -> np.ndarray:
+        """Bits of the last byte of each run, in contexts of at most `order` bytes."""
+        out = np.zeros(len(g))
+        at = np.arange(len(g))
+        for k in range(order, -1, -1):
+            x = g[at] & ((1 << 8 * (k + 1)) - 1)
+            i = np.minimum(np.searchsorted(self.runs[k], x), len(self.runs[k]) - 1)
+            seen = self.runs[k][i] == x if len(self.runs[k]) else np.zeros(len(x), bool)
+            out[at[seen]] += self.bits[k][i[seen]]
+            at, x = at[~seen], x[~seen] >> 8
+            if len(self.contexts[k]):
+                i = np.minimum(np.searchsorted(self.contexts[k], x), len(self.contexts[k]) - 1)
+                out[at] += np.where(self.contexts[k][i] == x, self.escape[k][i], 0)
+        out[at] += 8  # below all contexts each byte alike
+        return out
+
+
 @dataclass
 class Model:
-    """langs[k], and for each: state[context of ORDER symbols] -> node, cost[node, symbol] in bits."""
+    """langs[k] and its tables."""
 
     langs: list[str]
-    symbol: np.ndarray
-    state: list[np.ndarray]
-    cost: list[np.ndarray]
+    tables: list[Tables]
+
+    @property
+    def symbol(self) -> np.ndarray:
+        return np.arange(SYMBOLS)
+
+    @property
+    def cost(self) -> list[np.ndarray]:
+        """For each language, the bits of all bytes in all its contexts, written out."""
+        every = lambda c: (c[:, None] << 8 | np.arange(SYMBOLS)).ravel()
+        return [np.concatenate([t.look_up(every(c), k) for k, c in enumerate(t.contexts)]) for t in self.tables]
+
+
+def _learn(g: np.ndarray, n: np.ndarray) -> Tables:
+    t = Tables([], [], [], [])
+    for order in range(ORDER + 1):
+        run, where = np.unique(g & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        c = np.bincount(where, weights=n, minlength=len(run))
+        ctx, node = np.unique(run >> 8, return_inverse=True)
+        keep = (np.bincount(node, weights=c) >= (LEAST if order else 1))[node]
+        run, c = run[keep], c[keep]
+        ctx, node = np.unique(run >> 8, return_inverse=True)
+        total, kinds = np.bincount(node, weights=c), np.bincount(node)
+        # with exclusion: what the context has seen cannot be meant by an escape
+        below = np.exp2(-t.look_up(run, order - 1))
+        rest = np.maximum(1 - np.bincount(node, weights=below), 1e-12)
+        full = kinds == SYMBOLS
+        t.runs.append(run)
+        t.bits.append(-np.log2(c / np.where(full, total, total + kinds)[node]))
+        t.contexts.append(ctx)
+        t.escape.append(np.where(full, 40, -np.log2(kinds / (total + kinds) / rest)))
+    return t
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from text and lang of about `sample` held-in texts a language (all of them if there are fewer)."""
-    usable = held_in(docs)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))).otherwise(share)
+    usable = held_in(docs).select("doc_id", "lang", "text")
+    share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    grams = usable.where(draw <= share).select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if not len(grams):
-        return Model([], np.zeros(256, np.int64), [], [])
-    langs = sorted(grams["lang"].unique())
-    freq = np.bincount(grams["gram"].to_numpy() & 255, weights=grams["n"], minlength=256)
-    top = np.argsort(-freq, kind="stable")[: SYMBOLS - 2]
-    symbol = np.full(256, SYMBOLS - 1, np.int64)
-    symbol[top] = np.arange(1, len(top) + 1)
-    symbol[0] = 0
-    other = np.log2(max(1, 256 - len(top)))
-    model = Model(langs, symbol, [], [])
-    for lang in langs:
-        part = grams[grams["lang"] == lang]
-        g, n = part["gram"].to_numpy(), part["n"].to_numpy()
-        s = [symbol[g >> 8 * (ORDER - k) & 255] for k in range(ORDER + 1)]
-        # order -1: each byte of the 256 alike; the shared symbol stands for many
-        cost = np.full((1, SYMBOLS), 1 / 256)
-        cost[0, SYMBOLS - 1] = max(1, 256 - len(top)) / 256
-        state = np.zeros(1, np.int64)
-        for order in range(ORDER + 1):
-            ctx = np.zeros(len(g), np.int64)
-            for k in range(ORDER - order, ORDER):
-                ctx = ctx * SYMBOLS + s[k]
-            table = np.zeros(SYMBOLS**order, np.int64)
-            np.add.at(table, ctx, n)
-            nodes = np.flatnonzero(table >= (LEAST if order else 1))
-            known = np.full(SYMBOLS**order, -1, np.int64)
-            known[nodes] = np.arange(len(nodes))
-            at = known[ctx] >= 0
-            seen = np.zeros((len(nodes), SYMBOLS))
-            np.add.at(seen, (known[ctx[at]], s[ORDER][at]), n[at])
-            shorter = state[nodes % SYMBOLS ** max(0, order - 1)] if order else np.zeros(len(nodes), np.int64)
-            below = cost[shorter]
-            total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            # with exclusion: what the context has seen cannot be meant by an escape
-            left = np.where(seen > 0, 0, below)
-            rest = left.sum(1, keepdims=True)
-            mine = np.where(seen > 0, seen / (total + kinds), left / np.where(rest > 0, rest, 1) * kinds / (total + kinds))
-            mine = np.where(rest > 0, mine, seen / np.maximum(total, 1))
-            new = np.arange(SYMBOLS**order) % SYMBOLS ** max(0, order - 1)
-            state = np.where(known >= 0, known + len(cost), state[new] if order else 0)
-            cost = np.concatenate([cost, mine])
-        bits = -np.log2(np.maximum(cost, 1e-12))
-        bits[:, SYMBOLS - 1] += other
-        model.state.append(state.astype(np.int32))
-        model.cost.append(bits.astype(np.float32).ravel())
-    return model
+    drawn = usable.join(F.broadcast(share), "lang").where(draw <= F.col("share"))
+    grams = drawn.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    parts = {lang: part for lang, part in grams.groupby("lang")}
+    langs = sorted(parts)
+    return Model(langs, [_learn(parts[x]["gram"].to_numpy(np.int64), parts[x]["n"].to_numpy(np.int64)) for x in langs])
 
 
 def code_lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -122,18 +132,19 @@ def code_lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray
     out = np.zeros((n, len(model.langs)))
     if not len(data) or not model.langs:
         return out
-    s = model.symbol[LOWER[data]].astype(np.int32)
+    s = LOWER[data].astype(np.uint32)
     at = np.arange(len(data)) - np.repeat(offs[:-1], rows)
-    ctx = np.zeros(len(data), np.int32)
-    for k in range(ORDER, 0, -1):
-        back = np.zeros(len(data), np.int32)
-        back[k:] = s[:-k]
+    g = s.copy()
+    for k in range(1, ORDER + 1):
+        back = np.zeros(len(data), np.uint32)
+        back[k:] = s[:-k] << np.uint32(8 * k)
         back[at < k] = 0
-        ctx = ctx * SYMBOLS + back
+        g |= back
+    run, where = np.unique(g, return_inverse=True)
+    run = run.astype(np.int64)
     full = np.flatnonzero(rows)
-    for k in range(len(model.langs)):
-        bits = model.cost[k][model.state[k][ctx] * SYMBOLS + s]
-        out[full, k] = np.add.reduceat(bits.astype(np.float64), offs[:-1][full])
+    for k, t in enumerate(model.tables):
+        out[full, k] = np.add.reduceat(t.look_up(run, ORDER)[where], offs[:-1][full])
     return out
 
 
@@ -150,7 +161,7 @@ def judge(bits: np.ndarray, langs: list[str], letters: np.ndarray, size: np.ndar
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """doc_id and lang_pred, score for each row. Texts that are null or have no letter are `und` with score 0; so is all if nothing could be learned."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES, SYMBOLS and ORDER
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the runs of the sample; grows with the number of languages
 
     def run(batches):
         m = shared.value

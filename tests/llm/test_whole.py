@@ -3,8 +3,9 @@
 import os
 import random
 
+import numpy as np
 import pytest
-from quizmill.llm import decontaminate, tokencount
+from quizmill.llm import decontaminate, langid, tokencount
 
 PHRASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
 
@@ -74,3 +75,24 @@ def test_op7_cuts_are_looked_up(monkeypatch):
     monkeypatch.setattr(c, "word", None)
     c.words.clear()
     assert [c.at(t, i, table) for i in range(17, 700)] == want[17:700]
+
+
+def test_op6_learns_every_label(spark):
+    rows = [(i * 300 + k, f"{chr(0x4E00 + k) * 9} {chr(0x4E00 + k)}", f"l{k:03}") for k in range(230) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.langs) == 230
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).collect()}
+    assert np.mean([got[i] == k for i, _, k in rows]) > 0.99
+
+
+def test_op6_tells_rare_bytes_apart():
+    letters = "".join(map(chr, range(0x21, 0x7F)))
+    text = lambda c: np.frombuffer((letters + c * 4).encode(), np.uint8)
+    grams = lambda c: np.unique(np.convolve(np.concatenate([[0] * 3, langid.LOWER[text(c)]]).astype(np.int64), [1, 1 << 8, 1 << 16, 1 << 24])[3:-3], return_counts=True)
+    model = langid.Model(["a", "b"], [langid._learn(*grams("é")), langid._learn(*grams("è"))])
+    data = np.concatenate([text("é"), text("è")])
+    bits = langid.code_lengths(model, data, np.array([0, len(text("é")), len(data)]))
+    assert bits.argmin(1).tolist() == [0, 1]
+    for cost in model.cost:
+        assert np.allclose(np.exp2(-cost.reshape(-1, 256)).sum(1), 1)
