@@ -1,7 +1,10 @@
 """Byte-pair encoding and decoding: speculate and verify.
 
-Greedy longest match proposes the tokens of a word. If every adjacent pair may stand side by side (tested for all
-pairs of a batch of words at once), the proposal is the exact encoding. Only the words that fail undergo merging.
+Texts are worked on a run of some megabytes at a time, in arrays: split into words, equal words found, and each different
+word encoded once. Greedy longest match over a tree of the vocabulary proposes tokens; whether two tokens may stand side
+by side is tested for every adjacent pair at once; a word whose pairs all pass has its exact encoding. Only the words
+that fail undergo exact merging. Nothing is remembered from one run to the next, so a worker's memory does not grow with
+the number of different words.
 """
 
 from __future__ import annotations
@@ -15,11 +18,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.merges import Merges, load, spelled
+from quizmill.llm.merges import Merges, load
+from quizmill.llm.textkit import CHUNK, only, prefix_hash, span_hash
 
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACE = regex.compile(r"\s+")
-KEPT_WORDS, KEPT_PIECES = 250_000, 120_000  # remembered by a worker, about 300 bytes each; what comes later is worked out each time
+RUN = 2 * CHUNK  # characters of text worked on at once; one longer text is a run of its own
+LONG = 512  # bytes of a word that is merged by itself, if it fails
+SPACE, OTHER, LETTER, NUMBER, MARK = range(5)  # kinds of characters; a mark stands for a special string
+MARKS = 0xD800  # first code point of marks: surrogates are in no text
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -33,83 +38,151 @@ def lowered(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def kinds() -> np.ndarray:
+    """The kind of every code point."""
+    every = "".join(map(chr, range(MARKS))) + "".join(map(chr, range(0xE000, 0x110000)))
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            a, b = (x if x <= MARKS else x + 0x800 for x in m.span())
+            out[a:b] = kind
+    out[MARKS:0xE000] = MARK
+    return out
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[k], first[k] + 1, ... (size[k] of them) of each k, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Codec:
     """Encodes and decodes for a vocabulary with word ends, lower case and white space dropped."""
 
     def __init__(self, path: str):
         self.m: Merges = load(path)
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
-        self.pack = {t: t.to_bytes(4, "little") for t in self.m.names}
+        self.kind = kinds()
+        self.special = list(self.m.special.items())
         self.proposed = self.failed = 0
 
-    def propose(self, word: str) -> list[int]:
-        """Longest match from the left."""
-        s, end, vocab, longest = spelled(word), self.m.suffix, self.m.vocab, self.m.longest
-        out, i, n = [], 0, len(s)
-        while i < n:
-            for j in range(min(n, i + longest), i, -1):
-                t = vocab.get(s[i:] + end if j == n else s[i:j])
-                if t is not None:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-            out.append(t)
-            i = j
-        return out
-
-    def encode_words(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids (little-endian, 32 bits) and decoded tokens, a space after each, of distinct words, all together."""
-        made = [self.propose(w) for w in words]
-        size = np.array([len(x) for x in made], np.int64)
-        flat = np.array([t for x in made for t in x], np.int64)
-        owner = np.repeat(np.arange(len(made)), size)
-        inner = np.flatnonzero(owner[1:] == owner[:-1])
-        bad = np.unique(owner[inner[~self.m.fits_all(flat[inner], flat[inner + 1])]]) if len(inner) else []
-        self.proposed += len(words)
-        self.failed += len(bad)
-        vocab, end, pack, names = self.m.vocab, self.m.suffix, self.pack, self.m.names
-        for k in bad:
-            s = spelled(words[k])
-            made[k] = self.m.merge([*map(vocab.__getitem__, s[:-1]), vocab[s[-1] + end]])
-        return {w: (b"".join([pack[t] for t in x]), "".join([names[t] + " " for t in x])) for w, x in zip(words, made, strict=True)}
-
-    def parts(self, piece: str) -> list[tuple[bool, str]]:
-        """(special, string) in order: special strings as they stand, else lower-cased words."""
-        out = []
-        for k, x in enumerate(self.m.split_special.split(piece) if self.m.split_special else [piece]):
-            out += [(True, x)] if k % 2 else [(False, w) for w in WORDS.findall(SPACE.sub(" ", lowered(x)))]
-        return out
-
-    def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[bytes, str]]:
-        """The same for pieces, what stands between two spaces; no word and no special string holds a space."""
-        cut = [self.parts(p) for p in pieces]
-        words = self.words
-        new = self.encode_words(list({w for x in cut for special, w in x if not special and w not in words}))
-        if len(words) < KEPT_WORDS:
-            words.update(new)
-        special = {w: (self.pack[t], w + " ") for w, t in self.m.special.items()}
-        out = {}
-        for p, x in zip(pieces, cut, strict=True):
-            got = [special[w] if is_special else new.get(w) or words[w] for is_special, w in x]
-            out[p] = got[0] if len(got) == 1 else (b"".join([a for a, _ in got]), "".join([b for _, b in got]))
-        if len(self.pieces) < KEPT_PIECES:
-            self.pieces.update(out)
-        return out
-
-    def encode_texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids and decoded string of each text; new pieces of all of them are worked out together."""
-        split = [t.split(" ") for t in texts]
-        pieces = self.pieces
-        new = self.encode_pieces(list({p for x in split for p in x if p not in pieces}))
-        out = []
-        for x in split:
-            got = [pieces.get(p) or new[p] for p in x]
-            out.append((b"".join([a for a, _ in got]), "".join([b for _, b in got])[:-1]))
+    def prepared(self, text: str) -> str:
+        """Lower-cased, special strings as marks."""
+        split = self.m.split_special
+        if split is None or not any(s in text for s, _ in self.special):
+            return lowered(text)
+        mark = {s: chr(MARKS + k) for k, (s, _) in enumerate(self.special)}
+        return "".join([mark[x] if k % 2 else lowered(x) for k, x in enumerate(split.split(text))])
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends, words a text) of the words of prepared texts: letters, other characters, one number, one mark, or an apostrophe with an ending."""
+        whole = "".join(texts)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+        n = len(code)
+        offs = np.cumsum([0, *map(len, texts)])
+        kind = self.kind[code]
+        border = np.zeros(n + 3, bool)
+        border[offs] = True
+        begin = border[:n].copy()
+        begin[1:] |= kind[1:] != kind[:-1]
+        begin |= kind >= NUMBER
+        begin &= kind != SPACE
+        at = np.flatnonzero((code == 0x27) & begin)
+        if len(at):  # an apostrophe that begins a word takes one of a few endings
+            far = np.concatenate([code, np.zeros(2, code.dtype)])
+            a, b = far[at + 1], far[at + 2]
+            one = np.isin(a, list(map(ord, "stmd"))) & ~border[at + 1]
+            two = (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))) & ~border[at + 1] & ~border[at + 2]
+            begin[at[one | two] + 1] = False
+            rest = np.concatenate([at[one] + 2, at[two] + 3])
+            rest = rest[rest < n]
+            begin[rest[kind[rest] != SPACE]] = True
+        last = np.zeros(n, bool)
+        if n:
+            last[:-1] = begin[1:] | (kind[1:] == SPACE)
+            last[-1] = True
+            last &= kind != SPACE
+        s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
+        count = np.diff(np.searchsorted(s, offs))
+        if len(data) > n:
+            byte = np.zeros(n + 1, np.int64)
+            np.cumsum(1 + (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000), out=byte[1:])
+            s, e = byte[s], byte[e]
+        return data, s, e, count
+
+    def tokens(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, tokens a word) of words of bytes, each by itself."""
+        t = self.m.tables
+        ids, size = t.longest(data, s, e)
+        home = np.repeat(np.arange(len(s)), size)
+        inner = np.flatnonzero(home[1:] == home[:-1])
+        wrong = np.zeros(len(s), bool)
+        wrong[home[inner[~self.m.fits_all(ids[inner], ids[inner + 1])]]] = True
+        self.proposed += len(s)
+        self.failed += int(wrong.sum())
+        if not wrong.any():
+            return ids, size
+        many = wrong & (e - s <= LONG) & t.in_order
+        k = np.flatnonzero(many)
+        width = e[k] - s[k]
+        symbols = t.byte[data[spread(s[k], width)]]
+        symbols[np.cumsum(width) - 1] = t.last_byte[data[e[k] - 1]]
+        parts = [(k, *self.m.merge_all(symbols, width))]
+        for j in np.flatnonzero(wrong & ~many):
+            one = self.m.merge([*t.byte[data[s[j] : e[j] - 1]].tolist(), int(t.last_byte[data[e[j] - 1]])])
+            parts.append((np.array([j]), np.array(one, np.int64), np.array([len(one)])))
+        good = np.flatnonzero(~wrong)
+        parts.append((good, ids[~wrong[home]], size[good]))
+        word, flat, each = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(word)
+        first = np.cumsum(each) - each
+        return flat[spread(first[order], each[order])], each[order]
+
+    def encode_run(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """Ids and decoded string of each text of a run."""
+        data, s, e, count = self.words([self.prepared(t) for t in texts])
+        if not len(s):
+            return [(np.zeros(0, "<u4"), "")] * len(texts)
+        h = span_hash(prefix_hash(data), s, e)
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        size, rep = e - s, first[back]
+        if (size != size[rep]).any() or (data[spread(s, size)] != data[spread(s[rep], size)]).any():  # two words of one hash
+            first = back = np.arange(len(s))
+        u, v = s[first], e[first]
+        marks = np.flatnonzero((data[u] == 0xED) & (v - u == 3))
+        marks = marks[data[u[marks] + 1] >= 0xA0]  # a surrogate, so a special string
+        plain = np.ones(len(u), bool)
+        plain[marks] = False
+        ids, n = self.tokens(data, u[plain], v[plain])
+        each = np.ones(len(u), np.int64)
+        each[plain] = n
+        begin = np.cumsum(each) - each
+        flat = np.empty(int(each.sum()), np.int64)
+        flat[spread(begin[plain], n)] = ids
+        for k in marks:
+            flat[begin[k]] = self.special[ord(data[u[k] : v[k]].tobytes().decode("utf-8", "surrogatepass")) - MARKS][1]
+        names, step = self.m.names, flat.tolist()
+        said = [names[step[b]] if c == 1 else " ".join([names[t] for t in step[b : b + c]]) for b, c in zip(begin.tolist(), each.tolist(), strict=True)]
+        all_ids = flat[spread(begin[back], each[back])].astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(count)])
+        cuts = np.concatenate([[0], np.cumsum(each[back])])[ends].tolist()
+        words, ends = list(map(said.__getitem__, back.tolist())), ends.tolist()
+        return [(all_ids[cuts[k] : cuts[k + 1]], " ".join(words[ends[k] : ends[k + 1]])) for k in range(len(texts))]
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """Ids and decoded string of each text."""
+        out, k = [], 0
+        while k < len(texts):
+            j, size = k, 0
+            while j < len(texts) and (j == k or size + len(texts[j]) <= RUN):
+                size += len(texts[j])
+                j += 1
+            out += self.encode_run(texts[k:j])
+            k = j
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_texts([text])[0][0], "<u4")
+        return self.encode_run([text])[0][0]
 
     def decode(self, ids) -> str:
         """The strings of the tokens with a space between; this kind of file has no decoder that would drop word ends."""
@@ -117,31 +190,36 @@ class Codec:
         return " ".join([names[int(t)] for t in ids])
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return only("codec", path, Codec)
 
 
 def encode(docs: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (array) if asked for. Null and empty texts have no tokens."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (array) if asked for; a row for each row of docs.
+
+    Null and empty texts and texts of white space have no tokens. Repeated rows give repeated rows; an empty table gives
+    none; columns other than doc_id and text are not read. A text of any length is encoded whole, by one task.
+    """
 
     def run(batches):
         c = codec(vocabulary())
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), 500):
-                part = [t or "" for t in texts[k : k + 500]]
-                both = c.encode_texts(part)
-                cols = [batch.column(0).slice(k, len(part)), pa.array([len(a) // 4 for a, _ in both], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in both]), pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in both])]
+            at = k = 0
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            while k < len(texts):
+                size = 0
+                while k < len(texts) and (k == at or size + len(texts[k]) <= RUN):
+                    size += len(texts[k])
+                    k += 1
+                both = c.encode_run(texts[at:k])
+                cols = [batch.column(0).slice(at, k - at), pa.array([len(a) for a, _ in both], pa.int64()), pa.array([hashlib.sha256(a.tobytes()).hexdigest() for a, _ in both]), pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in both])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols.append(pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in both], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(a) for a, _ in both)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([a for a, _ in both]).astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+                at = k
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
@@ -151,5 +229,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: token ids of every document that is left."""
+    """Last pipeline stage: token ids of every document that is left, as `encode` gives them; null and empty texts have none."""
     return encode(docs, with_ids=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -110,6 +112,31 @@ def distinct_in_rows(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.nda
     return r[new], x[new]
 
 
+_held: dict[str, tuple[str, object]] = {}
+
+
+def only(kind: str, name: str, make):
+    """make(name), kept by a Python worker until it needs something of another kind or name.
+
+    Spark uses its workers again in later stages; without this they would hold the tables of every stage before.
+    """
+    have = _held.get(kind)
+    if have is None or have[0] != name:
+        clear()
+        _held[kind] = have = name, make(name)
+    return have[1]
+
+
+def clear() -> None:
+    """Drops what earlier tasks of a Python worker have kept, and gives the memory back to the system."""
+    if _held or _tables:
+        _held.clear()
+        _tables.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def release(spark) -> None:
     """Lets the driver's JVM collect its garbage, and with it the shuffle files of steps whose results are staged."""
     gc.collect()

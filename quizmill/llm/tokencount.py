@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.merges import WORDS, Merges, load, spelled
-from quizmill.llm.textkit import text_array
+from quizmill.llm.textkit import only, text_array
 
 LIMIT = 1024
 KEPT_BYTES = 256  # longer words are worked out each time
@@ -176,13 +176,8 @@ class PrefixCounts:
         return near
 
 
-_counters: dict[str, PrefixCounts] = {}
-
-
 def counter(path: str) -> PrefixCounts:
-    if path not in _counters:
-        _counters[path] = PrefixCounts(path)
-    return _counters[path]
+    return only("counter", path, PrefixCounts)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, find: Callable[[], str] | None = None) -> DataFrame:
