@@ -1,9 +1,11 @@
 """Secret scans with built-in functions only.
 
 Base patterns give spans by kind. On top, strings of 20 and more characters are scored by two character Markov models,
-of random strings and of ordinary identifiers: the log-likelihood ratio of the transitions decides. Both models are
-trained from labelled samples: random strings made from hashes in several alphabets, and the words of a bounded sample
-of documents outside base matches.
+of random strings and of ordinary identifiers: the log-likelihood ratio of the first symbol and of the transitions
+decides. Both models are trained from labelled samples: random strings made from hashes in several alphabets; and, as
+ordinary ones, the words of a bounded sample of documents outside base matches, identifiers in the usual styles (camel
+case, snake case, paths, dates, versions) made of those words and of a list of words, rulers, alphabets and numbers. What a model has not
+seen of a symbol it takes from the symbol's kind.
 
 Spans are counted in code points. `split` and `regexp_extract_all` walk over the same matches, so the lengths of what
 they give, summed, are the positions.
@@ -12,6 +14,7 @@ they give, summed, are the positions.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,15 @@ KINDS = ["assign", "access", "hex", "random"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 500  # documents that the identifiers are taken from, about
+BACK_OFF = 20.0
+#: Labelled by hand: words of ordinary identifiers.
+ORDINARY = (
+    "user name file path config service client server request response event handler target factory repository manager builder default value index count table column "
+    "query result error message format version update create delete select insert backup archive image video audio button window frame layout color border width height "
+    "string number integer boolean object array list map set queue stack node tree graph vertex edge http xml json html css url uri api sdk app web page site home login "
+    "logout session cookie header footer body title content type date time zone start stop begin end first last next previous parent child example test sample demo data "
+    "base model view controller adapter wrapper helper utility common core main module package library plugin extension internationalization configuration authentication"
+)
 RANDOM = 2000  # random strings made
 BITS = 12.0  # a string is random if its ratio is at least so many bits, and one bit for each four characters
 MARK = "[secret]"
@@ -53,46 +65,106 @@ def base_spans(text: str = "scanned") -> list[Column]:
     return [_spans(0, ASSIGN, f"length(x.g) >= {ASSIGN_LEAST}", 2, text), _spans(1, ACCESS, text=text), _spans(2, HEX, text=text)]
 
 
-def _pairs(strings: DataFrame, label: int) -> DataFrame:
-    """Transitions of the strings of column s, as numbers into a square table."""
-    letters = f"transform(filter(split(s, ''), c -> length(c) = 1), c -> instr('{ALPHABET}', c) - 1)"
-    x = strings.select(F.expr(letters).alias("c"))
-    pairs = x.select(F.explode(F.expr(f"filter(transform(sequence(1, greatest(size(c) - 1, 1)), i -> coalesce(try_element_at(c, i), -1) * {len(ALPHABET)} + coalesce(try_element_at(c, i + 1), -1000000)), v -> v >= 0)")).alias("pair"))
+def _transitions(strings: DataFrame, label: int) -> DataFrame:
+    """Counts of the transitions of the strings of column s, as numbers into a square table; the start is row size."""
+    size = len(ALPHABET)
+    x = strings.select(F.expr(f"transform(split(s, ''), c -> instr('{ALPHABET}', c) - 1)").alias("c")).select(F.expr(f"concat(array({size}), filter(c, v -> v >= 0))").alias("c"))
+    pairs = x.select(F.explode(F.expr(f"filter(transform(c, (v, i) -> v * {size} + coalesce(try_element_at(c, i + 2), -1000000)), v -> v >= 0)")).alias("pair"))
     return pairs.groupBy("pair").agg(F.count("*").alias("n")).withColumn("label", F.lit(label))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
-    """Log-likelihood ratios in bits of all transitions, random against ordinary. The table has a fixed size."""
-    spark, size = docs.sparkSession, len(ALPHABET)
-    n = docs.count()
+def identifiers(words: str = "w") -> Column:
+    """Ordinary identifiers in eight styles made of the words in an array column, each from the next three words."""
+    h = "xxhash64(a, b, i)"
+    two = lambda n, k: f"lpad(pmod(shiftright({h}, {k}), {n}) + 1, 2, '0')"
+    styles = [
+        "lower(concat(a, '_', b, '_', c))", "concat(lower(a), initcap(b), initcap(c))", "concat(initcap(a), initcap(b), initcap(c))", "lower(concat(a, '-', b, '-', c))",
+        "concat(lower(a), '/', lower(b), '/', initcap(a), initcap(c))", "upper(concat(a, '_', b, '_', c))", f"concat(lower(a), initcap(b), pmod({h}, 100))",
+        f"concat(2000 + pmod({h}, 30), '-', {two(12, 5)}, '-', {two(28, 9)}, 'T', {two(23, 13)}, '-', {two(59, 17)}, '-', {two(59, 23)}, '_', lower(a), '_v', pmod({h}, 10))",
+    ]
+    case = " ".join(f"when {k} then {x}" for k, x in enumerate(styles))
+    three = f"named_struct('a', element_at({words}, i), 'b', element_at({words}, i + 1), 'c', element_at({words}, i + 2), 'i', i)"
+    made = f"case pmod(xxhash64(x.i, x.a), {len(styles)}) {case} end"
+    for v in ("a", "b", "c", "i"):
+        made = re.sub(rf"(?<![\w.'])\b{v}\b(?=[,)])", f"x.{v}", made)
+    return F.expr(f"case when size({words}) > 2 then transform(transform(sequence(1, size({words}) - 2), i -> {three}), x -> {made}) end")
+
+
+def training_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """The labelled strings (column s): random ones and ordinary ones."""
+    spark, n = docs.sparkSession, docs.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("secrets")), F.lit(1 << 30)) / float(1 << 30)
-    plain = docs.where(F.col("text").isNotNull() & (draw <= (min(1.0, sample / n) if n else 1.0)))
+    plain = docs.where(F.col("text").isNotNull() & (draw <= (min(1.0, sample / n) if n else 1.0))).select("text")
     for p in (ASSIGN, ACCESS, HEX):
         plain = plain.withColumn("text", F.regexp_replace("text", p, " "))
-    words = plain.select(F.explode(F.expr("regexp_extract_all(text, '[A-Za-z0-9_-]{3,}', 0)")).alias("s"))
-    seed = spark.range(0, RANDOM, 1, 4).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
-    made = seed.select(F.col("h").alias("s")).unionByName(seed.select(F.base64(F.unhex("h")).alias("s"))).unionByName(seed.select(F.upper(F.conv(F.substring("h", 1, 15), 16, 36)).alias("s"))).unionByName(seed.select(F.translate(F.base64(F.unhex("h")), "+/=", "-_").alias("s")))
-    counts = _pairs(made, 1).unionByName(_pairs(words, 0)).collect()
-    table = [[0.5] * (size * size) for _ in range(2)]
-    for r in counts:
+    told = spark.range(0, 40, 1, 1).select(F.expr(f"transform(array_sort(transform(split('{ORDINARY}', ' '), v -> named_struct('k', xxhash64(v, id), 'v', v))), x -> x.v)").alias("w"))
+    words = plain.select(F.expr("regexp_extract_all(text, '[A-Za-z]{2,}', 0)").alias("w"))
+    ruler = spark.range(0, 200, 1, 1).select(F.expr("repeat(element_at(array('=', '-', '_', '/', '+', '0', 'x', 'a', '*='), cast(id % 9 + 1 as int)), cast(20 + id % 23 as int))").alias("s"))
+    rows = spark.range(0, 200, 1, 1).select(F.expr(f"substring(repeat(element_at(array('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz', '0123456789'), cast(id % 3 + 1 as int)), 4), cast(1 + id % 7 as int), cast(20 + id % 13 as int))").alias("s"))
+    numbers = spark.range(0, 300, 1, 1).select(F.expr("substring(concat(abs(xxhash64(id, 1)), abs(xxhash64(id, 2))), 1, cast(12 + id % 20 as int))").alias("s"))
+    ruler = ruler.unionByName(rows).unionByName(numbers)
+    ordinary = plain.select(F.explode(F.expr("regexp_extract_all(text, '[A-Za-z0-9_-]{3,}', 0)")).alias("s"))
+    ordinary = ordinary.unionByName(words.unionByName(told).select(F.explode(identifiers()).alias("s"))).unionByName(ruler)
+    h = spark.range(0, RANDOM, 1, 4).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
+    b64 = F.base64(F.unhex("h"))
+    forms = [F.col("h"), b64, F.translate(b64, "+/=", "-_"), F.translate(b64, "+/=", ""), F.upper(F.concat(F.conv(F.substring("h", 1, 15), 16, 36), F.conv(F.substring("h", 16, 15), 16, 36))), F.lower(F.concat(F.conv(F.substring("h", 1, 15), 16, 36), F.conv(F.substring("h", 16, 15), 16, 36)))]
+    return h.select(F.explode(F.array(*forms)).alias("s")), ordinary
+
+
+def kind_of(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in "_-" else 4
+
+
+def log_probabilities(counts: list[float]) -> list[float]:
+    """log2 P(next | symbol), and of the first symbol in the last row, from counts of transitions.
+
+    A symbol that was seen BACK_OFF times weighs its own counts half; the rest is the transition between the kinds of the
+    two symbols (letters of either case, digits, joints, others) times the share of the next symbol in its kind.
+    """
+    size, kinds = len(ALPHABET), [kind_of(c) for c in ALPHABET] + [5]
+    single = [1.0] * size
+    between = [[0.5] * 5 for _ in range(6)]
+    for k, v in enumerate(counts):
+        single[k % size] += v
+        between[kinds[k // size]][kinds[k % size]] += v
+    in_kind = [sum(single[k] for k in range(size) if kinds[k] == c) for c in range(5)]
+    out = []
+    for a in range(size + 1):
+        row = counts[a * size : (a + 1) * size]
+        n, go = sum(row), between[kinds[a]]
+        out += [math.log2((row[b] + BACK_OFF * go[kinds[b]] / sum(go) * single[b] / in_kind[kinds[b]]) / (n + BACK_OFF)) for b in range(size)]
+    return out
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
+    """Log-likelihood ratios in bits of all transitions and of first symbols, random against ordinary. The table has a fixed size."""
+    size = len(ALPHABET)
+    table = [[0.0] * ((size + 1) * size) for _ in range(2)]
+    made, ordinary = training_sample(docs, sample)
+    for r in _transitions(made, 1).unionByName(_transitions(ordinary, 0)).collect():
         table[r["label"]][r["pair"]] += r["n"]
-    rows = [[sum(t[a * size : (a + 1) * size]) for a in range(size)] for t in table]
-    return [math.log2(table[1][k] / rows[1][k // size]) - math.log2(table[0][k] / rows[0][k // size]) for k in range(size * size)]
+    plain, odd = (log_probabilities(t) for t in table)
+    return [b - a for a, b in zip(plain, odd, strict=True)]
 
 
-def random_spans(model: list[float], text: str = "scanned", table: str = "llr") -> Column:
-    """Spans of the strings that the models call random."""
+def random_spans(text: str = "scanned", table: str = "llr") -> Column:
+    """Spans of the strings that the models (column `table`) call random."""
     size = len(ALPHABET)
-    at = f"instr('{ALPHABET}', substring(x.m, {{}}, 1)) - 1"
-    ratio = f"aggregate(sequence(1, length(x.m) - 1), 0D, (s, i) -> s + element_at({table}, ({at.format('i')}) * {size} + {at.format('i + 1')} + 1))"
+    at = f"instr('{ALPHABET}', substring(x.m, {{}}, 1))"
+    first = f"element_at({table}, {size * size} + {at.format(1)})"
+    ratio = f"aggregate(sequence(1, length(x.m) - 1), {first}, (s, i) -> s + element_at({table}, ({at.format('i')} - 1) * {size} + {at.format('i + 1')}))"
     return _spans(3, OTHER, f"{ratio} >= {BITS} + length(x.m) / 4", text=text)
 
 
 def scan(docs: DataFrame, model: list[float]) -> DataFrame:
-    """Each row of docs as a struct `row`, and secret_spans: all spans (start, kind, end), by start, then kind. Null is like an empty text: no spans."""
+    """Each row of docs as a struct `row`, and secret_spans: all spans (start, kind, end), by start, then kind.
+
+    Null is like an empty text: no spans. Repeated rows give repeated rows, an empty table none; docs may have columns of
+    any name. A text of any length is scanned whole, in one row's expression.
+    """
     numbers = ",".join(repr(round(v, 6)) for v in model)
     x = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("scanned"), F.expr(f"cast(split('{numbers}', ',') as array<double>)").alias("llr"))
-    return x.select("row", F.array_sort(F.concat(*base_spans(), random_spans(model))).alias("secret_spans"))
+    return x.select("row", F.array_sort(F.concat(*base_spans(), random_spans())).alias("secret_spans"))
 
 
 def _named(spans: str) -> str:
@@ -121,7 +193,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, their secrets replaced by MARK; n_chars follows the text."""
+    """Pipeline stage: all documents with their columns, secrets replaced by MARK; n_chars, where there is one, follows a changed text.
+
+    Null and empty texts stay as they are; repeated rows are each treated alike; an empty table stays empty.
+    """
     x = scan(docs, train(docs)).withColumn("clean", redacted())
     new = {"text": F.col("clean"), "n_chars": F.when(F.size("secret_spans") > 0, F.length("clean")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("clean")}
     return x.select(*(new.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
