@@ -1,26 +1,24 @@
-"""Benchmark decontamination with a positional inverted index.
+"""Benchmark decontamination with a distributed positional inverted index.
 
 Words are the runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. A window is `width`
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window.
 
-The index is split by document: each task turns its documents into postings (term -> positions in the order of the
-text), for terms of the benchmark alone, and writes them to the shared folder. The lengths of the posting lists are
-summed over all documents. Both kinds of question read the stored postings: each window takes its terms from the
-rarest to the most frequent of all documents; the list of the rarest, less the term's offset, gives the possible
-starts, and each further list is intersected with them. What is left are the exact phrase matches. With a slop, the
-few rarest terms of a window that stand anywhere in the documents are held against offset-adjusted lists with a
-tolerance: the proximity matches.
-
-No text is shuffled. The windows of the benchmark go to the executors in blocks of at most `block_words` words, so
-that what is broadcast has a fixed bound whatever the size of the benchmark; a larger one is searched block by block
-and the hits are merged by document.
+1. The index: each document row's postings (term -> positions in order), written once to the shared folder, for terms
+   that may be of the benchmark. What tells them is a bitmap of 2**BITS bits, the same size whatever the benchmark.
+2. Items become passages: their terms, in pieces of bounded length that overlap so that each window is in one. Equal
+   passages of several items are searched once.
+3. The lengths of the posting lists, summed over all documents, tell how rare each term is. The rarest term of each
+   window is looked up in the index: a join on the term gives the documents that a passage may be in.
+4. Passages travel to those documents' postings, by a join again. There the list of each window's rarest term, less the
+   term's offset, gives the possible starts, and the offset-adjusted lists of its other terms, from the next rarest to
+   the most frequent, are intersected with them. What is left are exact phrase matches. With a slop, the few rarest
+   terms are held against lists with a tolerance: the proximity matches.
+
+Neither the benchmark nor matches are collected or broadcast by this module; the plan is the same at every size.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,135 +29,77 @@ from quizmill.llm.textkit import LOWER, find_words, prefix_hash, span_hash, stag
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 WIDTH, SLOP, NEAR_TERMS = 13, 3, 4
-CHUNK_WORDS = 200_000  # words of documents searched at once, and the rest of the last one
-BLOCK_WORDS = 2_000_000  # words of benchmark text broadcast at once: 24 bytes a word at most
-
-
-class Windows:
-    """The windows of a block of benchmark items: term numbers in a matrix, short items padded with -1."""
-
-    def __init__(self, items: list[tuple[int, bytes]], width: int):
-        data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
-        offs = np.cumsum([0, *(len(t) for _, t in items)])
-        low = LOWER[data]
-        s, e, row = find_words(low, offs, WORD)
-        h = span_hash(prefix_hash(low), s, e)
-        self.vocab, term = np.unique(h, return_inverse=True)
-        rows, owner = [], []
-        first = np.searchsorted(row, np.arange(len(items) + 1))
-        for i, (item, _) in enumerate(items):
-            a, b = first[i], first[i + 1]
-            for p in range(a, max(b - width + 1, min(b, a + 1))):
-                w = term[p : min(b, p + width)]
-                rows.append(np.pad(w, (0, width - len(w)), constant_values=-1))
-                owner.append(item)
-        self.terms = np.array(rows, np.int32).reshape(-1, width)
-        self.owner = np.array(owner, dtype=np.int64)
-        self.length = (self.terms >= 0).sum(1)
-        self.width = width
-        # vocabulary lookup: a small table says for the low bits of a hash whether a term can be there
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.vocab & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def number(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int32)
-        at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.vocab, h[at]), max(0, len(self.vocab) - 1))
-        out[at] = np.where(self.vocab[k] == h[at], k, -1) if len(self.vocab) else -1
-        return out
-
-    def search(self, term: np.ndarray, doc: np.ndarray, total: np.ndarray, slop: int = 0, near_terms: int = NEAR_TERMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window numbers, starts and documents of the matches among the words `term` of the documents `doc`; total: how often each term stands in all documents.
-
-        slop 0: exact phrases. Above: windows whose `near_terms` rarest terms (of those that stand anywhere) each stand
-        at most `slop` words from where the phrase would have them; such a start may lie before the document.
-        """
-        n = len(term)
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not n or not len(self.terms):
-            return none
-        # postings: positions by term, in order
-        at = np.flatnonzero(term >= 0)
-        order = at[np.argsort(term[at], kind="stable")]
-        count = np.bincount(term[at], minlength=len(self.vocab))
-        begin = np.concatenate([[0], np.cumsum(count)])
-        most = np.iinfo(np.int64).max
-        often = np.where(total > 0, total, most - 1)
-        rank = np.argsort(np.where(self.terms >= 0, often[np.maximum(self.terms, 0)], most), axis=1, kind="stable")
-        used = np.take_along_axis(self.terms, rank[:, : self.width if slop == 0 else near_terms], 1)
-        # a window that asks for a term that is not here has no match here
-        live = np.flatnonzero(((used < 0) | (count[np.maximum(used, 0)] > 0)).all(1))
-        if not len(live):
-            return none
-        rank = rank[live]
-        # the rarest term's list, less its offset, gives the starts
-        col = rank[:, 0]
-        t = self.terms[live, col]
-        c = count[t]
-        win = np.repeat(live, c)
-        k = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        anchor = order[np.repeat(begin[t], c) + k]
-        start = anchor - np.repeat(col, c)
-        which = np.repeat(np.arange(len(live)), c)
-        home = doc[anchor]
-        last = start + self.length[win] - 1
-        if slop == 0:
-            ok = (start >= 0) & (last < n)
-            ok[ok] &= (doc[start[ok]] == home[ok]) & (doc[last[ok]] == home[ok])
-            win, start, which, home = win[ok], start[ok], which[ok], home[ok]
-        for j in range(1, self.width if slop == 0 else min(near_terms, self.width)):
-            if not len(win):
-                break
-            off = rank[which, j]
-            want = self.terms[win, off]
-            spot, ok = start + off, want < 0
-            for d in range(-slop, slop + 1):
-                x = spot + d
-                good = (x >= 0) & (x < n)
-                x = np.where(good, x, 0)
-                ok |= good & (term[x] == want) & (doc[x] == home)
-            win, start, which, home = win[ok], start[ok], which[ok], home[ok]
-        return win, start, home
-
-
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, bytes]]]:
-    """Items in blocks of at most `block_words` words (one longer item is a block of its own), streamed to the driver one partition at a time."""
-    block, words = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).toLocalIterator():
-        text = r[1].encode()
-        n = len(text) // 2 + 1
-        if block and words + n > block_words:
-            yield block
-            block, words = [], 0
-        block.append((r[0], text))
-        words += n
-    yield block
+PIECE = 256  # words of an item in one passage, about
+BITS = 22  # the bitmap of the benchmark's terms has 2**BITS bits
+SALT = 8  # parts that the documents of one term or one passage are dealt to
+
+
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(term, row) of each word: 64-bit hashes."""
+    low = LOWER[data]
+    s, e, row = find_words(low, offs, WORD)
+    return span_hash(prefix_hash(low), s, e).view(np.int64), row
+
+
+def _pieces(width: int, piece: int):
+    """(item_id, terms): an item's terms, a long one's in overlapping pieces."""
+    step = max(1, piece - width + 1)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for i, j, data, offs in text_chunks(batch):
+                term, row = _words(data, offs)
+                first = np.searchsorted(row, np.arange(j - i + 1))
+                names, parts = [], []
+                for k in range(j - i):
+                    t = term[first[k] : first[k + 1]]
+                    for p in range(0, max(1, len(t) - width + 1), step) if len(t) else ():
+                        names.append(ids[i + k])
+                        parts.append(t[p : p + step + width - 1])
+                if parts:
+                    ends = np.cumsum([0, *map(len, parts)])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))], names=["item_id", "terms"])
+
+    return run
+
+
+def passages(benchmark: DataFrame, width: int = WIDTH, piece: int = PIECE) -> DataFrame:
+    """(passage, item_id, terms): a row for each piece of each item with words; equal sequences of terms share a passage (64-bit hash)."""
+    x = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.octet_length("text") > 0)
+    return x.mapInArrow(_pieces(width, piece), "item_id string, terms array<long>").select(F.xxhash64("terms").alias("passage"), "item_id", "terms")
+
+
+def bitmap(terms: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bitmap of 2**bits bits with those of the values of column `term` set."""
+    low = f"term & {(1 << bits) - 1}"
+    words = terms.groupBy(F.expr(f"shiftright({low}, 5)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(term & 31 as int)))").alias("v")).toPandas()
+    out = np.zeros(1 << bits - 5, "<u4")
+    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
 INDEX = "doc_id long, text_key long, n_words long, terms array<long>, counts array<int>, positions array<int>"
-OUT = "doc_id long, text_key long, n_words long, hits binary, n_hit long, items array<string>, near array<string>"
 
 
-def _index(items: list[tuple[int, bytes]], width: int):
-    """One row per document row: its terms (64-bit hashes), how often each stands there, and the positions, term by term."""
+def _index(known: np.ndarray, bits: int):
+    """One row per document row: its terms that may be of the benchmark, how often each stands there, and the positions, term by term."""
 
     def run(batches):
-        win = Windows(items, width)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             keys = batch.column(batch.schema.get_field_index("text_key"))
             for i, j, data, offs in text_chunks(batch):
-                low = LOWER[data]
-                s, e, row = find_words(low, offs, WORD)
-                term = win.number(span_hash(prefix_hash(low), s, e))
-                at = np.flatnonzero(term >= 0)
+                term, row = _words(data, offs)
+                bit = term & ((1 << bits) - 1)
+                at = np.flatnonzero((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
                 order = at[np.lexsort((term[at], row[at]))]
                 home, t = row[order], term[order]
                 first = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (t[1:] != t[:-1])])) if len(order) else order
                 place = order - np.searchsorted(row, home)
                 rows = np.arange(j - i + 1)
                 by_term, by_place = pa.array(np.searchsorted(home[first], rows), pa.int32()), pa.array(np.searchsorted(home, rows), pa.int32())
-                lists = [(by_term, pa.array(win.vocab[t[first]].view(np.int64))), (by_term, pa.array(np.diff(np.append(first, len(order))), pa.int32())), (by_place, pa.array(place, pa.int32()))]
+                lists = [(by_term, pa.array(t[first])), (by_term, pa.array(np.diff(np.append(first, len(order))), pa.int32())), (by_place, pa.array(place, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), keys.slice(i, j - i), pa.array(np.bincount(row, minlength=j - i), pa.int64()), *(pa.ListArray.from_arrays(o, v) for o, v in lists)],
                     names=["doc_id", "text_key", "n_words", "terms", "counts", "positions"],
@@ -168,120 +108,164 @@ def _index(items: list[tuple[int, bytes]], width: int):
     return run
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, values) of a column of lists."""
-    c = batch.column(batch.schema.get_field_index(name))
-    return c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), c.flatten().to_numpy(zero_copy_only=False)
+def index(docs: DataFrame, known: np.ndarray, bits: int = BITS) -> DataFrame:
+    """The stored postings, with a number `uid` for each document row."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return stage(keyed.mapInArrow(_index(known, bits), INDEX).withColumn("uid", F.monotonically_increasing_id()), "postings")
 
 
-def _totals(items: list[tuple[int, bytes]], width: int):
-    """(term number, n): how often the terms stand in a task's documents."""
+def _rarest(width: int, slop: int, near_terms: int):
+    """(passage, term) of the terms to look up: of each window that can match, the rarest that stands in any document."""
 
     def run(batches):
-        win = Windows(items, width)
-        total = np.zeros(len(win.vocab), np.int64)
         for batch in batches:
-            np.add.at(total, np.searchsorted(win.vocab, _flat(batch, "terms")[1].view(np.uint64)), _flat(batch, "counts")[1])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "n"])
+            out = []
+            for name, terms, often in zip(*(batch.column(c).to_pylist() for c in ("passage", "terms", "often")), strict=True):
+                w, n = min(width, len(terms)), np.array(often, np.int64)
+                windows = np.lib.stride_tricks.sliding_window_view(np.where(n > 0, n, np.iinfo(np.int64).max), w)
+                there = np.lib.stride_tricks.sliding_window_view(n > 0, w).sum(1)
+                ok = np.flatnonzero(there >= (min(near_terms, w) if slop else w))
+                out += [(name, terms[k]) for k in np.unique(ok + windows[ok].argmin(1)).tolist()]
+            cols = list(zip(*out, strict=True)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["passage", "term"])
 
     return run
 
 
-def _scan(items: list[tuple[int, bytes]], width: int, slop: int, keep_hits: bool, often: list[tuple[int, int]]):
-    """Answers from stored postings, a slice of about CHUNK_WORDS words at a time."""
+class Postings:
+    """The lists of one document."""
+
+    def __init__(self, n_words: int, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray):
+        self.n, self.terms = n_words, terms  # sorted
+        begin = np.cumsum(counts) - counts
+        self.count, self.begin, self.position = counts, begin, positions
+        self.key = np.repeat(np.arange(len(terms)), counts) << 40 | positions  # term number and position, sorted
+        self.cover = np.zeros(n_words + 1, np.int64)
+
+    def search(self, terms: np.ndarray, often: np.ndarray, width: int, slop: int = 0, near_terms: int = NEAR_TERMS) -> tuple[np.ndarray, int]:
+        """Starts of the windows of a passage in this document, and the windows' length.
+
+        slop 0: exact phrases. Above: windows whose `near_terms` rarest terms, of all documents, each stand at most
+        `slop` words from where the phrase would have them; such a start may lie before the document.
+        """
+        w, none = min(width, len(terms)), np.zeros(0, np.int64)
+        if not len(self.terms):
+            return none, w
+        k = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        number = np.where(self.terms[k] == terms, k, -1)
+        rank = np.argsort(np.lib.stride_tricks.sliding_window_view(np.where(often > 0, often, np.iinfo(np.int64).max), w), axis=1, kind="stable")
+        if slop:
+            rank = rank[:, :near_terms]
+        begin = np.arange(len(rank))
+        asked = number[begin[:, None] + rank]
+        live = np.flatnonzero((asked >= 0).all(1))
+        if not len(live):
+            return none, w
+        # the rarest term's list, less its offset, gives the starts
+        t = asked[live, 0]
+        c = self.count[t]
+        win = np.repeat(live, c)
+        start = self.position[np.repeat(self.begin[t] - (np.cumsum(c) - c), c) + np.arange(c.sum())] - rank[win, 0]
+        if slop == 0:
+            ok = (start >= 0) & (start + w <= self.n)
+            win, start = win[ok], start[ok]
+        for j in range(1, rank.shape[1]):
+            if not len(win):
+                break
+            spot = start + rank[win, j]
+            low = asked[win, j] << 40
+            at = np.searchsorted(self.key, low + np.maximum(spot - slop, 0))
+            ok = (spot + slop >= 0) & (at < len(self.key))
+            ok[ok] = self.key[at[ok]] <= (low + spot + slop)[ok]
+            win, start = win[ok], start[ok]
+        return start, w
+
+
+FOUND = "uid long, passage long, exact boolean, n_hit long"
+
+
+def _search(width: int, slop: int):
+    """Of rows sorted by document, its postings first and then the passages to search, those that match; and n_hit of each document."""
 
     def run(batches):
-        win = Windows(items, width)
-        total = np.zeros(len(win.vocab), np.int64)
-        if often:
-            k, c = np.array(often, np.int64).T
-            total[k] = c
-        for whole in batches:
-            ends = np.cumsum(whole.column(whole.schema.get_field_index("n_words")).to_numpy(zero_copy_only=False))
-            cuts = np.append(np.flatnonzero(np.diff(ends // CHUNK_WORDS, prepend=0)), len(ends))
-            for i, j in zip([0, *cuts[:-1]], cuts, strict=True):
-                if i == j:
+        doc, uid = None, None
+        for batch in batches:
+            out = []
+
+            def done():
+                hit = int((np.cumsum(doc.cover[:-1]) > 0).sum())
+                if hit:
+                    out.append((uid, None, True, hit))
+
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("uid", "kind", "passage", "n_words", "terms", "counts", "positions")}
+            lists = {c: (cols[c].offsets.to_numpy(), cols[c].values.to_numpy(zero_copy_only=False)) for c in ("terms", "counts", "positions")}
+            cut = lambda c, i: lists[c][1][lists[c][0][i] : lists[c][0][i + 1]].astype(np.int64)
+            for i, (u, kind, passage, n) in enumerate(zip(*(cols[c].to_pylist() for c in ("uid", "kind", "passage", "n_words")), strict=True)):
+                if kind == 0:
+                    if doc is not None:
+                        done()
+                    doc, uid = Postings(n, cut("terms", i), cut("counts", i), cut("positions", i)), u
                     continue
-                batch = whole.slice(i, j - i)
-                n = batch.column(batch.schema.get_field_index("n_words")).to_numpy(zero_copy_only=False)
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                row = np.repeat(np.arange(j - i), n)
-                n_places, place = _flat(batch, "positions")
-                term = np.full(len(row), -1, np.int32)
-                term[np.repeat(bounds[:-1], n_places) + place] = np.repeat(np.searchsorted(win.vocab, _flat(batch, "terms")[1].view(np.uint64)), _flat(batch, "counts")[1])
-                w, start, home = win.search(term, row, total)
-                cover = np.zeros(len(row) + 1, np.int64)
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + win.length[w], -1)
-                hit = np.cumsum(cover[:-1]) > 0
-                found = _items(home, win.owner[w], j - i)
-                nw, _, nh = win.search(term, row, total, slop) if slop else (w, start, home)
-                near = _items(nh, win.owner[nw], j - i)
-                bits = [np.packbits(hit[bounds[k] : bounds[k + 1]]).tobytes() if keep_hits and found[k] else None for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key", "n_words")), pa.array(bits, pa.binary()), pa.array(np.bincount(row, weights=hit, minlength=j - i).astype(np.int64)), pa.array(found, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))],
-                    names=["doc_id", "text_key", "n_words", "hits", "n_hit", "items", "near"],
-                )
+                terms, often = cut("terms", i), cut("counts", i)
+                start, w = doc.search(terms, often, width)
+                np.add.at(doc.cover, start, 1)
+                np.add.at(doc.cover, start + w, -1)
+                if len(start):
+                    out.append((u, passage, True, None))
+                elif slop and len(doc.search(terms, often, width, slop)[0]):
+                    out.append((u, passage, False, None))
+            yield _found(out)
+        if doc is not None:
+            out = []
+            hit = int((np.cumsum(doc.cover[:-1]) > 0).sum())
+            yield _found([(uid, None, True, hit)] if hit else [])
 
     return run
 
 
-def _items(home: np.ndarray, owner: np.ndarray, n: int) -> list[list[str]]:
-    out: list[list[str]] = [[] for _ in range(n)]
-    if len(home):
-        for d, item in np.unique(np.stack([home, owner], 1), axis=0).tolist():
-            out[d].append(str(item))
-    return [sorted(x) for x in out]
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["uid", "passage", "exact", "n_hit"])
 
 
-def match(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document row: doc_id, text_key, n_words, n_hit, items (exact phrase matches), near (proximity matches).
+def match(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, block_words: int = PIECE) -> DataFrame:
+    """One row per document row: doc_id, text_key, n_words, n_hit, items (exact phrase matches), near (proximity matches, exact ones among them).
 
-    Null and empty texts have no words and no items. Items without words match nothing; repeated items count once by
-    item_id, rows with a null item_id take part under the name "null" through hits alone.
+    Null and empty texts have no words and no items; so have all if the benchmark is empty. Items without words match
+    nothing; items that repeat an item_id count once; a null item_id takes part in n_hit and has no name in items.
+    Repeated document rows are rows of their own. Texts and items of any length are searched whole; other columns are
+    not read. block_words: words of an item in one passage.
     """
-    parts, stored = [], []
-    for b, index in (found := list(_stored(docs, benchmark, width, block_words))):
-        often = [tuple(r) for r in index.select("terms", "counts").mapInArrow(_totals(b, width), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()]  # at most a block's terms
-        parts.append(index.mapInArrow(_scan(b, width, slop, len(found) > 1, often), OUT))
-        stored.append(index)
-    if len(parts) == 1:
-        return parts[0].drop("hits")
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    # the bits of a document's hits in several blocks are joined by OR; rows that repeat a document are alike, so one is kept and then multiplied
-    times = stored[0].groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
-    one = whole.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("hits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
-    count = F.udf(lambda bits: int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits])).sum()) if bits else 0, "long")
-    both = one.join(times, one["doc_id"].eqNullSafe(times["doc_id"]) & (one["text_key"] == times["text_key"])).select(one["doc_id"], one["text_key"], "n_words", count("bits").alias("n_hit"), "items", "near", "times")
-    return both.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("i", "times")
-
-
-def _stored(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int) -> Iterator[tuple[list[tuple[int, bytes]], DataFrame]]:
-    """Each block of the benchmark and the postings of its terms, written to the shared folder and read back."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")
-    for b in _limited(benchmark_blocks(named, block_words)):
-        yield b, stage(keyed.mapInArrow(_index(b, width), INDEX), "postings")
-
-
-def postings(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The stored index, a row for each term and document: term (64-bit hash), doc_id, text_key, positions in order, for the terms of the benchmark."""
+    pieces = passages(benchmark, width, block_words)
+    known = bitmap(pieces.select(F.explode("terms").alias("term")))
+    idx = index(docs, known)
+    pieces = stage(pieces, "passages")
+    one = pieces.groupBy("passage").agg(F.first("terms").alias("terms"))
+    total = idx.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n"))
+    often = one.select("passage", F.posexplode("terms").alias("at", "term")).join(total, "term", "left").groupBy("passage").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("often"))
+    asked = stage(one.join(often, "passage"), "asked")
+    wanted = asked.mapInArrow(_rarest(width, slop, NEAR_TERMS), "passage long, term long").distinct()
+    salt, every = F.pmod("uid", F.lit(SALT)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    places = idx.select("uid", salt, F.explode("terms").alias("term"))
+    may = stage(places.join(wanted.select("*", every), ["term", "salt"]).select("uid", "passage", "salt").distinct(), "candidates")
+    ask = may.join(asked.select("*", every), ["passage", "salt"]).select("uid", F.lit(1).alias("kind"), "passage", F.lit(0).cast("long").alias("n_words"), "terms", F.col("often").alias("counts"), F.lit(None).cast("array<int>").alias("positions"))
+    lists = idx.join(may.select("uid").distinct(), "uid", "left_semi").select("uid", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("passage"), "n_words", "terms", F.col("counts").cast("array<long>").alias("counts"), "positions")
+    found = stage(lists.unionByName(ask).repartition("uid").sortWithinPartitions("uid", "kind", "passage").mapInArrow(_search(width, slop), FOUND), "found")
+    hits = found.where("n_hit is not null").select("uid", "n_hit")
+    named = found.where("passage is not null").join(pieces.select("passage", "item_id"), "passage")
+    ids = lambda c: F.array_sort(F.collect_set(c))
+    items = named.groupBy("uid").agg(ids(F.when(F.col("exact"), F.col("item_id"))).alias("items"), ids("item_id").alias("near"))
+    none = F.array().cast("array<string>")
+    x = idx.select("uid", "doc_id", "text_key", "n_words").join(hits, "uid", "left").join(items, "uid", "left")
+    return x.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"))
+
+
+def postings(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The stored index, a row for each term and document row: term (64-bit hash), doc_id, text_key, positions in order, for the terms of the benchmark."""
+    terms = passages(benchmark, width).select(F.explode("terms").alias("term"))
     before = "aggregate(slice(counts, 1, i), 0, (a, x) -> a + x)"
-    parts = [x.selectExpr("*", "posexplode(terms) AS (i, term)").selectExpr("term", "doc_id", "text_key", f"transform(slice(positions, {before} + 1, counts[i]), x -> CAST(x AS BIGINT)) AS positions") for _, x in _stored(docs, benchmark, width, block_words)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out if len(parts) == 1 else out.dropDuplicates(["term", "doc_id", "text_key"])
-
-
-def _limited(blocks, most: int = 1000):
-    for k, b in enumerate(blocks):
-        if k >= most:
-            raise ValueError("the benchmark has over 1000 blocks; raise block_words")
-        yield b
+    x = index(docs, bitmap(terms)).selectExpr("*", "posexplode(terms) AS (i, term)").selectExpr("term", "doc_id", "text_key", f"transform(slice(positions, {before} + 1, counts[i]), x -> CAST(x AS BIGINT)) AS positions")
+    return x.join(terms.distinct(), "term", "left_semi")
 
 
 def contaminated(n_hit, n_words):
@@ -300,7 +284,11 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are not contaminated, with the columns they came with."""
+    """Pipeline stage: documents that are not contaminated, with the columns they came with.
+
+    Rows are told apart by doc_id and text, so repeated rows share their fate; null and empty texts have no words and
+    stay; an empty table stays empty, and without a benchmark all stay.
+    """
     m = match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0)
     bad = m.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_key"]), "left_anti")
