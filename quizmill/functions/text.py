@@ -149,8 +149,13 @@ def canonical(c: Column, aliases: dict[str, list[str]] | None = None) -> Column:
 
 
 def unigrams(c: Column, aliases: dict[str, list[str]] | None = None, stop: list[str] | None = None) -> Column:
+    return unigrams_of(canonical(c, aliases), stop)
+
+
+def unigrams_of(c: Column, stop: list[str] | None = None) -> Column:
+    """Of a canonical text, the tokens that count."""
     stop = RETRIEVAL_STOP if stop is None else stop
-    raw = F.regexp_extract_all(canonical(c, aliases), F.lit("[a-z0-9_]+"), F.lit(0))
+    raw = F.regexp_extract_all(c, F.lit("[a-z0-9_]+"), F.lit(0))
     return F.filter(raw, lambda t: ((F.length(t) > 2) | t.isin(*SHORT_TERMS)) & (~t.isin(*stop) if stop else F.lit(True)))
 
 

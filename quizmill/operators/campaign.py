@@ -138,3 +138,9 @@ def agreement(findings: DataFrame, a: str, b: str) -> DataFrame:
     side = lambda j, n: findings.where(F.col("judge_id") == j).select("subject", "flag", F.col("detected").alias(n))
     both = side(a, "x").join(side(b, "y"), ["subject", "flag"])
     return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("x") == F.col("y")).alias("agreements"), F.round(F.avg((F.col("x") == F.col("y")).cast("double")), 6).alias("rate"))
+
+
+def disagreements(findings: DataFrame, a: str, b: str) -> DataFrame:
+    """(subject, flag, first_detected, second_detected) of what two judges see differently."""
+    side = lambda j, n: findings.where(F.col("judge_id") == j).select("subject", "flag", F.col("detected").alias(n))
+    return side(a, "first_detected").join(side(b, "second_detected"), ["subject", "flag"]).where("first_detected <> second_detected")

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
 from quizmill.operators.generators import promote, split_pool
+from quizmill.sources.staging import stage
 
 #: Words that say nothing about what an objective is for.
-GENERIC = "avaliar compreender conceito conceitos conhecimento conhecimentos conteudo de do da dos das e em o os a as sobre".split()
+GENERIC = [
+    "analisar", "analise", "compreender", "entender", "saber", "responder",
+    "conteudo", "assunto", "tema", "questao", "detalhadamente", "completa",
+    "completo", "o", "a", "de", "do", "da", "e", "um", "uma",
+]
 
 
 def generic_objective(c: Column, words: list[str] | None = None) -> Column:
@@ -129,10 +134,12 @@ def grow_pools(requests: DataFrame, propose: Callable[[DataFrame, int], DataFram
         new = made.join(pool.withColumn("key", T.short_key(F.col("text"))).select("request_id", "key"), ["request_id", "key"], "left_anti").drop("key")
         both = pool.unionByName(new.select("request_id", "text", F.lit(k + 1).cast("long").alias("seq")))
         w = Window.partitionBy("request_id").orderBy("seq", "text")
-        grown = both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= bank).drop("_r").checkpoint()
+        grown = both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= bank).drop("_r")
+        grown = stage(grown, "pools")
         progress = grown.where(F.col("seq") == k + 1).select("request_id").distinct().withColumn("_moved", F.lit(True))
         asked = open_.select("request_id").withColumn("_asked", F.lit(True))
-        idle = idle.join(progress, "request_id", "left").join(asked, "request_id", "left").select("request_id", F.when(F.col("_moved").isNotNull(), 0).when(F.col("_asked").isNotNull(), F.col("idle") + 1).otherwise(F.col("idle")).alias("idle")).checkpoint()
+        idle = idle.join(progress, "request_id", "left").join(asked, "request_id", "left").select("request_id", F.when(F.col("_moved").isNotNull(), 0).when(F.col("_asked").isNotNull(), F.col("idle") + 1).otherwise(F.col("idle")).alias("idle"))
+        idle = stage(idle, "idle")
         pool = grown
     order = Window.partitionBy("request_id").orderBy("seq", "text")
     return split_pool(pool.withColumn("i", F.row_number().over(order)), "request_id", "i", want).select("request_id", "i", "text", "place", "role")

@@ -13,7 +13,7 @@ VISUAL = r"(?iu)\b(figura|imagem|gráfico|grafico|diagrama abaixo|tabela abaixo|
 
 
 def length_ratio(answer: Column, rest: Column) -> Column:
-    """Words of the key over the median of the others (a median of 0 counts as 1)."""
+    """Words of the key over the median of the others (a median of 0 counts as 1, one of a half as it is)."""
     s = F.array_sort(F.transform(rest, lambda x: F.size(T.words(x))))
     n = F.size(s)
     mid = (F.try_element_at(s, (F.floor((n + 1) / 2)).cast("int")) + F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))) / 2

@@ -31,8 +31,24 @@ def when(cond: Column, evidence: Column | str) -> Column:
     return F.when(cond, F.lit(evidence) if isinstance(evidence, str) else evidence)
 
 
+def prepared(items: DataFrame) -> DataFrame:
+    """items with the normalised texts that several rules look at, each worked out once; columns nobody reads are pruned."""
+    have, out = set(items.columns), {}
+    text = lambda c: F.coalesce(c, F.lit(""))
+    if "enunciado" in have:
+        out |= {"_s3": T.words_folded(C("enunciado")), "_s4": T.spaces_folded(C("enunciado")), "_s6": T.plain_folded(C("enunciado"))}
+    if "resposta_correta" in have:
+        out |= {"_a3": T.words_folded(C("resposta_correta"))}
+    if {"enunciado", "alternativas"} <= have:
+        o = F.transform("alternativas", text)
+        out |= {"_whole": F.concat_ws(" ", text(C("enunciado")), F.array_join(o, " ")), "_sizes": F.transform(o, lambda x: F.size(T.words(x)))}
+    wide = items.select("*", *(c.alias(k) for k, c in out.items()))
+    return wide.withColumn("_n4", T.spaces_folded(C("_whole"))).withColumn("_n6", T.plain_folded(C("_whole"))) if "_whole" in out else wide
+
+
 def flags(items: DataFrame, rules: list[Rule], key: str = "item_id") -> DataFrame:
     """(key, code, stage, field, evidence, repair): one row for each item and rule that applies."""
+    items = prepared(items)
     one = lambda r: F.when(r.evidence.isNotNull(), F.struct(F.lit(r.code).alias("code"), F.lit(r.stage).alias("stage"), F.lit(r.field).alias("field"), r.evidence.cast("string").alias("evidence"), F.lit(r.repair).alias("repair")))
     return items.select(key, F.explode(F.array_compact(F.array(*map(one, rules)))).alias("f")).select(key, "f.*")
 
@@ -83,10 +99,10 @@ def mask_of(prefix: Column) -> Column:
     return F.concat_ws(".", *(octet(k) for k in range(4)))
 
 
-def expected_prefix(stem: Column) -> Column:
+def expected_prefix(stem: Column, s: Column | None = None) -> Column:
     """Of a stem that splits a network /n into equal parts: n and the bits that so many parts take; null if there is none or it is over 32."""
     base = F.nullif(F.regexp_extract(stem, r"\b(?:\d{1,3}\.){3}\d{1,3}/(\d{1,2})\b", 1), F.lit("")).cast("int")
-    said = F.regexp_extract(T.words_folded(stem), r"\b(?:dividir|subdividir|segmentar|separar)\w*.{0,120}?\b(?:em|para)\s+(\d+|duas|tres|quatro|cinco|seis|sete|oito|dezesseis)\s+(?:sub\s*redes?|partes|blocos)\s+iguais\b", 1)
+    said = F.regexp_extract(T.words_folded(stem) if s is None else s, r"\b(?:dividir|subdividir|segmentar|separar)\w*.{0,120}?\b(?:em|para)\s+(\d+|duas|tres|quatro|cinco|seis|sete|oito|dezesseis)\s+(?:sub\s*redes?|partes|blocos)\s+iguais\b", 1)
     names = {"duas": 2, "tres": 3, "quatro": 4, "cinco": 5, "seis": 6, "sete": 7, "oito": 8, "dezesseis": 16}
     n = F.when(said.rlike(r"^\d{1,9}$"), F.try_to_number(F.when(said.rlike(r"^\d{1,9}$"), said), F.lit("999999999")).cast("int"))
     for word, k in names.items():
@@ -97,6 +113,7 @@ def expected_prefix(stem: Column) -> Column:
 
 # ---------------------------------------------------------------- detectors on stems
 
+#: Patterns of the detectors.
 COMMAND = r"\b(?:assinale|selecione|indique|identifique|classifique|determine|calcule|avalie|aponte|escolha|informe|marque|qual|quais|que alternativa|que opcao)\b"
 FUNCTION = r"\b(?:deve|devera)\s+(?:permitir|gerar|registrar|calcular|emitir|enviar|armazenar|consultar|atualizar|processar|realizar|exibir|produzir|fornecer|autenticar)\b"
 QUALITY = r"\b(?:tempo maximo|tempo de resposta|\d+(?:[.,]\d+)?\s*(?:ms|milissegundos?|segundos?|minutos?)|disponibilidade|desempenho|seguranca|confiabilidade|usabilidade|capacidade|latencia|criptografia|99[.,]\d+\s*%)\b"
@@ -106,18 +123,19 @@ TWO_TASKS = r"\b(?:enderecamento|mascara|sub\s*rede).{0,80}\b(?:e|com)\b.{0,80}\
 NON_FUNCTIONAL = r"(?i)\b(?:segundos?|milissegundos?|simult[aâ]neos?|autenticad[oa]s?|seguran[cç]a|desempenho|disponibilidade|confiabilidade|usabilidade|capacidade|tempo de resposta)\b"
 
 
-def has_command(stem: Column) -> Column:
-    return stem.contains("?") | T.words_folded(stem).rlike(COMMAND)
+def has_command(stem: Column, s: Column | None = None) -> Column:
+    return stem.contains("?") | (T.words_folded(stem) if s is None else s).rlike(COMMAND)
 
 
-def mixed_focus(stem: Column, answer: Column) -> Column:
-    s, a = T.words_folded(stem), T.words_folded(answer)
+def mixed_focus(stem: Column, answer: Column, s: Column | None = None, a: Column | None = None) -> Column:
+    s, a = T.words_folded(stem) if s is None else s, T.words_folded(answer) if a is None else a
     about = a.contains("requisito nao funcional") | a.contains("requisito funcional") | a.isin("nao funcional", "funcional")
     return about & s.rlike(FUNCTION) & s.rlike(QUALITY) & ~s.rlike(FOCUS)
 
 
-def several_concepts(stem: Column, answer: Column) -> Column:
-    return prefix_of(answer).isNotNull() & (T.words_folded(answer).rlike(ROUTING) | T.words_folded(stem).rlike(TWO_TASKS))
+def several_concepts(stem: Column, answer: Column, s: Column | None = None, a: Column | None = None) -> Column:
+    s, a = T.words_folded(stem) if s is None else s, T.words_folded(answer) if a is None else a
+    return prefix_of(answer).isNotNull() & (a.rlike(ROUTING) | s.rlike(TWO_TASKS))
 
 
 def formulaic(c: Column) -> Column:
@@ -131,6 +149,7 @@ def repeated_numeral(c: Column) -> Column:
     return F.size(found) != F.size(F.array_distinct(found))
 
 
+#: Pairs that are both valid, and learning paradigms.
 OPPOSITES = [
     ("aprendizado supervisionado", "aprendizado nao supervisionado"), ("aprendizagem supervisionada", "aprendizagem nao supervisionada"),
     ("funcional", "nao funcional"), ("requisito funcional", "requisito nao funcional"), ("requisitos funcionais", "requisitos nao funcionais"),
@@ -159,22 +178,22 @@ def family(answer: Column, stem: Column) -> Column:
 
 
 def stem_rules() -> list[Rule]:
-    """On enunciado, resposta_correta, explicacao, competencia, habilidade, objeto_conhecimento, tem_imagem, recurso_visual; `referencia_ratio` where a reference was compared."""
+    """On enunciado, resposta_correta, explicacao, competencia, habilidade, objeto_conhecimento, tem_imagem, recurso_visual; `referencia_ratio` where a reference was compared; in `flags`, which prepares the columns."""
     stem, answer = F.coalesce("enunciado", F.lit("")), F.coalesce("resposta_correta", F.lit(""))
-    s, a = T.words_folded(stem), T.words_folded(answer)
+    s, a = C("_s3"), C("_a3")
     rule = lambda code, field, evidence: Rule(code, "NUCLEO", field, "NUCLEO", evidence)
     blank = lambda code, field: rule(code, field, when(F.trim(F.coalesce(field, F.lit(""))) == "", "campo vazio"))
-    expected, got = expected_prefix(stem), prefix_of(answer)
+    expected, got = expected_prefix(stem, s), prefix_of(answer)
     labels = F.array_distinct(F.regexp_extract_all(stem, F.lit(r"(?<![\p{L}\p{N}_])([A-E])\)\s+"), F.lit(1)))
     parts = F.filter(F.regexp_extract_all(stem, F.lit(r"(?i)REQ\d+\s*[–—:-]\s*(.*?)(?=;\s*REQ\d+\b|\.\s*Qual\b|$)"), F.lit(1)), lambda x: x.rlike(NON_FUNCTIONAL))
     return [
         rule("enunciado_ausente_ou_curto", "enunciado", when(F.length(F.trim(stem)) < 40, F.concat(F.length(F.trim(stem)), F.lit(" caracteres")))),
         blank("resposta_correta_ausente", "resposta_correta"), blank("explicacao_ausente", "explicacao"), blank("competencia_ausente", "competencia"),
         blank("habilidade_ausente", "habilidade"), blank("objeto_conhecimento_ausente", "objeto_conhecimento"),
-        rule("questao_multiconceito", "enunciado", when(several_concepts(stem, answer), "duas decisões num item: sub-rede e roteamento")),
+        rule("questao_multiconceito", "enunciado", when(several_concepts(stem, answer, s, a), "duas decisões num item: sub-rede e roteamento")),
         rule("gabarito_ipv4_inconsistente", "resposta_correta", when(expected != got, F.concat(F.lit("esperado /"), expected, F.lit(", gabarito /"), got))),
-        rule("comando_da_questao_ausente", "enunciado", when(~has_command(stem), "nenhuma pergunta ou tarefa explícita")),
-        rule("mistura_funcional_nao_funcional_ambigua", "enunciado", when(mixed_focus(stem, answer), "função e qualidade sem foco explícito")),
+        rule("comando_da_questao_ausente", "enunciado", when(~has_command(stem, s), "nenhuma pergunta ou tarefa explícita")),
+        rule("mistura_funcional_nao_funcional_ambigua", "enunciado", when(mixed_focus(stem, answer, s, a), "função e qualidade sem foco explícito")),
         rule("alternativas_embutidas_no_nucleo", "enunciado", when(F.size(labels) >= 2, listed(labels))),
         rule("gabarito_repetido_no_enunciado", "enunciado", when((a != "") & (F.size(F.split(a, " ")) <= 18) & F.concat(F.lit(" "), s, F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" "))), "o enunciado contém a resposta")),
         rule("formatacao_quebrada", "enunciado", when((F.regexp_count(stem, F.lit(r"\\n")) >= 2) & ~stem.contains("\n"), "quebras de linha como texto")),
@@ -224,6 +243,7 @@ def item_rules() -> list[Rule]:
     ]
 
 
+#: Leak marks, patterns and words of the analyzer.
 LEAKS = ["questionario de percepcao", "rascunho", "area livre", "cartao-resposta", "exame nacional de desempenho dos estudantes"]
 NEGATIVE = r"\b(exceto|incorreta|nao corresponde|nao e)\b"
 ABSOLUTE = r"\b(sempre|nunca|jamais|todos?|nenhum)\b"
@@ -232,19 +252,18 @@ CUE_STOP = ["qual", "quais", "uma", "para", "como", "deve", "pode", "sistema", "
 
 
 def cue_words(stem: Column, answer: Column) -> Column:
-    """Words over three characters that stem and key share."""
-    long_ = lambda c: F.filter(T.plain_tokens(c), lambda w: F.length(w) > 3)
-    return F.array_sort(F.array_intersect(F.filter(long_(stem), lambda w: ~w.isin(*CUE_STOP)), long_(answer)))
+    """Words over three characters that a folded stem and a key share."""
+    long_ = lambda c: F.filter(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 3)
+    return F.array_sort(F.array_intersect(F.filter(long_(stem), lambda w: ~w.isin(*CUE_STOP)), long_(T.plain_folded(answer))))
 
 
 def analyzer_rules() -> list[Rule]:
     """The assembled item, on enunciado, alternativas, correta, tem_imagem, recurso_visual."""
     stem, o, c = F.coalesce("enunciado", F.lit("")), F.transform("alternativas", lambda x: F.coalesce(x, F.lit(""))), C("correta")
-    whole = F.concat_ws(" ", stem, F.array_join(o, " "))
-    n, sizes = T.spaces_folded(whole), F.transform(o, lambda x: F.size(T.words(x)))
+    whole, n, sizes = C("_whole"), C("_n4"), C("_sizes")
     key, mine = key_of(o, c), key_of(sizes, c)
     rest = T.spaces_folded(F.array_join(others(o, c), " "))
-    cues = F.filter(cue_words(stem, key), lambda w: ~rest.contains(w))
+    cues = F.filter(cue_words(C("_s6"), key), lambda w: ~rest.contains(w))
     marks = F.regexp_extract_all(whole, F.lit(r"<\s*[A-Z][A-Z0-9_-]*\s*>"), F.lit(0))
     leaks = F.filter(F.array(*map(F.lit, LEAKS)), lambda m: n.contains(m))
     absolute, vague = F.regexp_extract_all(n, F.lit(ABSOLUTE), F.lit(1)), F.regexp_extract_all(n, F.lit(VAGUE), F.lit(1))
@@ -259,28 +278,29 @@ def analyzer_rules() -> list[Rule]:
         rule("formatacao_quebrada", "alternativas", when(F.exists(o, lambda x: F.trim(x) == ""), "alternativa vazia"), "DISTRATORES"),
         rule("iwf_gabarito_mais_longo", "alternativas", when((mine == F.array_max(sizes)) & (F.size(F.filter(sizes, lambda x: x == mine)) == 1) & (mine >= F.array_min(sizes) + 2), F.array_join(sizes.cast("array<string>"), ", ")), "DISTRATORES"),
         rule("iwf_repeticao_entrega_gabarito", "enunciado", when(F.size(cues) > 0, F.array_join(cues, ", "))),
-        rule("iwf_comando_negativo", "enunciado", when(T.spaces_folded(stem).rlike(NEGATIVE), "comando negativo")),
+        rule("iwf_comando_negativo", "enunciado", when(C("_s4").rlike(NEGATIVE), "comando negativo")),
         rule("iwf_termo_absoluto", "questao", when(F.size(absolute) > 0, listed(absolute))),
         rule("iwf_termo_vago", "questao", when(F.size(vague) > 0, listed(vague))),
     ]
 
 
+#: Criteria that need a judge.
 IWF_SEMANTIC = ["ambiguous_information", "convergence_cues", "grammatical_cues", "gratuitous_information", "implausible_distractors", "logical_cues", "more_than_one_correct", "unfocused_stem"]
 
 
 def iwf_vector(items: DataFrame, key: str = "item_id", judged: list[str] | None = None) -> DataFrame:
     """key, 19 nullable criteria, n_flaws, n_unresolved, classification. Semantic criteria come from columns named in `judged`, else they stay null, unresolved."""
     stem, o, c = F.coalesce("enunciado", F.lit("")), F.transform("alternativas", lambda x: F.coalesce(x, F.lit(""))), C("correta")
-    n, sizes = T.plain_folded(F.concat_ws(" ", stem, F.array_join(o, " "))), F.transform(o, lambda x: F.size(T.words(x)))
+    items, n, sizes = prepared(items), C("_n6"), C("_sizes")
     mine, answer = key_of(sizes, c), F.coalesce(key_of(o, c), F.lit(""))
-    rest, cues = T.plain_folded(F.array_join(others(o, c), " ")), cue_words(stem, answer)
+    rest, cues = T.plain_folded(F.array_join(others(o, c), " ")), cue_words(C("_s6"), answer)
     per = lambda p: F.exists(o, lambda x: T.plain_folded(x).rlike(p))
     out = {
         "longest_option_correct": F.coalesce((mine == F.array_max(sizes)) & (mine >= F.greatest(F.lit(3), F.array_min(sizes) + 2)), F.lit(False)),
         "true_or_false": F.size(F.filter(o, lambda x: T.plain_folded(x).rlike(r"^\s*(verdadeir[oa]|fals[oa]|sim|nao)\s*\.?$"))) >= 2,
         "absolute_terms": n.rlike(ABSOLUTE),
         "complex_k_type": F.array_join(o, " ").rlike(r"\b(?:I|II|III|IV|V)(?:\s*(?:,|e)\s*(?:I|II|III|IV|V))+"),
-        "negatively_worded": T.plain_folded(stem).rlike(NEGATIVE),
+        "negatively_worded": C("_s6").rlike(NEGATIVE),
         "lost_sequence": F.lit(False),
         "none_of_the_above": per(r"\bnenhuma das (?:alternativas|anteriores)\b"),
         "all_of_the_above": per(r"\btodas as (?:alternativas|anteriores)\b"),
@@ -300,20 +320,22 @@ def triage(items: DataFrame, key: str = "item_id") -> DataFrame:
     """Review flags and metrics of items against their specification (spec_objetivo, spec_objeto): key, flags (array), six metrics."""
     stem, o, c = F.trim(F.coalesce("enunciado", F.lit(""))), F.transform("alternativas", lambda x: F.trim(F.coalesce(x, F.lit("")))), C("correta")
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
-    expected, made = T.triage_words(F.concat_ws(" ", "spec_objetivo", "spec_objeto")), T.triage_words(F.concat_ws(" ", "enunciado", "objeto_conhecimento", "competencia", "habilidade"))
-    want, got = T.triage_words(C("spec_objeto")), T.triage_words(C("objeto_conhecimento"))
-    sizes = F.transform(F.filter(o, lambda x: x != ""), lambda x: F.size(T.triage_words(x)))
-    answer = T.triage_words(key_of(o, c))
+    sets = {
+        "_expected": T.triage_words(F.concat_ws(" ", "spec_objetivo", "spec_objeto")), "_made": T.triage_words(F.concat_ws(" ", "enunciado", "objeto_conhecimento", "competencia", "habilidade")),
+        "_want": T.triage_words(C("spec_objeto")), "_got": T.triage_words(C("objeto_conhecimento")), "_answer": T.triage_words(key_of(o, c)),
+        "_lengths": F.transform(F.filter(o, lambda x: x != ""), lambda x: F.size(T.triage_words(x))), "_open": T.plain_folded(stem),
+    }
+    expected, made, want, got, answer, sizes = map(C, ("_expected", "_made", "_want", "_got", "_answer", "_lengths"))
     block = flags(items, [*stem_rules(), *item_rules()], key).groupBy(key).agg(F.count("*").alias("flags_bloqueio"))
     found = F.array_compact(F.array(
-        F.when(T.plain_folded(stem).rlike(r"^(cite|descreva|explique|discorra)\b"), F.lit("comando_resposta_aberta_em_item_objetivo")),
+        F.when(C("_open").rlike(r"^(cite|descreva|explique|discorra)\b"), F.lit("comando_resposta_aberta_em_item_objetivo")),
         F.when(T.plain_folded(F.array_join(o, " ")).rlike("estructura|arquitectura|requisito funcionales"), F.lit("idioma_inconsistente")),
         F.when((F.size(expected) > 0) & (share(expected, made) < 0.20), F.lit("possivel_desalinhamento_com_especificacao")),
         F.when((F.size(want) > 0) & (F.size(got) > 0) & (share(want, got) < 0.20), F.lit("possivel_desalinhamento_do_objeto_conhecimento")),
         F.when((F.size(answer) > 0) & ~F.arrays_overlap(answer, T.triage_words(C("explicacao"))), F.lit("explicacao_nao_nomeia_gabarito")),
         F.when(F.array_max(sizes) >= F.greatest(F.lit(4), 3 * F.greatest(F.lit(1), F.array_min(sizes))), F.lit("alternativas_com_extensao_desequilibrada")),
     ))
-    x = items.select(key, found.alias("flags"), F.length(stem).cast("long").alias("enunciado_caracteres"), F.size(o).cast("long").alias("alternativas"), F.round(share(expected, made), 3).alias("sobreposicao_especificacao"), F.round(share(want, got), 3).alias("sobreposicao_objeto_conhecimento"))
+    x = items.select("*", *(v.alias(k) for k, v in sets.items())).select(key, found.alias("flags"), F.length(stem).cast("long").alias("enunciado_caracteres"), F.size(o).cast("long").alias("alternativas"), F.round(share(expected, made), 3).alias("sobreposicao_especificacao"), F.round(share(want, got), 3).alias("sobreposicao_objeto_conhecimento"))
     return x.join(block, key, "left").withColumn("flags_bloqueio", F.coalesce("flags_bloqueio", F.lit(0)).cast("long")).withColumn("flags_revisao", F.size("flags").cast("long"))
 
 

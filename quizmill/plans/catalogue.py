@@ -17,7 +17,7 @@ R = lambda c, n=6: F.round(c, n)
 long = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
 EDGES = ", ".join(f"('{a}', '{b}')" for a, b in lifecycle.EDGES)
 STOP = ["the", "and", "les", "der"]
-HINTS = {"english": "the and that with this", "french": "les des que pour dans", "german": "der die und das nicht", "spanish": "los las que por con"}
+HINTS = {"english": ["the", "and", "that", "with", "this"], "french": ["les", "des", "que", "pour", "dans"], "german": ["der", "die", "und", "das", "nicht"], "spanish": ["los", "las", "que", "por", "con"]}
 
 
 def query(sql: str | None = None):
@@ -41,29 +41,89 @@ posts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERM
 lens AS (SELECT doc_id, sum(tf) AS len FROM posts GROUP BY 1), dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY 1)"""
 
 
+_TOTAL = "tot AS (SELECT count(*) AS n, coalesce(sum(len), 0) / count(*) AS avg_len FROM documents LEFT JOIN lens USING (doc_id))"
+_SCORED = "sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len)))"
+
+
 @query(f"""
-WITH {_POSTINGS}, tot AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
+WITH {_POSTINGS}, {_TOTAL},
 q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT item_id, {_UNI('text')} AS u FROM benchmark))),
-scored AS (
-  SELECT item_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS score
-  FROM q JOIN posts p USING (term) JOIN dfs USING (term) JOIN lens ON lens.doc_id = p.doc_id, tot GROUP BY ALL)
+scored AS (SELECT item_id, p.doc_id, round({_SCORED}, 6) AS score FROM q JOIN posts p USING (term) JOIN dfs USING (term) JOIN lens ON lens.doc_id = p.doc_id, tot GROUP BY ALL)
 SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 3""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     x = retrieval.bm25(table(spark, d, "documents"), "doc_id", F.col("text"), table(spark, d, "benchmark"), "item_id", F.col("text"), {}, STOP)
     return retrieval.top_k(x.withColumn("score", R(F.col("bm25"))), "item_id", "doc_id", "score", 3).select("item_id", "doc_id", "score", long("rank").alias("rank"))
 
 
+NAMES = {"conj_the": ["and the", "of the"], "prep_la": ["de la"], "prep_los": ["de los", "que los"]}  # aliases of the tables' own kind
+_AREA = "CASE lang WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spánish' WHEN 'fr' THEN 'old french prose' END"
+_EXAM = "CASE doc_id % 5 WHEN 0 THEN 'ENADE' WHEN 1 THEN 'ENEM' ELSE 'ACERVO_LOCAL' END"
+_COURSE = "CASE item_id % 4 WHEN 0 THEN 'SRC1' WHEN 1 THEN 'src3' ELSE '' END"
+
+
+def _retrieval(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"), F.expr(_AREA).alias("area"), F.col("source").alias("curso"), F.expr(_EXAM).alias("exame"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("objeto_conhecimento"), F.array("source", "lang").alias("palavras_chave"), F.lit("de la").alias("subarea"), F.col("source").alias("habilidade"))
+    specs = table(spark, d, "benchmark").select(F.col("item_id").alias("spec_id"), F.col("text").alias("query"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("objeto"), F.expr(_COURSE).alias("curso"), F.lit(None).cast("string").alias("componente"), F.lit("ENADE").alias("exame"))
+    return docs, specs
+
+
 @query()
 def retrieval_full(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"), F.col("lang").alias("area"), F.lit(None).cast("string").alias("curso"), F.lit(None).cast("string").alias("componente"), F.lit("ACERVO_LOCAL").alias("exame"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("objeto_conhecimento"), F.array("source").alias("palavras_chave"))
-    specs = table(spark, d, "benchmark").select(F.col("item_id").alias("spec_id"), F.col("text").alias("query"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("objeto"), F.lit(None).cast("string").alias("curso"), F.lit(None).cast("string").alias("componente"), F.lit("ENADE").alias("exame"))
-    return retrieval.hybrid(docs, specs, {}, STOP, HINTS, fuzzy=True, k=3)
+    """All parts of the score; likeness of strings has no SQL."""
+    return retrieval.hybrid(*_retrieval(spark, d), NAMES, STOP, HINTS, fuzzy=True, k=3)
+
 
+def _canon(x: str) -> str:
+    """`functions.text.canonical` in SQL. Separators are doubled, so that two aliases side by side do not share one, and halved at the end."""
+    x = rf"regexp_replace({_ASCII(f'coalesce({x}, {chr(39) * 2})')}, '([^a-z0-9_])', '\1\1', 'g')"
+    for alias, name in sorted(((a, k) for k, names in NAMES.items() for a in names), key=lambda p: -len(p[0])):
+        x = rf"regexp_replace({x}, '(^|[^a-z0-9_]){alias.replace(' ', '  ')}($|[^a-z0-9_])', '\1{name}\2', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({x}, '([^a-z0-9_])[^a-z0-9_]', '\1', 'g'), '\s+', ' ', 'g'), ' ')"
 
-@query(f"WITH {_POSTINGS} SELECT term, df FROM dfs WHERE df >= 5")
+
+_TOKENS = lambda c: f"list_filter(regexp_extract_all({c}, '[a-z0-9_]+'), lambda t: (length(t) > 2 OR t IN ('ip', 'ia', 'p', 'np')) AND t NOT IN ({', '.join(repr(s) for s in STOP)}))"
+_LEXICAL = f"""
+rec AS (SELECT doc_id, {_AREA} AS area, source AS curso, {_EXAM} AS exame, array_to_string(string_split(text, ' ')[1:3], ' ') AS obj FROM documents),
+recs AS (SELECT rec.*, {_canon("concat(coalesce(area, ''), ' de la ', source, ' ', coalesce(obj, ''), ' ', source, ' ', lang, ' ', coalesce(text, ''))")} AS flat, {_canon('obj')} AS cobj FROM rec JOIN documents USING (doc_id)),
+toks AS (SELECT doc_id, {_TOKENS('flat')} AS u FROM recs),
+posts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM toks) GROUP BY ALL),
+lens AS (SELECT doc_id, sum(tf) AS len FROM posts GROUP BY 1), dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY 1), {_TOTAL},
+spec AS (SELECT item_id, {_COURSE} AS curso, {_TOKENS(_canon('text'))} AS u, list_distinct({_TOKENS(_canon("array_to_string(string_split(text, ' ')[1:6], ' ')"))}) AS focus FROM benchmark),
+near AS (SELECT item_id, CASE WHEN max(n) > 0 THEN max(struct_pack(n := n, area := area)).area END AS want FROM (
+  SELECT item_id, area, len(list_intersect(list_distinct(list_concat(u, focus)), words)) AS n FROM spec, (VALUES {', '.join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in HINTS.items())}) h(area, words)) GROUP BY item_id),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM spec)),
+base AS (SELECT item_id, p.doc_id, {_SCORED} AS bm25 FROM q JOIN posts p USING (term) JOIN dfs USING (term) JOIN lens ON lens.doc_id = p.doc_id, tot GROUP BY ALL),
+wide AS (SELECT item_id, doc_id, bm25, r.area, want, focus, len(list_intersect(focus, t.u)) AS n_focus, {_ASCII("coalesce(r.area, '')")} AS ra, {_ASCII("coalesce(want, '')")} AS qa,
+    length(cobj) >= 5 AND (contains(array_to_string(list_sort(list_distinct(s.u)), ' '), cobj) OR len(list_filter(focus, lambda f: contains(flat, f))) > 0) AS object_hit
+  FROM base JOIN recs r USING (doc_id) JOIN toks t USING (doc_id) JOIN spec s USING (item_id) JOIN near USING (item_id)
+  WHERE NOT (s.curso <> '' AND lower(s.curso) <> lower(r.curso)) AND NOT (r.exame = 'ENEM')),
+parts AS (SELECT *, 0.45 * n_focus + CASE WHEN object_hit THEN 0.35 ELSE 0 END AS phrase, CASE WHEN want IS NULL OR ra = '' THEN 0 WHEN ra = qa THEN 2.25 WHEN contains(ra, string_split(lower(want), ' ')[1]) THEN 0.75 ELSE 0 END AS area_bonus, n_focus / greatest(1, len(focus)) AS coverage FROM wide),
+good AS (SELECT *, round(bm25 + phrase + area_bonus, 6) AS score FROM parts WHERE len(focus) = 0 OR coverage >= 0.3 OR n_focus >= 2 OR area_bonus >= 2),
+best AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM good WHERE score >= 1.1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM best WHERE score >= greatest(1.1, 0.42 * best)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY r) AS rank FROM placed WHERE r = 1 OR want IS NULL OR coalesce(area, '') = '' OR ra = qa)"""
+
+
+@query(f"WITH {_LEXICAL} SELECT item_id AS spec_id, doc_id AS id, score, CAST(round(phrase, 6) AS DOUBLE) AS phrase, CAST(area_bonus AS DOUBLE) AS area_bonus, round(coverage, 6) AS coverage, rank FROM kept WHERE rank <= 3")
+def retrieval_lexical(spark: SparkSession, d: str) -> DataFrame:
+    x = retrieval.hybrid(*_retrieval(spark, d), NAMES, STOP, HINTS, fuzzy=False, k=3)
+    return x.select("spec_id", "id", "score", R(F.col("phrase")).alias("phrase"), "area_bonus", R(F.col("coverage")).alias("coverage"), "rank")
+
+
+@query(f"""WITH {_LEXICAL}, t AS (SELECT item_id, p.doc_id, round({_SCORED}, 6) AS score, count(*) AS common FROM q JOIN posts p USING (term) JOIN dfs USING (term) JOIN lens ON lens.doc_id = p.doc_id, tot GROUP BY ALL)
+SELECT item_id AS spec_id, doc_id AS id, common, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM t) WHERE rank <= 8""")
+def retrieval_trace(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.trace(*_retrieval(spark, d), NAMES, STOP)
+
+
+@query(f"WITH {_POSTINGS} SELECT term, df FROM dfs")
 def term_df_stats(spark: SparkSession, d: str) -> DataFrame:
-    df, _ = retrieval.statistics(retrieval.postings(table(spark, d, "documents"), "doc_id", F.col("text"), {}, STOP), "doc_id")
-    return df
+    return retrieval.statistics(table(spark, d, "documents"), "doc_id", F.col("text"), {}, STOP)[0]
+
+
+@query(f"WITH {_POSTINGS}, {_TOTAL} SELECT n AS n_docs, round(avg_len, 6) AS avg_len FROM tot")
+def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.statistics(table(spark, d, "documents"), "doc_id", F.col("text"), {}, STOP)[1].select("n_docs", R(F.col("avg_len")).alias("avg_len"))
 
 
 @query(r"SELECT doc_id, lang FROM documents WHERE length(trim(text)) >= 40 AND NOT regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]')")
@@ -84,7 +144,7 @@ def doc_normalised_dupes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH t AS (SELECT doc_id, list_distinct({_UNI('text')}) AS u FROM documents),
-a AS (SELECT doc_id, area, len(list_intersect(u, words)) AS n FROM t, (VALUES {', '.join(f"('{k}', [{', '.join(repr(w) for w in v.split())}])" for k, v in HINTS.items())}) h(area, words))
+a AS (SELECT doc_id, area, len(list_intersect(u, words)) AS n FROM t, (VALUES {', '.join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in HINTS.items())}) h(area, words))
 SELECT doc_id, CASE WHEN max(n) > 0 THEN max(struct_pack(n := n, area := area)).area END AS area FROM a GROUP BY doc_id""")
 def area_inference(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", retrieval.area_of(F.array_distinct(T.unigrams(F.col("text"), {}, STOP)), HINTS).alias("area"))
@@ -96,7 +156,12 @@ def fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuzzy_hits(terms("benchmark", "item_id"), terms("documents", "doc_id"), "item_id", "doc_id").groupBy("item_id").agg(F.count("*").alias("hits"), R(F.max("ratio")).alias("best"))
 
 
-@query()
+@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT doc_id, source || '-n-' || n_chars AS a, md5({_ASCII("coalesce(text, '')")}) AS b, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+r(i, sa, sb, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT)
+  UNION ALL SELECT k.i, CASE WHEN list_contains(sa, a) OR list_contains(sb, b) THEN sa ELSE list_append(sa, a) END, CASE WHEN list_contains(sa, a) OR list_contains(sb, b) THEN sb ELSE list_append(sb, b) END,
+    CASE WHEN list_contains(sa, a) OR list_contains(sb, b) THEN NULL ELSE doc_id END FROM r JOIN k ON k.i = r.i + 1)
+SELECT kept AS doc_id FROM r WHERE kept IS NOT NULL""")
 def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.concat_ws("-", "source", F.lit("n"), F.col("n_chars")).alias("a"), T.ascii_fold(F.col("text")).alias("b"))
     return retrieval.greedy_dedupe(rows.select("doc_id", "a", F.xxhash64("b").alias("b")), "doc_id", ("a", "b")).select("doc_id")
@@ -106,67 +171,144 @@ def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 _WORDS = r"'[\p{L}\p{N}_]+'"
 _PRE = f"""
-pre AS (
+pre AS MATERIALIZED (
   SELECT *, enunciado || ' ' || array_to_string(alternativas, ' ') AS whole, {sql_words_folded('enunciado')} AS s3, {sql_spaces_folded('enunciado')} AS s4,
     {sql_spaces_folded("enunciado || ' ' || array_to_string(alternativas, ' ')")} AS n4, {sql_words_folded('resposta_correta')} AS a3, {sql_spaces_folded('resposta_correta')} AS a4,
     {sql_spaces_folded("array_to_string(distratores, ' ')")} AS rest4, list_transform(alternativas, lambda x: len(regexp_extract_all(x, {_WORDS}))) AS sizes,
     len(regexp_extract_all(resposta_correta, {_WORDS})) AS mine, {sql_fold("enunciado || ' ' || array_to_string(alternativas, ' ')")} AS n6, {sql_fold('enunciado')} AS s6,
     {sql_fold('resposta_correta')} AS a6, {sql_fold("array_to_string(distratores, ' ')")} AS rest6
   FROM items),
-cue AS (
+cue AS MATERIALIZED (
   SELECT *, list_filter(list_intersect(list_filter(regexp_extract_all(s6, '[a-z0-9]+'), lambda w: length(w) > 3 AND w NOT IN ({', '.join(repr(x) for x in rules.CUE_STOP)})),
     list_filter(regexp_extract_all(a6, '[a-z0-9]+'), lambda w: length(w) > 3)), lambda w: true) AS cues FROM pre)"""
+_LISTED = lambda x: f"array_to_string(list_sort(list_distinct({x})), ', ')"
+_SLASH = r"(?:^|[^0-9])/\s*([0-9]{1,2})(?:[^0-9]|$)"
+
+
+def _got(x: str) -> str:
+    """n of /n in an SQL expression, null outside 0..32."""
+    n = f"TRY_CAST(nullif(regexp_extract({x}, '{_SLASH}', 1), '') AS INTEGER)"
+    return f"CASE WHEN {n} <= 32 THEN {n} END"
+
+
+def _from_mask(x: str) -> str:
+    found = rf"nullif(regexp_extract({x}, '\b((?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})\b', 1), '')"
+    octets = f"list_transform(string_split({found}, '.'), lambda v: CAST(v AS BIGINT))"
+    bits = f"lpad(bin(list_reduce(list_prepend(CAST(0 AS BIGINT), {octets}), lambda a, v: a * 256 + v)), 32, '0')"
+    return f"CASE WHEN {found} IS NOT NULL AND list_max({octets}) <= 255 AND NOT contains({bits}, '01') THEN length(replace({bits}, '0', '')) END"
+
+
+def _prefix(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '{_SLASH}') THEN {_got(x)} ELSE {_from_mask(x)} END"
+
+
+_SAID = r"regexp_extract(s3, '\b(?:dividir|subdividir|segmentar|separar)\w*.{0,120}?\b(?:em|para)\s+([0-9]+|duas|tres|quatro|cinco|seis|sete|oito|dezesseis)\s+(?:sub\s*redes?|partes|blocos)\s+iguais\b', 1)"
+_PARTS = f"CASE said WHEN 'duas' THEN 2 WHEN 'tres' THEN 3 WHEN 'quatro' THEN 4 WHEN 'cinco' THEN 5 WHEN 'seis' THEN 6 WHEN 'sete' THEN 7 WHEN 'oito' THEN 8 WHEN 'dezesseis' THEN 16 ELSE TRY_CAST(nullif(said, '') AS INTEGER) END"
+_WANT = rf"TRY_CAST(nullif(regexp_extract(enunciado, '\b(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}/([0-9]{{1,2}})\b', 1), '') AS INTEGER) + CASE WHEN {_PARTS} >= 2 THEN length(bin({_PARTS} - 1)) END"
+_RULES = rf"""{_PRE}, said AS MATERIALIZED (SELECT *, CASE WHEN contains(s3, 'iguais') THEN {_SAID} ELSE '' END AS said FROM cue), told AS MATERIALIZED (
+  SELECT *, CASE WHEN {_WANT} <= 32 THEN {_WANT} END AS want_prefix, {_prefix('resposta_correta')} AS got_prefix,
+    list_distinct(regexp_extract_all(regexp_replace(enunciado, '\s', '  ', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])([A-E])\)\s', 1)) AS labels,
+    list_filter(regexp_split_to_array(enunciado, '(?i)REQ[0-9]+\s*[–—:-]\s*')[2:], lambda x: regexp_matches(split_part(split_part(x, '. Qual', 1), ';', 1), '{rules.NON_FUNCTIONAL}')) AS marked,
+    regexp_extract_all(whole, '<\s*[A-Z][A-Z0-9_-]*\s*>') AS marks, list_filter([{', '.join(repr(m) for m in rules.LEAKS)}], lambda m: contains(n4, m)) AS leaks,
+    regexp_extract_all(n4, '{rules.ABSOLUTE}', 1) AS absolute, regexp_extract_all(n4, '{rules.VAGUE}', 1) AS vague, list_sort(list_filter(cues, lambda w: NOT contains(rest4, w))) AS given,
+    {sql_spaces_folded("array_to_string(alternativas, ' ')")} AS o4, list_transform(distratores, lambda x: trim(coalesce(x, ''), ' ')) AS ds
+  FROM said), ready AS MATERIALIZED (SELECT *, list_transform(ds, lambda x: {sql_words_folded('x')}) AS dn, {sql_words_folded("enunciado || ' ' || resposta_correta")} AS around FROM told)"""
 _FLAGS = [
-    ("quantidade_alternativas_invalida", "ITEM", "alternativas", "DISTRATORES", "len(alternativas) <> 5"),
-    ("gabarito_estruturalmente_invalido", "ITEM", "correta", "DISTRATORES", "correta IS NULL OR correta < 0 OR correta >= len(alternativas)"),
-    ("alternativas_duplicadas", "ITEM", "alternativas", "DISTRATORES", "len(list_distinct(list_transform(alternativas, lambda x: lower(trim(x))))) <> len(alternativas)"),
-    ("placeholder_residual", "DETERMINISTICA", "questao", "DISTRATORES", r"regexp_matches(whole, '<\s*[A-Z][A-Z0-9_-]*\s*>')"),
-    ("formatacao_quebrada", "DETERMINISTICA", "questao", "NUCLEO", r"regexp_matches(whole, '[\x00-\x08\x0b\x0c\x0e-\x1f]')"),
-    ("formatacao_quebrada", "DETERMINISTICA", "questao", "NUCLEO", "length(enunciado) > 5000 OR len(list_filter(alternativas, lambda x: length(x) > 1200)) > 0"),
-    ("formatacao_quebrada", "DETERMINISTICA", "alternativas", "DISTRATORES", "len(list_filter(alternativas, lambda x: trim(x) = '')) > 0"),
-    ("vazamento_de_artefato", "DETERMINISTICA", "questao", "NUCLEO", " OR ".join(f"contains(n4, '{m}')" for m in rules.LEAKS)),
-    ("vazamento_de_artefato", "DETERMINISTICA", "alternativas", "DISTRATORES", "false"),
-    ("dependencia_visual_ausente", "DETERMINISTICA", "recurso_visual", "NUCLEO", "tem_imagem AND coalesce(recurso_visual, '') = ''"),
-    ("iwf_gabarito_mais_longo", "DETERMINISTICA", "alternativas", "DISTRATORES", "mine = list_max(sizes) AND len(list_filter(sizes, lambda x: x = mine)) = 1 AND mine >= list_min(sizes) + 2"),
-    ("iwf_repeticao_entrega_gabarito", "DETERMINISTICA", "enunciado", "NUCLEO", "len(list_filter(cues, lambda w: NOT contains(rest4, w))) > 0"),
-    ("iwf_comando_negativo", "DETERMINISTICA", "enunciado", "NUCLEO", rf"regexp_matches(s4, '{rules.NEGATIVE}')"),
-    ("iwf_termo_absoluto", "DETERMINISTICA", "questao", "NUCLEO", rf"regexp_matches(n4, '{rules.ABSOLUTE}')"),
-    ("iwf_termo_vago", "DETERMINISTICA", "questao", "NUCLEO", rf"regexp_matches(n4, '{rules.VAGUE}')"),
-    ("enunciado_ausente_ou_curto", "NUCLEO", "enunciado", "NUCLEO", "length(trim(enunciado)) < 40"),
-    ("resposta_correta_ausente", "NUCLEO", "resposta_correta", "NUCLEO", "trim(coalesce(resposta_correta, '')) = ''"),
-    ("explicacao_ausente", "NUCLEO", "explicacao", "NUCLEO", "trim(coalesce(explicacao, '')) = ''"),
-    ("competencia_ausente", "NUCLEO", "competencia", "NUCLEO", "trim(coalesce(competencia, '')) = ''"),
-    ("habilidade_ausente", "NUCLEO", "habilidade", "NUCLEO", "trim(coalesce(habilidade, '')) = ''"),
-    ("objeto_conhecimento_ausente", "NUCLEO", "objeto_conhecimento", "NUCLEO", "trim(coalesce(objeto_conhecimento, '')) = ''"),
-    ("comando_da_questao_ausente", "NUCLEO", "enunciado", "NUCLEO", rf"NOT contains(enunciado, '?') AND NOT regexp_matches(s3, '{rules.COMMAND}')"),
-    ("gabarito_repetido_no_enunciado", "NUCLEO", "enunciado", "NUCLEO", "a3 <> '' AND len(string_split(a3, ' ')) <= 18 AND contains(' ' || s3 || ' ', ' ' || a3 || ' ')"),
-    ("dependencia_visual_ausente", "NUCLEO", "recurso_visual", "NUCLEO", "tem_imagem AND coalesce(recurso_visual, '') = ''"),
-    ("gabarito_ipv4_inconsistente", "NUCLEO", "resposta_correta", "NUCLEO", "item_id % 12 = 0 AND resposta_correta = '/27'"),
+    ("quantidade_alternativas_invalida", "ITEM", "alternativas", "DISTRATORES", "len(alternativas) <> 5", "'recebidas=' || len(alternativas)"),
+    ("gabarito_estruturalmente_invalido", "ITEM", "correta", "DISTRATORES", "correta IS NULL OR correta < 0 OR correta >= len(alternativas)", "coalesce(CAST(correta AS VARCHAR), 'None')"),
+    ("alternativas_duplicadas", "ITEM", "alternativas", "DISTRATORES", "len(list_distinct(list_transform(alternativas, lambda x: lower(trim(x, ' '))))) <> len(alternativas)", "'há textos repetidos'"),
+    ("placeholder_residual", "DETERMINISTICA", "questao", "DISTRATORES", "len(marks) > 0", _LISTED("marks")),
+    ("formatacao_quebrada", "DETERMINISTICA", "questao", "NUCLEO", r"regexp_matches(whole, '[\x00-\x08\x0b\x0c\x0e-\x1f]')", "'caracteres de controle'"),
+    ("formatacao_quebrada", "DETERMINISTICA", "questao", "NUCLEO", "length(enunciado) > 5000 OR len(list_filter(alternativas, lambda x: length(x) > 1200)) > 0", "'texto longo demais'"),
+    ("formatacao_quebrada", "DETERMINISTICA", "alternativas", "DISTRATORES", "len(list_filter(alternativas, lambda x: trim(x, ' ') = '')) > 0", "'alternativa vazia'"),
+    ("vazamento_de_artefato", "DETERMINISTICA", "questao", "NUCLEO", "len(leaks) > 0", "array_to_string(leaks, ', ')"),
+    ("vazamento_de_artefato", "DETERMINISTICA", "alternativas", "DISTRATORES", r"regexp_matches(o4, '\bquest\s*[aã]\s*o\s+[0-9]{1,3}\b')", "'outra questão anexada'"),
+    ("dependencia_visual_ausente", "DETERMINISTICA", "recurso_visual", "NUCLEO", "tem_imagem AND coalesce(recurso_visual, '') = ''", "'imagem sem recurso'"),
+    ("iwf_gabarito_mais_longo", "DETERMINISTICA", "alternativas", "DISTRATORES", "mine = list_max(sizes) AND len(list_filter(sizes, lambda x: x = mine)) = 1 AND mine >= list_min(sizes) + 2", "array_to_string(sizes, ', ')"),
+    ("iwf_repeticao_entrega_gabarito", "DETERMINISTICA", "enunciado", "NUCLEO", "len(given) > 0", "array_to_string(given, ', ')"),
+    ("iwf_comando_negativo", "DETERMINISTICA", "enunciado", "NUCLEO", rf"regexp_matches(s4, '{rules.NEGATIVE}')", "'comando negativo'"),
+    ("iwf_termo_absoluto", "DETERMINISTICA", "questao", "NUCLEO", "len(absolute) > 0", _LISTED("absolute")),
+    ("iwf_termo_vago", "DETERMINISTICA", "questao", "NUCLEO", "len(vague) > 0", _LISTED("vague")),
+    ("enunciado_ausente_ou_curto", "NUCLEO", "enunciado", "NUCLEO", "length(trim(enunciado, ' ')) < 40", "length(trim(enunciado, ' ')) || ' caracteres'"),
+    *((f"{c}_ausente", "NUCLEO", c, "NUCLEO", f"trim(coalesce({c}, ''), ' ') = ''", "'campo vazio'") for c in ("resposta_correta", "explicacao", "competencia", "habilidade", "objeto_conhecimento")),
+    ("questao_multiconceito", "NUCLEO", "enunciado", "NUCLEO", rf"CASE WHEN got_prefix IS NOT NULL THEN regexp_matches(a3, '{rules.ROUTING}') OR regexp_matches(s3, '{rules.TWO_TASKS}') END", "'duas decisões num item: sub-rede e roteamento'"),
+    ("gabarito_ipv4_inconsistente", "NUCLEO", "resposta_correta", "NUCLEO", "want_prefix <> got_prefix", "'esperado /' || want_prefix || ', gabarito /' || got_prefix"),
+    ("comando_da_questao_ausente", "NUCLEO", "enunciado", "NUCLEO", rf"NOT contains(enunciado, '?') AND NOT regexp_matches(s3, '{rules.COMMAND}')", "'nenhuma pergunta ou tarefa explícita'"),
+    ("mistura_funcional_nao_funcional_ambigua", "NUCLEO", "enunciado", "NUCLEO", rf"CASE WHEN contains(a3, 'requisito nao funcional') OR contains(a3, 'requisito funcional') OR a3 IN ('nao funcional', 'funcional') THEN regexp_matches(s3, '{rules.FUNCTION}') AND regexp_matches(s3, '{rules.QUALITY}') AND NOT regexp_matches(s3, '{rules.FOCUS}') END", "'função e qualidade sem foco explícito'"),
+    ("alternativas_embutidas_no_nucleo", "NUCLEO", "enunciado", "NUCLEO", "len(labels) >= 2", _LISTED("labels")),
+    ("gabarito_repetido_no_enunciado", "NUCLEO", "enunciado", "NUCLEO", "a3 <> '' AND len(string_split(a3, ' ')) <= 18 AND contains(' ' || s3 || ' ', ' ' || a3 || ' ')", "'o enunciado contém a resposta'"),
+    ("formatacao_quebrada", "NUCLEO", "enunciado", "NUCLEO", r"len(regexp_extract_all(enunciado, '\\n')) >= 2 AND NOT contains(enunciado, chr(10))", "'quebras de linha como texto'"),
+    ("dependencia_visual_ausente", "NUCLEO", "recurso_visual", "NUCLEO", "tem_imagem AND coalesce(recurso_visual, '') = ''", "'imagem sem recurso'"),
+    ("implementacao_nao_delimitada", "NUCLEO", "enunciado", "NUCLEO", r"regexp_matches(lower(enunciado), '\b(?:xmin|xmax)\b') AND NOT contains(lower(enunciado), 'postgresql')", "'xmin/xmax sem PostgreSQL'"),
+    ("enunciado_ambiguo", "NUCLEO", "enunciado", "NUCLEO", r"CASE WHEN contains(lower(enunciado), 'quais') THEN regexp_matches(enunciado, '(?i)\bquais\b.{0,45}\b(?:propriedades|técnicas|mecanismos|protocolos|itens)\b') AND NOT regexp_matches(resposta_correta, '(?i)[,;/]|\s+e\s+') END", "'pergunta plural, gabarito singular'"),
+    ("espaco_de_respostas_binario", "NUCLEO", "enunciado", "NUCLEO", r"regexp_matches(enunciado, '(?i)\bfuncional\s+ou\s+n[aã]o\s+funcional\b')", "'só duas classes possíveis'"),
+    ("multiplos_candidatos_ao_gabarito", "NUCLEO", "enunciado", "NUCLEO", r"contains(lower(enunciado), 'requisito não funcional') AND regexp_matches(resposta_correta, '(?i)\bREQ[0-9]+\b') AND len(marked) > 1", "len(marked) || ' requisitos com marcadores'"),
+    ("selecao_de_protocolo_potencialmente_ambigua", "NUCLEO", "enunciado", "NUCLEO", r"a3 IN ('tcp', 'udp') AND regexp_matches(enunciado, '(?i)\bqual\s+protocolo\b')", "'outros protocolos podem servir'"),
+]
+_SOME = lambda cond: f"array_to_string(list_filter(list_transform(ds, lambda x, i: CASE WHEN {cond} THEN (i - 1) || ':' || x END), lambda v: v IS NOT NULL), '; ')"
+_LABEL = _SOME(r"regexp_matches(x, '(?i)^\s*(?:\([A-E]\)|[A-E][\)\].:\-])\s*')")
+_LIKE_MASK = r"regexp_matches(x, '\b[0-9OoIl]{1,3}(?:\.[0-9OoIl]{1,3}){3}\b')"
+_KEYED = "got_key IS NOT NULL AND regexp_matches(around, 'ipv4|mascara|sub rede|cidr|hosts')"
+_IPV4 = {"mascara_ipv4_invalida": f"{_LIKE_MASK} AND {_prefix('x')} IS NULL", "mascara_ipv4_equivalente_ao_gabarito": f"{_prefix('x')} = got_key", "distrator_tipo_incompativel_ipv4": f"NOT {_LIKE_MASK} AND {_prefix('x')} IS NULL"}
+_ROMAN = r"regexp_extract_all(upper(x), '\b[IVX]+\b')"
+_DISTRACTORS = [
+    ("quantidade_distratores_invalida", "len(ds) <> 4", "'recebidos=' || len(ds)"), ("distrator_com_rotulo_embutido", f"{_LABEL} <> ''", _LABEL), ("distrator_vazio", "list_contains(ds, '')", "'há texto vazio'"),
+    ("distratores_duplicados", "len(list_distinct(dn)) <> len(dn)", "'há textos repetidos'"), ("copia_normalizada_gabarito", "list_contains(dn, a3)", "'distratores[' || (list_position(dn, a3) - 1) || ']'"),
+    *((code, f"{_KEYED} AND {_SOME(c)} <> ''", _SOME(c)) for code, c in _IPV4.items()),
+    ("combinacao_de_itens_invalida", f"len(list_filter(ds, lambda x: len({_ROMAN}) <> len(list_distinct({_ROMAN})))) > 0", "'numeral romano repetido'"),
 ]
-_FLAG_SQL = f"WITH {ITEMS}, {_PRE}, flags AS ({' UNION ALL '.join(f'''SELECT item_id, '{c}' AS code, '{st}' AS stage, '{fi}' AS field, '{re_}' AS repair FROM cue WHERE {cond}''' for c, st, fi, re_, cond in _FLAGS)})"
 
 
-def _flags(spark: SparkSession, d: str) -> DataFrame:
-    x = rules.with_reference_ratio(items(spark, d), "referencia")
-    f = rules.flags(x, [*rules.stem_rules(), *rules.item_rules(), *rules.analyzer_rules()])
-    return f.drop("evidence")
+def _flag_rows() -> str:
+    return " UNION ALL ".join(f"SELECT item_id, '{c}' AS code, '{st}' AS stage, '{fi}' AS field, {ev} AS evidence, '{re_}' AS repair FROM ready WHERE {cond}" for c, st, fi, re_, cond, ev in _FLAGS)
 
 
-@query(f"{_FLAG_SQL} SELECT * FROM flags")
+_FLAG_SQL = f"WITH {ITEMS}, {_RULES}, flags AS ({_flag_rows()})"
+
+
+def _flags(spark: SparkSession, d: str, reference: bool = True) -> DataFrame:
+    x = rules.with_reference_ratio(items(spark, d), "referencia" if reference else None)
+    return rules.flags(x, [*rules.stem_rules(), *rules.item_rules(), *rules.analyzer_rules()])
+
+
+@query()
 def item_rule_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule; the likeness of a stem to its reference has no SQL (rule_flags holds all others)."""
     return _flags(spark, d)
 
 
-@query(f"{_FLAG_SQL} SELECT item_id, count(*) AS n_flags, CAST(count(*) FILTER (stage = 'DETERMINISTICA') AS BIGINT) AS n_deterministic FROM flags GROUP BY item_id")
+@query()
 def item_flag_counts(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).groupBy("item_id").agg(F.count("*").alias("n_flags"), F.count_if(F.col("stage") == "DETERMINISTICA").alias("n_deterministic"))
 
 
-@query(f"{_FLAG_SQL} SELECT code, count(*) AS occurrences, count(DISTINCT item_id) AS items FROM flags GROUP BY code")
+@query()
 def flag_distribution(spark: SparkSession, d: str) -> DataFrame:
     return campaign.distribution(_flags(spark, d), "code", "item_id")
 
 
+@query(f"{_FLAG_SQL} SELECT * FROM flags")
+def rule_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule but the one on a ratio of strings, with evidence."""
+    return _flags(spark, d, False)
+
+
+@query(f"{_FLAG_SQL} SELECT item_id, count(*) AS n_flags, CAST(count(*) FILTER (stage = 'DETERMINISTICA') AS BIGINT) AS n_deterministic FROM flags GROUP BY item_id")
+def rule_flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _flags(spark, d, False).groupBy("item_id").agg(F.count("*").alias("n_flags"), F.count_if(F.col("stage") == "DETERMINISTICA").alias("n_deterministic"))
+
+
+@query(f"{_FLAG_SQL} SELECT code, count(*) AS occurrences, count(DISTINCT item_id) AS items FROM flags GROUP BY code")
+def rule_flag_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return campaign.distribution(_flags(spark, d, False), "code", "item_id")
+
+
+@query(f"WITH {ITEMS}, {_RULES}, keyed AS MATERIALIZED (SELECT *, coalesce({_from_mask('resposta_correta')}, {_got('resposta_correta')}) AS got_key FROM ready) " + " UNION ALL ".join(f"SELECT item_id, '{c}' AS code, {ev} AS evidence FROM keyed WHERE {cond}" for c, cond, ev in _DISTRACTORS))
+def distractor_rule_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Rules on an item's distractors but those on likeness of words."""
+    return rules.flags(items(spark, d), rules.distractor_rules()).select("item_id", "code", "evidence")
+
+
 @query()
 def distractor_flags(spark: SparkSession, d: str) -> DataFrame:
     x = items(spark, d)
@@ -207,14 +349,17 @@ def triage_metrics(spark: SparkSession, d: str) -> DataFrame:
     return x.select("item_id", "enunciado_caracteres", "alternativas", "sobreposicao_especificacao", "sobreposicao_objeto_conhecimento", F.array_contains("flags", "explicacao_nao_nomeia_gabarito").alias("sem_gabarito_na_explicacao"))
 
 
-@query(f"WITH {ITEMS} SELECT item_id, round(len(regexp_extract_all(resposta_correta, {_WORDS})) / greatest(list_median(list_transform(distratores, lambda x: len(regexp_extract_all(x, {_WORDS})))), 1), 6) AS ratio FROM items".replace("list_median(", "list_aggregate(").replace(")))), 1)", "))), 'median'), 1)"))
+_MIDDLE = f"list_aggregate(list_transform(distratores, lambda x: len(regexp_extract_all(x, {_WORDS}))), 'median')"
+
+
+@query(f"WITH {ITEMS} SELECT item_id, round(len(regexp_extract_all(resposta_correta, {_WORDS})) / CASE WHEN {_MIDDLE} > 0 THEN {_MIDDLE} ELSE 1 END, 6) AS ratio FROM items")
 def length_ratio(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("item_id", R(dataset.length_ratio(F.col("resposta_correta"), F.col("distratores"))).alias("ratio"))
 
 
 @query(f"""WITH {ITEMS}, {_PRE}, r AS (SELECT item_id, CASE WHEN trim(enunciado) = '' THEN 'enunciado_vazio' WHEN len(alternativas) <> 5 OR len(list_filter(alternativas, lambda x: trim(x) = '')) > 0 THEN 'nao_tem_5_alternativas'
   WHEN len(list_distinct(list_transform(alternativas, lambda x: {sql_words_folded('x')}))) <> 5 THEN 'alternativas_duplicadas' WHEN tem_imagem THEN 'depende_de_recurso_visual'
-  WHEN mine / greatest(list_aggregate(list_transform(distratores, lambda x: len(regexp_extract_all(x, {_WORDS}))), 'median'), 1) > 1.5 THEN 'gabarito_destoa_em_extensao' ELSE 'ok' END AS reason FROM pre)
+  WHEN mine / CASE WHEN {_MIDDLE} > 0 THEN {_MIDDLE} ELSE 1 END > 1.5 THEN 'gabarito_destoa_em_extensao' ELSE 'ok' END AS reason FROM pre)
 SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def discard_reasons(spark: SparkSession, d: str) -> DataFrame:
     x = items(spark, d).withColumn("r", F.coalesce(dataset.reason(1.5), F.lit("ok")))
@@ -260,8 +405,8 @@ def session_duration(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("user_id").alias("rid")).agg(F.round((F.max(t) - F.min(t)) / 1e6, 2).alias("seconds"), F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT user_id AS request_id, ts, CASE event_type WHEN 'view' THEN 'DISTRACTOR_BATCH' WHEN 'error' THEN 'DISTRACTOR_CANDIDATE_REJECTED' WHEN 'click' THEN 'DISTRACTOR_CANDIDATE_REJECTED_QUALITY' WHEN 'purchase' THEN 'DISTRACTOR_RESERVE_PROMOTED' ELSE 'QUALITY_SUMMARY' END AS kind FROM events)
-SELECT request_id, CAST(0 AS BIGINT) AS candidates_generated, CAST(count(*) FILTER (kind = 'DISTRACTOR_BATCH') AS BIGINT) AS batches, CAST(count(*) FILTER (kind = 'DISTRACTOR_CANDIDATE_REJECTED') AS BIGINT) AS structural_rejections,
+@query("""WITH a AS (SELECT user_id AS request_id, ts, event_id, CASE event_type WHEN 'view' THEN 'DISTRACTOR_BATCH' WHEN 'error' THEN 'DISTRACTOR_CANDIDATE_REJECTED' WHEN 'click' THEN 'DISTRACTOR_CANDIDATE_REJECTED_QUALITY' WHEN 'purchase' THEN 'DISTRACTOR_RESERVE_PROMOTED' ELSE 'QUALITY_SUMMARY' END AS kind FROM events)
+SELECT request_id, CAST(coalesce(sum(event_id % 4 + 1) FILTER (kind = 'DISTRACTOR_BATCH'), 0) AS BIGINT) AS candidates_generated, CAST(count(*) FILTER (kind = 'DISTRACTOR_BATCH') AS BIGINT) AS batches, CAST(count(*) FILTER (kind = 'DISTRACTOR_CANDIDATE_REJECTED') AS BIGINT) AS structural_rejections,
  CAST(count(*) FILTER (kind = 'DISTRACTOR_CANDIDATE_REJECTED_QUALITY') AS BIGINT) AS quality_rejections, CAST(count(*) FILTER (kind = 'DISTRACTOR_RESERVE_PROMOTED') AS BIGINT) AS promotions, CAST(count(*) FILTER (kind = 'QUALITY_SUMMARY') AS BIGINT) AS summaries,
  round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS duration_seconds FROM a GROUP BY request_id""")
 def quality_trace(spark: SparkSession, d: str) -> DataFrame:
@@ -269,7 +414,7 @@ def quality_trace(spark: SparkSession, d: str) -> DataFrame:
     kind = F.lit("QUALITY_SUMMARY")
     for k, v in kinds.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
-    a = table(spark, d, "events").select(F.col("user_id").alias("request_id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("created_at"), F.col("props").alias("payload"))
+    a = table(spark, d, "events").select(F.col("user_id").alias("request_id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("created_at"), F.to_json(F.struct(F.sequence(F.lit(1).cast("long"), F.col("event_id") % 4 + 1).alias("candidatos"))).alias("payload"))
     x = lifecycle.quality_trace(a)
     return x.withColumn("candidates_generated", long("candidates_generated"))
 
@@ -339,7 +484,7 @@ def descriptive_stats(spark: SparkSession, d: str) -> DataFrame:
     return campaign.describe(table(spark, d, "events"), ["event_type"], "value")
 
 
-@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS repetition, event_type || '-' || lpad(CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS VARCHAR), greatest(3, 3), '0') AS case_id FROM events WHERE event_id < 900")
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS repetition, event_type || '-' || lpad(CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS VARCHAR))) AS INTEGER), '0') AS case_id FROM events")
 def numbered_cases(spark: SparkSession, d: str) -> DataFrame:
     x = campaign.numbered(table(spark, d, "events"), "event_type", "event_id")
     return x.select("event_id", "event_type", long("repetition").alias("repetition"), "case_id")
@@ -371,10 +516,10 @@ def _jury(spark: SparkSession, d: str):
     return findings, judges, selection
 
 
-_VOTES = """votes AS (
-  SELECT doc_id AS subject, flag, round(CASE WHEN q THEN 0.7 ELSE 0 END + CASE WHEN t THEN 0.3 ELSE 0 END, 6) AS score, threshold, blocking,
-    concat_ws(',', CASE WHEN q THEN 'quality' END, CASE WHEN t THEN 'toxic' END) AS supporting, concat_ws(',', CASE WHEN NOT q THEN 'quality' END, CASE WHEN NOT t THEN 'toxic' END) AS opposing
-  FROM (SELECT doc_id, 'RF1' AS flag, quality = 0 AS q, toxic = 1 AS t, 1.0 AS threshold, true AS blocking FROM labels UNION ALL SELECT doc_id, 'RF2', doc_id % 3 = 0, doc_id % 4 = 0, 0.5, false FROM labels))"""
+_JURY = "findings AS (SELECT doc_id AS subject, 'RF1' AS flag, quality = 0 AS q, toxic = 1 AS t FROM labels UNION ALL SELECT doc_id, 'RF2', doc_id % 3 = 0, doc_id % 4 = 0 FROM labels)"
+_VOTES = f"""{_JURY}, votes AS (
+  SELECT subject, flag, round(CASE WHEN q THEN 0.7 ELSE 0 END + CASE WHEN t THEN 0.3 ELSE 0 END, 6) AS score, CASE flag WHEN 'RF1' THEN 1.0 ELSE 0.5 END AS threshold, flag = 'RF1' AS blocking,
+    concat_ws(',', CASE WHEN q THEN 'quality' END, CASE WHEN t THEN 'toxic' END) AS supporting, concat_ws(',', CASE WHEN NOT q THEN 'quality' END, CASE WHEN NOT t THEN 'toxic' END) AS opposing FROM findings)"""
 
 
 @query(f"WITH {_VOTES} SELECT subject, flag, score, supporting, opposing, score + 1e-12 >= threshold AS detected, score > 0 AND NOT (score + 1e-12 >= threshold) AS disputed FROM votes")
@@ -383,12 +528,18 @@ def jury_weighted_vote(spark: SparkSession, d: str) -> DataFrame:
     return campaign.votes(f, campaign.judge_weights(j), s).select("subject", "flag", "score", "supporting", "opposing", "detected", "disputed")
 
 
-@query(f"""WITH {_VOTES}, v AS (SELECT *, score + 1e-12 >= threshold AS detected, score > 0 AND NOT (score + 1e-12 >= threshold) AS disputed FROM votes)
-SELECT subject, 'COMPLETED' AS status, CASE WHEN bool_or(detected AND blocking) THEN 'BLOQUEADA' WHEN bool_or(detected) OR bool_or(disputed AND blocking) THEN 'REGENERAR' ELSE 'APROVADA' END AS final_action FROM v GROUP BY subject""")
+@query(f"""WITH {_VOTES}, v AS (SELECT *, score + 1e-12 >= threshold AS detected, score > 0 AND NOT (score + 1e-12 >= threshold) AS disputed FROM votes),
+x AS (SELECT subject, subject % 11 = 0 OR subject % 17 = 0 AS process, subject % 13 = 0 AS waiting, subject % 19 = 0 AS short, bool_or(detected AND blocking) AS blocked, bool_or(detected) OR bool_or(disputed AND blocking) AS again FROM v GROUP BY subject)
+SELECT subject, CASE WHEN process THEN 'PROCESS_ERROR' WHEN waiting THEN 'WAITING_HUMAN' WHEN short THEN 'PROCESS_ERROR' ELSE 'COMPLETED' END AS status,
+  CASE WHEN process THEN 'FALHA_DE_PROCESSO' WHEN waiting THEN 'AGUARDANDO_JUIZ_HUMANO' WHEN short THEN 'FALHA_DE_PROCESSO' WHEN blocked THEN 'BLOQUEADA' WHEN again THEN 'REGENERAR' ELSE 'APROVADA' END AS final_action
+FROM x WHERE NOT (subject % 13 = 0 AND subject % 17 = 0)""")
 def jury_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Some reports failed (11), lack a human judge (13) or the model's (17), or leave out a flag (19)."""
     f, j, s = _jury(spark, d)
-    reports = f.select("subject", "judge_id").distinct().withColumn("status", F.lit("completed"))
-    return campaign.verdicts(f, reports, j, s)
+    k, judge = F.col("subject"), F.col("judge_id")
+    reports = f.select("subject", "judge_id").distinct().where(~((judge == "toxic") & (k % 13 == 0)) & ~((judge == "quality") & (k % 17 == 0)))
+    reports = reports.withColumn("status", F.when((judge == "quality") & (k % 11 == 0), "error").otherwise("completed"))
+    return campaign.verdicts(f.where(~((judge == "quality") & (F.col("flag") == "RF2") & (k % 19 == 0))), reports, j, s)
 
 
 @query("SELECT count(*) AS pairs, CAST(count(*) FILTER (a = b) AS BIGINT) AS agreements, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT quality = 0 AS a, toxic = 1 AS b FROM labels UNION ALL SELECT doc_id % 3 = 0, doc_id % 4 = 0 FROM labels)")
@@ -432,9 +583,10 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sets
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an order of status P."""
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -450,7 +602,7 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if(F.col("a") & ~F.col("b")).alias("n_only_documents"), F.count_if(F.col("b") & ~F.col("a")).alias("n_only_labels"), F.count_if(F.col("a") != F.col("b")).alias("n_symmetric"))
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def corpus_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     return retrieval.new_records(docs, table(spark, d, "labels").select(F.col("doc_id").alias("id")))
@@ -476,10 +628,15 @@ def ipv4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", generators.ipv4_neighbours(F.concat(F.lit("/"), (F.col("o_orderkey") % 30 + 1).cast("string")), F.lit("prefixo IPv4")).alias("options"))
 
 
-@query()
+_SUBSETS = [[n for i, n in enumerate(generators.NUMERALS) if k >> i & 1] for k in range(1, 32)]
+
+
+@query(f"""WITH m AS (SELECT unnest({_SUBSETS}) AS m), r AS (SELECT doc_id, {generators.NUMERALS}[1 : CAST(doc_id % 4 + 1 AS INTEGER)] AS r FROM labels),
+s AS (SELECT doc_id, m, len(list_filter(m, lambda x: NOT list_contains(r, x))) + len(list_filter(r, lambda x: NOT list_contains(m, x))) AS dist, abs(len(m) - len(r)) AS gap FROM r, m)
+SELECT doc_id, place, array_to_string(m, ',') AS members FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dist, gap, m) AS place FROM s WHERE dist > 0) WHERE place <= 4""")
 def combination_options(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "labels").select("doc_id", F.slice(F.array(*map(F.lit, generators.NUMERALS)), 1, (F.col("doc_id") % 4 + 1).cast("int")).alias("right"))
-    return generators.combination_options(x, "doc_id", "right")
+    return generators.combination_options(x, "doc_id", "right").withColumn("place", long("place"))
 
 
 @query()
@@ -491,15 +648,23 @@ def assembled_items(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def json_recover(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("saida: "), F.when(F.col("event_id") % 3 == 0, F.lit("{'distratores': ['a', 'b']}")).when(F.col("event_id") % 3 == 1, F.lit('{"distrator": [{"texto": "x"}]} fim')).otherwise(F.col("props")))
-    return table(spark, d, "events").select("event_id", generators.parse_options(raw).alias("p")).select("event_id", "p.options", "p.notes", "p.ok")
+    return table(spark, d, "events").select("event_id", generators.parse_options(raw).alias("p")).select("event_id", "p.options", "p.errors", "p.reasons", "p.notes", "p.ok")
 
 
-@query()
+_PLAIN = lambda x: f"regexp_extract_all({sql_fold(x)}, '[a-z0-9]+')"
+
+
+@query(f"""WITH {ITEMS}, c AS (SELECT item_id, i - 1 AS i, {_PLAIN('distratores[i]')} AS t, greatest(len({_PLAIN('resposta_correta')}), 1) AS want FROM items, range(1, 5) r(i) WHERE i <= len(distratores)),
+p AS (SELECT item_id, i, row_number() OVER (PARTITION BY item_id ORDER BY abs(greatest(len(t), 1) - want) / want, -len(list_distinct(t)) / greatest(len(t), 1), i) AS place FROM c)
+SELECT item_id, i, place FROM p WHERE place <= 3""")
 def pool_selection(spark: SparkSession, d: str) -> DataFrame:
     x = items(spark, d).select("item_id", "resposta_correta", F.posexplode("distratores").alias("i", "t"))
-    return generators.select_pool(x, "item_id", "i", "t", "resposta_correta", 3).select("item_id", "i", long("place").alias("place"))
+    return generators.select_pool(x, "item_id", "i", "t", "resposta_correta", 3).select("item_id", long("i").alias("i"), long("place").alias("place"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN r <= 4 THEN 'active' ELSE 'reserve' END AS role FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)")
 def pool_split(spark: SparkSession, d: str) -> DataFrame:
     return generators.split_pool(table(spark, d, "conversations").drop("role"), "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+from quizmill.plans import evaluations  # noqa: E402, F401  registers its queries

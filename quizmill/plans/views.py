@@ -30,12 +30,23 @@ def sql_spaces_folded(x: str) -> str:
     return rf"trim(regexp_replace({sql_fold(x)}, '\s+', ' ', 'g'))"
 
 
+#: What is put after the stem, and what stands as the key, of documents whose id is divisible by a number: so that each rule has hits and misses.
+TAILS = [
+    (7, " Qual alternativa sempre vale?"), (8, " geralmente ____ ocorre"), (9, " Assinale o item exceto este"), (10, " rascunho"), (12, " A rede 10.0.0.0/24 deve subdividir em quatro sub-redes iguais"),
+    (19, " Considere A) um e B) dois"), (23, " Os campos xmin e xmax"), (29, " Quais são os mecanismos?"), (31, " Qual protocolo entrega?"), (37, " O sistema deve registrar em 2 segundos: funcional ou não funcional?"),
+    (41, " Um requisito não funcional: REQ1: responder em 2 segundos; REQ2: segurança do acesso; REQ3: cor azul. Qual vale?"), (43, r" enderecamento com roteamento\n e \n fim"),
+]
+KEYS = [(31, "TCP"), (37, "não funcional"), (41, "REQ1"), (43, "/27 com rota ospf"), (24, "/26"), (12, "/27")]
+#: Options put in by id: (place, number, text); in {} the option as it was.
+OPTIONS = [(1, 13, "{} <NAME>"), (1, 17, "Nenhuma das alternativas"), (2, 47, "B) {}"), (3, 53, "Questao 12"), (2, 59, "I e I")]
+MASKS = ["255.255.255.224", "255.0.255.0"]  # the two options after the key, where it is a prefix
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiple-choice items cut from documents with words; markers put in by doc_id so that each rule has hits and misses.
 
     The first words of a text are the options, the text after them as it stands is the stem. referencia is the whole text
-    that an item was cut from. The SQL view has no such column, ends the stem with word 80, leaves punctuation out of it and
-    has only documents of 40 words and more.
+    that an item was cut from; the SQL view has no such column.
     """
     d = table(spark, sf_dir, "documents").withColumn("tok", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).where(F.size("tok") > 0)
     k = F.col("doc_id")
@@ -46,20 +57,23 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda a, n: F.array_join(F.slice("tok", a.cast("int"), n.cast("int")), " ")
     o = [cut(a, n) for a, n in zip(starts, sizes, strict=True)]
     o[4] = F.when(k % 11 == 0, o[3]).otherwise(o[4])
-    o[1] = F.when(k % 13 == 0, F.concat(o[1], F.lit(" <NAME>"))).when(k % 17 == 0, F.lit("Nenhuma das alternativas")).otherwise(o[1])
+    for place, n, text in reversed(OPTIONS):
+        before, _, after = text.partition("{}")
+        o[place] = F.when(k % n == 0, F.concat(F.lit(before), o[place], F.lit(after)) if "{}" in text else F.lit(text)).otherwise(o[place])
     correct = (k % 5).cast("int")
-    right = F.when(k % 24 == 0, F.lit("/26")).otherwise(F.lit("/27"))
-    o = [F.when((k % 12 == 0) & (correct == i), right).otherwise(x) for i, x in enumerate(o)]
+    key = F.lit(None).cast("string")
+    for n, text in reversed(KEYS):
+        key = F.when(k % n == 0, text).otherwise(key)
+    net = (k % 12 == 0) & key.startswith("/")
+    for i in range(5):
+        for j, mask in enumerate(MASKS):
+            o[i] = F.when(net & ((correct + 1 + j) % 5 == i), mask).otherwise(o[i])
+        o[i] = F.when((correct == i) & key.isNotNull(), key).otherwise(o[i])
     used = (starts[-1] + sizes[-1] - 1).cast("string")
     # possessive: the words of the options, or all there are
     rest = F.trim(F.regexp_replace(F.col("text"), F.concat(F.lit(r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,"), used, F.lit("}+")), F.lit("")))
     x = d.withColumn("alternativas", F.array(*o)).withColumn("correta", correct).withColumn("resposta_correta", F.try_element_at("alternativas", F.col("correta") + 1))
-    tail = F.concat(
-        F.when(k % 7 == 0, " Qual alternativa sempre vale?").otherwise(""), F.when(k % 8 == 0, " geralmente ____ ocorre").otherwise(""),
-        F.when(k % 9 == 0, " Assinale o item exceto este").otherwise(""), F.when(k % 10 == 0, " rascunho").otherwise(""),
-        F.when(k % 6 == 0, F.concat(F.lit(" "), F.col("resposta_correta"))).otherwise(""),
-        F.when(k % 12 == 0, " A rede 10.0.0.0/24 deve subdividir em quatro sub-redes iguais").otherwise(""),
-    )
+    tail = F.concat(*(F.when(k % n == 0, text).otherwise("") for n, text in TAILS), F.when(k % 6 == 0, F.concat(F.lit(" "), F.col("resposta_correta"))).otherwise(""))
     return x.select(
         k.alias("item_id"), F.concat(rest, tail).alias("enunciado"), "alternativas", "correta", "resposta_correta",
         F.array_join(F.slice("tok", 5, 12), " ").alias("explicacao"), F.col("lang").alias("competencia"), F.when(k % 14 == 0, "").otherwise(F.col("source")).alias("habilidade"),
@@ -72,17 +86,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = ["1", *(" + ".join(["1 + 1 + doc_id % 4", *(f"2 + (doc_id + {j}) % 3" for j in range(1, i))]) for i in range(1, 5))]
 _N = ["1 + doc_id % 4", *(f"2 + (doc_id + {i}) % 3" for i in range(1, 5))]
 _O = [f"array_to_string(tok[{s} : {s} + {n} - 1], ' ')" for s, n in zip(_S, _N, strict=True)]
-_O[1] = f"CASE WHEN doc_id % 13 = 0 THEN {_O[1]} || ' <NAME>' WHEN doc_id % 17 = 0 THEN 'Nenhuma das alternativas' ELSE {_O[1]} END"
 _O[4] = f"CASE WHEN doc_id % 11 = 0 THEN {_O[3]} ELSE {_O[4]} END"
-_O = [f"CASE WHEN doc_id % 12 = 0 AND doc_id % 5 = {i} THEN CASE WHEN doc_id % 24 = 0 THEN '/26' ELSE '/27' END ELSE {o} END" for i, o in enumerate(_O)]
+for _place, _n, _text in reversed(OPTIONS):
+    _new = " || ".join([f"'{_text.partition('{}')[0]}'", _O[_place], f"'{_text.partition('{}')[2]}'"]) if "{}" in _text else f"'{_text}'"
+    _O[_place] = f"CASE WHEN doc_id % {_n} = 0 THEN {_new} ELSE {_O[_place]} END"
+_KEY = f"CASE {' '.join(f'WHEN doc_id % {n} = 0 THEN {t!r}' for n, t in KEYS)} END"
+_MASKED = lambda i: " ".join(f"WHEN doc_id % 12 = 0 AND starts_with(keyed, '/') AND (doc_id % 5 + {j + 1}) % 5 = {i} THEN {m!r}" for j, m in reversed([*enumerate(MASKS)]))
+_O = [f"CASE WHEN doc_id % 5 = {i} AND keyed IS NOT NULL THEN keyed {_MASKED(i)} ELSE {o} END" for i, o in enumerate(_O)]
 ITEMS = rf"""
-cut AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+') AS tok FROM documents),
-opt AS (SELECT *, [{', '.join(_O)}] AS alternativas, CAST(doc_id % 5 AS INTEGER) AS correta FROM cut WHERE len(tok) >= 40),
-items AS (
-  SELECT doc_id AS item_id, array_to_string(tok[21:80], ' ') || CASE WHEN doc_id % 7 = 0 THEN ' Qual alternativa sempre vale?' ELSE '' END
-    || CASE WHEN doc_id % 8 = 0 THEN ' geralmente ____ ocorre' ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN ' Assinale o item exceto este' ELSE '' END
-    || CASE WHEN doc_id % 10 = 0 THEN ' rascunho' ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN ' ' || alternativas[correta + 1] ELSE '' END
-    || CASE WHEN doc_id % 12 = 0 THEN ' A rede 10.0.0.0/24 deve subdividir em quatro sub-redes iguais' ELSE '' END AS enunciado,
+cut AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+') AS tok, regexp_split_to_array(coalesce(text, ''), '[\p{{L}}\p{{N}}]+') AS seps, {' + '.join(_N)} AS n_used, {_KEY} AS keyed FROM documents),
+opt AS MATERIALIZED (SELECT *, [{', '.join(_O)}] AS alternativas, CAST(doc_id % 5 AS INTEGER) AS correta FROM cut WHERE len(tok) > 0),
+items AS MATERIALIZED (
+  SELECT doc_id AS item_id, trim(text[1 + coalesce(list_sum(list_transform(tok[1 : n_used], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(seps[1 : least(n_used, len(tok))], lambda x: length(x))), 0) :], ' ')
+    || {' || '.join(f"CASE WHEN doc_id % {n} = 0 THEN '{t}' ELSE '' END" for n, t in TAILS)} || CASE WHEN doc_id % 6 = 0 THEN ' ' || alternativas[correta + 1] ELSE '' END AS enunciado,
     alternativas, correta, alternativas[correta + 1] AS resposta_correta, array_to_string(tok[5:16], ' ') AS explicacao, lang AS competencia,
     CASE WHEN doc_id % 14 = 0 THEN '' ELSE source END AS habilidade, array_to_string(tok[1:3], ' ') AS objeto_conhecimento,
     doc_id % 15 = 0 AS tem_imagem, CASE WHEN doc_id % 30 = 0 THEN 'x' END AS recurso_visual,

@@ -5,7 +5,7 @@ from quizmill.operators import contracts as C
 
 
 def test_validation(spark):
-    df = spark.createDataFrame([("Avaliar conhecimentos", "ENADE", 3, 2, 2), ("Identificar deadlock", "X", 9, 0, 2), (None, None, None, None, None)], "objetivo_pedagogico string, exame string, dificuldade int, max_attempts int, max_distractor_attempts int")
+    df = spark.createDataFrame([("Analisar o conteúdo", "ENADE", 3, 2, 2), ("Identificar deadlock", "X", 9, 0, 2), (None, None, None, None, None)], "objetivo_pedagogico string, exame string, dificuldade int, max_attempts int, max_distractor_attempts int")
     assert [r["errors"] for r in C.request_errors(df).collect()] == [["objetivo_generico"], ["exame", "dificuldade", "max_attempts"], ["objetivo_generico"]]
     q = spark.createDataFrame([("x", list("abcde"), 0), ("", list("abcde"), 0), ("x", list("abcd"), 0), ("x", list("abcde"), 5), ("x", ["a", "A ", "c", "d", "e"], 1)], "s string, o array<string>, c int")
     assert [r[0] for r in q.select(C.question_error(F.col("o"), F.col("c"), F.col("s"))).collect()] == [None, "campo_ausente", "alternativas", "correta", "repetidas"]
