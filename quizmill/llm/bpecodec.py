@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.merges import Merges, load
-from quizmill.llm.textkit import CHUNK, only, prefix_hash, span_hash
+from quizmill.llm.textkit import CHUNK, only, prefix_hash, small_batches, span_hash, text_array
 
-RUN = 2 * CHUNK  # characters of text worked on at once; one longer text is a run of its own
+RUN = CHUNK  # characters of text worked on at once; one longer text is a run of its own
 LONG = 512  # bytes of a word that is merged by itself, if it fails
 SPACE, OTHER, LETTER, NUMBER, MARK = range(5)  # kinds of characters; a mark stands for a special string
 MARKS = 0xD800  # first code point of marks: surrogates are in no text
@@ -53,7 +53,11 @@ def kinds() -> np.ndarray:
 def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first[k], first[k] + 1, ... (size[k] of them) of each k, one after the other."""
     ends = np.cumsum(size)
-    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if n < 1 << 30 and (not len(first) or first.max() < 1 << 30) else np.int64
+    out = np.repeat((first - (ends - size)).astype(kind), size)
+    out += np.arange(n, dtype=kind)
+    return out
 
 
 class Codec:
@@ -204,14 +208,10 @@ def encode(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     def run(batches):
         c = codec(vocabulary())
         for batch in batches:
-            at = k = 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            while k < len(texts):
-                size = 0
-                while k < len(texts) and (k == at or size + len(texts[k]) <= RUN):
-                    size += len(texts[k])
-                    k += 1
-                both = c.encode_run(texts[at:k])
+            at, (_, offs) = 0, text_array(batch)
+            while at < batch.num_rows:
+                k = max(at + 1, int(np.searchsorted(offs, offs[at] + RUN, "right")) - 1)
+                both = c.encode_run([t or "" for t in batch.column(1).slice(at, k - at).to_pylist()])
                 cols = [batch.column(0).slice(at, k - at), pa.array([len(a) for a, _ in both], pa.int64()), pa.array([hashlib.sha256(a.tobytes()).hexdigest() for a, _ in both]), pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in both])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
@@ -221,6 +221,7 @@ def encode(docs: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at = k
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 

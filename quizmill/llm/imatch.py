@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.textkit import LOWER, U, distinct_in_rows, find_words, mix, prefix_hash, span_hash, text_chunks
+from quizmill.llm.textkit import LOWER, U, distinct_in_rows, find_words, mix, prefix_hash, small_batches, span_hash, text_chunks
 
 LOW, HIGH = 0.001, 0.2  # band of document frequency, as shares of all documents
 SUBSETS = 24
@@ -77,6 +77,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = 4
     A term in low * N documents is in that share of some stretch of rows, so only terms that are get counted exactly,
     in a second pass. If those were over `most`, all terms are counted by a shuffle instead.
     """
+    small_batches(docs.sparkSession)
     n = docs.count()
     text, kind = docs.select("text"), "term long, n long"
     some = text.mapInArrow(_frequencies(low, None), kind).select("term").distinct()
@@ -184,6 +185,7 @@ def fingerprints(docs: DataFrame, lex: np.ndarray) -> DataFrame:
     first. Texts with no term of the lexicon are told apart by all their terms; a table of one row follows itself.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(x.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []))

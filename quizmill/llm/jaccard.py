@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.graph import components
-from quizmill.llm.textkit import LOWER, U, distinct_in_rows, find_words, mix, prefix_hash, release, span_hash, stage, text_chunks
+from quizmill.llm.textkit import LOWER, U, distinct_in_rows, find_words, mix, prefix_hash, release, small_batches, span_hash, stage, text_chunks
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 WORDS, PERCENT = 5, 75
 HOT = 200_000  # frequent shingles that the order knows; 16 bytes each go to every task
 LOCAL = 3  # a shingle is reported when a stretch of rows has it this often
-STRETCH = 2_000_000  # shingles that a task holds at once
-PER_BUCKET = 1_000_000
+STRETCH = 1_000_000  # shingles that a task holds at once
+PER_BUCKET = 300_000
 FRAGMENTS, FIRST = 8, 2  # the first fragments are counted for all candidates, the others for those that can still reach the threshold
 BITS = 26  # the filter on classes that have a candidate has 2**BITS bits, whatever the input
 ROW = np.dtype([("c", "<u8"), ("t", "u1", (5,)), ("r", "<u2")])  # a class, 40 bits of a shingle beyond those of its bucket (alike ones give a candidate too many at most), its rank in the set
@@ -272,6 +272,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     names a component unless no other id is in it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = stage(text.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sizes(words), "hot boolean, id long, n long, cls long, text_key long"), "sizes")
     hot = sizes.where("hot").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(HOT).toPandas()

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.textkit import LOWER, text_array, text_chunks
+from quizmill.llm.textkit import LOWER, small_batches, text_array, text_chunks
 
 ORDER = 3
 SAMPLE = 400  # texts a language that the model is fitted on, about: those with the smallest hashes of doc_id
@@ -116,6 +116,7 @@ def _learn(g: np.ndarray, n: np.ndarray) -> Tables:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from text and lang of about `sample` held-in texts a language (all of them if there are fewer)."""
+    small_batches(docs.sparkSession)
     usable = held_in(docs).select("doc_id", "lang", "text")
     share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)

@@ -1,15 +1,21 @@
-"""Vectorised helpers shared by the text operators: Arrow text as byte arrays, word hashes, staging."""
+"""Vectorised helpers shared by the text operators: Arrow text as byte arrays, word hashes, memory of workers."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
+
+from quizmill.sources.staging import drop, shared_folder, stage  # noqa: F401  operators take them from here
+
+BATCH = 8 << 20  # bytes of a batch of rows that goes to Python
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # arrays of 4 MB and more go back to the system when they are dropped
 
 CHUNK = 1 << 20  # bytes of text worked on at once; one longer text is a chunk of its own
 U = np.uint64
@@ -74,7 +80,12 @@ def text_array(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, n
 
 
 def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows [i, j) with about `limit` bytes: (i, j, their bytes, offsets from 0). Texts are never cut."""
+    """Runs of rows [i, j) with about `limit` bytes: (i, j, their bytes, offsets from 0). Texts are never cut.
+
+    Whoever works in this way needs no vocabulary, so what the worker has kept of one is dropped.
+    """
+    if _held:
+        clear()
     whole, offs = text_array(batch, name)
     i, n = 0, len(offs) - 1
     while i < n:
@@ -124,44 +135,33 @@ def only(kind: str, name: str, make):
     if have is None or have[0] != name:
         clear()
         _held[kind] = have = name, make(name)
+        trim()
     return have[1]
 
 
+def trim() -> None:
+    """Gives memory that is free in this process back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def clear() -> None:
-    """Drops what earlier tasks of a Python worker have kept, and gives the memory back to the system."""
-    if _held or _tables:
+    """Drops what earlier tasks of a Python worker have kept."""
+    if _held:
         _held.clear()
-        _tables.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
+
+
+def small_batches(spark) -> None:
+    """Limits the batches that this session sends to Python to BATCH bytes, unless its own limit is lower or not the default."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    with contextlib.suppress(PySparkException):  # versions before 4.1 count rows alone
+        if spark.conf.get(name).rstrip("b") == str(default):
+            spark.conf.set(name, str(BATCH))
 
 
 def release(spark) -> None:
     """Lets the driver's JVM collect its garbage, and with it the shuffle files of steps whose results are staged."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return folder.rstrip("/")
-
-
-def stage(df, name: str):
-    """Writes a DataFrame as Parquet to the shared folder and reads it back: the lineage ends there, and losing an executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark, paths: list[str]) -> None:
-    """Deletes staged folders through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.merges import WORDS, Merges, load, spelled
-from quizmill.llm.textkit import only, text_array
+from quizmill.llm.textkit import only, small_batches, text_array
 
 LIMIT = 1024
 KEPT_BYTES = 256  # longer words are worked out each time
@@ -197,6 +197,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, find: Callable[
             fit = [c.fit(t, limit) if o else int(b) for t, o, b in zip(texts, over, size, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(over), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quizmill.llm.textkit import shared_folder, stage
+from quizmill.llm.textkit import shared_folder, small_batches, stage
 
 GAP, READ = 64 << 10, 4 << 20  # ranges at most so far apart are read at once, up to so many bytes
 ROLL = 256 << 20
@@ -100,6 +100,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     Of rows with equal payloads of at least `least` bytes the one with the largest page_id is the response; null ids
     come before all others, and rows that repeat the largest id are responses too. Null html is an empty payload.
     """
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def digests(html):
         return html.map(lambda x: digest((x or "").encode()))
