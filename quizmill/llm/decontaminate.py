@@ -9,7 +9,7 @@ consecutive words of a benchmark item; an item of fewer words, but not none, is
    passages of several items are searched once.
 3. The lengths of the posting lists, summed over all documents, tell how rare each term is. The rarest term of each
    window is looked up in the index: a join on the term gives the documents that a passage may be in.
-4. Passages travel to those documents' postings, by a join again. There the list of each window's rarest term, less the
+4. Passages travel to those documents' postings; the index is dealt out once, by document, at every size. There the list of each window's rarest term, less the
    term's offset, gives the possible starts, and the offset-adjusted lists of its other terms, from the next rarest to
    the most frequent, are intersected with them. What is left are exact phrase matches. With a slop, the few rarest
    terms are held against lists with a tolerance: the proximity matches.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.textkit import LOWER, find_words, prefix_hash, span_hash, stage, text_chunks
+from quizmill.llm.textkit import LOWER, find_words, prefix_hash, small_batches, span_hash, stage, text_chunks
 
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -110,6 +110,7 @@ def _index(known: np.ndarray, bits: int):
 
 def index(docs: DataFrame, known: np.ndarray, bits: int = BITS) -> DataFrame:
     """The stored postings, with a number `uid` for each document row."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     return stage(keyed.mapInArrow(_index(known, bits), INDEX).withColumn("uid", F.monotonically_increasing_id()), "postings")
 
@@ -249,7 +250,7 @@ def match(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int =
     places = idx.select("uid", salt, F.explode("terms").alias("term"))
     may = stage(places.join(wanted.select("*", every), ["term", "salt"]).select("uid", "passage", "salt").distinct(), "candidates")
     ask = may.join(asked.select("*", every), ["passage", "salt"]).select("uid", F.lit(1).alias("kind"), "passage", F.lit(0).cast("long").alias("n_words"), "terms", F.col("often").alias("counts"), F.lit(None).cast("array<int>").alias("positions"))
-    lists = idx.join(may.select("uid").distinct(), "uid", "left_semi").select("uid", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("passage"), "n_words", "terms", F.col("counts").cast("array<long>").alias("counts"), "positions")
+    lists = idx.select("uid", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("passage"), "n_words", "terms", F.col("counts").cast("array<long>").alias("counts"), "positions")
     found = stage(lists.unionByName(ask).repartition("uid").sortWithinPartitions("uid", "kind", "passage").mapInArrow(_search(width, slop), FOUND), "found")
     hits = found.where("n_hit is not null").select("uid", "n_hit")
     named = found.where("passage is not null").join(pieces.select("passage", "item_id"), "passage")
