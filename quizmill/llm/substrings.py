@@ -5,14 +5,16 @@ A byte goes if a string of `length` bytes that covers it also starts somewhere e
 1. Each string of `length` bytes has an anchor: the smallest hash among its runs of GRAM bytes. Equal strings have equal
    anchors, so all strings with one anchor form a shard, and no repeat is split between shards. Neighbouring strings
    of a document with one anchor are one segment, so a document's strings are dealt out once, in segments.
-2. Segments with equal bytes (hash of anchor and of content) are counted, with partial sums before the shuffle. All
-   strings in a segment that occurs twice are repeats. Only one copy of each goes on, and only to shards that hold
-   different segments: copies, however many, cost one segment.
+2. Segments that are alike are counted, with partial sums before the shuffle, and all strings in a segment that occurs
+   twice are repeats. Alike means equal in anchor and in a hash of the content, 128 bits together; bytes are not
+   compared here. Only one copy of each goes on, and only to shards that hold different segments: copies, however many,
+   cost one segment.
 3. Shards are joined to runs of about RUN bytes in one task. There the suffix array is built by induced sorting and the
    common prefixes of neighbours are computed in text order; a string is repeated if it shares `length` bytes with a
-   neighbour. Matches are thus decided on bytes.
-4. A shard of over HOT different segments would not fit one task: its strings are counted by 128-bit hashes instead,
-   spread over all tasks.
+   neighbour. These matches are decided on bytes.
+4. A shard of over HOT different segments is split by another anchor, the smallest of the hashes in another order, and
+   so on for LEVELS times: equal strings stay together each time. What is still large then has hardly any different
+   grams; it is sorted whole, by one task.
 """
 
 from __future__ import annotations
@@ -25,12 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.suffixes import common_prefixes, suffix_array
-from quizmill.llm.textkit import U, mix, powers, prefix_hash, span_hash, stage, text_chunks
+from quizmill.llm.textkit import U, mix, powers, prefix_hash, small_batches, span_hash, stage, text_chunks
 
 LENGTH, GRAM = 400, 32
 RUN = 1 << 20
-HOT = 20_000
-BASE2 = 0xA24BAED4963EE407
+HOT, LEVELS = 4_000, 4
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -44,8 +45,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, anchor, content, lo, hi, inner) of each segment; strings start at lo..hi within the text.
+def segments(data: np.ndarray, offs: np.ndarray, length: int, gram: int, level: int = 0) -> tuple[np.ndarray, ...]:
+    """(row, anchor, content, lo, hi, inner) of each segment; strings start at lo..hi within the text. Each level has an order of the hashes of its own.
 
     inner: the anchor occurs more than once in the segment, so that a string of it may repeat within.
     """
@@ -54,6 +55,8 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tupl
     cum = prefix_hash(data)
     _, inv = powers(len(cum))
     h = mix((cum[gram:] - cum[:-gram]) * inv[: len(cum) - gram])
+    if level:
+        h = mix(h ^ U(level * 0x9FB21C651E98DF25 % (1 << 64)))
     least = sliding_min(h, length - gram + 1)
     ends = np.repeat(offs[1:], np.diff(offs))
     ok = np.arange(len(least)) + length <= ends[: len(least)]
@@ -159,16 +162,30 @@ def _sorted_shards(length: int):
     return run
 
 
-def _strings(length: int):
-    """128-bit hashes of all strings of the segments of hot shards."""
+AGAIN = "doc_id long, text_key long, anchor long, content long, inner boolean, times long, lo long, bytes binary"
+
+
+def _again(length: int, gram: int, level: int):
+    """Segments of rows of large shards by the anchors of another level."""
 
     def run(batches):
         for batch in batches:
-            for d, k, times, lo, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "times", "lo", "bytes")), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                a = np.arange(len(data) - length + 1)
-                w = [span_hash(prefix_hash(data, b), a, a + length, b).view(np.int64) for b in (0x9E3779B97F4A7C15, BASE2)]
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(a), pa.int64()), pa.array([k] * len(a), pa.int64()), pa.array(w[0]), pa.array(w[1]), pa.array(a + lo), pa.array(np.full(len(a), times))], names=["doc_id", "text_key", "w1", "w2", "s", "times"])
+            raw = batch.column(batch.schema.get_field_index("bytes")).to_pylist()
+            own = batch.column(batch.schema.get_field_index("anchor")).to_numpy(zero_copy_only=False).view(U)
+            start = batch.column(batch.schema.get_field_index("lo")).to_numpy(zero_copy_only=False)
+            size = np.cumsum([0, *map(len, raw)])
+            i = 0
+            while i < len(raw):
+                j = max(i + 1, int(np.searchsorted(size, size[i] + RUN, "right")) - 1)
+                row, anchor, content, lo, hi, inner = segments(np.frombuffer(b"".join(raw[i:j]), np.uint8), size[i : j + 1] - size[i], length, gram, level)
+                at = pa.array(row + i)
+                part = [raw[i + r][a : b + length] for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                keep = {c: batch.column(batch.schema.get_field_index(c)).take(at) for c in ("doc_id", "text_key", "times")}
+                yield pa.RecordBatch.from_arrays(
+                    [keep["doc_id"], keep["text_key"], pa.array(mix(own[row + i] ^ anchor).view(np.int64)), pa.array(content.view(np.int64)), pa.array(inner), keep["times"], pa.array(lo + start[row + i]), pa.array(part, pa.binary())],
+                    names=["doc_id", "text_key", "anchor", "content", "inner", "times", "lo", "bytes"],
+                )
+                i = j
 
     return run
 
@@ -187,11 +204,28 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     todo = kinds.join(mixed, "anchor").select("one.*", "anchor", "times", "size").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "times", "size", "lo", "hi")).alias("segs"))
     cut = keyed.join(todo, _same(keyed, todo)).select(keyed["doc_id"], keyed["text_key"], "text", "segs").mapInArrow(_cut(length), CUT)
     cut = stage(cut, "cut")
-    shards = cut.where(F.col("size") <= hot).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length), SPAN)
-    strings = cut.where(F.col("size") > hot).mapInArrow(_strings(length), "doc_id long, text_key long, w1 long, w2 long, s long, times long")
-    twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    spread = strings.where("times = 1").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "text_key", "s", (F.col("s") + length).alias("e"))
-    return whole.unionByName(shards).unionByName(spread)
+    out, level = whole, 0
+    while True:
+        level += 1
+        last = level > LEVELS or cut.where(F.col("size") > hot).isEmpty()
+        small = cut if last else cut.where(F.col("size") <= hot)
+        out = out.unionByName(small.select("doc_id", "text_key", "anchor", "times", "lo", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length), SPAN))
+        if last:
+            return out
+        cut, spans = _split(cut.where(F.col("size") > hot), length, gram, level)
+        out = out.unionByName(spans)
+
+
+def _split(large: DataFrame, length: int, gram: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of large shards dealt out anew, one of each kind, and the spans of those that turn out alike."""
+    parts = stage(large.mapInArrow(_again(length, gram, level), AGAIN), "again")
+    kinds = parts.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.sum("times").alias("times"), F.min(F.struct("doc_id", "text_key", "lo")).alias("one"), F.max("inner").alias("inner"))
+    alike = parts.where("times = 1").join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    spans = alike.select("doc_id", "text_key", F.col("lo").alias("s"), (F.col("lo") + F.octet_length("bytes")).alias("e"))
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.max("inner").alias("any")).where("size > 1 or any").drop("any")
+    some = kinds.join(mixed, "anchor").select("anchor", "content", F.col("one.doc_id").alias("d"), F.col("one.text_key").alias("k"), F.col("one.lo").alias("l"), F.col("times").alias("t"), "size")
+    chosen = parts.join(some, ["anchor", "content"]).where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("lo") == F.col("l")))
+    return stage(chosen.select("doc_id", "text_key", "anchor", F.col("t").alias("times"), "size", "lo", "bytes").dropDuplicates(["anchor", "doc_id", "text_key", "lo"]), "cut"), spans
 
 
 def _remove(keep_text: bool):
@@ -225,6 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     Null and empty texts have 0 bytes and lose none. Texts shorter than `length` lose none. Rows that repeat a text are
     places of their own: each copy is repeated by the other. What is left may be cut within a character, so it is bytes.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"))
     spans = repeat_spans(keyed, length, gram, hot).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     both = keyed.join(spans, _same(keyed, spans), "left").select(keyed["doc_id"], "text", "spans")
