@@ -181,7 +181,7 @@ def _compare(lex: np.ndarray):
 def fingerprints(docs: DataFrame, lex: np.ndarray) -> DataFrame:
     """The columns of OUT for each document row.
 
-    Null texts are empty. Rows follow each other by doc_id, then text; null ids come first; after the last comes the
+    Null texts are empty; a text of any length is held whole by one task, with the one after it. Rows follow each other by doc_id, then text; null ids come first; after the last comes the
     first. Texts with no term of the lexicon are told apart by all their terms; a table of one row follows itself.
     """
     spark = docs.sparkSession
@@ -189,15 +189,15 @@ def fingerprints(docs: DataFrame, lex: np.ndarray) -> DataFrame:
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(x.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []))
-    part = F.expr(f"size(filter(array({', '.join(f'{c}L' if c > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for c in cuts)}), c -> c < key))") if cuts else F.lit(0)
+    # constants of one expression each, however many parts there are
+    part = F.expr(f"size(filter(cast(split('{','.join(map(str, cuts))}', ',') as array<bigint>), c -> c < key))") if cuts else F.lit(0)
     x = x.withColumn("part", part)
     firsts = sorted((r["part"], r["key"]) for r in x.groupBy("part").agg(F.min("key").alias("key")).collect())  # one row a part
     if not firsts:
         return x.select(F.lit(0).alias("part"), F.lit(True).alias("head"), "text", "doc_id").mapInArrow(_compare(lex), OUT)
-    heads = F.lit(None).cast("int")
-    for k, (p, _) in enumerate(firsts):
-        heads = F.when(F.col("key") == firsts[(k + 1) % len(firsts)][1], F.lit(p)).otherwise(heads)
-    extra = x.where(F.col("key").isin([f for _, f in firsts])).withColumn("part", heads)
+    before = {firsts[(k + 1) % len(firsts)][1]: p for k, (p, _) in enumerate(firsts)}  # the part that a first row follows
+    named = f"str_to_map('{','.join(f'{k}:{p}' for k, p in before.items())}')"
+    extra = x.withColumn("part", F.expr(f"cast({named}[cast(key as string)] as int)")).where("part is not null")
     both = x.withColumn("head", F.lit(False)).unionByName(extra.withColumn("head", F.lit(True)))
     return both.repartition(parts, "part").sortWithinPartitions("part", "head", "key", "text").select("part", "head", "text", "doc_id").mapInArrow(_compare(lex), OUT)
 

@@ -17,15 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizmill.llm.textkit import LOWER, small_batches, text_array, text_chunks
 
 ORDER = 3
 SAMPLE = 400  # texts a language that the model is fitted on, about: those with the smallest hashes of doc_id
+SAMPLE_BYTES = 2 << 20  # of which at most so many bytes of whole texts (one text at least), so that a language's tables have at most (ORDER + 1) * SAMPLE_BYTES entries of 16 bytes
 SYMBOLS = 256  # byte values, each a symbol
-LEAST = 2  # times that a context must have been seen to be in the tree
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -45,7 +45,8 @@ def _grams(batches):
                 if len(x) <= ORDER:
                     continue
                 g = sum(x[k : len(x) - ORDER + k] << 8 * (ORDER - k) for k in range(ORDER + 1))
-                v, c = np.unique(g, return_counts=True)
+                own = np.concatenate([np.arange(ORDER + offs[r + 1] - offs[r]) >= ORDER for r in rows])[ORDER:]  # runs that end in a text, not in what leads the next one in
+                v, c = np.unique(g[own], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(v), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
 
 
@@ -99,9 +100,6 @@ def _learn(g: np.ndarray, n: np.ndarray) -> Tables:
         run, where = np.unique(g & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
         c = np.bincount(where, weights=n, minlength=len(run))
         ctx, node = np.unique(run >> 8, return_inverse=True)
-        keep = (np.bincount(node, weights=c) >= (LEAST if order else 1))[node]
-        run, c = run[keep], c[keep]
-        ctx, node = np.unique(run >> 8, return_inverse=True)
         total, kinds = np.bincount(node, weights=c), np.bincount(node)
         # with exclusion: what the context has seen cannot be meant by an escape
         below = np.exp2(-t.look_up(run, order - 1))
@@ -114,13 +112,15 @@ def _learn(g: np.ndarray, n: np.ndarray) -> Tables:
     return t
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from text and lang of about `sample` held-in texts a language (all of them if there are fewer)."""
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from text and lang of about `sample` held-in texts a language (all of them if there are fewer), of `sample_bytes` in all at most."""
     small_batches(docs.sparkSession)
     usable = held_in(docs).select("doc_id", "lang", "text")
     share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     drawn = usable.join(F.broadcast(share), "lang").where(draw <= F.col("share"))
+    ahead = Window.partitionBy("lang").orderBy(F.octet_length("text") > sample_bytes, F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")  # a few hundred rows a language
+    drawn = drawn.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(ahead)).withColumn("place", F.row_number().over(ahead)).where((F.col("bytes") <= sample_bytes) | (F.col("place") == 1))
     grams = drawn.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     parts = {lang: part for lang, part in grams.groupby("lang")}
     langs = sorted(parts)
@@ -150,7 +150,7 @@ def code_lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray
 
 
 def judge(bits: np.ndarray, langs: list[str], letters: np.ndarray, size: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Prediction and score: the share of the best language if each weighs 2 ** -bits, the bits of long texts scaled to those of 64 bytes."""
+    """Prediction (of languages with equal code lengths the first by name) and score: the share of the best language if each weighs 2 ** -bits, the bits of long texts scaled to those of 64 bytes."""
     if not langs:
         return ["und"] * len(bits), np.zeros(len(bits))
     scaled = bits * np.minimum(1, 64 / np.maximum(size, 1))[:, None]
@@ -161,7 +161,11 @@ def judge(bits: np.ndarray, langs: list[str], letters: np.ndarray, size: np.ndar
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id and lang_pred, score for each row. Texts that are null or have no letter are `und` with score 0; so is all if nothing could be learned."""
+    """doc_id and lang_pred, score for each row; repeated rows give repeated rows, an empty table none.
+
+    Texts that are null or have no letter are `und` with score 0; so is all if nothing could be learned. A text of any
+    length is scored whole; of languages with equal code lengths the first by name is predicted. No other column is read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the runs of the sample; grows with the number of languages
 
     def run(batches):
@@ -184,7 +188,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language can be told (not `und`); a missing lang becomes the prediction."""
+    """Pipeline stage: documents whose language can be told (not `und`), with their columns; a missing lang becomes the prediction.
+
+    Null and empty texts and texts without letters go; repeated rows stay repeated; an empty table stays empty, and so
+    is the result if no document has a lang to learn from.
+    """
     model = fit(docs)
     shared = spark.sparkContext.broadcast(model)
     schema = docs.schema

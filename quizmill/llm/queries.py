@@ -16,8 +16,9 @@ def queries() -> dict:
         "op9_url_filter": urlfilter.op9_url_filter,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op10_near": decontaminate.op10_near,
+        "url_rules": urlfilter.url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard.SQL, "op4_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op3_jaccard_join": jaccard.SQL, "op4_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL, "url_rules": urlfilter.SQL}

@@ -183,7 +183,8 @@ def counter(path: str) -> PrefixCounts:
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, find: Callable[[], str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit and fit_bytes (the longest start within the limit, cut between characters).
 
-    Null and empty texts have 0 bytes and 0 tokens. Each row is counted for itself: repeated rows give repeated rows.
+    Null and empty texts have 0 bytes and 0 tokens. Each row is counted for itself: repeated rows give repeated rows, an
+    empty table none. A text of any length is counted whole, by one task; no other column is read.
     """
 
     def run(batches):

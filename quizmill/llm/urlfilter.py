@@ -39,6 +39,7 @@ LABELLED = [
 ]
 
 SIZES, BUCKETS = (3, 4, 5), 1 << 14
+LOWER = {c: c + 32 for c in range(65, 91)}
 STEPS, RATE, DECAY = 400, 4.0, 1e-4
 
 
@@ -54,9 +55,9 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=None) -> Column:
-    """The longest rule that fits, as host and path, and its verdict: struct(rule, verdict) or null."""
+    """The longest rule that fits, as host and path, and its verdict: struct(rule, verdict) or null. Of rules of equal length the last given counts."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for h, p, verdict in sorted(rules or RULES, key=lambda r: len(r[0] + r[1])):
+    for h, p, verdict in sorted(RULES if rules is None else rules, key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
@@ -81,12 +82,12 @@ def split_url(url: str) -> tuple[str, str]:
     rest = url.partition("://")[2]
     cut = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
     tail = rest[cut:]
-    return rest[:cut].lower(), tail[: min([i for i in map(tail.find, "?#") if i >= 0], default=len(tail))]
+    return rest[:cut].translate(LOWER), tail[: min([i for i in map(tail.find, "?#") if i >= 0], default=len(tail))]
 
 
 def train(labelled=None) -> np.ndarray:
     """Weights of the buckets, the last one the intercept, by gradient descent with decay on the labelled table."""
-    table = labelled or LABELLED
+    table = LABELLED if labelled is None else labelled
     y = np.array([b for _, b in table], float)
     row, bucket, x = features(*zip(*(split_url(u) for u, _ in table), strict=True))
     w = np.zeros(BUCKETS + 1)
@@ -103,7 +104,11 @@ def blocked_probability(w: np.ndarray, hosts: list[str], paths: list[str]) -> np
 
 
 def filter_urls(pages: DataFrame, rules=None, labelled=None) -> DataFrame:
-    """page_id, host, path, rule, verdict, p_block for each row. Null urls and urls without :// have an empty host and path and are judged like any other."""
+    """page_id, host, path, rule, verdict, p_block for each row; repeated rows give repeated rows, an empty table none.
+
+    Null urls and urls without :// have an empty host and path and are judged like any other; urls of any length are
+    looked at whole. p_block of 0.5 is block. rules and labelled: the module's own if None; no rules at all if empty.
+    """
     w = train(labelled)
 
     @F.pandas_udf("double")
@@ -115,5 +120,20 @@ def filter_urls(pages: DataFrame, rules=None, labelled=None) -> DataFrame:
     return x.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that a rule decides."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    x = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("hit", rule_of(F.col("host"), F.col("path")))
+    return x.where("hit is not null").select("page_id", "host", "path", "hit.rule", "hit.verdict")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+_FITS = [(f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
+SQL = rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)\A.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE {' '.join(f"WHEN {c} THEN '{r}'" for c, r, _ in _FITS)} END AS rule FROM u)
+SELECT *, CASE rule {' '.join(f"WHEN '{r}' THEN '{v}'" for _, r, v in _FITS)} END AS verdict FROM r WHERE rule IS NOT NULL
+"""

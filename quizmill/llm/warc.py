@@ -28,6 +28,13 @@ DATE = datetime(2020, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+SALT = 16  # parts that the pages of one payload are dealt to
+
+
+def _salt():
+    return F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -98,7 +105,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes a record for each row of (page_id, url, html) below `folder` and returns the index, itself stored.
 
     Of rows with equal payloads of at least `least` bytes the one with the largest page_id is the response; null ids
-    come before all others, and rows that repeat the largest id are responses too. Null html is an empty payload.
+    come before all others, and rows that repeat the largest id are responses too. Null html is an empty payload; an empty
+    table gives an empty index. A page of any length is one record, written and read whole.
     """
     small_batches(pages.sparkSession)
 
@@ -110,7 +118,9 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     key = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     marks = stage(key.select("page_id", digests("html").alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes")).where(F.col("bytes") >= least), "digests")
     best = marks.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1")
-    again = marks.join(best, "digest").where(~F.col("page_id").eqNullSafe(F.col("best"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "best").distinct()
+    # a payload that a third of all pages have is dealt to SALT tasks
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    again = marks.withColumn("salt", _salt()).join(best.select("*", every), ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("best"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "best").distinct()
     x = key.withColumn("digest", digests("html"))
     both = x.join(again, x["page_id"].eqNullSafe(again["again_id"]) & (x["digest"] == again["again_digest"]), "left")
     ready = both.select("page_id", "url", "html", "digest", F.col("best").alias("refers_to"), F.col("again_digest").isNotNull().alias("revisit"))
@@ -160,7 +170,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a revisit has the size of the response with its digest
     sizes = facts.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("dg")).agg(F.max("own").alias("size"))
     revisits = facts.where("record_type = 'revisit'")
-    full = revisits.join(sizes, revisits["payload_digest"] == sizes["dg"]).select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part")
+    revisits, sizes = revisits.withColumn("salt", _salt()), sizes.select("*", every)
+    full = revisits.join(sizes, (revisits["payload_digest"] == sizes["dg"]) & (F.col("salt") == F.col("part"))).select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return facts.where("record_type = 'response'").select("page_id", F.col("own").alias("payload_bytes"), "payload_digest", "record_type", "refers_to").unionByName(full)
 
 
