@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quizmill.functions.text import words
+from quizmill.sources.staging import stage
 
 
 @F.pandas_udf(DoubleType())
@@ -65,9 +66,16 @@ def self_bleu(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with the average rank of a column: ties share the mean of their places. Ranks come from counts per value, so only distinct values are ordered."""
+    """df with the average rank of a column: ties share the mean of their places.
+
+    Ranks come from counts per value. Values are dealt out by range; running sums within each range, and what the ranges
+    before it hold, give the places, so that no task orders all values.
+    """
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn(out, F.sum("n").over(Window.orderBy(column)) - (F.col("n") - 1) / 2).drop("n")
+    ranges = stage(counts.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = ranges.groupBy("_p").agg(F.sum("n").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a range
+    inner = F.sum("n").over(Window.partitionBy("_p").orderBy(column))
+    ranked = ranges.withColumn("_s", inner).join(F.broadcast(before), "_p").select(column, (F.col("_s") + F.col("_b") - (F.col("n") - 1) / 2).alias(out))
     return df.join(ranked, column)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
+import sqlite3
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,10 +16,15 @@ from pyspark.sql import types as T
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of text files, lines counted from 1 in each file, blank ones counted but left out.
 
-    A file is one row of the whole-text reader, so numbers are exact without a shuffle; meant for corpora of many files.
+    Files are read in splits. Ids that rise by one within a split give each line its place there; the splits' line
+    counts, summed in order of their offsets, give what comes before. Only that table of splits is shuffled.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    return whole.select("file", (F.col("line") + 1).cast("long").alias("line"), "value").where(F.trim("value") != "")
+    x = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
+    splits = x.groupBy("file", "at").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    y = x.join(splits, ["file", "at"]).select("file", (F.col("before") + F.col("i") - F.col("first") + 1).cast("long").alias("line"), "value")
+    return y.where(F.trim("value") != "")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -77,6 +86,65 @@ def jsonl_digest(df: DataFrame, order: str) -> str:
     return h.hexdigest()
 
 
+def write_jsonl_digested(df: DataFrame, path: str, order: str) -> str:
+    """One file of JSON lines in an order, and the SHA-256 of its bytes; for sets that one file can hold."""
+    df.orderBy(order).select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return content_hash(df.sparkSession, f"{path}/part-*").first()["sha256"]
+
+
+def as_pinned(spark: SparkSession, path: str, md5: str) -> bool:
+    """Whether a file has the digest it is pinned to; a caller may warn if not."""
+    return all(r["md5"] == md5.lower() for r in content_hash(spark, path).select("md5").collect())
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file that driver and executors can open, read in ranges of rowid; columns by name."""
+    names = [f.name for f in T._parse_datatype_string(schema)]
+    quoted = ", ".join(f'"{n}"' for n in names)
+    with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+        lo, hi = con.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{table}"').fetchone()
+    step = max(1, -(-(hi - lo + 1) // parts))
+
+    def read(frames):
+        for frame in frames:
+            with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+                for a in frame["id"]:
+                    yield pd.DataFrame(con.execute(f'SELECT {quoted} FROM "{table}" WHERE rowid >= ? AND rowid < ? ORDER BY rowid', (int(a), int(a) + step)).fetchall(), columns=names)
+
+    return spark.range(lo, hi + 1, step, parts).mapInPandas(read, schema)
+
+
+def objects(df: DataFrame, key: str, wanted: list | None = None) -> DataFrame:
+    """List (no keys) or get (some keys) of an object table, the last by `updated_at` of each key."""
+    w = Window.partitionBy(key).orderBy(F.desc("updated_at"))
+    some = df if wanted is None else df.where(F.col(key).isin(wanted))
+    return some.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def json_report(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small table as indented JSON; over `most` rows it is refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many rows for a report")
+    return json.dumps({"title": title, "rows": [r.asDict(recursive=True) for r in rows]}, ensure_ascii=False, indent=2, default=str)
+
+
+def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(file, page, text) of PDF files, where pdfplumber is installed on the executors; else give extracted text to the exam operators."""
+
+    def read(frames):
+        import io
+
+        import pdfplumber
+
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                with pdfplumber.open(io.BytesIO(content)) as pdf:
+                    yield pd.DataFrame([(name, i + 1, p.extract_text() or "") for i, p in enumerate(pdf.pages)], columns=["file", "page", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "file string, page long, text string")
+
+
 def quarantine(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """(id, reason) of a quarantine list; entries without both are refused."""
     if any(not r.get("id") or not r.get("motivo", r.get("reason")) for r in rows):
