@@ -14,8 +14,8 @@ from pyspark.errors import PySparkException
 from quizmill.sources.staging import drop, shared_folder, stage  # noqa: F401  operators take them from here
 
 BATCH = 8 << 20  # bytes of a batch of rows that goes to Python
-with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # arrays of 4 MB and more go back to the system when they are dropped
+with contextlib.suppress(OSError, AttributeError):  # memory of arrays dropped is used again at once; new pages for each would cost half as much time again
+    ctypes.CDLL("libc.so.6").mallopt(-3, 64 << 20)
 
 CHUNK = 1 << 20  # bytes of text worked on at once; one longer text is a chunk of its own
 U = np.uint64
