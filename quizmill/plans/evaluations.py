@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.functions.rounding import half_even
 from quizmill.operators import campaign, evaluation, generators
+from quizmill.plans import ablation
 from quizmill.plans.catalogue import _JURY, _jury, long, query
 from quizmill.plans.views import ITEMS, REQLOG, items, request_log, table
 
@@ -127,3 +130,22 @@ def curated_families(spark: SparkSession, d: str) -> DataFrame:
 def rounded_half_even(spark: SparkSession, d: str) -> DataFrame:
     """Rounding of the binary value, halves to even; engines round the decimal text, so this has no SQL."""
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", half_even(F.col("l_extendedprice") * F.col("l_discount") / 8, F.lit(2)).alias("rounded"))
+
+
+def _scripted(prompt: str) -> str:
+    """A model that answers by the number of its specification: sound, alike options, four options, no JSON, an error."""
+    spec = json.loads(prompt)["solicitacao"]
+    kind = spec["spec_id"] % 5
+    if kind == 4:
+        raise RuntimeError("429 rate limit")
+    if kind == 3:
+        return "no question"
+    options = ["a", "b", "c", "d", "A " if kind == 1 else "e"][: 4 if kind == 2 else 5]
+    return json.dumps({"enunciado": spec["query"], "alternativas": options, "correta": 0, "explicacao": "x", "competencia": "x", "habilidade": "x", "objeto_conhecimento": spec["objeto"]})
+
+
+@query("""SELECT 'C1_LLM' AS condition, item_id AS spec_id, CASE item_id % 5 WHEN 0 THEN 'COMPLETED' ELSE 'FAILED' END AS state, CASE item_id % 5 WHEN 1 THEN 'repetidas' WHEN 2 THEN 'alternativas' WHEN 3 THEN 'campo_ausente' WHEN 4 THEN 'erro_do_modelo' END AS reason FROM benchmark""")
+def ablation_states(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    specs = table(spark, d, "benchmark").select(F.col("item_id").alias("spec_id"), F.col("text").alias("query"), F.lit("objeto").alias("objeto"), none.alias("curso"), none.alias("componente"), none.alias("exame"))
+    return ablation.run("C1_LLM", specs, lambda: _scripted).select("condition", "spec_id", "state", "reason")
