@@ -55,12 +55,22 @@ def ascii_fold(c: Column) -> Column:
 
 def words_folded(c: Column) -> Column:
     """Folded, anything but letters, digits and _ becomes one space, trimmed."""
-    return F.trim(F.regexp_replace(fold(_or_empty(c)), NOT_WORD, " "))
+    return words_of(fold(_or_empty(c)))
+
+
+def words_of(folded: Column) -> Column:
+    """`words_folded` of a text that is folded."""
+    return F.trim(F.regexp_replace(folded, NOT_WORD, " "))
 
 
 def spaces_folded(c: Column) -> Column:
     """Folded, white space collapsed, punctuation kept."""
-    return F.trim(F.regexp_replace(fold(_or_empty(c)), r"\s+", " "))
+    return spaces_of(fold(_or_empty(c)))
+
+
+def spaces_of(folded: Column) -> Column:
+    """`spaces_folded` of a text that is folded."""
+    return F.trim(F.regexp_replace(folded, r"\s+", " "))
 
 
 def plain_folded(c: Column) -> Column:
@@ -122,7 +132,12 @@ TRIAGE_STOP = ["a", "o", "as", "os", "de", "da", "do", "das", "dos", "e", "em",
 
 def triage_words(c: Column) -> Column:
     """T5: distinct tokens of more than two characters outside the stop list."""
-    return F.array_distinct(F.filter(plain_tokens(c), lambda w: (F.length(w) > 2) & ~w.isin(*TRIAGE_STOP)))
+    return triage_words_of(plain_folded(c))
+
+
+def triage_words_of(folded: Column) -> Column:
+    found = F.regexp_extract_all(folded, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*TRIAGE_STOP)))
 
 
 #: Words that retrieval leaves out. Those with accents never meet a folded token.

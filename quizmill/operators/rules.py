@@ -33,17 +33,18 @@ def when(cond: Column, evidence: Column | str) -> Column:
 
 def prepared(items: DataFrame) -> DataFrame:
     """items with the normalised texts that several rules look at, each worked out once; columns nobody reads are pruned."""
-    have, out = set(items.columns), {}
+    have, out, more = set(items.columns), {}, {}
     text = lambda c: F.coalesce(c, F.lit(""))
-    if "enunciado" in have:
-        out |= {"_s3": T.words_folded(C("enunciado")), "_s4": T.spaces_folded(C("enunciado")), "_s6": T.plain_folded(C("enunciado"))}
+    if "enunciado" in have:  # folding is by character, so a stem is folded once and its other forms come from that
+        out |= {"_s6": T.plain_folded(C("enunciado"))}
+        more |= {"_s3": T.words_of(C("_s6")), "_s4": T.spaces_of(C("_s6"))}
     if "resposta_correta" in have:
         out |= {"_a3": T.words_folded(C("resposta_correta"))}
     if {"enunciado", "alternativas"} <= have:
         o = F.transform("alternativas", text)
-        out |= {"_whole": F.concat_ws(" ", text(C("enunciado")), F.array_join(o, " ")), "_sizes": F.transform(o, lambda x: F.size(T.words(x)))}
-    wide = items.select("*", *(c.alias(k) for k, c in out.items()))
-    return wide.withColumn("_n4", T.spaces_folded(C("_whole"))).withColumn("_n6", T.plain_folded(C("_whole"))) if "_whole" in out else wide
+        out |= {"_o6": T.plain_folded(F.array_join(o, " ")), "_whole": F.concat_ws(" ", text(C("enunciado")), F.array_join(o, " ")), "_sizes": F.transform(o, lambda x: F.size(T.words(x)))}
+        more |= {"_n6": F.concat(C("_s6"), F.lit(" "), C("_o6")), "_n4": T.spaces_of(F.concat(C("_s6"), F.lit(" "), C("_o6")))}
+    return items.select("*", *(c.alias(k) for k, c in out.items())).select("*", *(c.alias(k) for k, c in more.items()))
 
 
 def flags(items: DataFrame, rules: list[Rule], key: str = "item_id") -> DataFrame:
@@ -273,7 +274,7 @@ def analyzer_rules() -> list[Rule]:
         rule("placeholder_residual", "questao", when(F.size(marks) > 0, listed(marks)), "DISTRATORES"),
         rule("formatacao_quebrada", "questao", when((F.length(stem) > 5000) | F.exists(o, lambda x: F.length(x) > 1200), "texto longo demais")),
         rule("vazamento_de_artefato", "questao", when(F.size(leaks) > 0, F.array_join(leaks, ", "))),
-        rule("vazamento_de_artefato", "alternativas", when(T.spaces_folded(F.array_join(o, " ")).rlike(r"\bquest\s*[aã]\s*o\s+\d{1,3}\b"), "outra questão anexada"), "DISTRATORES"),
+        rule("vazamento_de_artefato", "alternativas", when(T.spaces_of(C("_o6")).rlike(r"\bquest\s*[aã]\s*o\s+\d{1,3}\b"), "outra questão anexada"), "DISTRATORES"),
         rule("dependencia_visual_ausente", "recurso_visual", when(F.coalesce("tem_imagem", F.lit(False)) & (F.coalesce("recurso_visual", F.lit("")) == ""), "imagem sem recurso")),
         rule("formatacao_quebrada", "alternativas", when(F.exists(o, lambda x: F.trim(x) == ""), "alternativa vazia"), "DISTRATORES"),
         rule("iwf_gabarito_mais_longo", "alternativas", when((mine == F.array_max(sizes)) & (F.size(F.filter(sizes, lambda x: x == mine)) == 1) & (mine >= F.array_min(sizes) + 2), F.array_join(sizes.cast("array<string>"), ", ")), "DISTRATORES"),
@@ -321,9 +322,9 @@ def triage(items: DataFrame, key: str = "item_id") -> DataFrame:
     stem, o, c = F.trim(F.coalesce("enunciado", F.lit(""))), F.transform("alternativas", lambda x: F.trim(F.coalesce(x, F.lit("")))), C("correta")
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
     sets = {
-        "_expected": T.triage_words(F.concat_ws(" ", "spec_objetivo", "spec_objeto")), "_made": T.triage_words(F.concat_ws(" ", "enunciado", "objeto_conhecimento", "competencia", "habilidade")),
+        "_expected": T.triage_words(F.concat_ws(" ", "spec_objetivo", "spec_objeto")), "_made": T.triage_words_of(F.concat_ws(" ", "_s6", T.plain_folded(F.concat_ws(" ", "objeto_conhecimento", "competencia", "habilidade")))),
         "_want": T.triage_words(C("spec_objeto")), "_got": T.triage_words(C("objeto_conhecimento")), "_answer": T.triage_words(key_of(o, c)),
-        "_lengths": F.transform(F.filter(o, lambda x: x != ""), lambda x: F.size(T.triage_words(x))), "_open": T.plain_folded(stem),
+        "_lengths": F.transform(F.filter(o, lambda x: x != ""), lambda x: F.size(T.triage_words(x))), "_open": F.trim("_s6"),
     }
     expected, made, want, got, answer, sizes = map(C, ("_expected", "_made", "_want", "_got", "_answer", "_lengths"))
     block = flags(items, [*stem_rules(), *item_rules()], key).groupBy(key).agg(F.count("*").alias("flags_bloqueio"))
@@ -335,7 +336,7 @@ def triage(items: DataFrame, key: str = "item_id") -> DataFrame:
         F.when((F.size(answer) > 0) & ~F.arrays_overlap(answer, T.triage_words(C("explicacao"))), F.lit("explicacao_nao_nomeia_gabarito")),
         F.when(F.array_max(sizes) >= F.greatest(F.lit(4), 3 * F.greatest(F.lit(1), F.array_min(sizes))), F.lit("alternativas_com_extensao_desequilibrada")),
     ))
-    x = items.select("*", *(v.alias(k) for k, v in sets.items())).select(key, found.alias("flags"), F.length(stem).cast("long").alias("enunciado_caracteres"), F.size(o).cast("long").alias("alternativas"), F.round(share(expected, made), 3).alias("sobreposicao_especificacao"), F.round(share(want, got), 3).alias("sobreposicao_objeto_conhecimento"))
+    x = prepared(items).select("*", *(v.alias(k) for k, v in sets.items())).select(key, found.alias("flags"), F.length(stem).cast("long").alias("enunciado_caracteres"), F.size(o).cast("long").alias("alternativas"), F.round(share(expected, made), 3).alias("sobreposicao_especificacao"), F.round(share(want, got), 3).alias("sobreposicao_objeto_conhecimento"))
     return x.join(block, key, "left").withColumn("flags_bloqueio", F.coalesce("flags_bloqueio", F.lit(0)).cast("long")).withColumn("flags_revisao", F.size("flags").cast("long"))
 
 
