@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quizmill.llm import bpecodec, decontaminate, jaccard, langid, secrets
-from quizmill.llm.textkit import stage
+from quizmill.llm.textkit import drop, stage
 
 STAGES = [
     ("language_id", langid.identified),
@@ -26,6 +26,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, f in STAGES:
-        docs = stage(f(spark, docs, sf_dir), name)
+    for k, (name, f) in enumerate(STAGES):
+        kept = stage(f(spark, docs, sf_dir), name)
+        if k:
+            drop(docs)  # written and read by now
+        docs = kept
     return docs
