@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizmill.functions import text as T
+
 C = F.col
 
 
@@ -48,8 +50,6 @@ def strata(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def coverage(df: DataFrame, area: str) -> DataFrame:
     """(area, n, place): records of each area, most first, ties by name."""
-    from pyspark.sql import Window
-
     n = df.groupBy(F.coalesce(area, F.lit("n/d")).alias("area")).agg(F.count("*").alias("n"))
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "area")))  # one row an area
 
@@ -99,3 +99,40 @@ def same_set(a: Column, b: Column) -> Column:
 
 def subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
+
+
+def source_of(model: Column, strategy: Column) -> Column:
+    """Where options come from: curated memory, a deterministic rule, a tuned model, a base model, another named one, unknown."""
+    m = F.coalesce(model, F.lit(""))
+    curated = F.coalesce(strategy == "familia_conceitual_curada", F.lit(False)) | m.contains("memory-curated")
+    return F.when(curated, "memoria_curada").when(m.startswith("deterministic"), "regra_deterministica").when(m.contains("LoRA"), "slm_ajustada").when(m.endswith(":base"), "slm_base").when(m != "", F.concat(F.lit("slm("), m, F.lit(")"))).otherwise("desconhecida")
+
+
+def source_counts(attempts: DataFrame, key: str, order: str, source: str, done: str) -> DataFrame:
+    """(source, n_attempts, n_final): over all attempts, and over the last one of each completed item."""
+    w = F.max(order).over(Window.partitionBy(key))
+    x = attempts.withColumn("_last", C(order) == w)
+    return x.groupBy(source).agg(F.count("*").alias("n_attempts"), F.count_if(C("_last") & C(done)).alias("n_final"))
+
+
+def harmonised_flag(flag: Column) -> Column:
+    """struct(code, stage, field, evidence, repair_target) of a flag in JSON, under names of either language, the first that is not empty; what is no object is an alert with itself as evidence."""
+    get = lambda *names: F.coalesce(*(F.nullif(F.get_json_object(flag, f"$.{n}"), F.lit("")) for n in names))
+    found = F.coalesce(F.trim(flag).startswith("{") & F.try_parse_json(flag).isNotNull(), F.lit(False))
+    one = lambda default, *names: F.when(found, F.coalesce(get(*names), F.lit(default))).otherwise(default)
+    return F.struct(
+        one("alerta", "codigo", "code").alias("code"), one("QUALIDADE", "etapa", "stage").alias("stage"), one("", "campo", "field").alias("field"),
+        F.when(found, F.coalesce(get("evidencia", "evidence"), F.lit(""))).otherwise(F.coalesce(flag, F.lit("None"))).alias("evidence"), one("", "reparo", "repair_target").alias("repair_target"),
+    )
+
+
+def repeats_within(options: Column) -> Column:
+    """How many options of an item repeat an earlier one of it, by their normalised text."""
+    same = F.transform(options, lambda x: T.words_folded(x))
+    return F.size(same) - F.size(F.array_distinct(same))
+
+
+def latest_decision(reviews: DataFrame, key: str, order: str, decision: str) -> DataFrame:
+    """(key, decision) of each item's last review, in the words of the studio."""
+    d = F.max_by(decision, order)
+    return reviews.groupBy(key).agg(F.when(d == "APROVAR", "Usaria").when(d == "REJEITAR", "Não usaria").otherwise(d).alias("decision"))

@@ -11,7 +11,7 @@ from quizmill.functions.rounding import half_even
 from quizmill.operators import campaign, evaluation, generators
 from quizmill.plans import ablation
 from quizmill.plans.catalogue import _JURY, _jury, long, query
-from quizmill.plans.views import ITEMS, REQLOG, items, request_log, table
+from quizmill.plans.views import ITEMS, REQLOG, items, request_log, sql_words_folded, table
 
 _OUTPUTS = "(SELECT event_type AS model, value > 10 AS valid, value > 20 AS four_distinct, event_id % 5 = 0 AS copies_key, CASE WHEN event_id % 3 > 0 THEN value / 50 END AS length_ratio, CASE WHEN event_id % 4 > 0 THEN event_id % 7 / 7.0 END AS overlap FROM events)"
 _RATES = f"""SELECT model, count(*) AS items, round(avg(CAST(valid AS INTEGER)), 3) AS valid_rate, round(avg(CAST(four_distinct AS INTEGER)), 3) AS four_distinct_rate, round(avg(CAST(copies_key AS INTEGER)), 3) AS copy_rate,
@@ -149,3 +149,35 @@ def ablation_states(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     specs = table(spark, d, "benchmark").select(F.col("item_id").alias("spec_id"), F.col("text").alias("query"), F.lit("objeto").alias("objeto"), none.alias("curso"), none.alias("componente"), none.alias("exame"))
     return ablation.run("C1_LLM", specs, lambda: _scripted).select("condition", "spec_id", "state", "reason")
+
+
+_MADE_BY = "CASE event_type WHEN 'view' THEN 'slm-memory-curated-v1' WHEN 'click' THEN 'deterministic-pool' WHEN 'purchase' THEN 'Qwen-LoRA' WHEN 'error' THEN 'qwen:base' WHEN 'signup' THEN 'other' END"
+_STRATEGY = "CASE WHEN value > 95 THEN 'familia_conceitual_curada' END"
+
+
+@query(f"""WITH {REQLOG}, a AS (SELECT rid, seq, {_MADE_BY} AS m, {_STRATEGY} AS st, seq = max(seq) OVER (PARTITION BY rid) AS last, rid % 2 = 0 AS done FROM reqlog),
+s AS (SELECT *, CASE WHEN st = 'familia_conceitual_curada' OR contains(m, 'memory-curated') THEN 'memoria_curada' WHEN starts_with(m, 'deterministic') THEN 'regra_deterministica' WHEN contains(m, 'LoRA') THEN 'slm_ajustada' WHEN suffix(m, ':base') THEN 'slm_base' WHEN m <> '' THEN 'slm(' || m || ')' ELSE 'desconhecida' END AS source FROM a)
+SELECT source, count(*) AS n_attempts, CAST(count(*) FILTER (last AND done) AS BIGINT) AS n_final FROM s GROUP BY source""")
+def source_counts(spark: SparkSession, d: str) -> DataFrame:
+    r = request_log(spark, d).withColumn("source", evaluation.source_of(F.expr(_MADE_BY), F.expr(_STRATEGY))).withColumn("done", F.col("rid") % 2 == 0)
+    return evaluation.source_counts(r, "rid", "seq", "source", "done")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'RF1' WHEN 'click' THEN 'RF2' ELSE 'alerta' END AS code, CASE event_type WHEN 'view' THEN 'NUCLEO' ELSE 'QUALIDADE' END AS stage, CASE event_type WHEN 'click' THEN 'campo' ELSE '' END AS field,
+  CASE event_type WHEN 'view' THEN 'e' WHEN 'click' THEN '' WHEN 'error' THEN 'None' ELSE 'plain text' END AS evidence, '' AS repair_target FROM events""")
+def harmonised_flags(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.expr("""CASE event_type WHEN 'view' THEN '{"codigo": "RF1", "code": "x", "etapa": "NUCLEO", "evidence": "e"}' WHEN 'click' THEN '{"codigo": "", "code": "RF2", "campo": "campo"}' WHEN 'error' THEN NULL ELSE 'plain text' END""")
+    return table(spark, d, "events").select("event_id", evaluation.harmonised_flag(raw).alias("f")).select("event_id", "f.*")
+
+
+@query(f"WITH {ITEMS} SELECT item_id, len(alternativas) - len(list_distinct(list_transform(alternativas, lambda x: {sql_words_folded('x')}))) AS repeats FROM items")
+def repeats_within(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).select("item_id", long(evaluation.repeats_within(F.col("alternativas"))).alias("repeats"))
+
+
+_DECISION = "CASE event_type WHEN 'purchase' THEN 'APROVAR' WHEN 'error' THEN 'REJEITAR' ELSE upper(event_type) END"
+
+
+@query(f"WITH {REQLOG}, r AS (SELECT rid, arg_max({_DECISION}, seq) AS d FROM reqlog GROUP BY rid) SELECT rid, CASE d WHEN 'APROVAR' THEN 'Usaria' WHEN 'REJEITAR' THEN 'Não usaria' ELSE d END AS decision FROM r")
+def latest_decision(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.latest_decision(request_log(spark, d).withColumn("decision", F.expr(_DECISION)), "rid", "seq", "decision")
