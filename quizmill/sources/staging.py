@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_left: dict[str, list[str]] = {}  # by application
+_left: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,21 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _delete(jvm, conf, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's own file system layer."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """A DataFrame written as Parquet to the shared folder and read back: its lineage ends there. What is left when the driver ends is deleted then."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    app = spark.sparkContext.applicationId
-    if app not in _left:
-        _left[app] = []
-        atexit.register(_drop_all, spark, app)
-    _left[app].append(path)
+    atexit.register(_drop_left, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    _left.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,14 +44,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_folder(spark, path)
-        for paths in _left.values():
-            with contextlib.suppress(ValueError):
-                paths.remove(path.replace("file:///", "file:/"))
+    for name in {f.rsplit("/", 2)[1] for f in df.inputFiles()}:
+        for path in [p for p in _left if p.endswith(f"/{name}")]:
+            drop_folder(spark, path)
+            _left.remove(path)
 
 
-def _drop_all(spark: SparkSession, app: str) -> None:
-    for path in _left.pop(app, []):
-        with contextlib.suppress(Exception):  # the session may have ended before
-            drop_folder(spark, path)
+def _drop_left(jvm, conf, path: str) -> None:
+    if path in _left:
+        _left.remove(path)
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            _delete(jvm, conf, path)
