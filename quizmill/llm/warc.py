@@ -63,6 +63,12 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme of the file system that Spark takes it for."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _uri(path: str) -> str:
     return path if "://" in path else "file://" + path.removeprefix("file:")
 
@@ -109,6 +115,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     table gives an empty index. A page of any length is one record, written and read whole.
     """
     small_batches(pages.sparkSession)
+    folder = qualified(pages.sparkSession, folder)
 
     @F.pandas_udf("string")
     def digests(html):
@@ -159,6 +166,7 @@ def _read(folder: str):
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
     """The records of index rows (all, or those selected by url, digest and so on) from their archives; a revisit's payload is null."""
     # ranges of 64 MB of a file: hot files are split, and each range is read in order
+    folder = qualified(index.sparkSession, folder)
     near = index.select("file", "offset", "length", F.expr("offset div 67108864").alias("block"))
     return near.repartition("file", "block").sortWithinPartitions("file", "offset").mapInArrow(_read(folder), READ_OUT)
 
