@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.merges import Merges, load
-from quizmill.llm.textkit import CHUNK, only, prefix_hash, small_batches, span_hash, text_array
+from quizmill.llm.textkit import CHUNK, give_back, only, prefix_hash, small_batches, span_hash, text_array
 
 RUN = CHUNK  # characters of text worked on at once; one longer text is a run of its own
 LONG = 512  # bytes of a word that is merged by itself, if it fails
@@ -220,6 +220,8 @@ def encode(docs: DataFrame, with_ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at = k
+            both = cols = None
+            give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

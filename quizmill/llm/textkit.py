@@ -14,8 +14,8 @@ from pyspark.errors import PySparkException
 from quizmill.sources.staging import drop, shared_folder, stage  # noqa: F401  operators take them from here
 
 BATCH = 8 << 20  # bytes of a batch of rows that goes to Python
-with contextlib.suppress(OSError, AttributeError):  # memory of arrays dropped is used again at once; new pages for each would cost half as much time again
-    ctypes.CDLL("libc.so.6").mallopt(-3, 64 << 20)
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # arrays of 4 MB and more go back to the system when they are dropped
 
 CHUNK = 1 << 20  # bytes of text worked on at once; one longer text is a chunk of its own
 U = np.uint64
@@ -93,6 +93,7 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK) -
         j = min(j, n)
         yield i, j, whole[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    give_back()
 
 
 def find_words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +141,12 @@ def only(kind: str, name: str, make):
 
 
 def trim() -> None:
-    """Gives memory that is free in this process back to the system."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives memory that is free in this process back to the system: workers wait for their next task with little."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
