@@ -42,27 +42,44 @@ ORDINARY = (
 RANDOM = 2000  # random strings made
 BITS = 12.0  # a string is random if its ratio is at least so many bits, and one bit for each four characters
 MARK = "[secret]"
+STEP, BLOCK = 64, 4096  # numbers summed as one; code points of a block of text
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with a name for a value that it uses more than once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(values: str, first: str = "0", join: str = "{} + {}") -> str:
+    """For each of an array of numbers, at least one, the sum (or another join) of those before it.
+
+    Blocks of STEP numbers are summed, then the blocks before each, then the numbers before each in its block: no array
+    grows step by step, so time is linear up to some hundred thousand numbers.
+    """
+    add = lambda x: f"(s, j) -> {join.format('s', x)}"
+    blocks = f"transform(sequence(0, cast((size(v) - 1) div {STEP} as int)), b -> aggregate(sequence(b * {STEP}, least((b + 1) * {STEP}, size(v)) - 1), {first}, {add('v[j]')}))"
+    tops = f"transform(t, (x, b) -> if(b = 0, {first}, aggregate(sequence(0, b - 1), {first}, {add('t[j]')})))"
+    inner = f"if(i % {STEP} = 0, {first}, aggregate(sequence(i - i % {STEP}, i - 1), {first}, {add('v[j]')}))"
+    return _let("v", values, _let("t", blocks, _let("o", tops, f"transform(v, (x, i) -> {join.format(f'o[cast(i div {STEP} as int)]', inner)})")))
+
+
 def _spans(kind: int, pattern: str, keep: str = "true", group: int = 0, text: str = "scanned") -> Column:
-    """Spans (start, kind, end) of one kind; in `keep`, x.g is the group and x.m the match."""
+    """Spans (start, kind, end) of one kind; in `keep`, m is the match and g[i] its group."""
     p = _quoted(pattern)
-    found, groups = f"regexp_extract_all({text}, {p}, 0)", f"regexp_extract_all({text}, {p}, {group})"
-    kept = "array(struct(acc.at + length(x.p) as start, {k} as kind, acc.at + length(x.p) + length(x.m) as end))".format(k=kind)
     none = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
-    walk = f"""aggregate(zip_with(zip_with(slice(split({text}, {p}, -1), 1, size({found})), {found}, (p, m) -> struct(p, m)), {groups}, (a, g) -> named_struct('p', a.p, 'm', a.m, 'g', g)),
-        named_struct('at', 0, 'out', {none}),
-        (acc, x) -> named_struct('at', acc.at + length(x.p) + length(x.m), 'out', if({keep}, concat(acc.out, {kept}), acc.out)),
-        acc -> acc.out)"""
+    span = f"named_struct('start', at[i] + length(p[i]), 'kind', {kind}, 'end', at[i] + length(p[i]) + length(m))"
+    kept = f"filter(transform(f, (m, i) -> if({keep}, {span}, null)), x -> x is not null)"
+    lengths = "transform(f, (m, i) -> length(p[i]) + length(m))"
+    walk = _let("f", f"regexp_extract_all({text}, {p}, 0)", _let("g", f"regexp_extract_all({text}, {p}, {group})", _let("p", f"split({text}, {p}, -1)", _let("at", _before(lengths), kept))))
     return F.expr(f"case when {text} rlike {p} then {walk} else {none} end")
 
 
 def base_spans(text: str = "scanned") -> list[Column]:
-    return [_spans(0, ASSIGN, f"length(x.g) >= {ASSIGN_LEAST}", 2, text), _spans(1, ACCESS, text=text), _spans(2, HEX, text=text)]
+    return [_spans(0, ASSIGN, f"length(g[i]) >= {ASSIGN_LEAST}", 2, text), _spans(1, ACCESS, text=text), _spans(2, HEX, text=text)]
 
 
 def _transitions(strings: DataFrame, label: int) -> DataFrame:
@@ -150,17 +167,18 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
 def random_spans(text: str = "scanned", table: str = "llr") -> Column:
     """Spans of the strings that the models (column `table`) call random."""
     size = len(ALPHABET)
-    at = f"instr('{ALPHABET}', substring(x.m, {{}}, 1))"
-    first = f"element_at({table}, {size * size} + {at.format(1)})"
-    ratio = f"aggregate(sequence(1, length(x.m) - 1), {first}, (s, i) -> s + element_at({table}, ({at.format('i')} - 1) * {size} + {at.format('i + 1')}))"
-    return _spans(3, OTHER, f"{ratio} >= {BITS} + length(x.m) / 4", text=text)
+    symbols = f"transform(split(m, ''), c -> instr('{ALPHABET}', c))"
+    step = f"(s, c) -> named_struct('was', c, 'sum', s.sum + element_at({table}, (s.was - 1) * {size} + c))"
+    ratio = f"aggregate({symbols}, named_struct('was', {size + 1}, 'sum', cast(0 as double)), {step}, s -> s.sum)"
+    return _spans(3, OTHER, f"{ratio} >= {BITS} + length(m) / 4", text=text)
 
 
 def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     """Each row of docs as a struct `row`, and secret_spans: all spans (start, kind, end), by start, then kind.
 
     Null is like an empty text: no spans. Repeated rows give repeated rows, an empty table none; docs may have columns of
-    any name. A text of any length is scanned whole, in one row's expression.
+    any name. A text of any length is scanned whole, in one row's expression, in time linear in its length and in the
+    length of each string in it.
     """
     numbers = ",".join(repr(round(v, 6)) for v in model)
     x = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("scanned"), F.expr(f"cast(split('{numbers}', ',') as array<double>)").alias("llr"))
@@ -173,13 +191,18 @@ def _named(spans: str) -> str:
 
 
 def redacted() -> Column:
-    """The text with each run of overlapping secret_spans replaced by MARK; as it was if there are none."""
-    parts = f"""aggregate(secret_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (acc, x) -> if(x.start >= acc.at and not (x.start = acc.at and size(acc.out) > 0 and acc.at > 0),
-            named_struct('at', x.end, 'out', concat(acc.out, array(substring(row.text, acc.at + 1, x.start - acc.at), '{MARK}'))),
-            named_struct('at', greatest(acc.at, x.end), 'out', acc.out)),
-        acc -> concat(array_join(acc.out, ''), substring(row.text, acc.at + 1)))"""
-    return F.expr(f"case when size(secret_spans) > 0 then {parts} else row.text end")
+    """The text with each run of overlapping or touching secret_spans replaced by MARK; as it was if there are none.
+
+    The text is cut into blocks once, so that no piece is looked for from the start of the text.
+    """
+    reach = _before("transform(secret_spans, x -> x.end)", "-1", "greatest({}, {})")  # the furthest end before each span
+    first = "filter(transform(secret_spans, (x, i) -> if(x.start > r[i], named_struct('start', x.start, 'i', i), null)), x -> x is not null)"
+    end = "if(i = 0, 0, r[h[i].i])"  # of the run before run i
+    piece = lambda a, b: f"array_join(if({a} < {b}, transform(sequence(cast({a} div {BLOCK} as int), cast(({b} - 1) div {BLOCK} as int)), k -> substring(w[k], greatest({a} - k * {BLOCK}, 0) + 1, {b} - greatest({a}, k * {BLOCK}))), array()), '')"
+    last, size = "array_max(transform(secret_spans, x -> x.end))", "length(row.text)"
+    parts = f"concat(array_join(transform(h, (x, i) -> concat({piece(end, 'x.start')}, '{MARK}')), ''), {piece(last, size)})"
+    whole = _let("r", reach, _let("h", first, _let("w", f"regexp_extract_all(row.text, '(?s).{{1,{BLOCK}}}', 0)", parts)))
+    return F.expr(f"case when size(secret_spans) > 0 then {whole} else row.text end")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,3 +210,51 @@ def test_op4_reads_are_joined(tmp_path, monkeypatch, spark):
     monkeypatch.setattr(warc, "GAP", 0)
     list(warc._read(str(tmp_path))([batch(index[::2])]))
     assert len(calls) == 30
+
+
+def scored_plainly(text, llr):
+    """Spans of strings that the table of ratios calls random, symbol by symbol."""
+    from quizmill.llm import secrets as S
+
+    size, out = len(S.ALPHABET), []
+    for m in re.finditer(S.OTHER, text or ""):
+        at = [S.ALPHABET.index(c) for c in m.group()]
+        ratio = llr[size * size + at[0]] + sum(llr[a * size + b] for a, b in zip(at, at[1:]))
+        if ratio >= S.BITS + len(at) / 4:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def masked_plainly(text, spans):
+    covered = [False] * len(text)
+    for a, _, b in spans:
+        covered[a:b] = [True] * (b - a)
+    return "".join("[secret]" if c and not (i and covered[i - 1]) else "" if c else t for i, (t, c) in enumerate(zip(text, covered, strict=True)))
+
+
+def test_scored_secrets_and_masks_against_plain_python(spark):
+    import base64
+    import random
+    import time
+
+    from quizmill.llm import secrets as S
+
+    rnd = random.Random(9)
+    b64 = lambda n: base64.b64encode(rnd.randbytes(n)).decode()
+    word = lambda: rnd.choice(["internationalization_config", "backup", "x" * 25, "1" * 24, b64(18), b64(40), rnd.randbytes(20).hex(), f'token = "{b64(15)}"', "AKIA" + "Q7" * 9, "é😀", "src/main/java/Widget/Factory", f"secret:{b64(30)}{b64(9)}"])
+    texts = [None, "", *(rnd.choice([" ", "\n", "", ", "]).join(word() for _ in range(rnd.randint(1, 400))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = S.train(df)
+    out = {r["row"]["doc_id"]: r for r in S.scan(df, model).withColumn("clean", S.redacted()).collect()}
+    rounded = [round(v, 6) for v in model]
+    for i, t in enumerate(texts):
+        spans = [tuple(x) for x in out[i]["secret_spans"]]
+        assert [x for x in spans if x[1] == 3] == scored_plainly(t, rounded)
+        assert spans == sorted(spans) and out[i]["clean"] == (None if t is None else masked_plainly(t, spans))
+    assert sum(x[1] == 3 for r in out.values() for x in r["secret_spans"]) > 500
+    long_ = spark.createDataFrame([(1, b64(750_000)), (2, " ".join(f'token = "{b64(30)}"' for _ in range(18_000)))], "doc_id long, text string").cache()
+    long_.count()
+    began = time.time()
+    got = S.scan(long_, model).withColumn("clean", S.redacted()).select("clean", "secret_spans").collect()
+    assert time.time() - began < 30  # over an hour, when each symbol was looked for from the start of its string
+    assert got[0]["clean"] == "[secret]" and len(got[1]["secret_spans"]) >= 18_000
