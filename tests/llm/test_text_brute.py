@@ -1,6 +1,7 @@
 """Fingerprints, code lengths, the url model and archive reads against plain Python."""
 
 import math
+import re
 from collections import Counter, defaultdict
 from types import SimpleNamespace
 

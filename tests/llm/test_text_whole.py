@@ -15,8 +15,8 @@ def test_op10_near_does_not_depend_on_the_batch(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(5, PHRASE)], "item_id long, text string")
     near = lambda n: {r["doc_id"]: r["near"] for r in decontaminate.match(docs.repartition(n), bench).collect()}
-    # the rarest of all documents are alpha, beta, gamma, delta
-    assert near(1) == near(6) == {1: ["5"], 2: [], 3: [], 4: [], 5: [], 6: ["5"]}
+    # the rarest of all documents are alpha, beta, gamma, delta, epsilon; three of them are enough
+    assert near(1) == near(6) == {1: ["5"], 2: [], 3: ["5"], 4: [], 5: [], 6: ["5"]}
     alone = spark.createDataFrame(rows[:1], "doc_id long, text string")
     assert [r["near"] for r in decontaminate.match(alone, bench).collect()] == [["5"]]
 
@@ -28,6 +28,83 @@ def test_op10_near_item_goes_to_its_own_document(spark):
     assert {r["doc_id"]: r["near"] for r in decontaminate.match(docs, bench).collect()} == {1: [], 2: ["5"]}
 
 
+def near_plainly(words, item, often, width=13, slop=3, k=5):
+    """Whether a window of an item stands in a document by the rule of proximity, word by word."""
+    w = min(width, len(item))
+    lack = decontaminate.misses(w)
+    places = lambda t, spot: any(0 <= p < len(words) and words[p] == t for p in range(spot - slop, spot + slop + 1))
+    for b in range(len(item) - w + 1):
+        window = item[b : b + w]
+        rank = sorted(range(w), key=lambda i: (often.get(window[i]) or 1 << 60, i))[:k]
+        for a in rank[: lack + 1]:
+            for at in (p for p, t in enumerate(words) if t == window[a]):
+                if sum(places(window[i], at - a + i) for i in rank) >= len(rank) - lack:
+                    return True
+    return False
+
+
+def test_op10_near_against_plain_python(spark):
+    from collections import Counter
+
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(90)]
+    word = lambda: vocabulary[min(89, int(rnd.expovariate(0.05)))]
+    texts = [[word() for _ in range(rnd.randint(0, 60))] for _ in range(60)]
+    items = [[word() for _ in range(rnd.randint(0, 20))] for _ in range(40)]
+    for i in range(30):  # pieces of documents with a few changes
+        t = rnd.choice([x for x in texts if len(x) > 16])
+        a = rnd.randint(0, len(t) - 15)
+        piece = t[a : a + rnd.randint(2, 15)]
+        for _ in range(rnd.randint(0, 3)):
+            j = rnd.randrange(len(piece))
+            piece = rnd.choice([piece[:j] + [word()] + piece[j:], piece[:j] + [word()] + piece[j + 1 :], piece[:j] + piece[j + 1 :] or piece])
+        items.append(piece)
+    often = Counter(w for t in texts for w in t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(str(i), " ".join(t)) for i, t in enumerate(items)], "item_id string, text string")
+    for r in decontaminate.match(docs, bench).collect():
+        assert r["near"] == sorted(str(i) for i, t in enumerate(items) if t and near_plainly(texts[r["doc_id"]], t, often)), r["doc_id"]
+        assert set(r["items"]) <= set(r["near"])
+
+
+def changed_passages(texts, per, seed):
+    """(kind, place, document, words): passages of 13 words of the texts with a word replaced, put in or left out, at every place."""
+    import re
+
+    rnd = random.Random(seed)
+    words = [(i, w) for i, t in texts if len(w := re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x7f" else c for c in t or ""))) >= 13]
+    for kind in ("replaced", "put in", "left out"):
+        for place in range(13):
+            for _ in range(per):
+                i, w = rnd.choice(words)
+                a = rnd.randint(0, len(w) - 13)
+                new = rnd.choice(rnd.choice(words)[1])  # a word that stands in some document
+                p = w[a : a + 13]
+                yield kind, place, i, p[:place] + ([] if kind == "left out" else [new]) + p[place + (kind != "put in") :]
+
+
+def near_recall(spark, docs, per=12, seed=7):
+    """Recall of proximity matches for each kind of change at each place."""
+    from collections import Counter
+
+    asked = list(changed_passages([tuple(r) for r in docs.select("doc_id", "text").collect()], per, seed))
+    bench = spark.createDataFrame([(str(n), " ".join(p)) for n, (*_, p) in enumerate(asked)], "item_id string, text string")
+    found = {(r["doc_id"], n) for r in decontaminate.match(docs, bench).select("doc_id", "near").collect() for n in r["near"]}
+    hit, of = Counter(), Counter()
+    for n, (kind, place, i, _) in enumerate(asked):
+        of[kind, place] += 1
+        hit[kind, place] += (i, str(n)) in found
+    return {k: hit[k] / of[k] for k in of}
+
+
+def test_op10_near_recall_for_every_change_at_every_place(spark):
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    recall = near_recall(spark, spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"]))
+    assert len(recall) == 39 and min(recall.values()) >= 0.9, recall
+
+
 def test_op10_answers_from_stored_postings(spark, monkeypatch):
     stored, keep = [], decontaminate.stage
     monkeypatch.setattr(decontaminate, "stage", lambda df, name: stored.append(keep(df, name)) or stored[-1])
