@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizmill.operators import scans
+from quizmill.operators.scans import with_quantiles
+
 PRICE_IN, PRICE_OUT = 0.15, 0.60  # US$ a million tokens
 
 
@@ -29,12 +32,13 @@ def tokens_of(json: Column, *names: str) -> Column:
 
 def summary(runs: DataFrame, by: list[str], ok: Column, seconds: str, tokens: str) -> DataFrame:
     """Per group: runs, successes, rate, mean, median and p95 of seconds over successes, tokens, tokens a success."""
-    s = F.when(ok, F.col(seconds))
-    return runs.groupBy(*by).agg(
-        F.count("*").alias("n_runs"), F.count_if(ok).alias("n_ok"), F.round(percent(F.count_if(ok), F.count("*")), 6).alias("ok_percent"),
-        F.round(F.avg(s), 6).alias("mean_seconds"), F.round(F.percentile(s, F.lit(0.5)), 6).alias("median_seconds"), F.round(F.percentile(s, F.lit(0.95)), 6).alias("p95_seconds"),
+    runs = runs.withColumn("_s", F.when(ok, F.col(seconds)))
+    x = runs.groupBy(*by).agg(
+        F.count("*").alias("n_runs"), F.count_if(ok).alias("n_ok"), F.round(percent(F.count_if(ok), F.count("*")), 6).alias("ok_percent"), F.round(F.avg("_s"), 6).alias("mean_seconds"),
         F.sum(tokens).cast("long").alias("tokens"), F.round(F.sum(tokens) / F.nullif(F.count_if(ok), F.lit(0)), 2).alias("tokens_per_ok"),
     )
+    x = with_quantiles(x, runs, by, "_s", {"median_seconds": 0.5, "p95_seconds": 0.95})
+    return x.select(*by, "n_runs", "n_ok", "ok_percent", "mean_seconds", "median_seconds", "p95_seconds", "tokens", "tokens_per_ok")
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
@@ -72,13 +76,17 @@ def distribution(flags: DataFrame, code: str, item: str, n_items: int | None = N
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"), F.round(F.stddev_samp(v), 6).alias("stdev"))
+    x = df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"), F.round(F.stddev_samp(v), 6).alias("stdev"))
+    return with_quantiles(x, df, by, value, {"median": 0.5}).select(*by, "n", "mean", "median", "min", "max", "stdev")
 
 
 def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
-    """repetition: running number in its group; case_id: group and number, of three digits at least (lpad alone would cut longer ones)."""
+    """repetition: running number in its group; case_id: group and number, of three digits at least (lpad alone would cut longer ones).
+
+    Numbers come by range of group and order, so a group with most of the rows is many tasks' work.
+    """
     n = F.col("repetition").cast("string")
-    return df.withColumn("repetition", F.row_number().over(Window.partitionBy(group).orderBy(order))).withColumn("case_id", F.concat_ws("-", group, F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0"))))
+    return scans.numbered(df, group, order).withColumn("case_id", F.concat_ws("-", group, F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0"))))
 
 
 def audit_sample(df: DataFrame, group: str, order: str, share: int) -> DataFrame:

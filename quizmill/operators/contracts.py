@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,19 +114,20 @@ def reusable_reports(reports: DataFrame, wanted: DataFrame) -> DataFrame:
     return key(wanted).join(newest, ["version_id", "_p"]).drop("_p")
 
 
-def grow_pools(requests: DataFrame, propose: Callable[[DataFrame, int], DataFrame], reject: Callable[[DataFrame], DataFrame], want: int = 4, bank: int = 6, stuck: int = 2, rounds: int = 10) -> DataFrame:
+def grow_pools(requests: DataFrame, propose: Callable[[DataFrame, int], DataFrame], reject: Callable[[DataFrame], DataFrame], want: int = 4, bank: int = 6, stuck: int = 2) -> DataFrame:
     """Pools of candidates for many requests at once.
 
     Each round asks for candidates (request_id, text) of the requests still short, takes those that are new by their
     folded text and not rejected, up to `bank` a request, and stops asking a request after `stuck` rounds without
-    progress. Result: request_id, text, place, role. Each round's pools are written to the shared folder.
+    progress; so every request ends, after want * stuck rounds at most, and none is left short while it grows. Result:
+    request_id, text, place, role. Each round's pools are written to the shared folder.
     """
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     spark = requests.sparkSession
     pool = spark.createDataFrame([], StructType([StructField("request_id", requests.schema["request_id"].dataType), StructField("text", StringType()), StructField("seq", LongType())]))
     idle = requests.select("request_id", F.lit(0).alias("idle"))
-    for k in range(rounds):
+    for k in count():
         have = pool.groupBy("request_id").agg(F.count("*").alias("n"))
         open_ = requests.join(have, "request_id", "left").join(idle, "request_id").where((F.coalesce("n", F.lit(0)) < want) & (F.col("idle") < stuck)).select(*requests.columns)
         if not open_.limit(1).count():

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
+from quizmill.operators.scans import with_quantiles
 
 C = F.col
 
@@ -13,10 +14,11 @@ C = F.col
 def validation_rates(df: DataFrame, by: list[str]) -> DataFrame:
     """Of valid, four_distinct, copies_key (boolean), length_ratio and overlap (null where there was no output): rates and medians by group, three digits."""
     rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 3)
-    return df.groupBy(*by).agg(
+    x = df.groupBy(*by).agg(
         F.count("*").alias("items"), rate(C("valid")).alias("valid_rate"), rate(C("four_distinct")).alias("four_distinct_rate"), rate(C("copies_key")).alias("copy_rate"),
-        F.round(F.percentile("length_ratio", F.lit(0.5)), 3).alias("median_length_ratio"), F.round(F.avg((C("length_ratio") > 1.5).cast("double")), 3).alias("long_rate"), F.round(F.avg("overlap"), 3).alias("mean_overlap"),
+        F.round(F.avg((C("length_ratio") > 1.5).cast("double")), 3).alias("long_rate"), F.round(F.avg("overlap"), 3).alias("mean_overlap"),
     )
+    return with_quantiles(x, df, by, "length_ratio", {"median_length_ratio": 0.5}, 3).select(*by, "items", "valid_rate", "four_distinct_rate", "copy_rate", "median_length_ratio", "long_rate", "mean_overlap")
 
 
 def best_model(rates: DataFrame, name: str) -> DataFrame:

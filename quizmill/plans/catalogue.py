@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import similarity as S
 from quizmill.functions import text as T
-from quizmill.operators import campaign, dataset, generators, lifecycle, retrieval, rules
-from quizmill.plans.views import ITEMS, REQLOG, items, request_log, sql_fold, sql_spaces_folded, sql_words_folded, table
+from quizmill.operators import campaign, dataset, generators, lifecycle, retrieval, rules, scans
+from quizmill.plans.views import ITEMS, REQLOG, STATE_OF, items, request_log, sql_fold, sql_spaces_folded, sql_words_folded, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -387,6 +387,38 @@ def invalid_transitions(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.invalid_transitions(request_log(spark, d)).select("rid", "seq", "from_state", "to_state")
 
 
+_TAKEN = f"coalesce(CASE WHEN now IS NULL THEN l.state = 'REQUESTED' ELSE (now, l.state) IN ({EDGES}) END, false)"
+_REPLAY = lambda lenient: f"""
+WITH RECURSIVE {REQLOG}, r(rid, seq, now, from_state, to_state, accepted) AS (
+  SELECT DISTINCT rid, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false FROM reqlog
+  UNION ALL SELECT r.rid, l.seq, CASE WHEN {_TAKEN} THEN l.state ELSE now END, now, l.state, {_TAKEN} FROM r JOIN reqlog l ON l.rid = r.rid AND l.seq = r.seq + 1)
+SELECT r.rid, event_id, r.seq, from_state, to_state, accepted FROM r JOIN reqlog l ON l.rid = r.rid AND l.seq = r.seq WHERE r.seq > 0{' AND from_state IS DISTINCT FROM to_state' if lenient else ''}"""
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log in order of time and id, without numbers."""
+    state = F.create_map(*(F.lit(x) for pair in STATE_OF.items() for x in pair))[F.col("event_type")]
+    return table(spark, d, "events").select(F.col("user_id").alias("rid"), "ts", "event_id", state.alias("state"))
+
+
+@query(_REPLAY(False))
+def guarded_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Every event judged in order: a rejected one leaves the state as it is."""
+    return scans.replay(_log(spark, d), "rid", ["ts", "event_id"]).drop("ts")
+
+
+@query(_REPLAY(True))
+def lenient_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The same; repeating the present state is no event."""
+    return scans.replay(_log(spark, d), "rid", ["ts", "event_id"], lenient=True).drop("ts")
+
+
+@query(_REPLAY(False).replace("SELECT r.rid, event_id, r.seq,", ", e AS (SELECT r.rid, event_id, r.seq,") + """)
+SELECT rid, arg_max(CASE WHEN accepted THEN to_state ELSE from_state END, seq) FILTER (accepted OR from_state IS NOT NULL) AS state, CAST(count(*) FILTER (accepted) AS BIGINT) AS accepted, CAST(count(*) FILTER (NOT accepted) AS BIGINT) AS rejected FROM e GROUP BY rid""")
+def replayed_states(spark: SparkSession, d: str) -> DataFrame:
+    return scans.final_states(_log(spark, d), "rid", ["ts", "event_id"])
+
+
 _TERMINAL = ", ".join(repr(s) for s in lifecycle.TERMINAL)
 
 
@@ -468,7 +500,8 @@ def paired_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(*(R(F.percentile("value", F.lit(p))).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))))
+    q = scans.quantiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    return q.select("event_type", *(R(F.col(c)).alias(c) for c in q.columns[1:]))
 
 
 _MODEL = "CASE event_type WHEN 'view' THEN 'slm-memory-curated-v1' WHEN 'click' THEN 'deterministic-pool' WHEN 'purchase' THEN 'local/Qwen-x' WHEN 'error' THEN 'other' ELSE '' END"
