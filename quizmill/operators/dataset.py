@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
 from quizmill.functions.similarity import bag_f1
+from quizmill.operators.exams import split_options
 from quizmill.operators.rules import family, key_of, others
 
 VISUAL = r"(?iu)\b(figura|imagem|gráfico|grafico|diagrama abaixo|tabela abaixo|ilustra)"
@@ -86,8 +87,7 @@ def exam_blocks(text: Column) -> Column:
 
 def exam_options(body: Column) -> Column:
     """struct(stem, options) of a block: the options are what follows the last run of marks A to E."""
-    p = r"(?s)^(.*)(?:^|\n)\s*\(?A[).]?\s+(.*?)\n\s*\(?B[).]?\s+(.*?)\n\s*\(?C[).]?\s+(.*?)\n\s*\(?D[).]?\s+(.*?)\n\s*\(?E[).]?\s+(.*?)\s*$"
-    return F.when(body.rlike(p), F.struct(F.trim(F.regexp_extract(body, p, 1)).alias("stem"), F.array(*(F.trim(F.regexp_replace(F.regexp_extract(body, p, k), r"\s+", " ")) for k in range(2, 7))).alias("options")))
+    return split_options(body)
 
 
 def answer_keys(rows: DataFrame) -> DataFrame:

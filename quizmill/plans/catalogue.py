@@ -700,4 +700,4 @@ def pool_split(spark: SparkSession, d: str) -> DataFrame:
     return generators.split_pool(table(spark, d, "conversations").drop("role"), "conv_id", "turn").select("conv_id", "turn", "role")
 
 
-from quizmill.plans import evaluations  # noqa: E402, F401  registers its queries
+from quizmill.plans import evaluations, structures  # noqa: E402, F401  they register their queries
