@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quizmill.functions import sequences
 from quizmill.functions.text import words
 from quizmill.sources.staging import stage
 
@@ -16,7 +15,17 @@ from quizmill.sources.staging import stage
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings, in this order; null if one is null. Apply it after blocking on a prefix or length."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else sequences.ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def sequence_ratio_from(a: Column | str, b: Column | str, least: float) -> Column:
+    """The ratio where it is at least so much, else null: texts that cannot be so like are told by bounds."""
+
+    @F.pandas_udf(DoubleType())
+    def reached(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else sequences.reached(p, q, least) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return reached(a, b)
 
 
 def may_reach(a: str, b: str, ratio: float) -> Column:

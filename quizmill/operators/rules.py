@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
-from quizmill.functions.similarity import may_reach, sequence_ratio
+from quizmill.functions.similarity import may_reach, sequence_ratio, sequence_ratio_from
 
 C = F.col
 
@@ -178,6 +178,9 @@ def family(answer: Column, stem: Column) -> Column:
 # ---------------------------------------------------------------- rules
 
 
+COPY = 0.82  # fixed value: the likeness from which a stem counts as copied
+
+
 def stem_rules() -> list[Rule]:
     """On enunciado, resposta_correta, explicacao, competencia, habilidade, objeto_conhecimento, tem_imagem, recurso_visual; `referencia_ratio` where a reference was compared; in `flags`, which prepares the columns."""
     stem, answer = F.coalesce("enunciado", F.lit("")), F.coalesce("resposta_correta", F.lit(""))
@@ -200,7 +203,7 @@ def stem_rules() -> list[Rule]:
         rule("formatacao_quebrada", "enunciado", when((F.regexp_count(stem, F.lit(r"\\n")) >= 2) & ~stem.contains("\n"), "quebras de linha como texto")),
         rule("dependencia_visual_ausente", "recurso_visual", when(F.coalesce("tem_imagem", F.lit(False)) & (F.coalesce("recurso_visual", F.lit("")) == ""), "imagem sem recurso")),
         rule("implementacao_nao_delimitada", "enunciado", when(F.lower(stem).rlike(r"\b(?:xmin|xmax)\b") & ~F.lower(stem).contains("postgresql"), "xmin/xmax sem PostgreSQL")),
-        rule("possivel_copia_da_referencia", "enunciado", when(C("referencia_ratio") >= 0.82, "similaridade lexical >= 0.82")),
+        rule("possivel_copia_da_referencia", "enunciado", when(C("referencia_ratio") >= COPY, "similaridade lexical >= 0.82")),
         rule("enunciado_ambiguo", "enunciado", when(stem.rlike(r"(?iu)\bquais\b.{0,45}\b(?:propriedades|técnicas|mecanismos|protocolos|itens)\b") & ~answer.rlike(r"(?i)[,;/]|\s+e\s+"), "pergunta plural, gabarito singular")),
         rule("espaco_de_respostas_binario", "enunciado", when(stem.rlike(r"(?iu)\bfuncional\s+ou\s+n[aã]o\s+funcional\b"), "só duas classes possíveis")),
         rule("multiplos_candidatos_ao_gabarito", "enunciado", when(F.lower(stem).contains("requisito não funcional") & answer.rlike(r"(?i)\bREQ\d+\b") & (F.size(parts) > 1), F.concat(F.size(parts), F.lit(" requisitos com marcadores")))),
@@ -370,7 +373,7 @@ def lexical_flags(items: DataFrame, key: str = "item_id") -> DataFrame:
 
 
 def with_reference_ratio(items: DataFrame, reference: str | None) -> DataFrame:
-    """Adds referencia_ratio, the ratio of stem and reference text (null without a reference)."""
+    """Adds referencia_ratio, the ratio of stem and reference text where it is at least COPY (null below, and without a reference)."""
     if reference is None:
         return items.withColumn("referencia_ratio", F.lit(None).cast("double"))
-    return items.withColumn("referencia_ratio", F.when(F.coalesce(reference, F.lit("")) != "", sequence_ratio(T.words_folded(C("enunciado")), T.words_folded(C(reference)))))
+    return items.withColumn("referencia_ratio", F.when(F.coalesce(reference, F.lit("")) != "", sequence_ratio_from(T.words_folded(C("enunciado")), T.words_folded(C(reference)), COPY)))
