@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.operators import exams
+from quizmill.operators import campaign, exams, registry
 from quizmill.plans.catalogue import query
 from quizmill.plans.views import table
+from quizmill.sources import store
+from quizmill.sources.staging import scratch
 
 # ---------------------------------------------------------------- exam text
 
@@ -33,3 +35,93 @@ def exam_items(spark: SparkSession, d: str) -> DataFrame:
     raw = exam_texts(spark, d)
     keys = exams.answer_keys(raw, "exam", "answers")
     return exams.extracted(exams.exam_blocks(raw, "exam", "text"), keys, "exam")
+
+
+# ---------------------------------------------------------------- stores
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
+def stored_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders put in a store by key, dear ones put in anew with another status; read back."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = scratch(spark, "orders_store")
+    store.create(o, path, "o_orderkey")
+    store.upsert(o.where("o_totalprice > 200000").withColumn("o_orderstatus", F.lit("X")), path)
+    return store.read(spark, path)
+
+
+def _weighed(reports: DataFrame) -> DataFrame:
+    """(subject, score, verdict) of reports (subject, quality, toxic)."""
+    score = F.round(F.when(F.col("quality") == 0, 0.7).otherwise(0.0) + F.when(F.col("toxic") == 1, 0.3).otherwise(0.0), 6)
+    return reports.select("subject", score.alias("score"), campaign.decision(1 - score, 0.9, 0.5).alias("verdict"))
+
+
+@query("""WITH r AS (SELECT doc_id AS subject, quality, CASE WHEN quality = 0 THEN 0 ELSE toxic END AS toxic FROM labels),
+s AS (SELECT subject, round(CASE WHEN quality = 0 THEN 0.7 ELSE 0.0 END + CASE WHEN toxic = 1 THEN 0.3 ELSE 0.0 END, 6) AS score FROM r)
+SELECT subject, CAST(score AS DOUBLE) AS score, CASE WHEN 1 - score >= 0.9 THEN 'PASS' WHEN 1 - score >= 0.5 THEN 'REVIEW' ELSE 'FAIL' END AS verdict FROM s""")
+def replaced_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Reports in a store, those of poor quality replaced by ones that find nothing toxic; verdicts of the subjects concerned are worked out anew and put in theirs."""
+    reports = table(spark, d, "labels").select(F.col("doc_id").alias("subject"), "quality", "toxic")
+    given, made = scratch(spark, "reports_store"), scratch(spark, "verdicts_store")
+    store.create(reports, given, "subject")
+    store.create(_weighed(store.read(spark, given)), made, "subject")
+    again = reports.where("quality = 0").withColumn("toxic", F.lit(0).cast(reports.schema["toxic"].dataType))
+    store.upsert(again, given)
+    store.upsert(_weighed(store.read(spark, given).join(again.select("subject"), "subject", "left_semi")), made)
+    return store.read(spark, made)
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+def appended_once(spark: SparkSession, d: str) -> DataFrame:
+    """The events appended as a stream, then all again as after a lost checkpoint: one copy stays."""
+    path = scratch(spark, "appended")
+    schema = table(spark, d, "events").schema
+    for k in range(2):
+        stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+        store.append_once(spark, stream, path, scratch(spark, f"checkpoint{k}")).awaitTermination()
+    return store.appended(spark, path, schema).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+# ---------------------------------------------------------------- registries, profiles, histories
+
+
+@query("""SELECT u.event_id, u.user_id, nullif(count(c.event_id), 0) AS version FROM (SELECT * FROM events WHERE event_type = 'purchase') u
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') c ON c.user_id = u.user_id AND c.ts <= u.ts GROUP BY ALL""")
+def version_at_use(spark: SparkSession, d: str) -> DataFrame:
+    """Which version of a user's registry held at each purchase; each error of the user makes the next version."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    versions = registry.intervals(e.where("event_type = 'error'").drop("event_type"), "user_id", "ts", "event_id")
+    return registry.version_at(e.where("event_type = 'purchase'").drop("event_type"), versions, "user_id", "ts").select("event_id", "user_id", "version")
+
+
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+@query(f"""WITH r AS (SELECT user_id, {_K} % 3 AS m, {_K} % 2 AS t, event_id FROM events WHERE event_type <> 'view'), w AS (SELECT DISTINCT user_id, {_K} % 3 AS m, {_K} % 2 AS t FROM events WHERE event_type = 'view')
+SELECT user_id, m, t, max(event_id) AS report FROM w JOIN r USING (user_id, m, t) GROUP BY ALL""")
+def reused_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The newest report made under an equal profile, for each profile that views ask for with its keys in another order and spaces elsewhere."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", (k % 3).alias("m"), (k % 2).alias("t"))
+    given = F.format_string('{"judge": {"model": "m%d", "temperature": %d.50}, "flags": ["a", "b"]}', "m", "t")
+    asked = F.format_string('{"flags":["a","b"],"judge":{"temperature":%d.5,"model":"m%d"}}', "t", "m")
+    reports = e.where("event_type <> 'view'").select("user_id", given.alias("profile"), "event_id", "ts")
+    wanted = e.where("event_type = 'view'").select("user_id", asked.alias("profile"), "m", "t").distinct()
+    found = registry.reusable(reports, wanted.drop("m", "t"), "user_id", "profile", "ts", "event_id")
+    return found.join(wanted, ["user_id", "profile"]).select("user_id", "m", "t", F.col("event_id").alias("report"))
+
+
+@query("""WITH e AS (SELECT user_id AS k, string_agg(event_type, ',' ORDER BY event_id) AS events FROM events GROUP BY 1), l AS (SELECT doc_id AS k, string_agg(quality || '/' || toxic, ',' ORDER BY doc_id) AS labels FROM labels GROUP BY 1),
+c AS (SELECT conv_id AS k, string_agg(turn || ':' || role, ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1)
+SELECT c_custkey AS request_id, c_mktsegment, coalesce(events, '') AS events, coalesce(labels, '') AS labels, coalesce(turns, '') AS turns FROM customer LEFT JOIN e ON e.k = c_custkey LEFT JOIN l ON l.k = c_custkey LEFT JOIN c ON c.k = c_custkey""")
+def request_history(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as requests, with their events, labels and turns in order."""
+    requests = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), "c_mktsegment")
+    children = {
+        "events": table(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("id"), "event_type"),
+        "labels": table(spark, d, "labels").select(F.col("doc_id").alias("request_id"), F.col("doc_id").alias("id"), "quality", "toxic"),
+        "turns": table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("id"), "role"),
+    }
+    said = {"events": lambda x: x["event_type"], "labels": lambda x: F.concat_ws("/", x["quality"], x["toxic"]), "turns": lambda x: F.concat_ws(":", x["id"], x["role"])}
+    x = registry.histories(requests, children)
+    return x.select("request_id", "c_mktsegment", *(F.array_join(F.transform(n, f), ",").alias(n) for n, f in said.items()))

@@ -31,12 +31,18 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """A DataFrame written as Parquet to the shared folder and read back: its lineage ends there. What is left when the driver ends is deleted then."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop_left, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
     _left.append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A DataFrame written as Parquet to the shared folder and read back: its lineage ends there. What is left when the driver ends is deleted then."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
