@@ -15,7 +15,7 @@ def test_op10_near_does_not_depend_on_the_batch(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(5, PHRASE)], "item_id long, text string")
     near = lambda n: {r["doc_id"]: r["near"] for r in decontaminate.match(docs.repartition(n), bench).collect()}
-    # the rarest of all documents are alpha, beta, gamma, delta, epsilon; three of them are enough
+    # the rarest of all documents are alpha, beta, gamma, delta, epsilon; four of them are enough
     assert near(1) == near(6) == {1: ["5"], 2: [], 3: ["5"], 4: [], 5: [], 6: ["5"]}
     alone = spark.createDataFrame(rows[:1], "doc_id long, text string")
     assert [r["near"] for r in decontaminate.match(alone, bench).collect()] == [["5"]]
