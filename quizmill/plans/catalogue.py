@@ -110,10 +110,30 @@ def retrieval_lexical(spark: SparkSession, d: str) -> DataFrame:
     return x.select("spec_id", "id", "score", R(F.col("phrase")).alias("phrase"), "area_bonus", R(F.col("coverage")).alias("coverage"), "rank")
 
 
-@query(f"""WITH {_LEXICAL}, t AS (SELECT item_id, p.doc_id, round({_SCORED}, 6) AS score, count(*) AS common FROM q JOIN posts p USING (term) JOIN dfs USING (term) JOIN lens ON lens.doc_id = p.doc_id, tot GROUP BY ALL)
-SELECT item_id AS spec_id, doc_id AS id, common, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM t) WHERE rank <= 8""")
+@query(f"WITH {_LEXICAL} SELECT item_id AS spec_id, doc_id AS id, score, area, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM best) WHERE rank <= 8")
 def retrieval_trace(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.trace(*_retrieval(spark, d), NAMES, STOP)
+    """The first eight relevant records by the full score, without likeness of strings."""
+    return retrieval.trace(*_retrieval(spark, d), NAMES, STOP, HINTS, fuzzy=False)
+
+
+@query(rf"""WITH {_LEXICAL},
+src AS (SELECT k.*, concat('[Fonte ', rank, ': ', k.doc_id, ' | ', CASE WHEN coalesce(k.area, '') <> '' THEN k.area ELSE 'sem área' END, ' | ', CASE WHEN coalesce(r.obj, '') <> '' THEN r.obj ELSE 'sem objeto' END, ']', chr(10), d.text) AS block,
+    len(list_intersect(list_distinct(list_concat(t.u, list_transform(range(1, len(t.u)), lambda i: t.u[i] || '__' || t.u[i + 1]))), list_concat(s.u, list_transform(range(1, len(s.u)), lambda i: s.u[i] || '__' || s.u[i + 1])))) AS shared
+  FROM kept k JOIN recs r USING (doc_id) JOIN documents d USING (doc_id) JOIN toks t USING (doc_id) JOIN spec s USING (item_id) WHERE rank <= 3),
+one AS (SELECT item_id, min(doc_id) FILTER (rank = 1) AS id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS text_sha256, string_agg(doc_id, ',' ORDER BY rank) AS sources, string_agg(shared, ',' ORDER BY rank) AS shared FROM src GROUP BY 1),
+eight AS (SELECT item_id, string_agg(doc_id, ',' ORDER BY place) AS ranking FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM best) WHERE place <= 8 GROUP BY 1),
+many AS (SELECT item_id, count(*) AS n FROM best GROUP BY 1)
+SELECT s.item_id AS spec_id, id, text_sha256, sources, shared, ranking, coalesce(n, 0) AS candidates, want AS area, len(list_distinct(s.u)) AS n_words, sha256(b.text)[1:16] AS fingerprint,
+  CASE WHEN id IS NULL THEN '{retrieval.NOTHING}' || coalesce('{retrieval.NOTHING_AREA}' || want || '.', '') END AS error
+FROM spec s JOIN benchmark b USING (item_id) JOIN near USING (item_id) LEFT JOIN one USING (item_id) LEFT JOIN eight USING (item_id) LEFT JOIN many USING (item_id)""")
+def retrieval_references(spark: SparkSession, d: str) -> DataFrame:
+    """What each specification is given to work from, as digests and lists of ids; without likeness of strings."""
+    x = retrieval.references(*_retrieval(spark, d), NAMES, STOP, HINTS, fuzzy=False)
+    listed = lambda c, f: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, f), ","))
+    return x.select(
+        "spec_id", "id", F.sha2("texto", 256).alias("text_sha256"), listed("fontes", lambda v: v["id"].cast("string")).alias("sources"), listed("fontes", lambda v: F.size(v["termos"]).cast("string")).alias("shared"),
+        listed("ranking", lambda v: v["id"].cast("string")).alias("ranking"), F.col("candidatas").alias("candidates"), F.col("area_inferida").alias("area"), long(F.size("consulta")).alias("n_words"), "fingerprint", "error",
+    )
 
 
 @query(f"WITH {_POSTINGS} SELECT term, df FROM dfs")

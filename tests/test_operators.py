@@ -147,6 +147,33 @@ def test_retrieval(spark):
     assert got[("s1", 1)] == "ipv4" and got[("s2", 1)] == "tcp" and not any(s == "s3" for s, _ in got)
 
 
+def test_references(spark):
+    raw = spark.createDataFrame([(i, t, a, o, "ENADE" if i == "tcp" else None) for i, t, a, o in CORPUS], "id string, texto string, area string, objeto_conhecimento string, exame string")
+    specs = spark.createDataFrame([("s1", "sub-redes IPv4 e CIDR", "subnetting IPv4", None), ("s2", "entrega ordenada confirmadas TCP", "TCP", None), ("s3", "fotossíntese das plantas", "fotossíntese", None), ("s4", "quicksort heap", "quicksort", None), ("s5", None, None, None)], "spec_id string, query string, objeto string, exame string")
+    specs = specs.withColumn("curso", F.lit(None).cast("string")).withColumn("componente", F.lit(None).cast("string"))
+    got = {r["spec_id"]: r for r in retrieval.references(retrieval.normalise_records(raw), specs).collect()}
+    assert len(got) == 5
+    r = got["s2"]
+    assert (r["id"], r["exame"], r["error"], r["area_inferida"]) == ("tcp", "ENADE", None, "Redes de Computadores")
+    assert r["texto"].startswith("[Fonte 1: tcp | Redes de Computadores | Protocolo TCP]\nO TCP oferece")
+    assert r["fontes"][0]["termos"] == ["entrega", "entrega__ordenada", "ordenada", "tcp"]
+    assert [tuple(h) for h in r["fontes"][0]["fuzzy"]] == [("confirmadas", "confirmada", 0.952)]
+    assert r["ranking"][0]["id"] == "tcp" and r["candidatas"] == len(r["ranking"]) and r["primary"]["area"] == "Redes de Computadores"
+    assert got["s3"]["error"] == retrieval.NOTHING and got["s3"]["id"] is None and got["s3"]["candidatas"] == 0
+    assert got["s4"]["error"] == f"{retrieval.NOTHING} Área inferida: Algoritmos e Estruturas de Dados."
+    assert got["s5"]["error"] == retrieval.NOTHING and got["s5"]["consulta"] == []
+    none = retrieval.references(retrieval.normalise_records(raw.where("false")), specs).collect()
+    assert len(none) == 5 and all(r["error"] for r in none)
+
+
+def test_focus_within_longer_words(spark):
+    """An object counts where a focus term stands in a longer word, with no term in common but of the query."""
+    docs = spark.createDataFrame([("d", "um texto sobre telecomunicacoes e fibra", "Redes de Computadores", "fibra optica"), ("e", "um texto sobre fibra", "Redes de Computadores", "fibra optica")], "id string, texto string, area string, objeto_conhecimento string")
+    specs = spark.createDataFrame([("s", "fibra tcp", "comunica", "", "", "")], "spec_id string, query string, objeto string, exame string, curso string, componente string")
+    got = {r["id"]: (r["phrase"], r["area_bonus"]) for r in retrieval.hybrid(docs, specs, fuzzy=False, k=5, min_score=0.0).collect()}
+    assert got == {"d": (0.35, 2.25), "e": (0.0, 2.25)}
+
+
 def test_record_rejection(spark):
     rows = [("a", "x" * 39), ("b", "x" * 40), ("c", "x" * 50 + "�"), (None, "x" * 50), ("d", "x" * 50), ("e", None)]
     raw = spark.createDataFrame(rows, "id string, texto string").withColumn("status", F.when(F.col("id") == "d", "quarentena")).withColumn("palavras_chave", F.lit("uma"))
