@@ -55,13 +55,14 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def self_bleu(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
-    """(key, self_bleu): BLEU-n of each row against all other rows, with add-one smoothing above unigrams and the closest reference length.
+    """(key, self_bleu): BLEU-n of each row against all other rows, with add-one smoothing above unigrams and no penalty for short rows.
 
     Clipping needs the largest count of an n-gram among the *other* rows: the two largest counts of each n-gram are
     enough, so nothing is joined row by row.
     """
     t = df.select(key, words(F.lower(F.col(text))).alias("t")).where(F.size("t") > 0)
-    grams = t.select(key, F.explode(F.flatten(F.array(*(F.transform(ngrams(F.col("t"), k), lambda g, k=k: F.struct(F.lit(k).alias("n"), g.alias("g"))) for k in range(1, n + 1))))).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("c"))
+    named = lambda k: F.transform(ngrams(F.col("t"), k), lambda g: F.struct(F.lit(k).alias("n"), g.alias("g")))
+    grams = t.select(key, F.explode(F.flatten(F.array(*map(named, range(1, n + 1))))).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("c"))
     top = grams.groupBy("n", "g").agg(F.max("c").alias("m1"))
     with_top = grams.join(top, ["n", "g"])
     second = with_top.where(F.col("c") < F.col("m1")).groupBy("n", "g").agg(F.max("c").alias("m2"))

@@ -481,9 +481,11 @@ def next_version(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.next_version(table(spark, d, "conversations"), "conv_id", "turn").withColumn("next_version", long("next_version"))
 
 
-@query(f"WITH RECURSIVE e(a, b) AS (VALUES {EDGES}), r AS (SELECT 'REQUESTED' AS state UNION SELECT b FROM r JOIN e ON a = state) SELECT state FROM r")
+@query(f"""WITH RECURSIVE {REQLOG}, g(a, b) AS (VALUES {EDGES}), e AS (SELECT DISTINCT a, b FROM (SELECT lag(state) OVER (PARTITION BY rid ORDER BY seq) AS a, state AS b FROM reqlog) JOIN g USING (a, b)),
+r AS (SELECT 'REQUESTED' AS state UNION SELECT b FROM r JOIN e ON a = state) SELECT state FROM r""")
 def graph_reachability(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.reachable(lifecycle.edges(spark), "REQUESTED")
+    """The states that the valid transitions found in the log lead to."""
+    return lifecycle.reachable(lifecycle.transition_counts(request_log(spark, d)).where("allowed"), "REQUESTED")
 
 
 @query(f"WITH {REQLOG} SELECT rid, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, event_id) AS r FROM reqlog) WHERE r = 1")
@@ -622,7 +624,12 @@ def cosine_answer_distractor(spark: SparkSession, d: str) -> DataFrame:
     return e.join(k, "label").where("vec_id <> first").groupBy("label").agg(R(F.avg(c)).alias("mean"), R(F.max(c)).alias("best"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), {_WORDS}) AS t FROM benchmark),
+g AS (SELECT item_id, n, unnest(list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i : i + n - 1], ' '))) AS g FROM t, range(1, 5) r(n)),
+c AS (SELECT item_id, n, g, count(*) AS c FROM g GROUP BY ALL),
+o AS (SELECT *, coalesce(max(c) OVER (PARTITION BY n, g ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), 0) AS other FROM c),
+p AS (SELECT item_id, CASE WHEN n = 1 THEN sum(least(c, other)) / sum(c) ELSE (sum(least(c, other)) + 1) / (sum(c) + 1) END AS p FROM o GROUP BY item_id, n)
+SELECT item_id, round(CASE WHEN min(p) = 0 THEN 0 ELSE exp(avg(ln(CASE WHEN p > 0 THEN p ELSE 1 END))) END, 6) AS self_bleu FROM p GROUP BY item_id""")
 def self_bleu(spark: SparkSession, d: str) -> DataFrame:
     return S.self_bleu(table(spark, d, "benchmark"), "item_id", "text").select("item_id", R(F.col("self_bleu")).alias("self_bleu"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.operators import campaign, exams, registry
+from quizmill.functions import text as T
+from quizmill.operators import campaign, exams, generators, registry, tables
 from quizmill.plans.catalogue import query
-from quizmill.plans.views import table
-from quizmill.sources import store
+from quizmill.plans.views import ITEMS, items, sql_fold, table
+from quizmill.sources import files, store
 from quizmill.sources.staging import scratch
 
 # ---------------------------------------------------------------- exam text
@@ -125,3 +126,80 @@ def request_history(spark: SparkSession, d: str) -> DataFrame:
     said = {"events": lambda x: x["event_type"], "labels": lambda x: F.concat_ws("/", x["quality"], x["toxic"]), "turns": lambda x: F.concat_ws(":", x["id"], x["role"])}
     x = registry.histories(requests, children)
     return x.select("request_id", "c_mktsegment", *(F.array_join(F.transform(n, f), ",").alias(n) for n, f in said.items()))
+
+
+# ---------------------------------------------------------------- table functions
+
+_NUMERALS = ", ".join(f"'{n}'" for n in generators.NUMERALS)
+_SETS = [[n for i, n in enumerate(generators.NUMERALS) if k >> i & 1] for k in range(1, 32)]
+_SAID = ", ".join(f"'{text}'" for text, _ in generators.ASSERTIONS)
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n, CAST(o_orderpriority[1] AS INTEGER) AS v FROM orders),
+x AS (SELECT o_orderkey, v, n // 32 % 31 + 1 AS p, list_filter([{_NUMERALS}], lambda m, i: n >> (i - 1) & 1 = 1) AS r FROM o),
+s AS (SELECT o_orderkey, m, len(list_filter(m, lambda y: NOT list_contains(r, y))) + len(list_filter(r, lambda y: NOT list_contains(m, y))) AS dist, abs(len(m) - len(r)) AS gap FROM x, (SELECT unnest({_SETS}) AS m) WHERE len(r) > 0),
+made AS (SELECT o_orderkey, 'prefix' AS kind, CASE WHEN p <= 30 THEN list_transform(list_filter(list_transform([-1, 1, -2, 2, -3, 3, -4, 4, -5, 5], lambda y: p + y), lambda y: y BETWEEN 1 AND 30)[1:4], lambda y: '/' || y) ELSE [] END AS options FROM x
+  UNION ALL SELECT o_orderkey, 'set', list(array_to_string(m, ',') ORDER BY dist, gap, m)[1:4] FROM s WHERE dist > 0 GROUP BY 1
+  UNION ALL SELECT o_orderkey, 'count', list_transform(list_sort(list_transform(list_filter([1, 2, 3, 4, 5], lambda y: y <> v), lambda y: [abs(y - v), y])), lambda y: CAST(y[2] AS VARCHAR)) FROM x
+  UNION ALL SELECT o_orderkey, 'assertion', list_filter([{_SAID}], lambda y: y <> [{_SAID}][v])[1:4] FROM x)
+SELECT o_orderkey, kind, CAST(i AS INTEGER) AS place, options[i] AS option FROM made, range(1, 5) t(i) WHERE i <= len(options)""")
+def option_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Options made beside each order by table functions in SQL text: what they start from lies in its price and priority."""
+    tables.register(spark)
+    sides = [("prefix", "neighbour_prefixes(p, false)"), ("set", "neighbour_sets(r)"), ("count", "neighbour_counts(v)"), ("assertion", "other_assertions(a)")]
+    made = " UNION ALL ".join(f"SELECT o_orderkey, '{kind}' AS kind, f.place, f.option FROM x, LATERAL {call} AS f" for kind, call in sides)
+    return spark.sql(
+        f"""WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n, CAST(left(o_orderpriority, 1) AS INT) AS v FROM {{orders}}),
+        x AS (SELECT o_orderkey, v, CAST(n div 32 % 31 + 1 AS INT) AS p, filter(array({_NUMERALS}), (m, i) -> shiftright(n, i) & 1 = 1) AS r, element_at(array({_SAID}), v) AS a FROM o) {made}""",
+        orders=table(spark, d, "orders"),
+    )
+
+
+_PLAIN = lambda x: f"regexp_extract_all({sql_fold(x)}, '[a-z0-9]+')"
+
+
+@query(f"""WITH {ITEMS}, c AS (SELECT item_id, i - 1 AS i, {_PLAIN('distratores[i]')} AS t, greatest(len({_PLAIN('resposta_correta')}), 1) AS want FROM items, range(1, 5) r(i) WHERE i <= len(distratores)),
+p AS (SELECT item_id, i, row_number() OVER (PARTITION BY item_id ORDER BY abs(greatest(len(t), 1) - want) / want, -len(list_distinct(t)) / greatest(len(t), 1), i) AS place FROM c)
+SELECT item_id, i, place FROM p WHERE place <= 3""")
+def pool_function(spark: SparkSession, d: str) -> DataFrame:
+    """The pool of each item by a table function over a partitioned table, which holds three candidates at a time."""
+    tables.register(spark)
+    x = items(spark, d).select(F.col("item_id").alias("key"), F.size(T.plain_tokens(F.col("resposta_correta"))).alias("wanted"), F.posexplode("distratores").alias("index", "t"))
+    x = x.withColumn("t", T.plain_tokens(F.col("t"))).select("key", "index", "wanted", F.size("t").alias("n_words"), F.size(F.array_distinct("t")).alias("n_different"))
+    return spark.sql("SELECT key AS item_id, CAST(index AS BIGINT) AS i, CAST(place AS BIGINT) AS place FROM best_candidates(TABLE(SELECT * FROM {x}) PARTITION BY (key), 3)", x=x)
+
+
+# ---------------------------------------------------------------- files written and read back
+
+_EVENT = "event_id long, user_id long, event_type string, value double, props string"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props")
+
+
+@query("SELECT event_id, user_id, event_type, value, props FROM events")
+def events_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """The events as JSON lines, read in splits; a line that is no record would end the query with its number."""
+    path = scratch(spark, "events_jsonl")
+    files.append_jsonl(_events(spark, d), path)
+    return files.read_jsonl(spark, path, _EVENT).drop("file", "line")
+
+
+@query("""SELECT CASE WHEN event_type <> 'error' THEN event_type END AS event_type, coalesce(event_type = 'error', false) AS json_invalid, count(*) AS n, round(sum(CASE WHEN event_type = 'error' THEN NULL ELSE value END), 4) AS value FROM events GROUP BY 1, 2""")
+def events_jsonl_tolerant(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the lines of errors cut in half, which are kept and marked."""
+    path = scratch(spark, "events_jsonl")
+    line = F.to_json(F.struct("*"))
+    _events(spark, d).select(F.when(F.col("event_type") == "error", F.left(line, (F.length(line) / 2).cast("int"))).otherwise(line).alias("value")).write.text(path)
+    x = files.read_jsonl(spark, path, _EVENT, strict=False)
+    return x.groupBy(F.when(~F.col("json_invalid"), F.col("event_type")).alias("event_type"), "json_invalid").agg(F.count("*").alias("n"), F.round(F.sum(F.when(~F.col("json_invalid"), F.col("value"))), 4).alias("value"))
+
+
+@query("SELECT event_id, props, user_id, value FROM events")
+def events_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The events as CSV with a fixed header, fields with quotes and commas among them, read back."""
+    path = scratch(spark, "events_csv")
+    files.write_csv(_events(spark, d), path, ["event_id", "props", "user_id", "value"])
+    x = files.read_csv(spark, path)
+    return x.select(F.col("event_id").cast("long").alias("event_id"), "props", F.col("user_id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"))
