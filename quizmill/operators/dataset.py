@@ -54,13 +54,48 @@ def repeated(df: DataFrame, key: str, times: int) -> DataFrame:
     return df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn(key, F.when(F.col("_i") == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key), F.lit("#rep"), F.col("_i")))).drop("_i")
 
 
-def csv_question(stem: Column, options: Column, letter: Column) -> Column:
-    """struct(reason, options, correct) of an exam row whose options are a Python list of strings."""
-    plain = F.from_json(F.regexp_replace(F.regexp_replace(options, r"(?<=[\[,]\s?)'|'(?=\s?[,\]])", '"'), r"\\'", "'"), "array<string>")
-    clean = F.transform(plain, lambda x: F.trim(F.regexp_replace(x, r"^\s*[A-Ea-e]\s*[).:-]\s*", "")))
-    at = F.instr(F.lit("ABCDE"), F.upper(F.trim(letter))) - 1
-    why = F.when(~F.upper(F.trim(letter)).rlike("^[A-E]$"), "gabarito_anulado").when(clean.isNull(), "opcoes_ilegiveis").when(F.size(clean) != 5, "nao_tem_5_opcoes").when(F.trim(F.coalesce(stem, F.lit(""))) == "", "enunciado_vazio")
-    return F.struct(why.alias("reason"), clean.alias("options"), at.alias("correct"))
+#: The mark before an option, the area that is left out, the reasons in their order.
+OPTION_MARK = r"^\s*\(?[a-eA-E]\s*[\)\.\-–]\s*"
+MATHS = "Matemática"
+VOID, UNREADABLE, NOT_FIVE, IS_MATHS = "anulada_ou_sem_gabarito", "opcoes_ilegiveis", "nao_tem_5_alternativas", "matematica"
+
+_LITERAL = r"""(?:'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|-?[0-9]++(?:\.[0-9]++)?+|True|False|None)"""
+_ODD = r"(?<!\\)((?:\\\\)*+)"  # before a sign that a backslash may have taken
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
+def literal_list(c: Column) -> Column:
+    """The members, as texts, of a list or tuple of quoted strings and plain numbers as Python writes it; null for anything else.
+
+    Each member is made a JSON string, and the JSON reader undoes the escapes both languages share; of those of Python
+    alone, quotes and codes of two hex digits are known. One pass for each step, whatever the length.
+    """
+    whole = rf"^\s*+(?:\[\s*+(?:{_LITERAL}\s*+,\s*+)*+(?:{_LITERAL}\s*+)?+\]|\(\s*+(?:{_LITERAL}\s*+,\s*+)++(?:{_LITERAL}\s*+)?+\)|\(\s*+\))\s*+\z"
+
+    def as_json(x: Column) -> Column:
+        inner = F.when(F.left(x, F.lit(1)).isin("'", '"'), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+        plain = F.regexp_replace(inner, _ODD + r"""\\(['"])""", "$1$2")
+        quoted = F.regexp_replace(plain, _ODD + '"', '$1\\\\"')
+        return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(quoted, "\t", r"\\t"), _ODD + r"\\x([0-9a-fA-F]{2})", r"$1\\u00$2"), F.lit('"'))
+
+    members = F.transform(F.regexp_extract_all(c, F.lit(_LITERAL), F.lit(0)), as_json)
+    return F.when(c.rlike(whole), F.from_json(F.concat(F.lit("["), F.array_join(members, ","), F.lit("]")), "array<string>"))
+
+
+def csv_question(options: Column, letter: Column, area: Column | None = None, with_maths: bool = False) -> Column:
+    """struct(reason, options, correct) of an exam row whose options are a Python list in text.
+
+    The first that holds is the reason: maths (unless asked for), a key that is no letter A to E (null is none), options
+    that cannot be read (null too), not five of them. reason is null for rows that stay; correct counts from 0.
+    """
+    clean = F.transform(literal_list(options), lambda x: _stripped(F.regexp_replace(x, OPTION_MARK, "")))
+    key = F.upper(_stripped(F.coalesce(letter, F.lit(""))))
+    maths = F.lit(False) if area is None or with_maths else F.coalesce(_stripped(area) == MATHS, F.lit(False))
+    why = F.when(maths, IS_MATHS).when(~key.rlike(r"^[A-E]\z"), VOID).when(clean.isNull(), UNREADABLE).when(F.size(clean) != 5, NOT_FIVE)
+    return F.struct(why.alias("reason"), clean.alias("options"), F.when(key.rlike(r"^[A-E]\z"), F.instr(F.lit("ABCDE"), key) - 1).alias("correct"))
 
 
 def option_quality(df: DataFrame, key: str) -> DataFrame:

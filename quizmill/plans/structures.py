@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
-from quizmill.operators import campaign, exams, generators, registry, tables
+from quizmill.operators import campaign, dataset, exams, generators, registry, tables
 from quizmill.plans.catalogue import query
 from quizmill.plans.views import ITEMS, items, sql_fold, table
 from quizmill.sources import files, store
@@ -203,3 +203,24 @@ def events_csv(spark: SparkSession, d: str) -> DataFrame:
     files.write_csv(_events(spark, d), path, ["event_id", "props", "user_id", "value"])
     x = files.read_csv(spark, path)
     return x.select(F.col("event_id").cast("long").alias("event_id"), "props", F.col("user_id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"))
+
+
+_MARK = dataset.OPTION_MARK.replace("^", "", 1)
+
+
+@query(rf"""WITH {ITEMS}, x AS (SELECT *, list_transform(alternativas, lambda v: trim(regexp_replace(v, '^{_MARK}', ''))) AS o FROM items)
+SELECT item_id, CASE WHEN competencia = 'en' THEN '{dataset.IS_MATHS}' WHEN habilidade = '' THEN '{dataset.VOID}' WHEN length(enunciado) % 7 = 0 THEN '{dataset.UNREADABLE}' WHEN len(list_filter(alternativas, lambda v: v IS NOT NULL AND v <> '')) <> 5 THEN '{dataset.NOT_FIVE}' END AS reason,
+  CASE WHEN length(enunciado) % 7 > 0 THEN array_to_string(list_filter(o, lambda v, i: alternativas[i] <> ''), '|') END AS options, CASE WHEN habilidade <> '' THEN correta END AS correct FROM x""")
+def csv_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The items as rows of an exam table, options as a list in text, through CSV and the chain of reasons.
+
+    A list loses its end where the stem's length says so, empty options are left out, and items without a skill have no key.
+    """
+    quoted = lambda v: F.concat(F.lit("'"), F.regexp_replace(v, r"([\\'])", r"\\$1"), F.lit("'"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.filter("alternativas", lambda v: v != ""), quoted), ", "), F.when(F.length("enunciado") % 7 > 0, "]").otherwise(""))
+    x = items(spark, d).select("item_id", listed.alias("options"), F.when(F.col("habilidade") != "", F.substring(F.lit("ABCDE"), F.col("correta") + 1, F.lit(1))).otherwise("*").alias("key"), F.when(F.col("competencia") == "en", dataset.MATHS).otherwise(F.col("competencia")).alias("knowledge_area"))
+    path = scratch(spark, "exam_csv")
+    files.write_csv(x, path)
+    q = dataset.csv_question(F.col("options"), F.col("key"), F.col("knowledge_area"))
+    y = files.read_csv(spark, path).select(F.col("item_id").cast("long").alias("item_id"), q.alias("q"))
+    return y.select("item_id", "q.reason", F.array_join("q.options", "|").alias("options"), "q.correct")

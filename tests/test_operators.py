@@ -271,9 +271,29 @@ def test_exam_text(spark):
 
 
 def test_csv_question(spark):
-    df = spark.createDataFrame([("Qual?", "['A) um', 'dois', 'três', 'quatro', 'cinco']", "b"), ("Qual?", "['um']", "c"), ("Qual?", "lixo", "a"), ("Qual?", "[]", "x")], "s string, o string, k string")
-    got = [r[0] for r in df.select(dataset.csv_question(F.col("s"), F.col("o"), F.col("k"))).collect()]
-    assert got[0]["options"][0] == "um" and got[0]["correct"] == 1 and [x["reason"] for x in got] == [None, "nao_tem_5_opcoes", "opcoes_ilegiveis", "gabarito_anulado"]
+    five = "['A) um', 'dois', 'três', 'quatro', ' (e) - cinco ']"
+    rows = [(five, "b", "x"), ("['um']", "c", "x"), ("lixo", "a", "x"), ("[]", "x", "x"), (five, "a", " Matemática "), (None, "a", None), (five, None, "x"), ("[]", " e\n", "x")]
+    df = spark.createDataFrame(rows, "o string, k string, a string")
+    got = [r[0] for r in df.select(dataset.csv_question(F.col("o"), F.col("k"), F.col("a"))).collect()]
+    assert got[0]["options"] == ["um", "dois", "três", "quatro", "- cinco"] and got[0]["correct"] == 1
+    assert [x["reason"] for x in got] == [None, dataset.NOT_FIVE, dataset.UNREADABLE, dataset.VOID, dataset.IS_MATHS, dataset.UNREADABLE, dataset.VOID, dataset.NOT_FIVE]
+    assert [r[0]["reason"] for r in df.select(dataset.csv_question(F.col("o"), F.col("k"), F.col("a"), True)).collect()][4] is None
+
+
+def test_literal_lists_as_python_reads_them(spark):
+    import ast
+
+    lists = [[], ["a"], ["it's", 'say "x"'], ["both ' and \""], ["back\\slash", "\\", "\\'", 'x\\"'], ["tab\tnew\nline\r", "\x07é\x00  😀", "a, 'b', c"], ["", " ", "''", '""'], [1, -2, 0.5, True, None], ["x" * 200_000, "'" * 20_000, "\\" * 20_001]]
+    texts = [repr(x) for x in lists] + [repr(tuple(x)) for x in lists] + ['["\\x41\\u00e9", \'\\\\x41\']', "[ 'a' , \"b\" ,]", "['a' 'b'", "['a', x]", "'a'", "{'a'}", "['a\n']", "", "[,]", "['a',,'b']", "('a')"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string")
+    got = {r["i"]: r["m"] for r in df.select("i", dataset.literal_list(F.col("t")).alias("m")).collect()}
+    for i, t in enumerate(texts):
+        try:
+            v = ast.literal_eval(t)
+        except (ValueError, SyntaxError):
+            v = None
+        assert got[i] == ([str(x) for x in v] if isinstance(v, list | tuple) else None), (i, t[:80])
+    assert got[-1] is None
 
 
 def test_option_quality(spark):
