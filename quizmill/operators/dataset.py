@@ -21,18 +21,21 @@ def length_ratio(answer: Column, rest: Column) -> Column:
     return F.size(T.words(answer)) / F.when(mid > 0, mid).otherwise(1.0)
 
 
-def reason(max_ratio: float = 2.5) -> Column:
-    """Why a question (enunciado, alternativas, correta, tem_imagem) is no training example: the first reason that holds, null if none does."""
+def reason(max_ratio: float = 2.5, closed: bool = True, words_of_images: bool = True) -> Column:
+    """Why a question (enunciado, alternativas, correta, tem_imagem) is no training example: the first reason that holds, null if none does.
+
+    Closed formats and words that name an image are no reasons if told so; then later reasons still may hold.
+    """
     stem, o, c = F.trim(F.coalesce("enunciado", F.lit(""))), F.transform("alternativas", lambda x: F.trim(F.coalesce(x, F.lit("")))), F.col("correta")
     key = key_of(o, c)
     fam = family(key, stem)
     return (
-        F.when(stem == "", "enunciado_vazio")
+        F.when(~stem.rlike(r"[^\p{Zs}]"), "enunciado_vazio")
         .when((F.size(o) != 5) | F.exists(o, lambda x: x == ""), "nao_tem_5_alternativas")
         .when(c.isNull() | (c < 0) | (c >= 5), "gabarito_invalido")
         .when(F.size(F.array_distinct(F.transform(o, T.words_folded))) != 5, "alternativas_duplicadas")
-        .when(F.coalesce("tem_imagem", F.lit(False)) | stem.rlike(VISUAL), "depende_de_recurso_visual")
-        .when(fam.isin("combinacao_itens", "assercoes"), F.concat(F.lit("formato_fechado_"), fam))
+        .when(F.coalesce("tem_imagem", F.lit(False)) | (stem.rlike(VISUAL) if words_of_images else F.lit(False)), "depende_de_recurso_visual")
+        .when(fam.isin("combinacao_itens", "assercoes") if closed else F.lit(False), F.concat(F.lit("formato_fechado_"), fam))
         .when(length_ratio(key, others(o, c)) > max_ratio, "gabarito_destoa_em_extensao")
     )
 

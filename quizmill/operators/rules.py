@@ -145,8 +145,11 @@ def formulaic(c: Column) -> Column:
     return (signs >= 2) & (F.regexp_count(c, F.lit(r"\d+(?:[.,]\d+)?")) >= 2)
 
 
-def repeated_numeral(c: Column) -> Column:
-    found = F.regexp_extract_all(F.upper(c), F.lit(r"\b[IVX]+\b"), F.lit(0))
+def repeated_numeral(c: Column, ascii_words: bool = False) -> Column:
+    """A Roman numeral stands twice as a word. Words are of letters, digits and _, those of ASCII alone if told so (there the V of `VÍA` is a numeral); no JVM's own \\b is used, which is of either kind."""
+    letters = r"A-Za-z0-9_" if ascii_words else r"\p{L}\p{N}_"
+    upper = F.upper(F.translate(c, "ßŉǰﬀﬁﬂﬃﬄﬅﬆ", "ẞ" * 10) if ascii_words else c)  # what the JVM makes several letters of is one here
+    found = F.regexp_extract_all(upper, F.lit(rf"(?<![{letters}])[IVX]+(?![{letters}])"), F.lit(0))
     return F.size(found) != F.size(F.array_distinct(found))
 
 
@@ -211,8 +214,8 @@ def stem_rules() -> list[Rule]:
     ]
 
 
-def distractor_rules() -> list[Rule]:
-    """On enunciado, resposta_correta and distratores (array of text); rules on similarity are in lexical_flags."""
+def distractor_rules(ascii_numerals: bool = False) -> list[Rule]:
+    """On enunciado, resposta_correta and distratores (array of text); rules on similarity are in lexical_flags. ascii_numerals: see `repeated_numeral`."""
     stem, answer = F.coalesce("enunciado", F.lit("")), F.coalesce("resposta_correta", F.lit(""))
     d = F.transform("distratores", lambda x: F.trim(F.coalesce(x, F.lit(""))))
     rule = lambda code, evidence, field="distratores": Rule(code, "DISTRATORES", field, "DISTRATORES", evidence)
@@ -231,7 +234,7 @@ def distractor_rules() -> list[Rule]:
         rule("mascara_ipv4_invalida", when(about, any_(lambda x: looks_like_mask(x) & prefix_of(x).isNull()))),
         rule("mascara_ipv4_equivalente_ao_gabarito", when(about, any_(lambda x: prefix_of(x) == key))),
         rule("distrator_tipo_incompativel_ipv4", when(about, any_(lambda x: ~looks_like_mask(x) & prefix_of(x).isNull()))),
-        rule("combinacao_de_itens_invalida", when(F.exists(d, repeated_numeral), "numeral romano repetido")),
+        rule("combinacao_de_itens_invalida", when(F.exists(d, lambda x: repeated_numeral(x, ascii_numerals)), "numeral romano repetido")),
     ]
 
 
