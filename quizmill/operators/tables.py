@@ -1,13 +1,15 @@
-"""Table functions for SQL, in Arrow batches: options in closed form beside each row (lateral joins), and the best candidates of each part of a table.
+"""Table functions for SQL: options in closed form beside each row (lateral joins), and the best candidates of each part of a table.
 
 `register` gives them their SQL names. Each says the same as the Column form in `operators.generators`; null or unfit
 arguments give no rows. They hold one row's options, or the best few candidates of a part, whatever the part's size.
+Rows go one by one and unwrapped: with Arrow, Spark makes a table of its own of the few options of each row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from heapq import heappush, heapreplace
 from itertools import combinations
 
@@ -29,19 +31,35 @@ class NeighbourPrefixes:
             yield place, f"Máscara /{p} ({'.'.join(str(bits >> s & 255) for s in (24, 16, 8, 0))})" if dotted else f"/{p}"
 
 
+SETS = [c for n in range(1, len(NUMERALS) + 1) for c in combinations(NUMERALS, n)]
+
+
+@lru_cache(4096)
+def nearest_sets(right: tuple[str, ...]) -> list[str]:
+    """The four options beside a set; there are few sets, so each is ordered once."""
+    mine = set(right)
+    if not mine or not mine <= set(NUMERALS):
+        return []
+    others = sorted((len(mine ^ set(c)), abs(len(c) - len(right)), c) for c in SETS if set(c) != mine)
+    return [",".join(c) for _, _, c in others[:4]]
+
+
+@lru_cache(4096)
+def other_sentences(answer: str) -> list[str]:
+    """The four sentences beside an answer."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", answer.lower()) if not unicodedata.combining(c))
+    plain = re.sub(r"\s+", " ", plain).strip()
+    first, second = (not re.search(f"{word}[ao].{{0,35}}fals", plain) for word in ("primeir", "segund"))
+    justifies = str(not re.search("nao justifica|nao e justificativa", plain)).lower() if first and second else ""
+    key = "false,false," if "duas" in plain and "fals" in plain else f"{first},{second},{justifies}".lower()
+    return [text for text, k in ASSERTIONS if k != key][:4]
+
+
 class NeighbourSets:
     """(place, option) of the sets of numerals nearest to the right one: by members that differ, by size, then by members."""
 
-    def __init__(self):
-        self.sets = [c for n in range(1, len(NUMERALS) + 1) for c in combinations(NUMERALS, n)]
-
     def eval(self, right):
-        mine = set(right or ())
-        if not mine or not mine <= set(NUMERALS):
-            return
-        others = sorted((len(mine ^ set(c)), abs(len(c) - len(right)), c) for c in self.sets if set(c) != mine)
-        for place, (_, _, c) in enumerate(others[:4], 1):
-            yield place, ",".join(c)
+        yield from enumerate(nearest_sets(tuple(v or "" for v in right or ())), 1)
 
 
 class NeighbourCounts:
@@ -58,13 +76,7 @@ class OtherAssertions:
     """(place, option) of the sentences on two assertions that say something else than the answer."""
 
     def eval(self, answer):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", (answer or "").lower()) if not unicodedata.combining(c))
-        plain = re.sub(r"\s+", " ", plain).strip()
-        first, second = (not re.search(f"{word}[ao].{{0,35}}fals", plain) for word in ("primeir", "segund"))
-        justifies = str(not re.search("nao justifica|nao e justificativa", plain)).lower() if first and second else ""
-        key = "false,false," if "duas" in plain and "fals" in plain else f"{first},{second},{justifies}".lower()
-        for place, text in enumerate([text for text, k in ASSERTIONS if k != key][:4], 1):
-            yield place, text
+        yield from enumerate(other_sentences(answer or ""), 1)
 
 
 class BestCandidates:
@@ -102,4 +114,4 @@ FUNCTIONS = {
 def register(spark: SparkSession) -> None:
     """Makes the functions known to the session's SQL."""
     for name, (f, kind) in FUNCTIONS.items():
-        spark.udtf.register(name, udtf(f, returnType=kind, useArrow=True))
+        spark.udtf.register(name, udtf(f, returnType=kind, useArrow=False))

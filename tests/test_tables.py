@@ -83,3 +83,15 @@ def test_files_read_back(spark, tmp_path):
     assert [(r["line"], r["i"], r["json_invalid"]) for r in kept] == [(1, 1, False), (3, None, True), (4, 4, False)]
     with pytest.raises(Exception, match="invalid JSON in line 3"):
         files.read_jsonl(spark, f"file://{tmp_path}/b", "i long").collect()
+
+
+def test_options_of_an_argument_are_worked_out_once():
+    from quizmill.operators import tables
+
+    tables.nearest_sets.cache_clear()
+    tables.other_sentences.cache_clear()
+    sets, said = tables.NeighbourSets(), tables.OtherAssertions()
+    first = list(sets.eval(["I", "II"])), list(said.eval("As duas são falsas"))
+    assert all((list(sets.eval(["I", "II"])), list(said.eval("As duas são falsas"))) == first for _ in range(50))
+    assert tables.nearest_sets.cache_info().misses == tables.other_sentences.cache_info().misses == 1
+    assert not list(sets.eval(["I", None])) and not list(sets.eval(None))
