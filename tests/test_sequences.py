@@ -59,3 +59,37 @@ def test_columns(spark):
     df = spark.createDataFrame([("abcd", "bcde"), (None, "x"), ("", ""), ("x" * 300, "x" * 300), ("abcd", "wxyz")], "a string, b string")
     rows = df.select(sequence_ratio("a", "b").alias("r"), sequence_ratio_from("a", "b", 0.7).alias("f")).collect()
     assert [r["r"] for r in rows] == [0.75, None, 1.0, 1.0, 0.0] and [r["f"] for r in rows] == [0.75, None, 1.0, 1.0, None]
+
+
+def test_shared_pieces_spare_the_look_at_every_run(monkeypatch):
+    import random
+
+    from quizmill.functions import sequences
+
+    r = random.Random(3)
+    words = ["".join(r.choices("etaoinshrdlucmqz7", k=r.randint(2, 8))) for _ in range(300)]
+    b = " ".join(f"{w}{i:04d}" if i % 40 == 0 else w for i, w in enumerate(r.choices(words, k=3000)))  # figures are rare
+    a = b[200:] + " qual vale"
+    want = sequences.ratio(a, b)
+    monkeypatch.setattr(sequences, "_alike", lambda *_: 1 / 0)
+    assert sequences.reached(a, b, 0.82) == want > 0.9
+
+
+def test_pieces_end_where_strings_differ():
+    from quizmill.functions.sequences import _common
+
+    for n in (0, 1, 15, 16, 17, 40, 100):
+        a, b = "x" * n + "a" + "y" * n, "x" * n + "b" + "y" * n
+        assert _common(a, 0, b, 0, len(a)) == n == _common(a, len(a), b, len(b), len(a), back=True)
+        assert _common(a, 0, b, 0, n // 2) == n // 2
+
+
+def test_fold_of_latin_texts_is_that_of_single_steps(spark):
+    from pyspark.sql import functions as F
+
+    from quizmill.functions import text as T
+
+    rows = [(c + tail,) for c in map(chr, range(1, 0x530)) if not 0xD800 <= ord(c) < 0xE000 for tail in ("", "Ж")]  # the second sends the first the longer way
+    x = spark.createDataFrame(rows, "x string").select("x", T.fold(F.col("x")).alias("f")).collect()
+    found = {r["x"]: r["f"] for r in x}
+    assert all(found[c] + "ж" == found[c + "Ж"] for c in found if c + "Ж" in found and c != "Ж")
