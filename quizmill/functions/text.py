@@ -34,14 +34,31 @@ def fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one_from), "".join(one_to), tuple(many)
 
 
+#: Latin letters as they are folded one by one; the dotted capital i is none of them, as it gives two.
+_LATIN = r"^[\x00-\x{12F}\x{131}-\x{24F}]*+$"
+_SEVERAL = "ßﬁﬂ½¼¾…ﬀ"  # what texts hold; others of this kind are left as they are
+
+
+@cache
+def latin_table() -> tuple[str, str]:
+    """(from, to) of Latin characters that lower case and `fold_table` change to one character."""
+    a, b, _ = fold_table()
+    plain = dict(zip(a, b, strict=True))
+    found = {c: plain.get(c.lower(), c.lower()) for c in map(chr, range(0x250)) if c != "İ"}
+    return "".join(c for c, x in found.items() if x != c), "".join(x for c, x in found.items() if x != c)
+
+
 def fold(c: Column) -> Column:
-    """Case folded, decomposed, without combining marks."""
+    """Case folded, decomposed, without combining marks. ASCII needs lower case alone, Latin one table; the steps one by one are for the rest."""
     a, b, many = fold_table()
-    c = F.lower(c)
+    latin, other = c, F.lower(c)
     for x, y in many:
-        if x in "ßﬁﬂ½¼¾…ﬀ":  # what texts hold; others of this kind are left as they are
-            c = F.replace(c, F.lit(x), F.lit(y))
-    return F.regexp_replace(F.translate(c, a, b), MARKS, "")
+        if x in _SEVERAL:
+            other = F.replace(other, F.lit(x), F.lit(y))
+            if x < "ɐ":
+                latin = F.replace(latin, F.lit(x), F.lit(y))
+    other = F.regexp_replace(F.translate(other, a, b), MARKS, "")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).when(c.rlike(_LATIN), F.translate(latin, *latin_table())).otherwise(other)
 
 
 def _or_empty(c: Column) -> Column:

@@ -8,6 +8,8 @@ token tables first (see `lexical_flags`).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +45,15 @@ def prepared(items: DataFrame) -> DataFrame:
     if {"enunciado", "alternativas"} <= have:
         o = F.transform("alternativas", text)
         out |= {"_o6": T.plain_folded(F.array_join(o, " ")), "_whole": F.concat_ws(" ", text(C("enunciado")), F.array_join(o, " ")), "_sizes": F.transform(o, lambda x: F.size(T.words(x)))}
-        more |= {"_n6": F.concat(C("_s6"), F.lit(" "), C("_o6")), "_n4": T.spaces_of(F.concat(C("_s6"), F.lit(" "), C("_o6")))}
+        more |= {"_n6": F.concat(C("_s6"), F.lit(" "), C("_o6")), "_n4": F.trim(F.concat(T.spaces_of(C("_s6")), F.lit(" "), T.spaces_of(C("_o6"))))}
     return items.select("*", *(c.alias(k) for k, c in out.items())).select("*", *(c.alias(k) for k, c in more.items()))
 
 
+def among(text: Column, words: list[str]) -> Column:
+    """One of the words stands somewhere in a text: a test before a pattern that needs one."""
+    return reduce(or_, (text.contains(w) for w in words))
+
+
 def flags(items: DataFrame, rules: list[Rule], key: str = "item_id") -> DataFrame:
     """(key, code, stage, field, evidence, repair): one row for each item and rule that applies."""
     items = prepared(items)
@@ -103,7 +110,8 @@ def mask_of(prefix: Column) -> Column:
 def expected_prefix(stem: Column, s: Column | None = None) -> Column:
     """Of a stem that splits a network /n into equal parts: n and the bits that so many parts take; null if there is none or it is over 32."""
     base = F.nullif(F.regexp_extract(stem, r"\b(?:\d{1,3}\.){3}\d{1,3}/(\d{1,2})\b", 1), F.lit("")).cast("int")
-    said = F.regexp_extract(T.words_folded(stem) if s is None else s, r"\b(?:dividir|subdividir|segmentar|separar)\w*.{0,120}?\b(?:em|para)\s+(\d+|duas|tres|quatro|cinco|seis|sete|oito|dezesseis)\s+(?:sub\s*redes?|partes|blocos)\s+iguais\b", 1)
+    s = T.words_folded(stem) if s is None else s
+    said = F.regexp_extract(F.when(s.contains("iguais"), s).otherwise(""), r"\b(?:dividir|subdividir|segmentar|separar)\w*.{0,120}?\b(?:em|para)\s+(\d+|duas|tres|quatro|cinco|seis|sete|oito|dezesseis)\s+(?:sub\s*redes?|partes|blocos)\s+iguais\b", 1)
     names = {"duas": 2, "tres": 3, "quatro": 4, "cinco": 5, "seis": 6, "sete": 7, "oito": 8, "dezesseis": 16}
     n = F.when(said.rlike(r"^\d{1,9}$"), F.try_to_number(F.when(said.rlike(r"^\d{1,9}$"), said), F.lit("999999999")).cast("int"))
     for word, k in names.items():
@@ -116,6 +124,8 @@ def expected_prefix(stem: Column, s: Column | None = None) -> Column:
 
 #: Patterns of the detectors.
 COMMAND = r"\b(?:assinale|selecione|indique|identifique|classifique|determine|calcule|avalie|aponte|escolha|informe|marque|qual|quais|que alternativa|que opcao)\b"
+#: The same words between single spaces, as folded words have them; what begins alike is tried once.
+SPACED_COMMAND = r" (?:qua(?:l|is)|que (?:alternativa|opcao)|a(?:ssinale|valie|ponte)|i(?:ndique|dentifique|nforme)|s(?:elecione)|c(?:lassifique|alcule)|de(?:termine)|es(?:colha)|ma(?:rque)) "
 FUNCTION = r"\b(?:deve|devera)\s+(?:permitir|gerar|registrar|calcular|emitir|enviar|armazenar|consultar|atualizar|processar|realizar|exibir|produzir|fornecer|autenticar)\b"
 QUALITY = r"\b(?:tempo maximo|tempo de resposta|\d+(?:[.,]\d+)?\s*(?:ms|milissegundos?|segundos?|minutos?)|disponibilidade|desempenho|seguranca|confiabilidade|usabilidade|capacidade|latencia|criptografia|99[.,]\d+\s*%)\b"
 FOCUS = r"(?:restricao de (?:tempo|desempenho|seguranca)|limite de tempo|atributo de qualidade|caracteristica de qualidade|aspecto de desempenho|classifica\w*.{0,40}(?:restricao|limite|desempenho|atributo|caracteristica))"
@@ -125,7 +135,8 @@ NON_FUNCTIONAL = r"(?i)\b(?:segundos?|milissegundos?|simult[aâ]neos?|autenticad
 
 
 def has_command(stem: Column, s: Column | None = None) -> Column:
-    return stem.contains("?") | (T.words_folded(stem) if s is None else s).rlike(COMMAND)
+    s = T.words_folded(stem) if s is None else s
+    return stem.contains("?") | F.concat(F.lit(" "), s, F.lit(" ")).rlike(SPACED_COMMAND)
 
 
 def mixed_focus(stem: Column, answer: Column, s: Column | None = None, a: Column | None = None) -> Column:
@@ -191,7 +202,7 @@ def stem_rules() -> list[Rule]:
     rule = lambda code, field, evidence: Rule(code, "NUCLEO", field, "NUCLEO", evidence)
     blank = lambda code, field: rule(code, field, when(F.trim(F.coalesce(field, F.lit(""))) == "", "campo vazio"))
     expected, got = expected_prefix(stem, s), prefix_of(answer)
-    labels = F.array_distinct(F.regexp_extract_all(stem, F.lit(r"(?<![\p{L}\p{N}_])([A-E])\)\s+"), F.lit(1)))
+    labels = F.array_distinct(F.regexp_extract_all(F.when(stem.contains(")"), stem).otherwise(""), F.lit(r"(?<![\p{L}\p{N}_])([A-E])\)\s+"), F.lit(1)))
     parts = F.filter(F.regexp_extract_all(stem, F.lit(r"(?i)REQ\d+\s*[–—:-]\s*(.*?)(?=;\s*REQ\d+\b|\.\s*Qual\b|$)"), F.lit(1)), lambda x: x.rlike(NON_FUNCTIONAL))
     return [
         rule("enunciado_ausente_ou_curto", "enunciado", when(F.length(F.trim(stem)) < 40, F.concat(F.length(F.trim(stem)), F.lit(" caracteres")))),
@@ -203,13 +214,13 @@ def stem_rules() -> list[Rule]:
         rule("mistura_funcional_nao_funcional_ambigua", "enunciado", when(mixed_focus(stem, answer, s, a), "função e qualidade sem foco explícito")),
         rule("alternativas_embutidas_no_nucleo", "enunciado", when(F.size(labels) >= 2, listed(labels))),
         rule("gabarito_repetido_no_enunciado", "enunciado", when((a != "") & (F.size(F.split(a, " ")) <= 18) & F.concat(F.lit(" "), s, F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" "))), "o enunciado contém a resposta")),
-        rule("formatacao_quebrada", "enunciado", when((F.regexp_count(stem, F.lit(r"\\n")) >= 2) & ~stem.contains("\n"), "quebras de linha como texto")),
+        rule("formatacao_quebrada", "enunciado", when(stem.contains(r"\n") & ~stem.contains("\n") & (F.regexp_count(stem, F.lit(r"\\n")) >= 2), "quebras de linha como texto")),
         rule("dependencia_visual_ausente", "recurso_visual", when(F.coalesce("tem_imagem", F.lit(False)) & (F.coalesce("recurso_visual", F.lit("")) == ""), "imagem sem recurso")),
-        rule("implementacao_nao_delimitada", "enunciado", when(F.lower(stem).rlike(r"\b(?:xmin|xmax)\b") & ~F.lower(stem).contains("postgresql"), "xmin/xmax sem PostgreSQL")),
+        rule("implementacao_nao_delimitada", "enunciado", when(among(C("_s6"), ["xmin", "xmax"]) & F.lower(stem).rlike(r"\b(?:xmin|xmax)\b") & ~F.lower(stem).contains("postgresql"), "xmin/xmax sem PostgreSQL")),
         rule("possivel_copia_da_referencia", "enunciado", when(C("referencia_ratio") >= COPY, "similaridade lexical >= 0.82")),
-        rule("enunciado_ambiguo", "enunciado", when(stem.rlike(r"(?iu)\bquais\b.{0,45}\b(?:propriedades|técnicas|mecanismos|protocolos|itens)\b") & ~answer.rlike(r"(?i)[,;/]|\s+e\s+"), "pergunta plural, gabarito singular")),
-        rule("espaco_de_respostas_binario", "enunciado", when(stem.rlike(r"(?iu)\bfuncional\s+ou\s+n[aã]o\s+funcional\b"), "só duas classes possíveis")),
-        rule("multiplos_candidatos_ao_gabarito", "enunciado", when(F.lower(stem).contains("requisito não funcional") & answer.rlike(r"(?i)\bREQ\d+\b") & (F.size(parts) > 1), F.concat(F.size(parts), F.lit(" requisitos com marcadores")))),
+        rule("enunciado_ambiguo", "enunciado", when(C("_s6").contains("quais") & stem.rlike(r"(?iu)\bquais\b.{0,45}\b(?:propriedades|técnicas|mecanismos|protocolos|itens)\b") & ~answer.rlike(r"(?i)[,;/]|\s+e\s+"), "pergunta plural, gabarito singular")),
+        rule("espaco_de_respostas_binario", "enunciado", when(C("_s6").contains("funcional") & stem.rlike(r"(?iu)\bfuncional\s+ou\s+n[aã]o\s+funcional\b"), "só duas classes possíveis")),
+        rule("multiplos_candidatos_ao_gabarito", "enunciado", when(answer.rlike(r"(?i)\bREQ\d+\b") & F.lower(stem).contains("requisito não funcional") & (F.size(parts) > 1), F.concat(F.size(parts), F.lit(" requisitos com marcadores")))),
         rule("selecao_de_protocolo_potencialmente_ambigua", "enunciado", when(a.isin("tcp", "udp") & stem.rlike(r"(?i)\bqual\s+protocolo\b"), "outros protocolos podem servir")),
     ]
 
@@ -255,13 +266,18 @@ LEAKS = ["questionario de percepcao", "rascunho", "area livre", "cartao-resposta
 NEGATIVE = r"\b(exceto|incorreta|nao corresponde|nao e)\b"
 ABSOLUTE = r"\b(sempre|nunca|jamais|todos?|nenhum)\b"
 VAGUE = r"\b(frequentemente|ocasionalmente|geralmente|raramente|muitas vezes)\b"
+#: What a text has to hold for each of the three.
+NEGATIVE_WORDS = ["exceto", "incorreta", "nao corresponde", "nao e"]
+ABSOLUTE_WORDS = ["sempre", "nunca", "jamais", "todo", "nenhum"]
+VAGUE_WORDS = ["frequentemente", "ocasionalmente", "geralmente", "raramente", "muitas vezes"]
 CUE_STOP = ["qual", "quais", "uma", "para", "como", "deve", "pode", "sistema", "considerando"]
 
 
 def cue_words(stem: Column, answer: Column) -> Column:
     """Words over three characters that a folded stem and a key share."""
-    long_ = lambda c: F.filter(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 3)
-    return F.array_sort(F.array_intersect(F.filter(long_(stem), lambda w: ~w.isin(*CUE_STOP)), long_(T.plain_folded(answer))))
+    words = F.array_distinct(F.regexp_extract_all(T.plain_folded(answer), F.lit("[a-z0-9]+"), F.lit(0)))
+    there = lambda w: stem.contains(w) & F.rlike(stem, F.concat(F.lit("(?<![a-z0-9])"), w, F.lit("(?![a-z0-9])")))
+    return F.array_sort(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*CUE_STOP) & there(w)))
 
 
 def analyzer_rules() -> list[Rule]:
@@ -271,9 +287,10 @@ def analyzer_rules() -> list[Rule]:
     key, mine = key_of(o, c), key_of(sizes, c)
     rest = T.spaces_folded(F.array_join(others(o, c), " "))
     cues = F.filter(cue_words(C("_s6"), key), lambda w: ~rest.contains(w))
-    marks = F.regexp_extract_all(whole, F.lit(r"<\s*[A-Z][A-Z0-9_-]*\s*>"), F.lit(0))
+    marks = F.regexp_extract_all(F.when(whole.contains("<"), whole).otherwise(""), F.lit(r"<\s*[A-Z][A-Z0-9_-]*\s*>"), F.lit(0))
     leaks = F.filter(F.array(*map(F.lit, LEAKS)), lambda m: n.contains(m))
-    absolute, vague = F.regexp_extract_all(n, F.lit(ABSOLUTE), F.lit(1)), F.regexp_extract_all(n, F.lit(VAGUE), F.lit(1))
+    found = lambda p, w: F.regexp_extract_all(F.when(among(n, w), n).otherwise(""), F.lit(p), F.lit(1))
+    absolute, vague = found(ABSOLUTE, ABSOLUTE_WORDS), found(VAGUE, VAGUE_WORDS)
     rule = lambda code, field, evidence, repair="NUCLEO": Rule(code, "DETERMINISTICA", field, repair, evidence)
     return [
         rule("formatacao_quebrada", "questao", when(whole.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "caracteres de controle")),
@@ -285,7 +302,7 @@ def analyzer_rules() -> list[Rule]:
         rule("formatacao_quebrada", "alternativas", when(F.exists(o, lambda x: F.trim(x) == ""), "alternativa vazia"), "DISTRATORES"),
         rule("iwf_gabarito_mais_longo", "alternativas", when((mine == F.array_max(sizes)) & (F.size(F.filter(sizes, lambda x: x == mine)) == 1) & (mine >= F.array_min(sizes) + 2), F.array_join(sizes.cast("array<string>"), ", ")), "DISTRATORES"),
         rule("iwf_repeticao_entrega_gabarito", "enunciado", when(F.size(cues) > 0, F.array_join(cues, ", "))),
-        rule("iwf_comando_negativo", "enunciado", when(C("_s4").rlike(NEGATIVE), "comando negativo")),
+        rule("iwf_comando_negativo", "enunciado", when(among(C("_s4"), NEGATIVE_WORDS) & C("_s4").rlike(NEGATIVE), "comando negativo")),
         rule("iwf_termo_absoluto", "questao", when(F.size(absolute) > 0, listed(absolute))),
         rule("iwf_termo_vago", "questao", when(F.size(vague) > 0, listed(vague))),
     ]

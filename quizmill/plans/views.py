@@ -48,7 +48,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first words of a text are the options, the text after them as it stands is the stem. referencia is the whole text
     that an item was cut from; the SQL view has no such column.
     """
-    d = table(spark, sf_dir, "documents").withColumn("tok", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).where(F.size("tok") > 0)
+    head = F.regexp_extract("text", r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){1,34}+", 0)  # no column below but the stem needs words after the 33rd
+    d = table(spark, sf_dir, "documents").withColumn("head", head).where("head <> ''").withColumn("tok", F.regexp_extract_all("head", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     k = F.col("doc_id")
     sizes = [1 + k % 4, *(2 + (k + i) % 3 for i in range(1, 5))]
     starts = [F.lit(1)]
@@ -71,7 +72,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         o[i] = F.when((correct == i) & key.isNotNull(), key).otherwise(o[i])
     used = (starts[-1] + sizes[-1] - 1).cast("string")
     # possessive: the words of the options, or all there are
-    rest = F.trim(F.regexp_replace(F.col("text"), F.concat(F.lit(r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,"), used, F.lit("}+")), F.lit("")))
+    rest = F.trim(F.substring(F.col("text"), F.length(F.regexp_substr("head", F.concat(F.lit(r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,"), used, F.lit("}+")))) + 1, F.length("text")))
     x = d.withColumn("alternativas", F.array(*o)).withColumn("correta", correct).withColumn("resposta_correta", F.try_element_at("alternativas", F.col("correta") + 1))
     tail = F.concat(*(F.when(k % n == 0, text).otherwise("") for n, text in TAILS), F.when(k % 6 == 0, F.concat(F.lit(" "), F.col("resposta_correta"))).otherwise(""))
     return x.select(
