@@ -1,8 +1,8 @@
 """The rule catalogue: each rule is one nullable evidence column, and a batch of items gives a long table of flags.
 
 Rules are data (code, stage, field, repair target, evidence). One `select` works all of them out in generated code, and
-one `explode` of the non-null ones makes the rows: no join, no shuffle. The few rules on string similarity join blocked
-token tables first (see `lexical_flags`).
+one `explode` of the non-null ones makes the rows: no join, no shuffle. The few rules on string similarity keep the words
+in question of each item first (see `lexical_flags`).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
 from quizmill.functions.similarity import may_reach, sequence_ratio, sequence_ratio_from
+from quizmill.sources.staging import stage
 
 C = F.col
 
@@ -366,30 +367,52 @@ def triage(items: DataFrame, key: str = "item_id") -> DataFrame:
 # ---------------------------------------------------------------- rules on similarity
 
 
+def word_bases(tokens: Column) -> Column:
+    """`token_base` of each of some tokens of Latin-1, worked out on all of them at once."""
+    return F.split(F.regexp_replace(T.plain_folded(F.array_join(tokens, " ")), "[^a-z0-9 ]", ""), " ")
+
+
+def lexical_words(items: DataFrame, key: str) -> DataFrame:
+    """What the rules on likeness need of an item, in a row without its stem.
+
+    d, answer: trimmed distractors and the key; open: no assertion or combination; copied: a distractor is the key in
+    words; bases: of the key's words, from six letters on; near: (form, o) of the words of stem and key, from five letters
+    on, whose base begins with the first three letters of a distractor's word: no other can be equal or like to one.
+    """
+    stem, answer = F.coalesce("enunciado", F.lit("")), F.coalesce("resposta_correta", F.lit(""))
+    d = F.transform("distratores", lambda v: F.trim(v))
+    x = items.select(
+        key, d.alias("d"), answer.alias("answer"), T.words_folded(answer).alias("na"), (~family(answer, stem).isin("combinacao_itens", "assercoes")).alias("open"), T.letter_tokens(answer).alias("_a"),
+        T.letter_tokens(F.array_join(d, " ")).alias("_d"), T.letter_tokens(F.concat_ws(" ", "enunciado", "resposta_correta")).alias("_q"),
+    )
+    x = x.select("*", F.array_distinct(F.split(F.lower(F.array_join("_q", " ")), " ")).alias("_f")).drop("_q")
+    x = x.select("*", word_bases(C("_f")).alias("_o"), F.array_distinct(F.transform(F.filter(word_bases(C("_d")), lambda b: F.length(b) >= 5), lambda b: F.left(b, F.lit(3)))).alias("_p"))
+    begins = lambda p: F.filter(F.arrays_zip(C("_f").alias("form"), C("_o").alias("o")), lambda w: (F.length(w["o"]) >= 5) & F.array_contains(p, F.left(w["o"], F.lit(3))))
+    near = F.element_at(F.transform(F.array("_p"), begins), 1)  # the name p keeps Spark from working _p out for each word
+    copied = F.exists("d", lambda v: T.words_folded(v) == C("na"))
+    return x.select(key, "d", "answer", "na", "open", copied.alias("copied"), F.array_distinct(F.filter(word_bases(C("_a")), lambda b: F.length(b) >= 6)).alias("bases"), near.alias("near"))
+
+
 def lexical_flags(items: DataFrame, key: str = "item_id") -> DataFrame:
     """(key, code, evidence) of the rules on sequence ratios: paraphrase of the key, deformed key words, corrupted words of the question.
 
-    Tokens of an item are joined with tokens of the same item on a shared prefix, and only pairs of like length reach
-    the ratio, so the pandas UDF sees few rows.
+    Items are read once and each row is judged by itself: stems are cut into words there, and the few words that may
+    count go on, staged. Only pairs that share a prefix and are of like length reach the ratio. Equal rows are given once.
     """
-    d = items.select(key, F.coalesce("enunciado", F.lit("")).alias("stem"), F.coalesce("resposta_correta", F.lit("")).alias("answer"), F.posexplode("distratores").alias("i", "x")).withColumn("x", F.trim("x"))
-    norm = d.withColumn("nx", T.words_folded(C("x"))).withColumn("na", T.words_folded(C("answer")))
-    closed = family(C("answer"), C("stem")).isin("combinacao_itens", "assercoes") | formulaic(C("answer")) | valid_opposites(C("x"), C("answer"))
-    para = norm.where((C("nx") != C("na")) & ~closed & may_reach("nx", "na", 0.82)).withColumn("r", sequence_ratio("nx", "na")).where("r >= 0.82").select(key, F.lit("distrator_parafraseia_gabarito").alias("code"), F.concat("i", F.lit(":"), "x").alias("evidence"))
-    has_copy = norm.where("nx = na").select(key).distinct()
-    tokens = lambda df, c: df.withColumn("t", F.explode(T.letter_tokens(C(c)))).withColumn("b", T.token_base(C("t")))
-    mine = tokens(d, "x").select(key, "i", "x", "t", "b").where(F.length("b") >= 5).distinct()
-    answer = tokens(items.withColumn("a", F.coalesce("resposta_correta", F.lit(""))), "a").select(C(key), C("b").alias("o")).where(F.length("o") >= 6).distinct()
-    near = mine.where(F.length("b") >= 6).join(answer, [key]).where((F.left("b", F.lit(4)) == F.left("o", F.lit(4))) & (F.abs(F.length("b") - F.length("o")) <= 4) & (C("b") != C("o")) & (T.plural_base(C("b")) != T.plural_base(C("o"))) & may_reach("b", "o", 0.80))
-    deformed = near.withColumn("r", sequence_ratio("b", "o")).where("r >= 0.80").select(key, F.lit("distrator_lexicalmente_corrompido").alias("code"), F.concat("i", F.lit(":"), "b", F.lit("~"), "o").alias("evidence"))
-    source = tokens(items.withColumn("q", F.concat_ws(" ", "enunciado", "resposta_correta")), "q").select(C(key), C("b").alias("o"), F.lower("t").alias("form")).where(F.length("o") >= 4).distinct()
-    forms = source.groupBy(key, "o").agg(F.collect_set("form").alias("forms"))
-    known = mine.join(forms.withColumnRenamed("o", "b"), [key, "b"], "left")
-    odd = known.where(C("forms").isNotNull() & ~F.array_contains("forms", F.lower("t"))).select(key, "i", "b", F.col("b").alias("o"))
-    pairs = known.where("forms is null").withColumn("p", F.left("b", F.lit(3))).join(forms.where(F.length("o") >= 5).select(key, "o", F.left("o", F.lit(3)).alias("p")), [key, "p"])
-    close = pairs.where((F.abs(F.length("b") - F.length("o")) <= 3) & ~T.same_inflection(C("b"), C("o")) & may_reach("b", "o", 0.86)).withColumn("r", sequence_ratio("b", "o")).where("r >= 0.86").select(key, "i", "b", "o")
-    corrupted = odd.unionByName(close).select(key, F.lit("distrator_lexicalmente_corrompido").alias("code"), F.concat("i", F.lit(":"), "b", F.lit("~"), "o").alias("evidence"))
-    return para.join(has_copy, key, "left_anti").unionByName(deformed).unionByName(corrupted).distinct()
+    rows = stage(lexical_words(items, key), "lexical_words")
+    d = rows.select(key, "answer", "na", "open", "copied", "bases", "near", F.posexplode("d").alias("i", "x"))
+    para = d.where("open and not copied").withColumn("nx", T.words_folded(C("x"))).where((C("nx") != C("na")) & ~(formulaic(C("answer")) | valid_opposites(C("x"), C("answer"))) & may_reach("nx", "na", 0.82))
+    para = para.withColumn("r", sequence_ratio("nx", "na")).where("r >= 0.82").select(key, F.lit("distrator_parafraseia_gabarito").alias("code"), F.concat("i", F.lit(":"), "x").alias("evidence"))
+    mine = d.select(key, "i", "bases", "near", F.explode(F.array_distinct(T.letter_tokens(C("x")))).alias("t")).withColumn("b", T.token_base(C("t"))).where(F.length("b") >= 5)
+    deformed = mine.where(F.length("b") >= 6).select(key, "i", "b", F.explode("bases").alias("o"))
+    deformed = deformed.where((F.left("b", F.lit(4)) == F.left("o", F.lit(4))) & (F.abs(F.length("b") - F.length("o")) <= 4) & (C("b") != C("o")) & (T.plural_base(C("b")) != T.plural_base(C("o"))) & may_reach("b", "o", 0.80))
+    known = mine.select(key, "i", "b", "t", "near", F.filter("near", lambda w: w["o"] == C("b")).alias("same"))
+    odd = known.where((F.size("same") > 0) & ~F.array_contains("same.form", F.lower("t"))).select(key, "i", "b", C("b").alias("o"))
+    pairs = known.where(F.size("same") == 0).select(key, "i", "b", F.explode(F.array_distinct(C("near.o"))).alias("o")).where(F.left("b", F.lit(3)) == F.left("o", F.lit(3)))
+    close = pairs.where((F.abs(F.length("b") - F.length("o")) <= 3) & ~T.same_inflection(C("b"), C("o")) & may_reach("b", "o", 0.86))
+    like = deformed.withColumn("least", F.lit(0.80)).unionByName(close.withColumn("least", F.lit(0.86))).withColumn("r", sequence_ratio("b", "o")).where("r >= least").select(key, "i", "b", "o")
+    corrupted = odd.unionByName(like).select(key, F.lit("distrator_lexicalmente_corrompido").alias("code"), F.concat("i", F.lit(":"), "b", F.lit("~"), "o").alias("evidence"))
+    return para.unionByName(corrupted).distinct()
 
 
 def with_reference_ratio(items: DataFrame, reference: str | None) -> DataFrame:

@@ -94,6 +94,14 @@ def test_lexical_rules(spark):
     assert not any(i == 1 and c == "distrator_lexicalmente_corrompido" and k == "1" for i, c, k in got)
 
 
+def test_lexical_rules_judge_each_row_by_itself(spark):
+    rows = [(None, "Qual protocolo garante confiabilidade?", "Atomicidade", ["A confiabilidadi, talvez", "Atomicidades plenas", None]), (7, "Qual protocolo garante confiabilidade?", "Fila", ["CONFIABILIDADE", "Confiabilidàde"])]
+    df = spark.createDataFrame(rows, "item_id int, enunciado string, resposta_correta string, distratores array<string>")
+    out = rules.lexical_flags(df)
+    assert {(r["item_id"], r["evidence"]) for r in out.collect()} == {(None, "0:confiabilidadi~confiabilidade"), (7, "1:confiabilidade~confiabilidade")}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 ITEM = "enunciado string, alternativas array<string>, correta int, tem_imagem boolean, recurso_visual string"
 
 
