@@ -176,8 +176,8 @@ def canonical(c: Column, aliases: dict[str, list[str]] | None = None) -> Column:
     for alias, concept in sorted(pairs, key=lambda x: -len(x[0])):
         plain = "".join(x for x in unicodedata.normalize("NFKD", alias) if ord(x) < 128).casefold()
         quoted = "".join("\\" + x if x in r"\.+*?^$()[]{}|-" else x for x in plain)
-        c = F.regexp_replace(c, rf"(?<![a-z0-9_]){quoted}(?![a-z0-9_])", concept)
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+        c = F.regexp_replace(c, rf"{quoted}(?![a-z0-9_])(?<![a-z0-9_]{quoted})", concept)  # plain letters first: the JVM leaps over what cannot match
+    return F.trim(F.regexp_replace(c, r"[\t\n\x0B\f\r]\s*+|\x20\s++", " "))  # single spaces, by far the most, are left alone
 
 
 def unigrams(c: Column, aliases: dict[str, list[str]] | None = None, stop: list[str] | None = None) -> Column:
