@@ -121,3 +121,11 @@ def test_time_is_linear_in_the_block(spark):
 
     took(10)
     assert took(32_000) < 15  # over 1 MB
+
+
+def test_watermarks_and_long_words(spark):
+    texts = ["QUESTÃO 9\nxVALIDy fim aINEP2024VALID", "QUESTÃO 9\n" + "x" * 200_000 + " fim", "QUESTÃO 9\n" + "x" * 200_000 + " VALID fim", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "exam int, text string")
+    began = time.time()
+    got = {r["exam"]: r["body"].split() for r in exams.exam_blocks(df, "exam", "text").collect()}
+    assert got == {0: ["fim"], 1: ["x" * 200_000, "fim"], 2: ["x" * 200_000, "fim"]} and time.time() - began < 30  # the square of a word's length before
