@@ -154,6 +154,33 @@ def test_op7_cuts_are_looked_up(monkeypatch):
     assert [c.at(t, i, table) for i in range(17, 700)] == want[17:700]
 
 
+def test_op7_words_of_later_texts_are_remembered(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokencount, "KEPT_WORDS", 100)
+    monkeypatch.setattr(tokencount, "KEPT_PIECES", 100)
+    lib, c = Tokenizer.from_file(tokencount.vocabulary()), tokencount.PrefixCounts(tokencount.vocabulary())
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    early = " ".join("".join(chr(97 + i * k % 26) for k in range(1, 9)) + chr(97 + i // 26 % 26) for i in range(600))
+    late = "quixotic zanzibars, zanzibarians\nand <|endoftext|>zanz " + "x" * 300
+    assert (c.total(early), c.total(late)) == (n(early), n(late))
+    for name in ("word", "_learn"):
+        monkeypatch.setattr(c, name, None, raising=False)
+    assert c.total(late) == n(late)
+
+
+def test_op7_fit_passes_over_pieces():
+    from tokenizers import Tokenizer
+
+    lib, c, rnd = Tokenizer.from_file(tokencount.vocabulary()), tokencount.PrefixCounts(tokencount.vocabulary()), random.Random(8)
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    for gaps in ([" "], [" ", "\n", " ", "  ", "\n ", "'ll ", " 're"]):
+        for _ in range(40):
+            t = "".join(rnd.choice(["the", "zanzi", "été", "中文", "<|endoftext|>", "a.b", "=="]) + rnd.choice(gaps) for _ in range(60))
+            best = max(i for i in range(len(t) + 1) if n(t[:i]) <= 40)
+            assert c.fit(t, 40) == len(t[:best].encode()), t
+
+
 def test_op6_learns_every_label(spark):
     rows = [(i * 300 + k, f"{chr(0x4E00 + k) * 9} {chr(0x4E00 + k)}", f"l{k:03}") for k in range(230) for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
