@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.graph import components
-from quizmill.llm.textkit import LOWER, U, distinct_in_rows, find_words, mix, prefix_hash, release, small_batches, span_hash, stage, text_chunks
+from quizmill.llm.textkit import LOWER, U, distinct_in_rows, drop, find_words, mix, prefix_hash, release, small_batches, span_hash, stage, stage_by, text_chunks
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -296,7 +296,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         # a class can come from several tasks; copies count once
         return text.mapInArrow(_segments(order, words, _filter(classes_), first, last), "cls long, part int, tokens array<long>").dropDuplicates(["cls", "part"])
 
-    firsts = stage(parts(lists, 0, FIRST - 1), "firsts")
+    # sets are by far the widest rows: they lie in buckets of the key that overlaps are joined by, and are not shuffled again
+    firsts = stage_by(parts(lists, 0, FIRST - 1), "firsts", "cls", "part")
     links, labels = None, None
     for salt in [*range(STARS), None]:
         pairs = _overlaps(_candidates(_with_components(lists, labels), percent, salt), firsts, 0, FIRST - 1)
@@ -304,12 +305,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         reach = F.col("shared") + F.least(F.col("na") - F.col("seen_a"), F.col("nb") - F.col("seen_b"))
         pairs = stage(pairs.where((100 + percent) * reach >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", F.col("shared").alias("before")), "pairs")
         release(spark)
-        rest = parts(pairs.select(F.explode(F.array("a", "b")).alias("cls")), FIRST, FRAGMENTS - 1)
+        rest = stage_by(parts(pairs.select(F.explode(F.array("a", "b")).alias("cls")), FIRST, FRAGMENTS - 1), "rest", "cls", "part")
         total = F.col("shared") + F.col("before")
-        found = stage(_overlaps(pairs, stage(rest, "rest"), FIRST, FRAGMENTS - 1).where((100 + percent) * total >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        found = stage(_overlaps(pairs, rest, FIRST, FRAGMENTS - 1).where((100 + percent) * total >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        drop(rest)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         release(spark)
+    drop(firsts)
     named = docs_.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "group", "left")

@@ -2,10 +2,11 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
-from quizmill.llm import decontaminate, langid, tokencount
+from quizmill.llm import decontaminate, jaccard, langid, tokencount
 
 PHRASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
 
@@ -200,3 +201,29 @@ def test_op6_tells_rare_bytes_apart():
     assert bits.argmin(1).tolist() == [0, 1]
     for cost in model.cost:
         assert np.allclose(np.exp2(-cost.reshape(-1, 256)).sum(1), 1)
+
+
+def test_op3_sets_are_not_shuffled_for_overlaps(spark, monkeypatch):
+    plans, real = [], jaccard._overlaps
+
+    def watched(pairs, segments, first, last):
+        out = real(pairs, segments, first, last)
+        plans.append(1)
+        ready = out._jdf.queryExecution().executedPlan().toString()
+        # between the scan of the sets (tokens) and the join there is no exchange
+        moved = [line for line in re.findall(r"Exchange hashpartitioning[^\n]*\n((?:(?!Exchange|Join)[^\n]*\n)*?[^\n]*FileScan parquet[^\n]*)", ready) if "tokens" in line]
+        assert "FileScan parquet" in ready and not moved, ready
+        return out
+
+    monkeypatch.setattr(jaccard, "_overlaps", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y zz", "one two three four five six", None]
+        rows = jaccard.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in rows} == {0: 0, 1: 0, 2: 2, 3: 3}
+        none = spark.createDataFrame([], "doc_id long, text string")
+        assert jaccard.similar_groups(none).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 8
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("firsts_", "rest_"))]
