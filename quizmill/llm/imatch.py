@@ -90,10 +90,21 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = 4
     return np.sort(band.select("term").toPandas()["term"].to_numpy(np.int64).view(U))
 
 
+def zeros(lex: np.ndarray) -> np.ndarray:
+    """(terms, SUBSETS) leading zero bits of each term's number in each subset: it is kept with probability 2**-level where there are `level` of them."""
+    out = np.empty((len(lex), SUBSETS), np.uint8)
+    for k in range(0, len(lex), 1 << 16):
+        u = mix(lex[k : k + (1 << 16), None] ^ SEEDS[None, :])
+        high, low = (u >> U(32)).astype(np.float64), (u & U(0xFFFFFFFF)).astype(np.float64)
+        out[k : k + (1 << 16)] = 64 - np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1])
+    return out
+
+
 class Prints:
     """Fingerprints of a run of texts: level, hashes (texts, 2, SUBSETS) with 0 for an empty subset, and a hash of all terms where none is in the lexicon."""
 
-    def __init__(self, lex: np.ndarray, texts: list[str]):
+    def __init__(self, lex: np.ndarray, texts: list[str], lead: np.ndarray | None = None):
+        lead = zeros(lex) if lead is None else lead
         raw = [t.encode() for t in texts]
         offs = np.cumsum([0, *map(len, raw)])
         row, h = terms(np.frombuffer(b"".join(raw), np.uint8), offs)
@@ -103,21 +114,23 @@ class Prints:
         ends = np.searchsorted(row, np.arange(n), "right")
         starts = np.searchsorted(row, np.arange(n), "left")
         self.all = total[ends] - total[starts]
-        inside = _find(lex, h) >= 0
-        row, h = row[inside], h[inside]
+        term = _find(lex, h)
+        inside = term >= 0
+        row, h, term = row[inside], h[inside], term[inside]
         count = np.bincount(row, minlength=n)
         self.none = count == 0
         self.level = np.where(self.none, -9, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1)
         self.hash = np.zeros((n, 2, SUBSETS), np.int64)
         if len(row):
-            at = np.flatnonzero(count)
-            first = np.searchsorted(row, at)
-            u = mix(h[:, None] ^ SEEDS[None, :])
-            for k in (0, 1):
-                limit = U(1) << (U(63) - np.minimum(self.level[row] + k - 1, 62).astype(U))
-                part = np.where(u < limit[:, None], mix(u + U(1)), U(0))
-                some = np.add.reduceat(u < limit[:, None], first, axis=0, dtype=np.int64) > 0
-                self.hash[at, k] = np.where(some, (mix(np.add.reduceat(part, first, axis=0)) >> U(40)).astype(np.int64) | 1, 0)
+            # of a text's terms each subset keeps about one: only those are hashed
+            at, subset = np.nonzero(lead[term] >= self.level[row].astype(np.uint8)[:, None])
+            one = mix(mix(h[at] ^ SEEDS[subset]) + U(1))
+            deeper = lead[term[at], subset] > self.level[row[at]]
+            for k, (x, cell) in enumerate(((one, row[at] * SUBSETS + subset), (one[deeper], (row[at] * SUBSETS + subset)[deeper]))):
+                part = np.zeros(n * SUBSETS, U)
+                np.add.at(part, cell, x)
+                some = np.bincount(cell, minlength=n * SUBSETS) > 0
+                self.hash[:, k] = np.where(some, (mix(part) >> U(40)).astype(np.int64) | 1, 0).reshape(n, SUBSETS)
 
     def name(self, i: int) -> str:
         if self.none[i]:
@@ -153,18 +166,22 @@ ROWS = 300
 def _compare(lex: np.ndarray):
     """Of rows in order (part, head, id), each with the next; a head is the first row after a part and is not given itself."""
 
+    lead = None
+
     def solve(rows: list[tuple], after: tuple):
         rows_ = [*rows, after]
         texts = [r[2] for r in rows_]
         new = [edited(t, x) for t, x in zip(texts, texts[1:], strict=False)]
-        own, other = Prints(lex, texts), Prints(lex, new)
+        own, other = Prints(lex, texts, lead), Prints(lex, new, lead)
         at = np.flatnonzero([not r[1] for r in rows])
         cols = [[rows[k][3] for k in at], [len(texts[k]) for k in at], [hashlib.sha256(new[k].encode()).hexdigest() for k in at], [own.name(k) for k in at], [other.name(k) for k in at], own.like(at, other, at), own.like(at, own, at + 1)]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
 
     def run(batches):
+        nonlocal lead
         held: list[tuple] = []
+        lead = zeros(lex)
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("part", "head", "text", "doc_id")), strict=True):
                 held.append((row[0], row[1], row[2] or "", row[3]))

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from quizmill.llm import decontaminate, jaccard, langid, tokencount
+from quizmill.llm import decontaminate, imatch, jaccard, langid, tokencount
 
 PHRASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
 
@@ -227,3 +227,18 @@ def test_op3_sets_are_not_shuffled_for_overlaps(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(plans) == 8
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("firsts_", "rest_"))]
+
+
+def test_op5_hashes_only_the_terms_that_a_subset_keeps(monkeypatch):
+    words = [f"word{k}" for k in range(300)]
+    _, h = imatch.terms(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))
+    done, real = [], imatch.mix
+    monkeypatch.setattr(imatch, "mix", lambda x: done.append(x.size) or real(x))
+    p = imatch.Prints(np.sort(h), [" ".join(words)] * 50)
+    assert sum(done) < 100_000  # all 24 subsets of 15,000 terms would be 360,000
+    u = real(h[:, None] ^ imatch.SEEDS[None, :])
+    for k in (0, 1):
+        kept = u < np.uint64(1) << np.uint64(63 - (int(p.level[0]) + k - 1))
+        total = np.where(kept, real(u + np.uint64(1)), np.uint64(0)).sum(0, dtype=np.uint64)
+        want = np.where(kept.any(0), (real(total) >> np.uint64(40)).astype(np.int64) | 1, 0)
+        assert (p.hash[:, k] == want).all()
