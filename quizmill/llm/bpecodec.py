@@ -1,6 +1,6 @@
 """Byte-pair encoding and decoding: speculate and verify.
 
-Texts are worked on a run of some megabytes at a time, in arrays: split into words, equal words found, and each different
+Texts are worked on a run of some hundred kilobytes at a time, in arrays: split into words, equal words found, and each different
 word encoded once. Greedy longest match over a tree of the vocabulary proposes tokens; whether two tokens may stand side
 by side is tested for every adjacent pair at once; a word whose pairs all pass has its exact encoding. Only the words
 that fail undergo exact merging. Nothing is remembered from one run to the next, so a worker's memory does not grow with
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quizmill.llm.merges import Merges, load
 from quizmill.llm.textkit import CHUNK, give_back, only, prefix_hash, small_batches, span_hash, text_array
 
-RUN = CHUNK  # characters of text worked on at once; one longer text is a run of its own
+RUN = CHUNK >> 2  # characters of text worked on at once; one longer text is a run of its own. A run's arrays take some 100 bytes a character
 LONG = 512  # bytes of a word that is merged by itself, if it fails
 SPACE, OTHER, LETTER, NUMBER, MARK = range(5)  # kinds of characters; a mark stands for a special string
 MARKS = 0xD800  # first code point of marks: surrogates are in no text
@@ -40,7 +40,7 @@ def lowered(text: str) -> str:
 
 def kinds() -> np.ndarray:
     """The kind of every code point."""
-    every = "".join(map(chr, range(MARKS))) + "".join(map(chr, range(0xE000, 0x110000)))
+    every = np.concatenate([np.arange(MARKS), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(pattern, every):

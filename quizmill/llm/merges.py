@@ -82,7 +82,7 @@ class Tables:
         self.left, self.right, self.rank = np.full(size, -1, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         for t, (a, b, r) in m.parts.items():
             self.left[t], self.right[t], self.rank[t] = a, b, r
-        pairs = np.array([(a << 20 | b, r, t) for (a, b), (r, t) in m.pair.items()], np.int64).reshape(-1, 3)
+        pairs = np.fromiter((x for (a, b), (r, t) in m.pair.items() for x in (a << 20 | b, r, t)), np.int64, 3 * len(m.pair)).reshape(-1, 3)
         self.pairs, self.pair_rank, self.pair_made = Lookup(pairs[:, 0]), pairs[:, 1], pairs[:, 2]
         byte = {c: b for b, c in enumerate(CHARS)}
         edge, self.accept = {}, [-1]
@@ -152,11 +152,14 @@ class Merges:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        merges = model.pop("merges")
+        merges.reverse()  # taken from the end, so that what is read is not held twice
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.pair: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        for rank, m in enumerate(model["merges"]):
+        for rank in range(len(merges)):
+            m = merges.pop()
             a, b = m if isinstance(m, list) else m.split(" ")
             left, right, made = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.pair[left, right] = rank, made

@@ -3,10 +3,11 @@
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
-from quizmill.llm import decontaminate, imatch, jaccard, langid, tokencount
+from quizmill.llm import bpecodec, decontaminate, imatch, jaccard, langid, tokencount
 
 PHRASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
 
@@ -242,3 +243,24 @@ def test_op5_hashes_only_the_terms_that_a_subset_keeps(monkeypatch):
         total = np.where(kept, real(u + np.uint64(1)), np.uint64(0)).sum(0, dtype=np.uint64)
         want = np.where(kept.any(0), (real(total) >> np.uint64(40)).astype(np.int64) | 1, 0)
         assert (p.hash[:, k] == want).all()
+
+
+def test_op8_needs_little_memory():
+    tracemalloc.start()
+    try:
+        kind = bpecodec.kinds()
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20  # 1.1 million code points, and what is searched for them
+        assert kind[ord("a")] == bpecodec.LETTER and kind[0x10FFFF] == bpecodec.OTHER and kind[bpecodec.MARKS] == bpecodec.MARK
+    finally:
+        tracemalloc.stop()
+    lib_words = " ".join(f"word{k % 997}" for k in range(150_000))
+    texts = [lib_words[k : k + 50_000] for k in range(0, len(lib_words), 50_000)]
+    c = bpecodec.codec(bpecodec.vocabulary())
+    c.encode_texts(texts[:1])
+    tracemalloc.start()
+    try:
+        out = [len(ids) for ids, _ in c.encode_texts(texts)]
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+    assert out == [len(c.encode(t)) for t in texts]
