@@ -10,9 +10,11 @@
    lie in different components. Pairs within a component need no test, so a group of copies is never expanded; and a
    shared shingle counts only where its ranks in both sets leave room for the overlap needed, so sets with many
    shingles of their own (which come first) meet no frequent ones.
-4. The order is cut into FRAGMENTS. For each candidate pair the overlap is counted in each fragment by itself, from the
-   two sets' parts in it, and the partial counts are summed per pair and held against the threshold. Pairs that cannot
-   reach it any more after the FIRST fragments, whatever the others hold, go no further.
+4. The order is cut into FRAGMENTS. Of the FIRST ones each class has a sketch, 16 bits a shingle; two sketches bound the
+   overlap there from above, and pairs that cannot reach the threshold, whatever the other fragments hold, go no further.
+   For the others the overlap is counted in each fragment by itself, from the two sets' whole parts in it, and the
+   partial counts are summed per pair and held against the threshold; pairs that cannot reach it any more after HALF of
+   the fragments go no further. So what travels for most candidate pairs is short.
 5. Components of the links, then the smallest doc_id of each.
 """
 
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.graph import components
@@ -35,7 +37,7 @@ HOT = 200_000  # frequent shingles that the order knows; 16 bytes each go to eve
 LOCAL = 3  # a shingle is reported when a stretch of rows has it this often
 STRETCH = 1_000_000  # shingles that a task holds at once
 PER_BUCKET = 300_000
-FRAGMENTS, FIRST = 8, 2  # the first fragments are counted for all candidates, the others for those that can still reach the threshold
+FRAGMENTS, FIRST, HALF = 8, 2, 4  # sketches of the first fragments judge all candidates; the first half is counted for those left, the others for those that can still reach the threshold
 BITS = 26  # the filter on classes that have a candidate has 2**BITS bits, whatever the input
 ROW = np.dtype([("c", "<u8"), ("t", "u1", (5,)), ("r", "<u2")])  # a class, 40 bits of a shingle beyond those of its bucket (alike ones give a candidate too many at most), its rank in the set
 STARS = 1  # rounds of stars before all remaining pairs between components
@@ -146,7 +148,7 @@ def _prefixes(order: Order, words: int, percent: int, bits: int):
                 rank = np.arange(len(h)) - (np.cumsum(n) - n)[row]
                 keep = rank < (n - (percent * n + 99) // 100 + 1)[row]
                 held.append((h[keep], name.view(U)[row[keep]], np.minimum(rank[keep], 65535).astype(np.uint16)))
-                if sum(len(x[0]) for x in held) > STRETCH:
+                if sum(len(x[0]) for x in held) > STRETCH // 2:  # sorted and packed, they take several times their room
                     yield flush()
         if held:
             yield flush()
@@ -184,8 +186,13 @@ def _lists(batches):
         yield done()
 
 
-def _segments(order: Order, words: int, bitmap: np.ndarray, first: int, last: int):
-    """(cls, part, tokens) of the fragments first..last, empty ones too, for classes that the filter lets through; a stretch of rows gives each class once."""
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """The distinct 16-bit ends of hashes, as int16."""
+    return np.unique(h.astype(np.uint16)).view(np.int16)
+
+
+def _segments(order: Order, words: int, bitmap: np.ndarray, sketch: bool):
+    """For classes that the filter lets through, (cls, part, tokens) of each fragment, empty ones too, or (cls, m, marks), size and sketch of the first fragments together; a stretch of rows gives each class once."""
 
     def run(batches):
         seen: set[int] = set()
@@ -197,21 +204,28 @@ def _segments(order: Order, words: int, bitmap: np.ndarray, first: int, last: in
                 want = (n > 0) & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
                 part = np.where(order.weight(h) > 0, FRAGMENTS - 1, (h >> U(32)) * U(FRAGMENTS - 1) >> U(32)).astype(np.int64)
                 ends = np.cumsum(n)
-                cls, parts, tokens = [], [], []
+                cls, second, third = [], [], []
                 for d in np.flatnonzero(want).tolist():
                     c = int(name[d])
                     if c in seen:
                         continue
                     seen.add(c)
                     a, b = ends[d] - n[d], ends[d]
-                    for p in range(first, last + 1):
+                    if sketch:
+                        own = h[a:b][part[a:b] < FIRST]
+                        cls.append(c)
+                        second.append(len(own))
+                        third.append(_sketch(own))
+                        continue
+                    for p in range(FRAGMENTS):
                         cls.append(c)
-                        parts.append(p)
-                        tokens.append(h[a:b][part[a:b] == p].view(np.int64))
+                        second.append(p)
+                        third.append(h[a:b][part[a:b] == p].view(np.int64))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if cls:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(parts, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["cls", "part", "tokens"])
+                    kind, names = (pa.int16(), ["cls", "m", "marks"]) if sketch else (pa.int64(), ["cls", "part", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(second, pa.int32()), pa.array(third, pa.list_(kind))], names=names)
 
     return run
 
@@ -224,6 +238,23 @@ def _filter(classes_: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint8)
 
 
+def _linked(shared: Column, percent: int) -> Column:
+    """Whether so large an overlap of a and b links them: shared >= percent * union is (100 + percent) * shared >= percent * (na + nb)."""
+    return (100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))
+
+
+def _reaching(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap can reach the threshold, judged by the sketches of the first fragments.
+
+    Shingles of a set that share a mark number its size less its marks; no more can be missed among the common marks.
+    """
+    left = sketches.select(F.col("cls").alias("a"), F.col("m").alias("ma"), F.col("marks").alias("ka"))
+    right = sketches.select(F.col("cls").alias("b"), F.col("m").alias("mb"), F.col("marks").alias("kb"))
+    most = F.size(F.array_intersect("ka", "kb")) + F.least(F.col("ma") - F.size("ka"), F.col("mb") - F.size("kb"))
+    reach = most + F.least(F.col("na") - F.col("ma"), F.col("nb") - F.col("mb"))
+    return pairs.join(left, "a").join(right, "b").where(_linked(reach, percent)).select(*pairs.columns)
+
+
 def _overlaps(pairs: DataFrame, segments: DataFrame, first: int, last: int) -> DataFrame:
     """pairs with shared, seen_a, seen_b: overlap and sizes summed over the fragments first..last, each counted by itself."""
     parts = pairs.withColumn("part", F.explode(F.sequence(F.lit(first), F.lit(last))))
@@ -285,34 +316,41 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     packed = text.mapInArrow(_prefixes(order, words, percent, bits), "bucket long, rows binary")
     shared = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lists, "token long, cls long, rank int")
     shared = stage(shared, "shared")
+    del packed
+    release(spark)
     one = docs_.where("n > 0").groupBy("cls").agg(F.min("n").alias("n")).join(shared.groupBy("cls").agg(F.count("*").alias("m")), "cls")
     # share: of the shingles in a class's prefix, those that other classes have too
     one = one.select("cls", "n", (F.col("m") / (F.floor(F.col("n") * (100 - percent) / 100) + 1)).alias("share"))
-    lists = stage(shared.join(one, "cls"), "lists")
-    del packed, shared
+    # all that is done with lists goes by shingle: they lie in buckets of it, and so do sketches and sets by their class
+    lists = stage_by(shared.join(one, "cls").repartition("token"), "lists", "token")
+    drop(shared)
     release(spark)
 
-    def parts(classes_: DataFrame, first: int, last: int) -> DataFrame:
+    def parts(classes_: DataFrame, sketch: bool) -> DataFrame:
         # a class can come from several tasks; copies count once
-        return text.mapInArrow(_segments(order, words, _filter(classes_), first, last), "cls long, part int, tokens array<long>").dropDuplicates(["cls", "part"])
+        kind = "cls long, m int, marks array<short>" if sketch else "cls long, part int, tokens array<long>"
+        return text.mapInArrow(_segments(order, words, _filter(classes_), sketch), kind).dropDuplicates(["cls"] if sketch else ["cls", "part"])
 
-    # sets are by far the widest rows: they lie in buckets of the key that overlaps are joined by, and are not shuffled again
-    firsts = stage_by(parts(lists, 0, FIRST - 1), "firsts", "cls", "part")
+    sketches = stage_by(parts(lists, True), "sketches", "cls")
+    release(spark)
     links, labels = None, None
     for salt in [*range(STARS), None]:
-        pairs = _overlaps(_candidates(_with_components(lists, labels), percent, salt), firsts, 0, FIRST - 1)
-        # shared >= percent * union is (100 + percent) * shared >= percent * (na + nb)
-        reach = F.col("shared") + F.least(F.col("na") - F.col("seen_a"), F.col("nb") - F.col("seen_b"))
-        pairs = stage(pairs.where((100 + percent) * reach >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", F.col("shared").alias("before")), "pairs")
+        pairs = stage(_reaching(_candidates(_with_components(lists, labels), percent, salt), sketches, percent), "pairs")
+        release(spark)
+        whole = stage_by(parts(pairs.select(F.explode(F.array("a", "b")).alias("cls")), False), "whole", "cls", "part")
         release(spark)
-        rest = stage_by(parts(pairs.select(F.explode(F.array("a", "b")).alias("cls")), FIRST, FRAGMENTS - 1), "rest", "cls", "part")
-        total = F.col("shared") + F.col("before")
-        found = stage(_overlaps(pairs, rest, FIRST, FRAGMENTS - 1).where((100 + percent) * total >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
-        drop(rest)
+        some = _overlaps(pairs, whole, 0, HALF - 1)
+        reach = F.col("shared") + F.least(F.col("na") - F.col("seen_a"), F.col("nb") - F.col("seen_b"))
+        left = stage(some.where(_linked(reach, percent)).select("a", "b", "na", "nb", F.col("shared").alias("before")), "left")
+        found = stage(_overlaps(left, whole, HALF, FRAGMENTS - 1).where(_linked(F.col("shared") + F.col("before"), percent)).select("a", "b"), "links")
+        drop(whole)
+        drop(pairs)
+        drop(left)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         release(spark)
-    drop(firsts)
+    drop(lists)
+    drop(sketches)
     named = docs_.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "group", "left")

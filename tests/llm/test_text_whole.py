@@ -245,6 +245,36 @@ def test_op5_hashes_only_the_terms_that_a_subset_keeps(monkeypatch):
         assert (p.hash[:, k] == want).all()
 
 
+def test_op3_pairs_that_share_little_are_not_counted(spark, monkeypatch):
+    rnd, counted, real = random.Random(8), [], jaccard._overlaps
+
+    def watched(pairs, segments, first, last):
+        counted.append(pairs.count())
+        return real(pairs, segments, first, last)
+
+    monkeypatch.setattr(jaccard, "_overlaps", watched)
+    texts = []
+    for k in range(40):  # the two texts of a pair share a passage, an eighth of their shingles
+        passage = [f"p{k // 2}x{j}" for j in range(12)]
+        texts.append(" ".join([f"w{rnd.random()}" for _ in range(56)] + passage))
+    near = [f"n{j}" for j in range(80)]
+    texts += [" ".join(near), " ".join([*near[:-1], "other"])]
+    rows = jaccard.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {k: min(k, 40) for k in range(42)}
+    assert sum(counted) == 2  # the near copies, in two halves
+
+
+def test_op3_sketches_miss_no_shingle(spark):
+    rnd = np.random.default_rng(5)
+    full = np.unique(rnd.integers(0, 1 << 16, 3000, np.uint64) | rnd.integers(0, 1 << 40, 3000, np.uint64) << np.uint64(16))
+    marks = jaccard._sketch(full)
+    assert marks.dtype == np.int16 and len(marks) < len(full)  # some shingles share a mark
+    n = len(full)
+    sketches = spark.createDataFrame([(1, n, marks.tolist()), (2, n, marks.tolist()), (3, n, [])], "cls long, m int, marks array<short>")
+    pairs = spark.createDataFrame([(1, 2, n, n), (1, 3, n, n)], "a long, b long, na long, nb long")
+    assert [(r["a"], r["b"]) for r in jaccard._reaching(pairs, sketches, 100).collect()] == [(1, 2)]
+
+
 def test_op8_needs_little_memory():
     tracemalloc.start()
     try:
