@@ -115,3 +115,18 @@ def test_scores_are_rounded_as_by_spark(spark):
     x = np.r_[np.random.default_rng(3).random(3000) * 40, 1.0000005, 2.0000015, 0.1234565, 7.0, 0.0, 3.0000004999999]
     want = [r["y"] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").withColumn("y", F.round("x", 6)).orderBy("i").collect()]
     assert scoring.rounded(x).tolist() == want
+
+
+@pytest.fixture
+def written(spark, monkeypatch):
+    """Rows of each table that is staged for 400 records and 50 specifications, all pairs of which are relevant."""
+    rows, put = [], retrieval.stage
+    monkeypatch.setattr(retrieval, "stage", lambda df, name: [x := put(df, name), rows.append((x.count(), name))][0])
+    docs = spark.createDataFrame([(f"d{i:03}", f"comum pacote raro{i:03}") for i in range(400)], "id string, texto string")
+    return docs, spark.createDataFrame([(i, f"comum pacote outro{i}", "pacote", None, None, None) for i in range(50)], SPEC), rows
+
+
+def test_lexical_search_writes_no_pairs(written):
+    docs, specs, rows = written
+    got = retrieval.hybrid(docs, specs, {}, [], {}, fuzzy=False, k=2, min_score=0.0).collect()
+    assert {(r["id"], r["rank"]) for r in got} == {("d000", 1), ("d001", 2)} and len(got) == 100 and max(rows)[0] < 2_000
