@@ -130,3 +130,9 @@ def test_lexical_search_writes_no_pairs(written):
     docs, specs, rows = written
     got = retrieval.hybrid(docs, specs, {}, [], {}, fuzzy=False, k=2, min_score=0.0).collect()
     assert {(r["id"], r["rank"]) for r in got} == {("d000", 1), ("d001", 2)} and len(got) == 100 and max(rows)[0] < 2_000
+
+
+def test_trace_writes_no_pairs(written):
+    docs, specs, rows = written
+    got = retrieval.trace(docs, specs, {}, [], {}, fuzzy=False, min_score=0.0).collect()
+    assert {(r["id"], r["rank"]) for r in got} == {(f"d00{i}", i + 1) for i in range(8)} and len(got) == 400 and max(rows)[0] < 5_000
